@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "quality")
+MODULES = ("decontaminate", "linededup", "mixing", "quality")
 
 
 def _gather(kind: str) -> dict:
