@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "linededup", "mixing", "quality", "suffixdedup")
+MODULES = ("decontaminate", "langid", "linededup", "mixing", "quality", "suffixdedup")
 
 
 def _gather(kind: str) -> dict:
