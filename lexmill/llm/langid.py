@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm.common import table
+from lexmill.llm.hasharray import HashArray
 
 ORDER = 4
 SAMPLE_DOCS = 600
@@ -48,11 +49,6 @@ def _letters() -> np.ndarray:
     return codes
 
 
-def _mix(code: np.ndarray) -> np.ndarray:
-    h = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(4-gram code at each kept character, first index of each text, number of letters of each text)."""
     lengths = np.array([len(t) for t in texts])
@@ -141,37 +137,6 @@ def _probability(counts: dict[int, _Counts], code: np.ndarray, order: int, base:
     return own + np.where(total > 0, c.find(c.ctx, c.gamma, ctx, 1.0), 1.0) * lower
 
 
-class _Table:
-    """A sorted array of hashes, an index of its leading bits, and a row of values per hash."""
-
-    BITS = 18
-
-    def __init__(self, code: np.ndarray, values: np.ndarray):
-        h = _mix(code)
-        order = np.argsort(h)
-        self.h = np.append(h[order], np.uint64(2**64 - 1))
-        self.values = values[order].astype(np.float32)
-        edges = np.searchsorted(self.h[:-1], np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS))
-        self.start = edges.astype(np.int32)
-        self.most = int(np.diff(np.append(edges, len(code))).max(initial=1))
-
-    def find(self, code: np.ndarray) -> np.ndarray:
-        """The row of each code, -1 where it is absent."""
-        h = _mix(code)
-        at = self.start[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        row = np.where(self.h[at] == h, at, -1)
-        todo = np.flatnonzero(row < 0)
-        for step in range(1, self.most):
-            i = np.minimum(at[todo] + step, len(self.h) - 1)
-            hit = self.h[i] == h[todo]
-            row[todo[hit]] = i[hit]
-            todo = todo[~hit & (self.h[i] < h[todo])]
-            if not len(todo):
-                break
-        row[row >= len(self.values)] = -1
-        return row
-
-
 class LanguageModel:
     """Per-language log probabilities of character grams; see the module's description."""
 
@@ -183,9 +148,9 @@ class LanguageModel:
         self.grams, self.weights = {}, {}
         for k in range(ORDER, 0, -1):
             seen = np.unique(np.concatenate([c[k].code for c in counts.values()]))
-            self.grams[k] = _Table(seen, np.log(np.stack([_probability(counts[x], seen, k, base) for x in langs], axis=1)))
+            self.grams[k] = HashArray(seen, np.log(np.stack([_probability(counts[x], seen, k, base) for x in langs], axis=1)))
             ctx = np.unique(np.concatenate([c[k].ctx for c in counts.values()]))
-            self.weights[k] = _Table(ctx, np.log(np.stack([c[k].find(c[k].ctx, c[k].gamma, ctx, 1.0) for c in (counts[x] for x in langs)], axis=1)))
+            self.weights[k] = HashArray(ctx, np.log(np.stack([c[k].find(c[k].ctx, c[k].gamma, ctx, 1.0) for c in (counts[x] for x in langs)], axis=1)))
         self.limits = np.full(len(langs), np.inf)
 
     def _log_probabilities(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:

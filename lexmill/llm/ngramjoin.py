@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm.common import cut, table
+from lexmill.llm.hasharray import most_frequent
 from lexmill.llm.tokens import shingle_sets
 
 NUMERATOR, DENOMINATOR = 3, 4
@@ -267,8 +268,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     counted = texts.select("text").mapInPandas(_count_packed, "shard int, blob binary").repartition("shard")
-    top = counted.mapInPandas(_frequent, "h long, n long").orderBy(F.desc("n"), "h").limit(TOP).toPandas()  # at most TOP rows
-    top = top.sort_values("h")
+    top = cut(counted.mapInPandas(_frequent, "h long, n long"), "jaccard-frequent")
+    top = most_frequent(top, "n", TOP).toPandas().sort_values("h")  # at most TOP rows
     frequent = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.uint64), top["n"].to_numpy()))
 
     packed = texts.select("text").mapInPandas(_prefixes(frequent), "shard int, blob binary, owner binary, fps binary, sizes binary").repartition("shard")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "langid", "linededup", "mixing", "ngramjoin", "quality", "suffixdedup")
+MODULES = ("decontaminate", "langid", "linededup", "mixing", "ngramjoin", "pitmanyor", "quality", "suffixdedup")
 
 
 def _gather(kind: str) -> dict:
