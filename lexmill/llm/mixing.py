@@ -50,7 +50,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     room = total - F.coalesce(F.sum("cap").over(below), F.lit(0.0))
     open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))
     per = per.withColumn("level", room / open_weight)
-    level = F.min(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(everything)
+    # The level is that of the first source, in filling order, which it leaves unfilled.
+    level = F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", "level"))).over(everything)["level"]
     return per.withColumn("target", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "target")
 
 
@@ -58,11 +59,14 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Decide how many words of each document the mix takes; one row per document."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), hash_key(F.col(id_col)).alias("key"))
-    sized = cut(sized, "mix-sizes")
+def _sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns size and _key."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumn("size", size).withColumn("_key", hash_key(F.col("doc_id")))
+
+
+def _thresholds(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
+    """One row per source (src): source_size, target, whole copies, and the hash prefix and budget at its threshold."""
     targets = source_targets(sized, weights, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.round(F.col("target") - F.col("copies") * F.col("source_size")).cast("long")
@@ -70,8 +74,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     state = cut(plan.withColumnRenamed("source", "src"), "mix-plan")
     for start, width in LEVELS:
         # Nested thresholds: the histogram of the boundary bucket alone, split by the next hash digits.
-        inside = sized.filter(F.col("size") > 0).join(state.select("src", "prefix", "budget"), _same("source", "src") & F.col("key").startswith(F.col("prefix")))
-        hist = inside.groupBy("src", F.substring("key", 1, start + width - 1).alias("bucket")).agg(F.sum("size").alias("n"), F.first("budget").alias("b"))
+        inside = sized.filter(F.col("size") > 0).join(state.select("src", "prefix", "budget"), _same("source", "src") & F.col("_key").startswith(F.col("prefix")))
+        hist = inside.groupBy("src", F.substring("_key", 1, start + width - 1).alias("bucket")).agg(F.sum("size").alias("n"), F.first("budget").alias("b"))
         upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         edge = hist.filter((F.col("before") <= F.col("b")) & (F.col("b") < F.col("before") + F.col("n")))
@@ -80,14 +84,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
             "src", "source_size", "target", "copies", F.coalesce("next_prefix", F.lit("g")).alias("prefix"), F.coalesce("left", "budget").alias("budget"), "edge_size"
         )
         state = cut(state, "mix-level")
-    at = F.substring("key", 1, HASH_DIGITS)
+    return state
+
+
+def _taken(sized: DataFrame, state: DataFrame) -> DataFrame:
+    """``sized`` with source_size, target and taken."""
     extra = (
-        F.when(at < F.col("prefix"), F.col("size"))
-        .when(at == F.col("prefix"), F.floor(F.col("budget") * F.col("size") / F.greatest(F.col("edge_size"), F.lit(1))))
+        F.when(F.col("_key") < F.col("prefix"), F.col("size"))
+        .when(F.col("_key") == F.col("prefix"), F.floor(F.col("budget") * F.col("size") / F.greatest(F.col("edge_size"), F.lit(1))))
         .otherwise(0)
     )
-    taken = (F.col("copies") * F.col("size") + extra).cast("long")
-    return sized.join(state, _same("source", "src")).select("doc_id", "source", "size", "source_size", "target", F.least(taken, F.lit(MAX_REPEAT) * F.col("size")).alias("taken"))
+    taken = F.least((F.col("copies") * F.col("size") + extra).cast("long"), F.lit(MAX_REPEAT) * F.col("size"))
+    out = sized.join(state, _same("source", "src")).withColumn("taken", taken)
+    return out.drop("src", "copies", "prefix", "budget", "edge_size", "_key")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """Decide how many words of each document the mix takes; one row of sizes and counts per document."""
+    sized = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
+    return _taken(sized, _thresholds(sized, weights, share))
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The documents that the mix takes, whole rows with size, source_size, target and taken."""
+    docs = docs.drop("size", "source_size", "target", "taken")
+    sized = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
+    return _taken(_sized(docs), _thresholds(sized, weights, share)).filter("taken > 0")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +118,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sql(documents: str = "documents") -> str:
     """The same mix over a DuckDB relation: thresholds from running sums over the hash order."""
-    return rf"""
+    return r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS key FROM {documents}),
+                  substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS key FROM """ + documents + r"""),
  p AS (SELECT source, sum(size)::BIGINT AS source_size,
               [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
  c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS fills_at FROM p),
  l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
        FROM c WINDOW b AS (ORDER BY fills_at, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= fills_at THEN level END) OVER () * weight, cap))::DOUBLE AS target FROM l),
+ t AS (SELECT source, source_size, least(cap, coalesce((min(CASE WHEN level <= fills_at THEN {'f': fills_at, 'l': level} END) OVER ()).l * weight, cap))::DOUBLE AS target FROM l),
  s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t),
  b AS (SELECT *, round(target - copies * source_size)::BIGINT AS budget FROM s),
  k AS (SELECT source, key, sum(size)::BIGINT AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY key)::BIGINT AS upto FROM d GROUP BY source, key)
