@@ -124,7 +124,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """``docs`` with repeated lines dropped from ``text``, and the counts n_lines and n_dropped."""
     drops = repeated_lines(docs, min_docs, min_chars, bits).groupBy("doc_id").agg(F.collect_list("key").alias("_ld_keys"))
     drops = cut(drops.select(F.col("doc_id").alias("_ld_id"), "_ld_keys"), "line-drops")
-    out = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
+    # Always by shuffle, so that disk and time follow the input in one way at every size.
+    out = docs.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
     out = out.withColumn("_ld", _rewrite(F.coalesce(F.col("text").cast("string"), F.lit("")), "_ld_keys", F.lit(min_chars)))
     for name in ("text", "n_lines", "n_dropped"):
         out = out.withColumn(name, F.col(f"_ld.{name}"))
