@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = cut(first.select(F.col("doc_id").alias("_keep")).distinct(), "kept-ids")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

@@ -279,7 +279,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     # Whole shingle sets of the representatives that stand in some list.
     needed = cut(first.join(lists.select("fp").distinct(), "fp", "left_semi").select(F.col("doc_id").alias("id"), F.col("fp").alias("want")), "jaccard-needed")
-    sets = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("id"))).select("want", _shingle_bytes("text").alias("s"))
+    sets = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("want", _shingle_bytes("text").alias("s"))
     sets = cut(sets.filter("want = s.fp").select("s.*").dropDuplicates(["fp"]), "jaccard-sets")
 
     least = cut(lists.groupBy("sig").agg(F.min("fp").alias("b")), "jaccard-least")
