@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("retrieval",)
+
+
+def _gather(kind: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(importlib.import_module(f"lexmill.plans.{name}"), kind)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _gather("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _gather("ORACLES")
