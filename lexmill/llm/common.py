@@ -51,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in smaller batches than Spark's 10,000 rows, so that workers stay small with long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``, which may use it as often as it likes."""
     return F.element_at(F.transform(F.array(value), body), 1)

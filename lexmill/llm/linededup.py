@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, table, text_batches
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 24
 _WS = " \t\n\x0b\x0c\r"
 
 
@@ -122,6 +122,7 @@ def _rewrite(text: pd.Series, drops: pd.Series, min_chars: pd.Series) -> pd.Data
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with repeated lines dropped from ``text``, and the counts n_lines and n_dropped."""
+    text_batches(docs.sparkSession)
     drops = repeated_lines(docs, min_docs, min_chars, bits).groupBy("doc_id").agg(F.collect_list("key").alias("_ld_keys"))
     drops = cut(drops.select(F.col("doc_id").alias("_ld_id"), "_ld_keys"), "line-drops")
     # Always by shuffle, so that disk and time follow the input in one way at every size.
