@@ -6,7 +6,8 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of five-wo
 2. Shingles are ordered from rare to frequent.  Packed counts of all shingles are dealt out by hash; the most frequent
    ones (a bounded number, which only serves the order and so speed) come last, in order of frequency.  Linked sets share
    a shingle among the first n - ceil(3n/4) + 1 of each, so only these prefixes enter the inverted lists.  They are dealt
-   out packed, and lists with one member vanish there.
+   out packed, and lists with one member vanish there.  The prefixes are longer than that by n // 8, so a linked pair
+   shares more than (3n // 32) of them; documents that stand in fewer lists have no link and drop out.
 3. Every list's members are searched with the list's least member as query.  A search takes a query and a block of
    candidate sets: short inverted lists are heap-merged, long ones probed by bisection, and candidates that reach the
    required overlap remain.  A dense group of copies thus costs a search per member, not per pair.
@@ -42,8 +43,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Shingles of at least so many documents may be put last; at most TOP of them, the most frequent.
 FREQUENT = 24
 TOP = 1 << 20
-#: Prefix hashes keep 48 bits: 10 choose the shard, 38 stay.  Equal truncated hashes only add a search.
-SHARD_BITS, KEPT_BITS = 10, 38
+#: Leading bits of a shingle hash that are counted, and that stand in a list.  Equal short hashes only add a search.
+COUNT_BITS, LIST_BITS = 36, 44
 FLUSH = 1 << 22
 #: Weight of probing against merging in the choice of long lists.
 MU = 0.01
@@ -54,12 +55,21 @@ def least_overlap(n: int, m: int) -> int:
     return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - SHARD_BITS - KEPT_BITS)
+def prefix_size(n: int) -> int:
+    return n - -(-NUMERATOR * n // DENOMINATOR) + 1 + n // 8
+
+
+def _shard_bits(spark: SparkSession) -> int:
+    """Enough shards for the shuffle's partitions; fewer make larger and so better packed blobs."""
+    return min(14, max(5, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> np.uint64(64 - bits)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted 38-bit values as differences, byte plane after byte plane, so that the high zeros compress."""
+    """Sorted values of up to 40 bits as differences, byte plane after byte plane, so that the high zeros compress."""
     return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
 
 
@@ -70,13 +80,13 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(full.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _by_shard(h: np.ndarray) -> Iterator[tuple[int, slice]]:
-    edges = np.searchsorted(h, np.arange((1 << SHARD_BITS) + 1, dtype=np.uint64) << np.uint64(KEPT_BITS))
+def _by_shard(h: np.ndarray, shard_bits: int, bits: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """(shard, its slice of the sorted hashes, what is left of them)."""
+    kept = bits - shard_bits
+    edges = np.searchsorted(h, np.arange((1 << shard_bits) + 1, dtype=np.uint64) << np.uint64(kept))
     for s in np.flatnonzero(np.diff(edges)):
-        yield int(s), slice(int(edges[s]), int(edges[s + 1]))
-
-
-_LOW = np.uint64((1 << KEPT_BITS) - 1)
+        at = slice(int(edges[s]), int(edges[s + 1]))
+        yield int(s), at, h[at] & np.uint64((1 << kept) - 1)
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -91,37 +101,43 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[order].array, "n": [r[1] for r in rows], "fp": [r[2] for r in rows]})
 
 
-def _count_packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
+def _count_packed(shard_bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
 
-    def flush():
-        h = np.sort(np.concatenate(held))
-        return pd.DataFrame([(s, _pack(h[x] & _LOW)) for s, x in _by_shard(h)], columns=["shard", "blob"])
+        def flush():
+            h = np.sort(np.concatenate(held))
+            return pd.DataFrame([(s, _pack(low)) for s, _, low in _by_shard(h, shard_bits, COUNT_BITS)], columns=["shard", "blob"])
 
-    for batch in batches:
-        for _, s in shingle_sets(batch["text"]):
-            held.append(_short(s))
-            size += len(s)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-    if size:
-        yield flush()
-
-
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for s, blob in zip(batch["shard"], batch["blob"]):
-            held.setdefault(s, []).append(_unpack(blob))
-    for s in list(held):
-        h, n = np.unique(np.concatenate(held.pop(s)), return_counts=True)
-        often = n >= FREQUENT
-        yield pd.DataFrame({"h": (h[often] | np.uint64(s << KEPT_BITS)).astype(np.int64), "n": n[often].astype(np.int64)})
+        for batch in batches:
+            for _, s in shingle_sets(batch["text"]):
+                held.append(_short(s, COUNT_BITS))
+                size += len(s)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
+    return run
+
+
+def _frequent(shard_bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for s, blob in zip(batch["shard"], batch["blob"]):
+                held.setdefault(s, []).append(_unpack(blob))
+        for s in list(held):
+            h, n = np.unique(np.concatenate(held.pop(s)), return_counts=True)
+            often = n >= FREQUENT
+            yield pd.DataFrame({"h": (h[often] | np.uint64(s << (COUNT_BITS - shard_bits))).astype(np.int64), "n": n[often].astype(np.int64)})
+
+    return run
 
-def _prefixes(frequent):
-    """Packed prefix hashes of each shard, the number of their set in the flush, and the sets' fingerprints and sizes."""
+
+def _prefixes(frequent, shard_bits: int):
+    """Packed prefix hashes of each shard, the number of their set in the blob, and the sets' names and sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order, times = frequent.value
@@ -133,9 +149,10 @@ def _prefixes(frequent):
             by = np.argsort(h, kind="stable")
             h, owner = h[by], owner[by]
             out, ids, ns = [], np.array(fps), np.array(sizes, dtype=np.int32)
-            for s, x in _by_shard(h):
-                used, local = np.unique(owner[x], return_inverse=True)
-                out.append((s, _pack(h[x] & _LOW), local.astype(np.uint32).tobytes(), ids[used].tobytes(), ns[used].tobytes()))
+            for s, at, low in _by_shard(h, shard_bits, LIST_BITS):
+                used, local = np.unique(owner[at], return_inverse=True)
+                small = np.uint16 if len(used) < 1 << 16 else np.uint32
+                out.append((s, _pack(low), local.astype(small).tobytes(), ids[used].tobytes(), ns[used].tobytes()))
             return pd.DataFrame(out, columns=["shard", "blob", "owner", "fps", "sizes"])
 
         for batch in batches:
@@ -146,16 +163,18 @@ def _prefixes(frequent):
                 if fp in own:  # a copy within this flush
                     continue
                 own.add(fp)
-                short, need = _short(s), len(s) - -(-NUMERATOR * len(s) // DENOMINATOR) + 1
+                need = prefix_size(len(s))
                 if len(order):
+                    short = _short(s, COUNT_BITS)
                     at = np.minimum(np.searchsorted(order, short), len(order) - 1)
                     often = order[at] == short
-                    rare = short[~often]
-                    if len(rare) < need:
-                        rank = at[often]
-                        rare = np.concatenate((rare, order[rank[np.lexsort((order[rank], times[rank]))]]))
-                    short = rare
-                sigs.append(short[:need])
+                    first = s[~often]
+                    if len(first) < need:
+                        last = s[often]
+                        first = np.concatenate((first, last[np.lexsort((last, times[at[often]]))]))
+                else:
+                    first = s
+                sigs.append(_short(first[:need], LIST_BITS))
                 fps.append(fp)
                 sizes.append(len(s))
                 total += need
@@ -168,23 +187,28 @@ def _prefixes(frequent):
     return run
 
 
-def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(shard_bits: int):
     """(sig, fp, n) of all inverted lists with at least two members."""
-    held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for s, blob, owner, fps, sizes in batch[["shard", "blob", "owner", "fps", "sizes"]].itertuples(index=False, name=None):
-            o = np.frombuffer(owner, dtype=np.uint32)
-            held.setdefault(s, []).append((_unpack(blob), np.frombuffer(fps, dtype=np.int64)[o], np.frombuffer(sizes, dtype=np.int32)[o]))
-    for s in list(held):
-        h, fp, n = (np.concatenate(x) for x in zip(*held.pop(s)))
-        by = np.lexsort((fp, h))
-        h, fp, n = h[by], fp[by], n[by]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
-        h, fp, n = h[new], fp[new], n[new]
-        same = h[1:] == h[:-1]
-        more = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        yield pd.DataFrame({"sig": (h[more] | np.uint64(s << KEPT_BITS)).astype(np.int64), "fp": fp[more], "n": n[more].astype(np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for s, blob, owner, fps, sizes in batch[["shard", "blob", "owner", "fps", "sizes"]].itertuples(index=False, name=None):
+                low = _unpack(blob)
+                o = np.frombuffer(owner, dtype=np.uint16 if len(owner) == 2 * len(low) else np.uint32)
+                held.setdefault(s, []).append((low, np.frombuffer(fps, dtype=np.int64)[o], np.frombuffer(sizes, dtype=np.int32)[o]))
+        for s in list(held):
+            h, fp, n = (np.concatenate(x) for x in zip(*held.pop(s)))
+            by = np.lexsort((fp, h))
+            h, fp, n = h[by], fp[by], n[by]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
+            h, fp, n = h[new], fp[new], n[new]
+            same = h[1:] == h[:-1]
+            more = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            yield pd.DataFrame({"sig": (h[more] | np.uint64(s << (LIST_BITS - shard_bits))).astype(np.int64), "fp": fp[more], "n": n[more].astype(np.int64)})
+
+    return run
 
 
 def divide_skip(query: np.ndarray, block: list[np.ndarray]) -> list[int]:
@@ -267,13 +291,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    counted = texts.select("text").mapInPandas(_count_packed, "shard int, blob binary").repartition("shard")
-    top = cut(counted.mapInPandas(_frequent, "h long, n long"), "jaccard-frequent")
+    bits = _shard_bits(spark)
+    counted = texts.select("text").mapInPandas(_count_packed(bits), "shard int, blob binary").repartition("shard")
+    top = cut(counted.mapInPandas(_frequent(bits), "h long, n long"), "jaccard-frequent")
     top = most_frequent(top, "n", TOP).toPandas().sort_values("h")  # at most TOP rows
     frequent = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.uint64), top["n"].to_numpy()))
 
-    packed = texts.select("text").mapInPandas(_prefixes(frequent), "shard int, blob binary, owner binary, fps binary, sizes binary").repartition("shard")
-    lists = cut(packed.mapInPandas(_lists, "sig long, fp long, n long"), "jaccard-lists")
+    packed = texts.select("text").mapInPandas(_prefixes(frequent, bits), "shard int, blob binary, owner binary, fps binary, sizes binary").repartition("shard")
+    lists = cut(packed.mapInPandas(_lists(bits), "sig long, fp long, n long"), "jaccard-all-lists")
+    # Members of too few lists drop out; lists that are left with one member do too.
+    enough = lists.groupBy("fp").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp")
+    lists = lists.join(cut(enough, "jaccard-enough"), "fp", "left_semi")
+    shared = cut(lists.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("sig"), "jaccard-shared")
+    lists = cut(lists.join(shared, "sig", "left_semi"), "jaccard-lists")
     described = cut(texts.mapInPandas(_describe, "doc_id long, n long, fp long"), "jaccard-docs")
     first = cut(described.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
 
