@@ -211,7 +211,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     sample = rows.filter(draw < share).withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0)
     counted = sample.filter(~F.col("aside")).select("lang", "text").mapInPandas(_count, "lang string, code long, n long")
-    found = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    found = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     grams = {k: (g["code"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in found.groupby("lang")}
     model = LanguageModel(sorted(grams), grams)
     scored = identify(sample.filter("aside").select("lang", "text"), model)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, table, text_batches
 from lexmill.llm.hasharray import most_frequent
 from lexmill.llm.tokens import shingle_sets
 
@@ -289,12 +289,13 @@ def _shingle_bytes(text: pd.Series) -> pd.DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the component is the least doc_id that links lead to."""
     spark = docs.sparkSession
+    text_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     bits = _shard_bits(spark)
     counted = texts.select("text").mapInPandas(_count_packed(bits), "shard int, blob binary").repartition("shard")
     top = cut(counted.mapInPandas(_frequent(bits), "h long, n long"), "jaccard-frequent")
-    top = most_frequent(top, "n", TOP).toPandas().sort_values("h")  # at most TOP rows
+    top = most_frequent(top, "n", TOP).toArrow().to_pandas().sort_values("h")  # at most TOP rows
     frequent = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.uint64), top["n"].to_numpy()))
 
     packed = texts.select("text").mapInPandas(_prefixes(frequent, bits), "shard int, blob binary, owner binary, fps binary, sizes binary").repartition("shard")
