@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "relational", "dashboards")
 
 
 def _gather(kind: str) -> dict:
