@@ -11,9 +11,10 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of five-wo
 3. Every list's members are searched with the list's least member as query.  A search takes a query and a block of
    candidate sets: short inverted lists are heap-merged, long ones probed by bisection, and candidates that reach the
    required overlap remain.  A dense group of copies thus costs a search per member, not per pair.
-4. Lists whose members still lie in different components are searched again between the members outside the list's
-   largest component and all members of other components.  After this no link between components is left: a linked pair
-   in different components shares a list, and one of the two is outside its largest component.
+4. A linked pair in different components shares more than (3n // 32) lists that hold several components.  Documents in
+   fewer of these drop out again; what is left falls into clusters of documents joined by such lists.  Within a cluster,
+   the documents outside its largest component are searched against all others, in blocks of bounded size, each query
+   by the same T-occurrence search; a query reports one link to each other component.
 5. Components come from large-star and small-star rounds.
 
 Defined results: null, empty or blank texts have no shingle, and their component is their own doc_id; repeated rows are
@@ -24,7 +25,6 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -48,6 +48,9 @@ COUNT_BITS, LIST_BITS = 36, 44
 FLUSH = 1 << 22
 #: Weight of probing against merging in the choice of long lists.
 MU = 0.01
+#: Shingles of one block of queries or candidates, and rounds of dropping documents in too few lists.
+BLOCK_SHINGLES = 1_000_000
+PRUNE = 2
 
 
 def least_overlap(n: int, m: int) -> int:
@@ -211,36 +214,47 @@ def _lists(shard_bits: int):
     return run
 
 
-def divide_skip(query: np.ndarray, block: list[np.ndarray]) -> list[int]:
-    """The members of ``block`` that reach the required overlap with ``query``; all are sorted distinct hashes."""
-    sizes = np.array([len(b) for b in block])
-    needs = [least_overlap(len(query), int(m)) for m in sizes]
-    least = min(needs)
-    values, owner = np.concatenate(block), np.repeat(np.arange(len(block)), sizes)
-    at = np.minimum(np.searchsorted(query, values), len(query) - 1)
-    hit = query[at] == values
-    at, owner = at[hit], owner[hit]
-    by = np.lexsort((owner, at))
-    at, owner = at[by], owner[by]
-    edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else []
-    lists = sorted((x.tolist() for x in np.split(owner, edges[1:])), key=len) if len(at) else []
-    if len(lists) < least:
-        return []
-    n_long = min(int(least / (MU * np.log2(len(lists[-1]) + 1) + 1)), least - 1, len(lists))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    found = []
-    for member, run in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in run)
-        if count < needs[member] - n_long:
-            continue
+class InvertedIndex:
+    """The inverted lists of a block of sorted distinct shingle sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        by = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[by]
+        values = values[by]
+        self.first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        self.keys, self.end = values[self.first], np.append(self.first[1:], len(values))
+
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """Members that reach the required overlap with ``query``, by DivideSkip."""
+        needs = least_overlap(len(query), self.sizes)
+        least = int(needs.min())
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        if len(at) < least:
+            return np.zeros(0, dtype=np.int64)
+        at = at[np.argsort(self.end[at] - self.first[at], kind="stable")]
+        lists = [self.owner[a:b] for a, b in zip(self.first[at], self.end[at])]
+        n_long = min(int(least / (MU * np.log2(len(lists[-1]) + 1) + 1)), least - 1)
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        members, counts = _merge(short)
         for k, entries in enumerate(long):
-            if count + n_long - k < needs[member]:
+            live = counts + (n_long - k) >= needs[members]
+            members, counts = members[live], counts[live]
+            if not len(members):
                 break
-            i = bisect_left(entries, member)
-            count += i < len(entries) and entries[i] == member
-        if count >= needs[member]:
-            found.append(member)
-    return found
+            place = np.minimum(np.searchsorted(entries, members), len(entries) - 1)
+            counts = counts + (entries[place] == members)
+        return members[counts >= needs[members]]
+
+
+def _merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(member, number of lists) over sorted lists: a heap merge, or for many entries a sort that merges sorted runs."""
+    if sum(map(len, lists)) <= 512:
+        runs = [(m, sum(1 for _ in g)) for m, g in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+        return np.array([m for m, _ in runs], dtype=np.int64), np.array([n for _, n in runs], dtype=np.int64)
+    return np.unique(np.concatenate(lists), return_counts=True)
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,10 +262,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         links = []
         for b, rows in batch.groupby("b", sort=False):
-            query = np.frombuffer(rows["set_b"].iloc[0], dtype=np.uint64)
             names = rows["a"].tolist()
-            found = divide_skip(query, [np.frombuffer(x, dtype=np.uint64) for x in rows["set_a"]])
-            links += [(names[i], b) for i in found]
+            index = InvertedIndex([np.frombuffer(x, dtype=np.uint64) for x in rows["set_a"]])
+            links += [(names[i], b) for i in index.search(np.frombuffer(rows["set_b"].iloc[0], dtype=np.uint64))]
         yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -261,6 +274,52 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInPandas(_search, "a long, b long")
 
 
+def _search_blocks(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """One link from every query to each other component that it reaches in this block."""
+    links = []
+    if len(queries) and len(others):
+        index = InvertedIndex([np.frombuffer(x, dtype=np.uint64) for x in others["shingles"]])
+        names, components_ = others["fp"].to_numpy(), others["component"].to_numpy()
+        for fp, own, raw in zip(queries["fp"], queries["component"], queries["shingles"]):
+            found = index.search(np.frombuffer(raw, dtype=np.uint64))
+            _, one = np.unique(components_[found], return_index=True)
+            links += [(names[i], fp) for i in found[one] if components_[i] != own]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _impure(lists: DataFrame) -> DataFrame:
+    """Rows (sig, fp, n, component) of lists with several components, without documents that stand in too few of them."""
+    for step in range(PRUNE):
+        several = lists.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+        lists = cut(lists.join(cut(several, "jaccard-several"), "sig", "left_semi"), f"jaccard-impure-{step}")
+        enough = lists.groupBy("fp").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp")
+        lists = lists.join(cut(enough, "jaccard-still"), "fp", "left_semi")
+    return cut(lists, "jaccard-impure")
+
+
+def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components of (sig, fp, n, component)."""
+    rows = _impure(lists)
+    heads = cut(rows.groupBy("sig").agg(F.min("component").alias("head")), "jaccard-heads")
+    edges = rows.join(heads, "sig").select(F.col("component").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = components(edges)
+    named = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
+    named = cut(named.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "jaccard-clusters")
+    members = cut(rows.select("fp", "n", "component").distinct().join(named, "component"), "jaccard-members")
+    sizes = members.groupBy("cluster", "component").agg(F.sum("n").alias("size"))
+    plan = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    pieces = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK_SHINGLES).cast("int")
+    plan = cut(plan.select("cluster", "largest", pieces(F.col("all")).alias("n_i"), pieces(F.col("all") - F.col("most")).alias("n_q")), "jaccard-plan")
+    held = members.join(plan, "cluster").join(sets, "fp")
+    part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = held.filter("component <> largest").select("cluster", part("n_q").alias("qb"), each("n_i").alias("ib"), "fp", "component", "shingles")
+    others = held.select("cluster", part("n_i").alias("ib"), each("n_q").alias("qb"), "fp", "component", "shingles")
+    keys = ["cluster", "qb", "ib"]
+    queries, others = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (queries, others))  # columns of their own
+    return queries.groupBy(keys).cogroup(others.groupBy(keys)).applyInPandas(_search_blocks, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph with edges (a, b): alternate large-star and small-star to a fixed point."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
@@ -318,21 +377,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     star = cut(star, "jaccard-star")
     links = cut(_links(star, sets), "jaccard-links")
 
-    # Lists that still hold several components.
+    # Links between components of the stars' links.
     named = components(links)
     lists = lists.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lists = cut(lists, "jaccard-named")
-    sizes = lists.groupBy("sig", "component").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("sig").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = cut(lists.join(cut(mixed.select("sig", "largest"), "jaccard-mixed"), "sig"), "jaccard-open")
-    outside = mixed.filter("component <> largest").select("sig", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    others = mixed.select("sig", F.col("fp").alias("a"), "n", "component", "largest")
-    near = (F.col("n") * DENOMINATOR >= F.col("n_b") * NUMERATOR) & (F.col("n_b") * DENOMINATOR >= F.col("n") * NUMERATOR)
-    once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("b"))
-    rest = others.join(outside, "sig").filter((F.col("component") != F.col("c_b")) & near & once).select("a", "b").distinct()
-    tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = cut(links.unionByName(_links(rest, sets)), "jaccard-all-links")
+    links = cut(links.unionByName(_cross_links(cut(lists, "jaccard-named"), sets)), "jaccard-all-links")
 
     named = components(links)
     named = cut(first.join(named.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "doc_id"), "jaccard-components")
