@@ -43,7 +43,8 @@ RULES: tuple[Rule, ...] = (
     Rule("symbol_ratio", high=0.10),
     Rule("shout_ratio", high=0.30),
     Rule("stop_ratio", low=0.04),
-    Rule("dup_line_ratio", high=0.30),
+    Rule("same_word_ratio", high=0.20),
+    Rule("dup_line_ratio", high=0.50),
     Rule("bullet_line_ratio", high=0.90),
     Rule("ellipsis_line_ratio", high=0.30),
 )
@@ -98,6 +99,7 @@ def _measures(text: Column, n_lines: Column) -> Column:
                 F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
                 F.length(F.regexp_replace(text, r"[^!]+", "")).cast("long").alias("n_shouts"),
                 F.size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+                F.size(F.filter(ws, lambda w, i: F.coalesce(w == F.get(ws, i - 1), F.lit(False)))).cast("long").alias("n_same_words"),
                 _repeat_words(ws, REPEAT_WINDOW).alias("n_repeat_words"),
                 *of_lines(ls),
             ),
@@ -130,6 +132,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         "symbol_ratio": per_word("n_symbols"),
         "shout_ratio": per_word("n_shouts"),
         "stop_ratio": per_word("n_stop_words"),
+        "same_word_ratio": per_word("n_same_words"),
         "dup_line_ratio": per_line("n_dup_lines"),
         "bullet_line_ratio": per_line("n_bullet_lines"),
         "ellipsis_line_ratio": per_line("n_ellipsis_lines"),
@@ -168,13 +171,13 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
               coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
               length(regexp_replace(t, '[^!]+', '', 'g')) AS n_shouts,
               len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS n_stop,
-              greatest(len(ls), 1) AS nl,
+              len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i-1])) AS n_same, greatest(len(ls), 1) AS nl,
               len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet,
               len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis
        FROM w LEFT JOIN rep USING (doc_id)),
  q AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbol_ratio,
               n_shouts / greatest(n_words, 1) AS shout_ratio, n_stop / greatest(n_words, 1) AS stop_ratio,
-              n_dup_lines / nl AS dup_line_ratio, n_bullet / nl AS bullet_line_ratio, n_ellipsis / nl AS ellipsis_line_ratio,
+              n_same / greatest(n_words, 1) AS same_word_ratio, n_dup_lines / nl AS dup_line_ratio, n_bullet / nl AS bullet_line_ratio, n_ellipsis / nl AS ellipsis_line_ratio,
               (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed
        FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
