@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, retrieval
+from lexmill.operators import corpus, models, retrieval
 from lexmill.sources import views
 from lexmill.sources.views import raw
 
@@ -120,6 +120,11 @@ def dense_topk(spark, sf):
     return retrieval.dense_search(v.filter("id % 20 = 0"), v, 10)
 
 
+def ann_topk(spark, sf):
+    v = raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return models.ann_search(v.filter("id % 20 = 0"), v, 10)
+
+
 def rrf_fusion(spark, sf):
     docs = raw(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     v = raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -206,7 +211,7 @@ def retrieval_eval(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_documents, hash_embed, scan_corpus, bm25_stats, bm25_topk, dense_topk, rrf_fusion, hybrid_search, parent_dedupe, retrieval_search,
+    chunk_documents, hash_embed, scan_corpus, bm25_stats, bm25_topk, dense_topk, ann_topk, rrf_fusion, hybrid_search, parent_dedupe, retrieval_search,
     context_assembly, rag_evidence, rerank, hit_rate, source_contribution, scope_violations, retrieval_eval,
 )}
 

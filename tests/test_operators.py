@@ -3,7 +3,7 @@
 import math
 import re
 
-from lexmill.operators import access, corpus, maintenance, retrieval
+from lexmill.operators import access, corpus, maintenance, models, retrieval
 
 
 def _bm25(chunks, query):
@@ -91,3 +91,40 @@ def test_evaluation(spark):
     gold = spark.createDataFrame([(1, 6), (2, 8)], "query_id long, document_id long")
     got = {r.query_id: (r.recall, r.reciprocal_rank, r.ndcg) for r in retrieval.evaluate(run, gold, 10).collect()}
     assert got == {1: (1.0, 0.5, round(1 / math.log2(3), 6)), 2: (0.0, 0.0, 0.0)}
+
+
+def test_model_step_and_batches(spark):
+    seen = []
+
+    def factory():
+        def model(texts):
+            seen.append(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    d = spark.createDataFrame([(i, "x" * i) for i in range(70)] + [(99, None)], "doc_id long, text string")
+    got = {r.id: r.embedding for r in models.model_step(d, "doc_id", "text", factory, 2).collect()}
+    assert got[5] == [5.0, 1.0] and got[99] == [0.0, 1.0] and len(got) == 71
+
+
+def test_approximate_search_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 64)).astype(float)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, embedding array<double>")
+    q = v.filter("id % 20 = 0")
+    exact = {(r.query_id, r.chunk_id) for r in retrieval.dense_search(q, v, 10).collect()}
+    near = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    full = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10, probes=models.CELLS).collect()}
+    assert full == exact
+
+
+def test_chunk_write_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a b c\nd e"), (2, "f")], "doc_id long, text string")
+    kids = corpus.children(corpus.parents(d))
+    kids.write.json(str(tmp_path / "children"))
+    back = spark.read.schema(kids.schema).json(str(tmp_path / "children"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, kids.collect()))
