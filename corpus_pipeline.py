@@ -34,10 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = cut(first.select(F.col("doc_id").alias("_keep")).distinct(), "kept-ids")
-    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    named = cut(jaccard_join(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first")), "named")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    gone = cut(named.filter(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id").distinct(), "gone-ids")
+    kept = docs.join(gone, same, "left_anti")
+    # Repeated rows of one id are copies too; they are few and looked up by id, so other texts do not move for them.
+    twice = cut(named.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "repeated-ids")
+    once = kept.join(twice, same, "left_anti")
+    return once.unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
