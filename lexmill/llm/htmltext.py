@@ -55,14 +55,18 @@ _GONE_NAME = re.compile(
     r"pagination|pager|toolbar|skip|print|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Inside the main part a header belongs to the article.
+_OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 _ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("tag", "children", "gone", "main")
+    """``gone``: goes by tag or role; ``named``: by class or id, unless an article or main part lies inside."""
 
-    def __init__(self, tag: str, gone: bool = False, main: bool = False):
-        self.tag, self.children, self.gone, self.main = tag, [], gone, main
+    __slots__ = ("tag", "children", "gone", "named", "main")
+
+    def __init__(self, tag: str, gone: bool = False, named: bool = False, main: bool = False):
+        self.tag, self.children, self.gone, self.named, self.main = tag, [], gone, named, main
 
 
 def parse(page: str) -> Node:
@@ -96,9 +100,11 @@ def parse(page: str) -> Node:
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if "=" in m[4] else {}
         role = attrs.get("role", "").lower()
         inside = any(n.main for n in stack)
-        named = any(_GONE_NAME.search(attrs.get(k, "")) for k in ("class", "id")) and tag not in ("html", "body", "article", "main")
-        gone = tag in _GONE or role in _GONE_ROLE or named or (tag == "header" and not inside) or " hidden" in m[4] and "hidden" in m[4].split()
-        node = Node(tag, gone, tag in ("article", "main") or role == "main")
+        names = " ".join(attrs.get(k, "") for k in ("class", "id"))
+        names = _OWN_HEADER.sub(" ", names) if inside else names
+        named = tag not in ("html", "body", "article", "main") and bool(_GONE_NAME.search(names))
+        gone = tag in _GONE or role in _GONE_ROLE or (tag == "header" and not inside) or "hidden" in m[4].split()
+        node = Node(tag, gone, named, tag in ("article", "main") or role == "main")
         stack[-1].children.append(node)
         if tag not in _VOID and not m[4].endswith("/"):
             stack.append(node)
@@ -118,7 +124,7 @@ def content_roots(root: Node) -> list[Node]:
             articles, below = [], list(node.children)
             while node.tag != "article" and below:  # articles inside the main part stand for it
                 n = below.pop(0)
-                if isinstance(n, Node) and not n.gone:
+                if isinstance(n, Node) and not (n.gone or n.named):
                     if n.tag == "article":
                         articles.append(n)
                     else:
@@ -131,7 +137,7 @@ def content_roots(root: Node) -> list[Node]:
 
 def _blocks(node: Node, cut_hashes: frozenset, out: list[list[str]], seen: set | None) -> int:
     """Append the blocks under ``node``; returns its subtree hash.  ``seen`` collects the hashes of block subtrees."""
-    if node.gone:
+    if node.gone or node.named:
         return 0
     block = node.tag in _BLOCK
     mark = len(out), len(out[-1])
