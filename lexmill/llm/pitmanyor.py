@@ -1,21 +1,23 @@
 """Hierarchical Pitman-Yor language model with seating sampled by Gibbs.
 
-The top restaurant serves words; its new tables order from a byte model of word spelling, in which the restaurant of
-every context of up to ``CONTEXT`` bytes shares the parent restaurant of the context without its earliest byte.  A
-word's probability is
+Every word has a restaurant of the words that follow it, and so has the start of a text.  Their new tables order from
+one restaurant of words, whose new tables order from a byte model of word spelling, in which the restaurant of every
+context of up to ``CONTEXT`` bytes shares the parent restaurant of the context without its earliest byte.  A word's
+probability in any of them is
 
-    (c - d t + (theta + d T) * spelling(word)) / (theta + N)
+    (c - d t + (theta + d T) * parent(word)) / (theta + N)
 
 with c customers and t tables of the word, N and T in all.  Words that training never served are one outcome, as in the
 base score: it has the weight of a new table times all spelling mass outside the vocabulary.  A byte's probability has the same form with the parent
-restaurant in the place of the spelling.  Tables are latent.  Gibbs rounds alternate: words are reseated given the
-spelling model, then the tables they have opened are the customers of the spelling restaurants, which are reseated from
+restaurant in the place of the spelling.  Tables are latent.  Gibbs rounds alternate: the tables of the context
+restaurants are the customers of the word restaurant, which is reseated given the spelling model, then the contexts are
+reseated given the word restaurant, and the tables that words have opened are the customers of the spelling restaurants, which are reseated from
 the longest contexts to the shortest.  Predictive probabilities are averaged over the samples after the first.
 
-Counting is a Spark aggregation of all training tokens; word seating is a pass over the vocabulary; spelling restaurants
+Counting is a Spark aggregation of all training tokens and pairs; seating is a pass over the pairs and the vocabulary; spelling restaurants
 are independent given their last byte and the root, so each last byte is one group of already aggregated counts.  Texts
-are scored with the most frequent words in a bounded array; all other words are counted per document and joined with the
-vocabulary.
+are scored with the most frequent words and pairs in bounded arrays; all others are counted per document and joined with the whole
+tables by hash.
 
 Defined results: a null or empty text has only its end token; without training documents every word is spelled by the
 uniform byte model; repeated rows are scored row by row and each counts in training; an empty table gives an empty
@@ -40,8 +42,9 @@ CONTEXT = 4
 ROUNDS = 2
 SAMPLES = 3
 STRENGTH = 5.0
-#: The most frequent words that tasks hold in memory, and the most spelling grams.
+#: The most frequent words and pairs that tasks hold in memory, and the most spelling grams.
 HEAD = 1 << 18
+PAIRS = 1 << 20
 GRAMS = 1 << 20
 FLUSH = 1 << 20
 #: The end of a word in spelling, and the hash that stands for the end of a text.
@@ -70,11 +73,14 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, sample: int)
     return np.minimum(t, c)
 
 
-def discount(counts: np.ndarray) -> float:
-    ones, twos = (counts == 1).sum(), (counts == 2).sum()
+def _discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / max(ones + 2.0 * twos, 1.0), 0.1, 0.95))
 
 
+def discount(counts: np.ndarray) -> float:
+    return _discount((counts == 1).sum(), (counts == 2).sum())
+
+
 def gram_codes(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, bounds): for every byte and the stop of each word, its CONTEXT bytes before it and itself, low byte last."""
     sizes = length + 1
@@ -150,6 +156,39 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield merged()
 
 
+def pairs_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) of every token of some texts: each word after the one before it, then the text's end."""
+    w = np.insert(h, bounds[1:], np.uint64(END))
+    return np.concatenate((np.array([END], dtype=np.uint64), w[:-1])), w
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * np.uint64(0xC2B2AE3D27D4EB4F) + w)
+
+
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def merged():
+        return pd.concat(held).groupby("b", sort=False, as_index=False).agg(u=("u", "first"), w=("w", "first"), c=("c", "sum"))
+
+    for batch in batches:
+        for _, h, bounds, *_ in word_chunks(batch["text"]):
+            u, w = pairs_of(h, bounds)
+            kinds, at, n = np.unique(pair_key(u, w), return_index=True, return_counts=True)
+            held.append(pd.DataFrame({"b": kinds.view(np.int64), "u": u[at].view(np.int64), "w": w[at].view(np.int64), "c": n.astype(np.int64)}))
+            size += len(kinds)
+            if size > FLUSH:
+                held = [merged()]
+                size = len(held[0])
+                if size > FLUSH // 2:
+                    yield held.pop()
+                    size = 0
+    if held:
+        yield merged()
+
+
 def _words_as_arrays(words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.array([len(w) for w in words], dtype=np.int64)
     return np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(length) - length, length
@@ -241,19 +280,40 @@ def _seat_words(spelling, d: float, tables: float, sample: int, samples: int):
             if not len(batch):
                 continue
             p = 10.0 ** spelling.value.log10(*_words_as_arrays(batch["word"]))
-            c, key = batch["c"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
+            c, key = batch["served"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
             seated = [seat(c, (STRENGTH + d * tables) * p, d, key, sample + s) for s in range(samples)]
-            yield batch[["h", "word", "c"]].assign(t=seated[-1].astype(np.int64), mean_t=np.mean(seated, axis=0), spelling=p)
+            yield batch[["h", "word", "served"]].assign(t=seated[-1].astype(np.int64), mean_t=np.mean(seated, axis=0), spelling=p)
+
+    return run
+
+
+def _seat_pairs(d: float, sample: int, samples: int):
+    """Reseat pairs of more than one customer; ``new`` is the weight of a new table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            c, key, new = batch["c"].to_numpy(), batch["b"].to_numpy().view(np.uint64), batch["new"].to_numpy()
+            seated = [seat(c, new, d, key, sample + s) for s in range(samples)]
+            yield batch[["b", "u", "w", "c"]].assign(t=seated[-1].astype(np.int64), mean_t=np.mean(seated, axis=0))
 
     return run
 
 
-_SCORED = "rid long, doc_id long, is_held_out boolean, h long, n long, n_tokens long, n_known long, score double, base double"
+_SCORED = "rid long, doc_id long, is_held_out boolean, h long, b long, n long, n_tokens long, n_known long, score double, base double"
 
 
 def _score(model):
+    def counted(rids: np.ndarray, owner: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+        by = np.lexsort((key, owner))
+        owner, key = owner[by], key[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        return pd.DataFrame({"rid": rids[owner[new]], "key": key[new].view(np.int64), "n": np.diff(np.append(np.flatnonzero(new), len(by)))})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, end = model.value
+        head, end, pairs = model.value
         for batch in batches:
             rids = batch["rid"].to_numpy()
             totals = np.zeros((len(batch), 4))
@@ -267,20 +327,21 @@ def _score(model):
                 for k, w in ((1, None), (2, values[:, 0]), (3, values[:, 1])):
                     totals[picked, k] += np.bincount(owner[hit], w, minlength=len(picked))
                 totals[picked, 0] += n
-                miss = np.flatnonzero(~hit)
-                by = miss[np.lexsort((h[miss], owner[miss]))]
-                new = np.ones(len(by), dtype=bool)
-                new[1:] = (h[by][1:] != h[by][:-1]) | (owner[by][1:] != owner[by][:-1])
-                at = by[new]
-                if len(at):
-                    yield pd.DataFrame({"rid": rids[picked[owner[at]]], "h": h[at].view(np.int64), "n": np.diff(np.append(np.flatnonzero(new), len(by)))})
+                if len(out := counted(rids[picked], owner[~hit], h[~hit])):
+                    yield out.rename(columns={"key": "h"})
+                b, owner = pair_key(*pairs_of(h, bounds)), np.repeat(np.arange(len(picked)), n + 1)
+                row = pairs.find(b)
+                hit = row >= 0
+                totals[picked, 2] += np.bincount(owner[hit], pairs.values[row[hit]], minlength=len(picked))
+                if len(out := counted(rids[picked], owner[~hit], b[~hit])):
+                    yield out.rename(columns={"key": "b"})
             yield pd.DataFrame({"rid": rids, "doc_id": batch["doc_id"].array, "is_held_out": batch["is_held_out"].array, "n_tokens": totals[:, 0].astype(np.int64), "n_known": totals[:, 1].astype(np.int64), "score": totals[:, 2], "base": totals[:, 3]})
 
     def shaped(batches):
         names = [x.split()[0] for x in _SCORED.split(", ")]
         for out in run(batches):
             out = out.reindex(columns=names)
-            yield out.astype({x: "Int64" for x in ("rid", "doc_id", "h", "n", "n_tokens", "n_known")} | {"is_held_out": "boolean"})
+            yield out.astype({x: "Int64" for x in ("rid", "doc_id", "h", "b", "n", "n_tokens", "n_known")} | {"is_held_out": "boolean"})
 
     return shaped
 
@@ -292,41 +353,74 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     texts = training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = texts.mapInPandas(_count_words, "h long, word binary, c long")
     words = cut(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("c").alias("c")), "lm-words")
-    of = words.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    total, kinds, ones, twos = of[0] or 0, of[1], of[2], of[3]
-    d = float(np.clip(ones / max(ones + 2.0 * twos, 1.0), 0.1, 0.95))
-    seated, tables, inside = words.withColumn("t", F.lit(1).cast("long")), float(kinds), 0.0
+    of = words.agg(F.sum("c"), F.count("*")).first()
+    total, kinds = of[0] or 0, of[1]
+    pairs = texts.mapInPandas(_count_pairs, "b long, u long, w long, c long").groupBy("b")
+    pairs = cut(pairs.agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("c").alias("c")), "lm-pairs")
+    of = pairs.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    d2 = _discount(of[0], of[1])
+    # A pair of one customer has one table in every sample; only the others are seated.
+    single = F.count(F.when(F.col("c") == 1, 1))
+    outcomes = pairs.groupBy(F.col("w").alias("h")).agg(single.alias("once_w"), F.count("*").alias("served"))
+    contexts = pairs.groupBy(F.col("u").alias("h")).agg(single.alias("once_u"), F.count("*").alias("open"))
+    vocabulary = cut(words.join(outcomes, "h", "left").join(contexts, "h", "left").na.fill(0), "lm-vocabulary")
+    state = vocabulary.select("h", "word", "served", F.col("open").cast("double").alias("open"))
+    seated, tables = words.withColumn("t", F.lit(1).cast("long")), float(kinds)
+    d = open_ = inside = served = 0.0
     for r in range(ROUNDS):
+        of = state.agg(F.sum("served"), F.count(F.when(F.col("served") == 1, 1)), F.count(F.when(F.col("served") == 2, 1))).first()
+        served, d = float(of[0] or 0), _discount(of[1], of[2])
         spelling = train_spelling(seated, r)
         held = spark.sparkContext.broadcast(spelling)
         samples = SAMPLES if r == ROUNDS - 1 else 1
-        run = words.mapInPandas(_seat_words(held, d, tables, 100 * (r + 1), samples), "h long, word binary, c long, t long, mean_t double, spelling double")
+        run = state.select("h", "word", "served").mapInPandas(_seat_words(held, d, tables, 100 * (r + 1), samples), "h long, word binary, served long, t long, mean_t double, spelling double")
         seated = cut(run, "lm-seats")
-        served = seated.agg(F.sum("mean_t"), F.sum("spelling")).first()
-        tables, inside = float(served[0] or 0.0), float(served[1] or 0.0)
-
-    open_ = STRENGTH + d * tables
-    score = lambda c, t, p: (c - d * t + open_ * p) / (STRENGTH + total)
-    unserved = open_ * max(1.0 - inside, 1e-9) / (STRENGTH + total)
+        of = seated.agg(F.sum("mean_t"), F.sum("spelling")).first()
+        tables, inside = float(of[0] or 0.0), float(of[1] or 0.0)
+        open_ = STRENGTH + d * tables
+        p = seated.select(F.col("h").alias("w"), ((F.col("served") - d * F.col("mean_t") + open_ * F.col("spelling")) / (STRENGTH + served)).alias("p"))
+        new = pairs.filter("c > 1").join(p, "w").join(state.select(F.col("h").alias("u"), "open"), "u")
+        new = new.select("b", "u", "w", "c", ((STRENGTH + d2 * F.col("open")) * F.col("p")).alias("new"))
+        tabled = cut(new.mapInPandas(_seat_pairs(d2, 1000 * (r + 1), samples), "b long, u long, w long, c long, t long, mean_t double"), "lm-pair-seats")
+        t_w = tabled.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("t_w"))
+        t_u = tabled.groupBy(F.col("u").alias("h")).agg(F.sum("mean_t").alias("t_u"))
+        both = vocabulary.join(t_w, "h", "left").join(t_u, "h", "left").na.fill(0)
+        state = cut(both.select("h", "word", (F.col("once_w") + F.col("t_w")).alias("served"), (F.col("once_u") + F.col("t_u")).alias("open")), "lm-state")
+
+    # A token's probability is (c - d2 t) / (strength + N) + back * p; back is the context's, p the word's.  The logarithms
+    # of back and p add up over a text's words, and a served pair adds the gain of its own customers over back * p.
+    back = (STRENGTH + d2 * F.col("open")) / (STRENGTH + F.col("c"))
+    known = p.withColumnRenamed("w", "h").join(vocabulary.select("h", "c"), "h").join(state.select("h", "open"), "h")
+    known = cut(known.select("h", "c", "p", "open", (F.log10("p") + F.log10(back)).alias("score")), "lm-model")
+    gains = pairs.filter("c = 1").withColumn("mean_t", F.lit(1.0)).select("b", "u", "w", "c", "mean_t").unionByName(tabled.select("b", "u", "w", "c", "mean_t"))
+    gains = gains.join(known.select(F.col("h").alias("w"), "p"), "w").join(known.select(F.col("h").alias("u"), "open"), "u")
+    gain = F.log10(1 + (F.col("c") - d2 * F.col("mean_t")) / ((STRENGTH + d2 * F.col("open")) * F.col("p")))
+    gains = cut(gains.select("b", "c", gain.alias("gain")), "lm-pair-model")
+    unserved = open_ * max(1.0 - inside, 1e-9) / (STRENGTH + served)
     base = lambda c: (c + 1) / (total + kinds + 1)
-    top = most_frequent(seated.filter(F.col("h") != END), "c", HEAD).select("h", "c", "mean_t", "spelling").toArrow().to_pandas()  # at most HEAD rows
-    values = np.stack([np.log10(score(top["c"], top["mean_t"], top["spelling"])), np.log10(base(top["c"]))], axis=1) if len(top) else np.zeros((0, 2))
+    top = most_frequent(known.filter(F.col("h") != END), "c", HEAD).select("h", "c", "score").toArrow().to_pandas()  # at most HEAD rows
+    values = np.stack([top["score"], np.log10(base(top["c"]))], axis=1) if len(top) else np.zeros((0, 2))
     head = HashArray(top["h"].to_numpy().astype(np.int64).view(np.uint64), values)
-    stop = seated.filter(F.col("h") == END).select("c", "mean_t", "spelling").first()
+    top = most_frequent(gains, "c", PAIRS).select("b", "gain").toArrow().to_pandas()  # at most PAIRS rows
+    often = HashArray(top["b"].to_numpy().astype(np.int64).view(np.uint64), top["gain"].to_numpy(dtype=float))
+    # END stands for the context at a text's start as well, and is served once a text in both places.
+    stop = known.filter(F.col("h") == END).select("c", "score").first()
     if stop:
-        end = (1, float(np.log10(score(stop["c"], stop["mean_t"], stop["spelling"]))), float(np.log10(base(stop["c"]))))
+        end = (1, stop["score"], float(np.log10(base(stop["c"]))))
     else:
         end = (0, float(np.log10(unserved)), float(np.log10(base(0))))
-    model = spark.sparkContext.broadcast((head, end))
+    model = spark.sparkContext.broadcast((head, end, often))
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "is_held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = cut(rows.mapInPandas(_score(model), _SCORED), "lm-parts")
-    tail = parts.filter("h is not null").select("rid", "h", "n").join(seated.select("h", "c", "mean_t", "spelling"), "h", "left")
-    served = (F.col("c") - d * F.col("mean_t") + open_ * F.col("spelling")) / (STRENGTH + total)
-    tail_score = F.log10(F.coalesce(served, F.lit(unserved))) * F.col("n")
+    tail = parts.filter("h is not null").select("rid", "h", "n").join(known.select("h", "c", F.col("score").alias("own")), "h", "left")
+    tail_score = F.coalesce("own", F.log10(F.lit(unserved))) * F.col("n")
     tail_base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + kinds + 1))) * F.col("n")
     tail = tail.select("rid", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("n_known"), tail_score.alias("score"), tail_base.alias("base"))
-    whole = parts.filter("h is null").select("rid", "doc_id", "is_held_out", "n_tokens", "n_known", "score", "base").unionByName(tail, allowMissingColumns=True)
+    paired = parts.filter("b is not null").select("rid", "b", "n").join(gains.select("b", "gain"), "b")
+    paired = paired.select("rid", F.lit(0).alias("n_known"), (F.col("gain") * F.col("n")).alias("score"), F.lit(0.0).alias("base"))
+    tail = tail.unionByName(paired)
+    whole = parts.filter("h is null and b is null").select("rid", "doc_id", "is_held_out", "n_tokens", "n_known", "score", "base").unionByName(tail, allowMissingColumns=True)
     out = whole.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("is_held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),

@@ -223,6 +223,19 @@ def test_lm_score(spark, docs, empty):
     assert pitmanyor.score_texts(empty.selectExpr("doc_id", "text", "true as is_held_out"), rows).count() == 0
 
 
+def test_lm_score_has_word_contexts(spark, monkeypatch):
+    ordered = ["alpha beta gamma delta"] * 6 + ["beta alpha zeta"] * 2
+    train = spark.createDataFrame([(t,) for t in ordered], "text string")
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta", True), (2, "delta gamma beta alpha", True), (3, "alpha nope", True)], "doc_id long, text string, is_held_out boolean")
+    got = {r.doc_id: r.score for r in pitmanyor.score_texts(rows, train).collect()}
+    assert got[1] > got[2] + 1 and np.isfinite(got[3])
+    # Words and pairs outside the arrays are joined and score the same.
+    monkeypatch.setattr(pitmanyor, "HEAD", 0)
+    monkeypatch.setattr(pitmanyor, "PAIRS", 0)
+    joined = {r.doc_id: r.score for r in pitmanyor.score_texts(rows, train).collect()}
+    assert all(abs(joined[i] - got[i]) < 1e-4 for i in got)
+
+
 def test_spelling_sums_to_one():
     rng = np.random.default_rng(1)
     raw = rng.choice(np.frombuffer(b"abc", np.uint8), 400)
