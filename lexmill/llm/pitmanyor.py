@@ -123,12 +123,6 @@ class Spelling:
             p[miss] = weight * self._bytes(_tail(code[miss], level - 1), level - 1)
         return p
 
-    def log10(self, raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        if not len(first):
-            return np.zeros(0)
-        code, offset = gram_codes(raw, first, length)
-        return np.add.reduceat(np.log10(self._bytes(code, CONTEXT)), offset)
-
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[pd.DataFrame] = []
@@ -256,8 +250,11 @@ def sample_restaurants(code: np.ndarray, customers: np.ndarray, root: np.ndarray
     return pd.concat(parts)
 
 
-def train_spelling(words: DataFrame, seed: int) -> Spelling:
-    """Fit the byte restaurants to (word, t)."""
+def train_spelling(words: DataFrame, seed: int) -> tuple[Spelling, DataFrame | None]:
+    """Fit the byte restaurants to (word, t): the most frequent grams, and all (key, value) where those are not all.
+
+    Only these words are spelled, so every gram that is asked for is a row of the longest contexts.
+    """
     grams = words.select("word", "t").mapInPandas(_spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     grams = cut(grams.select("code", "n", F.shiftright("code", 8).bitwiseAND(0xFF).alias("last")), "spelling-grams")
     # The root serves each byte as often as it follows another byte; at most 256 rows.
@@ -271,15 +268,43 @@ def train_spelling(words: DataFrame, seed: int) -> Spelling:
         return sample_restaurants(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), root, seed)
 
     rows = cut(grams.groupBy("last").applyInPandas(restaurants, "level int, kind int, key long, value double, n long"), "spelling-model")
-    return Spelling(root, most_frequent(rows, "n", GRAMS).toArrow().to_pandas())
+    longest = rows.filter((F.col("level") == CONTEXT) & (F.col("kind") == 0))
+    top = most_frequent(longest, "n", GRAMS).toArrow().to_pandas()
+    return Spelling(root, top), longest.select("key", "value") if longest.count() > len(top) else None
+
+
+def _spell_words(spelling):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = spelling.value.grams[CONTEXT]
+            code, offset = gram_codes(*_words_as_arrays(batch["word"]))
+            row = held.find(code)
+            p = np.append(held.values, np.float32(1))[row].astype(float)
+            missing = [c[r < 0].view(np.int64) for c, r in zip(np.split(code, offset[1:]), np.split(row, offset[1:]))]
+            yield batch.assign(log=np.add.reduceat(np.log10(p), offset), missing=missing)
+
+    return run
+
+
+def spell(words: DataFrame, spelling, grams: DataFrame | None) -> DataFrame:
+    """(h, word, served) with the probability of each word's spelling; grams that the tasks do not hold are joined."""
+    out = words.mapInPandas(_spell_words(spelling), "h long, word binary, served long, log double, missing array<long>")
+    if grams is None:
+        return out.select("h", "word", "served", F.pow(F.lit(10.0), "log").alias("spelling"))
+    out = cut(out, "spelling-words")
+    rest = out.select("h", F.explode("missing").alias("key")).join(grams, "key")
+    rest = rest.groupBy("h").agg(F.sum(F.log10(F.col("value").cast("float"))).alias("rest"))
+    return out.join(rest, "h", "left").select("h", "word", "served", F.pow(F.lit(10.0), F.col("log") + F.coalesce("rest", F.lit(0.0))).alias("spelling"))
 
 
-def _seat_words(spelling, d: float, tables: float, sample: int, samples: int):
+def _seat_words(d: float, tables: float, sample: int, samples: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            p = 10.0 ** spelling.value.log10(*_words_as_arrays(batch["word"]))
+            p = batch["spelling"].to_numpy()
             c, key = batch["served"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
             seated = [seat(c, (STRENGTH + d * tables) * p, d, key, sample + s) for s in range(samples)]
             yield batch[["h", "word", "served"]].assign(t=seated[-1].astype(np.int64), mean_t=np.mean(seated, axis=0), spelling=p)
@@ -370,10 +395,10 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     for r in range(ROUNDS):
         of = state.agg(F.sum("served"), F.count(F.when(F.col("served") == 1, 1)), F.count(F.when(F.col("served") == 2, 1))).first()
         served, d = float(of[0] or 0), _discount(of[1], of[2])
-        spelling = train_spelling(seated, r)
-        held = spark.sparkContext.broadcast(spelling)
+        spelling, grams = train_spelling(seated, r)
+        words = spell(state.select("h", "word", "served"), spark.sparkContext.broadcast(spelling), grams)
         samples = SAMPLES if r == ROUNDS - 1 else 1
-        run = state.select("h", "word", "served").mapInPandas(_seat_words(held, d, tables, 100 * (r + 1), samples), "h long, word binary, served long, t long, mean_t double, spelling double")
+        run = words.mapInPandas(_seat_words(d, tables, 100 * (r + 1), samples), "h long, word binary, served long, t long, mean_t double, spelling double")
         seated = cut(run, "lm-seats")
         of = seated.agg(F.sum("mean_t"), F.sum("spelling")).first()
         tables, inside = float(of[0] or 0.0), float(of[1] or 0.0)

@@ -236,6 +236,14 @@ def test_lm_score_has_word_contexts(spark, monkeypatch):
     assert all(abs(joined[i] - got[i]) < 1e-4 for i in got)
 
 
+def test_lm_score_spelling_outside_the_array(spark, docs, monkeypatch):
+    rows = docs.selectExpr("doc_id", "text", "false as is_held_out").filter("doc_id < 12")
+    got = {r.doc_id: r.score for r in pitmanyor.score_texts(rows, rows).collect()}
+    monkeypatch.setattr(pitmanyor, "GRAMS", 40)
+    small = {r.doc_id: r.score for r in pitmanyor.score_texts(rows, rows).collect()}
+    assert all(abs(small[i] - got[i]) < 1e-6 * abs(got[i]) for i in got)
+
+
 def test_spelling_sums_to_one():
     rng = np.random.default_rng(1)
     raw = rng.choice(np.frombuffer(b"abc", np.uint8), 400)
