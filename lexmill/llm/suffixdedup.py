@@ -54,7 +54,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def anchor_runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor, first window, last window, gram hash) of every run of windows with one anchor."""
-    width = REACH + 1
+    width, open_ = REACH + 1, None
     for base in range(0, len(data) - WINDOW + 1, SEGMENT):
         h = gram_hashes(data[base : base + SEGMENT + WINDOW - 1])
         n = len(h) - width + 1
@@ -68,7 +68,17 @@ def anchor_runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         at = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.concatenate((first[1:] - 1, [n - 1]))
-        yield at[first] + base, first + base, last + base, h[at[first]].view(np.int64)
+        found = [at[first] + base, first + base, last + base, h[at[first]].view(np.int64)]
+        # A run that goes on over the segment's end is one run: its first part is held back.
+        if open_ is not None:
+            if open_[0][0] == found[0][0]:
+                found[1][0] = open_[1][0]
+            else:
+                found = [np.concatenate(x) for x in zip(open_, found)]
+        open_ = [x[-1:].copy() for x in found]
+        yield tuple(x[:-1] for x in found)
+    if open_ is not None:
+        yield tuple(open_)
 
 
 def _signed(x: int) -> int:

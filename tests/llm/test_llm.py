@@ -176,6 +176,29 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffixdedup.dedup_windows(empty).count() == 0
 
 
+def test_suffix_dedup_over_segments(spark, monkeypatch):
+    text = np.random.default_rng(70).bytes(suffixdedup.SEGMENT // 2 + 60_000).hex()
+    assert len(text) > suffixdedup.SEGMENT + suffixdedup.WINDOW
+    df = spark.createDataFrame([(1, text), (2, text[-1000:-300])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffixdedup.dedup_windows(df).collect()} == {1: 700, 2: 700}
+    for part in (text[:3000], "a" * 3000, text[:500] * 5):
+        data = np.frombuffer(part.encode(), np.uint8)
+        gram = [bytes(data[i : i + suffixdedup.GRAM]) for i in range(len(data) - suffixdedup.GRAM + 1)]
+        rank = suffixdedup.gram_hashes(data) >> np.uint64(28)
+        want = []
+        for w in range(len(data) - suffixdedup.WINDOW + 1):
+            at = w + int(rank[w : w + suffixdedup.REACH + 1].argmin())
+            if want and want[-1][0] == at:
+                want[-1][2] = w
+            else:
+                want.append([at, w, w])
+        for size in (1, 150, 700, 1 << 22):
+            monkeypatch.setattr(suffixdedup, "SEGMENT", size)
+            at, first, last, core = (np.concatenate(x) for x in zip(*suffixdedup.anchor_runs(data)))
+            assert np.stack([at, first, last], axis=1).tolist() == want
+            assert len(core) == len(at) and len({(c, gram[a]) for c, a in zip(core.tolist(), at.tolist())}) == len(set(core.tolist()))
+
+
 def test_language_id(spark, docs, empty):
     letters = {"aa": "abcdefg", "bb": "hijklmn"}
     rows = []
