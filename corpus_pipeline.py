@@ -2,7 +2,8 @@
 
 language_id    documents whose text is rejected as any learned language go
 line_dedup     lines repeated in five or more documents stay only in the last of them
-ngram_join     one document of each group of near duplicates stays, the one with the least doc_id
+ngram_join     one row of each group of near duplicates stays, the one with the least doc_id (null last); rows of one doc_id
+               with different texts are judged apart
 decontaminate  documents that hold a benchmark item go
 mix            sources are taken up to their target weights
 
@@ -19,7 +20,7 @@ from lexmill.llm.decontaminate import decontaminate
 from lexmill.llm.langid import filter_languages
 from lexmill.llm.linededup import dedup_lines
 from lexmill.llm.mixing import take_mix
-from lexmill.llm.ngramjoin import jaccard_join
+from lexmill.llm.ngramjoin import jaccard_rows, row_key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = cut(jaccard_join(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first")), "named")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    gone = cut(named.filter(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id").distinct(), "gone-ids")
-    kept = docs.join(gone, same, "left_anti")
-    # Repeated rows of one id are copies too; they are few and looked up by id, so other texts do not move for them.
-    twice = cut(named.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "repeated-ids")
-    once = kept.join(twice, same, "left_anti")
-    return once.unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    rows = cut(jaccard_rows(docs).select("key", "cluster", "doc_id"), "named")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
+    first = rows.groupBy("cluster").agg(least.alias("_first"), F.count("*").alias("n")).filter("n > 1").select("cluster", "_first")
+    gone = cut(rows.join(first, "cluster").filter("key <> _first").select(F.col("key").alias("_key")).distinct(), "gone-rows")
+    kept = docs.withColumn("_key", row_key()).join(gone, "_key", "left_anti")
+    # Repeated rows are copies too; they are few and looked up by key, so other texts do not move for them.
+    twice = cut(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_key"), "repeated-rows")
+    once = kept.join(twice, "_key", "left_anti")
+    return once.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,7 +101,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(i, len(s), _name(s)) for i, s in shingle_sets(batch["text"])]
         order = [r[0] for r in rows]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[order].array, "n": [r[1] for r in rows], "fp": [r[2] for r in rows]})
+        yield pd.DataFrame({"key": batch["key"].iloc[order].array, "doc_id": batch["doc_id"].iloc[order].array, "n": [r[1] for r in rows], "fp": [r[2] for r in rows]})
 
 
 def _count_packed(shard_bits: int):
@@ -345,11 +345,21 @@ def _shingle_bytes(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([found[i] for i in range(len(text))], columns=["fp", "shingles"])
 
 
+def row_key() -> Column:
+    """A key of a row's doc_id and text; rows that share it are copies of one row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("doc_id").isNull())
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the component is the least doc_id that links lead to."""
+    return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """jaccard_join with each row's key and cluster: unlike a doc_id, a cluster is never that of unlinked texts."""
     spark = docs.sparkSession
     text_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     bits = _shard_bits(spark)
     counted = texts.select("text").mapInPandas(_count_packed(bits), "shard int, blob binary").repartition("shard")
@@ -364,7 +374,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     lists = lists.join(cut(enough, "jaccard-enough"), "fp", "left_semi")
     shared = cut(lists.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("sig"), "jaccard-shared")
     lists = cut(lists.join(shared, "sig", "left_semi"), "jaccard-lists")
-    described = cut(texts.mapInPandas(_describe, "doc_id long, n long, fp long"), "jaccard-docs")
+    described = cut(texts.mapInPandas(_describe, "key long, doc_id long, n long, fp long"), "jaccard-docs")
     first = cut(described.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
 
     # Whole shingle sets of the representatives that stand in some list.
@@ -386,10 +396,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     named = cut(first.join(named.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "doc_id"), "jaccard-components")
     heads = first.join(named.select("component").distinct(), F.col("fp") == F.col("component"), "left_semi").select(F.col("fp").alias("component"), "doc_id")
     lows = named.select("component", "doc_id").unionByName(heads).groupBy("component").agg(F.min("doc_id").alias("low"))
-    by_fp = named.select("fp", "component").unionByName(heads.select(F.col("component").alias("fp"), "component")).join(lows, "component").select("fp", "low")
-    by_fp = first.join(by_fp, "fp", "left").select("fp", F.coalesce("low", "doc_id").alias("low"))
+    by_fp = named.select("fp", "component").unionByName(heads.select(F.col("component").alias("fp"), "component")).join(lows, "component").select("fp", "low", "component")
+    by_fp = first.join(by_fp, "fp", "left").select("fp", F.coalesce("low", "doc_id").alias("low"), F.coalesce("component", "fp").alias("component"))
     by_fp = cut(by_fp, "jaccard-names")
-    return described.join(by_fp, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    cluster = F.when(F.col("n") > 0, F.coalesce("component", "fp")).otherwise(F.col("key")).alias("cluster")
+    return described.join(by_fp, "fp", "left").select("key", cluster, "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,12 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {r.doc_id for r in got} <= set(want) and all(0 < r.taken <= 2 * r.size == 2 * len(WORD.findall(r.text)) for r in got)
     total = sum(len(WORD.findall(t)) for t in want.values())
     assert abs(sum(r.taken for r in got) - 1.5 * total) <= 20
+
+
+def test_ngram_join_drops_rows_not_ids(spark):
+    a, b, c, d = (_sentence(40, 500 + i, "abcdefg") for i in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, b), (3, a), (3, d), (4, None), (4, None), (4, ""), (None, None)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"), "rows")
+    got = [tuple(r) for r in corpus_pipeline.ngram_join(spark, docs, "").collect()]
+    want = [(1, a), (2, b), (None, c), (3, d), (4, None), (4, ""), (None, None)]
+    assert collections.Counter(got) == collections.Counter(want)
