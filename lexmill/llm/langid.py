@@ -1,11 +1,12 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Training counts character 4-grams per language in Spark, on a hash sample of the labelled documents (about
-``SAMPLE_DOCS`` a language, a documented bound); a fifth of the sample is set aside to calibrate rejection.  The model
+``SAMPLE_DOCS`` a language, a documented bound); a fifth of the sample and about ``CALIBRATION_DOCS`` other documents a
+language calibrate rejection.  The model
 keeps, for each order, the 64-bit hashes of all grams in one sorted array with a log probability per language beside
 each, so one lookup serves every language.  A gram that no language saw falls back to the next order by the weight of
 its context.  A document gets the language of lowest cross-entropy per character; it is rejected if that lies above the
-language's calibrated limit, which is wider for short texts.
+limit calibrated for the language and the text's length.
 
 Letters are lower-cased; everything between letters counts as one space.
 
@@ -31,8 +32,15 @@ from lexmill.llm.hasharray import HashArray
 ORDER = 4
 SAMPLE_DOCS = 600
 PIECE = 1 << 20
-#: Rejection: the highest cross-entropy of the calibration texts plus a slack in nats, and more for short texts.
-SLACK = 0.6
+#: Rejection: a quantile of the cross-entropy of rightly predicted calibration texts of one length band plus a slack in
+#: nats.  Fewer than ``ENOUGH`` texts do not tell the quantile: a band takes that of its language and more for short texts,
+#: a language its highest and the wide slack.
+CALIBRATION_DOCS = 2400
+QUANTILE = 0.995
+ENOUGH = 200
+BANDS = (64, 256, 1024)
+SLACK = 0.05
+WIDE_SLACK = 0.6
 SHORT_SLACK = 6.0
 SPACE_CODE = 32
 
@@ -151,7 +159,8 @@ class LanguageModel:
             self.grams[k] = HashArray(seen, np.log(np.stack([_probability(counts[x], seen, k, base) for x in langs], axis=1)))
             ctx = np.unique(np.concatenate([c[k].ctx for c in counts.values()]))
             self.weights[k] = HashArray(ctx, np.log(np.stack([c[k].find(c[k].ctx, c[k].gamma, ctx, 1.0) for c in (counts[x] for x in langs)], axis=1)))
-        self.limits = np.full(len(langs), np.inf)
+        self.limits = np.full((len(langs), len(BANDS) + 1), np.inf)
+        self.short = np.ones((len(langs), len(BANDS) + 1)) * SHORT_SLACK
 
     def _log_probabilities(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
         if order == 0:
@@ -178,13 +187,28 @@ class LanguageModel:
             np.add.at(letters, owners, own)
         return -total / np.maximum(events, 1)[:, None], events, letters
 
+    def calibrate(self, best: np.ndarray, events: np.ndarray, least: np.ndarray) -> None:
+        """Set the limits from texts that were rightly predicted as ``best``."""
+        band = np.searchsorted(BANDS, events, side="right")
+        for k in range(len(self.langs)):
+            own = least[best == k]
+            if not len(own):
+                continue
+            self.limits[k] = np.quantile(own, QUANTILE) + SLACK if len(own) >= ENOUGH else own.max() + WIDE_SLACK
+            for j in range(len(BANDS) + 1):
+                own = least[(best == k) & (band == j)]
+                if len(own) >= ENOUGH:
+                    self.limits[k, j], self.short[k, j] = np.quantile(own, QUANTILE) + SLACK, 0.0
+        self.limits[np.isinf(self.limits)] = np.max(self.limits[np.isfinite(self.limits)], initial=0.0) or np.inf
+
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         h, events, letters = self.entropies(texts)
         best = h.argmin(axis=1)
         least = h[np.arange(len(h)), best]
         score = 1.0 / np.exp(-np.minimum(events, 50.0)[:, None] * (h - least[:, None])).sum(axis=1)
         known = letters > 0
-        limit = self.limits[best] + SHORT_SLACK / np.sqrt(np.maximum(events, 1))
+        band = np.searchsorted(BANDS, events, side="right")
+        limit = self.limits[best, band] + self.short[best, band] / np.sqrt(np.maximum(events, 1))
         names = np.array(self.langs, dtype=object)[best]
         return pd.DataFrame({
             "lang_pred": np.where(known, names, "und"),
@@ -202,7 +226,7 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel | None:
-    """Fit on a hash sample of (doc_id, text, lang); about ``sample_docs`` documents a language, a fifth for calibration."""
+    """Fit on a hash sample of (doc_id, text, lang); about ``sample_docs`` documents a language, a fifth for calibration beside others."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
@@ -214,11 +238,20 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
     found = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     grams = {k: (g["code"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in found.groupby("lang")}
     model = LanguageModel(sorted(grams), grams)
-    scored = identify(sample.filter("aside").select("lang", "text"), model)
-    for r in scored.groupBy("lang_pred").agg(F.max(F.col("cross_entropy")).alias("most")).collect():
-        if r["lang_pred"] in model.langs:
-            model.limits[model.langs.index(r["lang_pred"])] = r["most"] + SLACK
-    model.limits[np.isinf(model.limits)] = np.max(model.limits[np.isfinite(model.limits)], initial=0.0) or np.inf
+    held = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h, events, _ = held.value.entropies(list(batch["text"]))
+            best = h.argmin(axis=1)
+            right = np.array(held.value.langs, dtype=object)[best] == batch["lang"].to_numpy()
+            yield pd.DataFrame({"best": best, "events": events, "least": h[np.arange(len(h)), best]})[right]
+
+    # About CALIBRATION_DOCS rows of three numbers a language come to the driver.
+    other = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (sample_docs + CALIBRATION_DOCS) / n))])[F.col("lang")]
+    aside = rows.filter((draw >= share) & (draw < other)).select("lang", "text").unionByName(sample.filter("aside").select("lang", "text"))
+    found = aside.mapInPandas(score, "best int, events double, least double").toArrow().to_pandas()
+    model.calibrate(found["best"].to_numpy(), found["events"].to_numpy(), found["least"].to_numpy())
     return model
 
 

@@ -218,6 +218,24 @@ def test_language_id(spark, docs, empty):
     assert langid.train(labelled.limit(0)) is None and {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_left_out_is_rejected(spark):
+    def text(lang, i):
+        rng = np.random.default_rng([lang, i])
+        chains = np.random.default_rng(lang).dirichlet(np.full(12, 0.3), 12)
+        at, out = 0, []
+        for _ in range(400):
+            at = rng.choice(12, p=chains[at])
+            out.append("abcdefghijk "[at])
+        return "".join(out)
+
+    noise = lambda i: "".join(np.random.default_rng([9, i]).choice(list("abcdefghijk "), 400))
+    rows = [(i, text(i % 2, i), "ab"[i % 2]) for i in range(1600)] + [(2000 + i, noise(i), "ab"[i % 2]) for i in range(10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = spark.createDataFrame([(i, text(i % 3, 5000 + i)) for i in range(600)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id % 3, r.accepted) for r in langid.identify(new, model).collect())
+    assert got[0, True] >= 195 and got[1, True] >= 195 and got[2, True] <= 2, got
+
+
 def test_kneser_ney_sums_to_one():
     code, _, _ = langid.gram_codes(["abracadabra abra", "cad bra"])
     grams = {"xx": np.unique(code, return_counts=True)}
