@@ -2,9 +2,9 @@
 
 1. Every page is parsed into a light tree.  Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
    styles and reader comments go by tag, role, class or id.  If the page marks an article or main part, only that stays.
-2. Of the subtrees that stay, each is hashed, and Spark counts for every host and hash the different page titles it
-   appears under.  Copies of one page share a title, so they do not make its paragraphs a template.
-3. Subtrees that recur under many titles of a host are its template and are deleted from the pages that hold them.
+2. Of the subtrees that stay, each is hashed, and Spark counts for every host and hash the different pages it appears on.
+   Pages of equal kept text are copies of one page and count once, so they do not make its paragraphs a template.
+3. Subtrees that recur on many pages of a host are its template and are deleted from the pages that hold them.
 
 Counting is a grouped aggregation with map-side counts on (host, subtree), so a host with a third of all pages is spread
 over its subtrees.  Only pages that hold template subtrees are looked up again; the others never shuffle.
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from lexmill.llm.common import cut, table
 
-#: A subtree is template when it appears under so many titles of its host, and in this share of them.
-MIN_TITLES = 8
+#: A subtree is template when it appears on so many pages of its host that are not copies and on this share of them, or on
+#: MANY_PAGES however large the host is.
+MIN_PAGES = 8
 MIN_SHARE = 0.2
+MANY_PAGES = 100
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -38,7 +40,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 #: Element names (fixed values).
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -180,11 +181,9 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for rid, host, page in zip(batch["rid"], batch["host"], batch["html"]):
             seen: set[int] = set()
-            main_text(page, seen=seen)
-            m = _TITLE.search(page)
-            title = xxhash.xxh3_64_intdigest(m[1].strip() if m else page) >> 1
-            rows += [(rid, host, h, title) for h in seen]
-        yield pd.DataFrame(rows, columns=["rid", "host", "h", "title"])
+            kept = xxhash.xxh3_64_intdigest(main_text(page, seen=seen)) >> 1
+            rows += [(rid, host, h, kept) for h in seen]
+        yield pd.DataFrame(rows, columns=["rid", "host", "h", "kept"])
 
 
 @F.pandas_udf(T.StringType())
@@ -196,16 +195,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def extract_text(pages: DataFrame, min_titles: int = MIN_TITLES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``pages`` with the columns text and n_chars."""
     pages = pages.drop("text", "n_chars", "_rid", "_cuts")
     page = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rid = F.xxhash64(F.col("page_id").cast("string"), "url", page)
     rows = pages.select(rid.alias("rid"), host_of(F.col("url")).alias("host"), page.alias("html"))
-    found = cut(rows.mapInPandas(_subtrees, "rid long, host string, h long, title long"), "subtrees")
-    titles = found.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("titles"))
-    common = found.select("host", "h", "title").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_titles)
-    template = cut(common.join(titles, "host").filter(F.col("n") >= min_share * F.col("titles")).select("host", "h"), "template")
+    found = cut(rows.mapInPandas(_subtrees, "rid long, host string, h long, kept long"), "subtrees")
+    sizes = found.select("host", "kept").distinct().groupBy("host").agg(F.count("*").alias("size"))
+    common = found.select("host", "h", "kept").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    wide = (F.col("n") >= min_share * F.col("size")) | (F.col("n") >= many_pages)
+    template = cut(common.join(sizes, "host").filter(wide).select("host", "h"), "template")
     cuts = cut(found.join(template, ["host", "h"], "left_semi").groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("h").alias("_cuts")), "template-cuts")
     out = pages.withColumn("_rid", rid).join(cuts, "_rid", "left").withColumn("text", _extract(page, "_cuts"))
     return out.drop("_rid", "_cuts").withColumn("n_chars", F.length("text").cast("long"))

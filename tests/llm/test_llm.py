@@ -342,6 +342,17 @@ def test_html_text(spark):
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_template_by_pages(spark):
+    page = lambda body: f"<html><head><title>One title</title></head><body>{body}</body></html>"
+    rows = [(i, "http://one.example/%d" % i, page(f"<div>Our letter</div><p>Own {i}</p>")) for i in range(12)]
+    rows += [(100 + i, "http://copies.example/%d" % i, page("<p>Same text</p>")) for i in range(12)]
+    part = lambda i: "<div>Section</div>" if i < 100 else "<div>Small</div>" if i < 199 else ""
+    rows += [(1000 + i, "http://hot.example/%d" % i, page(f"{part(i)}<p>Own {i}</p>")) for i in range(700)]
+    got = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own 3" and got[105] == "Same text"
+    assert got[1005] == "Own 5" and got[1150] == "Small\nOwn 150"
+
+
 def test_registry_has_all_ten():
     names = registry.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
