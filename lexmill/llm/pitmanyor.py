@@ -1,84 +1,67 @@
 """Hierarchical Pitman-Yor language model with seating sampled by Gibbs.
 
 Every word has a restaurant of the words that follow it, and so has the start of a text.  Their new tables order from
-one restaurant of words, whose new tables order from a byte model of word spelling, in which the restaurant of every
-context of up to ``CONTEXT`` bytes shares the parent restaurant of the context without its earliest byte.  A word's
-probability in any of them is
+one restaurant of words, whose new tables order from a byte model of word spelling, in which the restaurants of contexts
+of up to ``CONTEXT`` bytes share the parent restaurant of the context without its earliest byte.  In any of them
 
-    (c - d t + (theta + d T) * parent(word)) / (theta + N)
+    p(dish) = (c - d t + (theta + d T) * parent(dish)) / (theta + N)
 
-with c customers and t tables of the word, N and T in all.  Words that training never served are one outcome, as in the
-base score: it has the weight of a new table times all spelling mass outside the vocabulary.  A byte's probability has the same form with the parent
-restaurant in the place of the spelling.  Tables are latent.  Gibbs rounds alternate: the tables of the context
-restaurants are the customers of the word restaurant, which is reseated given the spelling model, then the contexts are
-reseated given the word restaurant, and the tables that words have opened are the customers of the spelling restaurants, which are reseated from
-the longest contexts to the shortest.  Predictive probabilities are averaged over the samples after the first.
+with c customers and t tables of the dish, N and T in all.  Tables are latent.  A Gibbs sweep reseats, level by level, all
+customers of every dish from the stored seating (``restaurants``), each level against the last state of the others: the
+tables of the contexts are the customers of the word restaurant, its tables are the customers of the spelling.  After the
+first sweep the seatings are samples, over which customers and tables, and so the predictive probabilities, are averaged.
+A word outside the training texts is spelled, so its probability follows its letters.
 
-Counting is a Spark aggregation of all training tokens and pairs; seating is a pass over the pairs and the vocabulary; spelling restaurants
-are independent given their last byte and the root, so each last byte is one group of already aggregated counts.  Texts
-are scored with the most frequent words and pairs in bounded arrays; all others are counted per document and joined with the whole
-tables by hash.
+1. One pass counts words, one counts pairs.  Pairs are packed and dealt to shards by their first word; a word that starts
+   very many pairs is split by the second one.  The number of shards follows the number of tokens, so a shard is bounded.
+2. Sweeps run over packed rows of the pairs seen more than once; all others have one table in every sample.  The word and
+   spelling levels are small tables: words seen once have one table too and are spelled in one sum.
+3. Texts are scored against the most frequent words and pairs in bounded arrays.  All other pairs are dealt to the same
+   shards and meet their seats there, and what ends in a word outside the array is joined with the word table.
 
 Defined results: a null or empty text has only its end token; without training documents every word is spelled by the
 uniform byte model; repeated rows are scored row by row and each counts in training; an empty table gives an empty
-result; extra columns are ignored.
+result; doc_id may have any type; extra columns are ignored; a text of any length is read in bounded pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, table, text_batches
+from lexmill.llm.common import cut, release, table
 from lexmill.llm.hasharray import HashArray, mix, most_frequent
 from lexmill.llm.langid import held_out
+from lexmill.llm.packing import squeeze, steps, unsqueeze, unstep
+from lexmill.llm.restaurants import carry, reseat
 from lexmill.llm.tokens import word_chunks
 
-CONTEXT = 4
-ROUNDS = 2
-SAMPLES = 3
+#: Bytes of context in spelling: at most 256 ** 3 spelling rows, 65,536 of which share their last context byte.
+CONTEXT = 2
+SAMPLES = 2
 STRENGTH = 5.0
-#: The most frequent words and pairs that tasks hold in memory, and the most spelling grams.
-HEAD = 1 << 18
+#: The most frequent words and pairs that tasks hold in memory; what they do not hold is joined.
+HEAD = 1 << 19
 PAIRS = 1 << 20
-GRAMS = 1 << 20
+#: Tokens packed at a time, tokens of a shard, and the most shards.
 FLUSH = 1 << 20
-#: The end of a word in spelling, and the hash that stands for the end of a text.
+SHARD = 1 << 22
+MOST_SHARDS = 1 << 16
+#: The end of a word in spelling, and the hash that stands for the start and the end of a text.
 STOP = 0x20
 END = 0
-#: Customers seated one by one; beyond, in blocks of a tenth of those already seated.
-SINGLY = 64
 
 
-def _uniform(key: np.ndarray, step: int) -> np.ndarray:
-    """Repeatable uniform numbers for each key."""
-    return (mix(key + np.uint64(step * 0xD6E8FEB86659FD93 % 2**64)) >> np.uint64(11)) / float(1 << 53)
-
-
-def seat(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, sample: int) -> np.ndarray:
-    """Tables opened by ``c`` customers of each dish when a new table weighs ``new`` and the others c - d t."""
-    t = np.ones(len(c))
-    live, seated = np.flatnonzero(c > 1), 1
-    while len(live):
-        block = 1 if seated < SINGLY else seated // 10
-        block = np.minimum(block, c[live] - seated)
-        p = new[live] / (new[live] + seated - d * t[live])
-        t[live] += np.floor(block * p + _uniform(key[live], sample * 1_000_003 + seated))
-        seated += 1 if seated < SINGLY else seated // 10
-        live = live[c[live] > seated]
-    return np.minimum(t, c)
-
-
-def _discount(ones: int, twos: int) -> float:
+def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(ones + 2.0 * twos, 1.0), 0.1, 0.95))
 
 
-def discount(counts: np.ndarray) -> float:
-    return _discount((counts == 1).sum(), (counts == 2).sum())
+# Spelling
 
 
 def gram_codes(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,149 +96,89 @@ class Spelling:
                 part = rows[(rows["level"] == level) & (rows["kind"] == kind)]
                 store[level] = HashArray(part["key"].to_numpy().astype(np.uint64), part["value"].to_numpy(dtype=float))
 
-    def _bytes(self, code: np.ndarray, level: int) -> np.ndarray:
+    def bytes(self, code: np.ndarray, level: int = CONTEXT) -> np.ndarray:
         if level == 0:
             return self.root[code.astype(np.int64)]
         p = self.grams[level].get(_tail(code, level), -1.0)
         miss = np.flatnonzero(p < 0)
         if len(miss):
             weight = self.weights[level].get(_tail(code[miss], level) >> np.uint64(8), 1.0)
-            p[miss] = weight * self._bytes(_tail(code[miss], level - 1), level - 1)
+            p[miss] = weight * self.bytes(_tail(code[miss], level - 1), level - 1)
         return p
 
-
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    size = docs = 0
-
-    def merged():
-        both = pd.concat(held)
-        return both.groupby("h", sort=False, as_index=False).agg(word=("word", "first"), c=("c", "sum"))
-
-    for batch in batches:
-        docs += len(batch)
-        for _, h, _, raw, first, length in word_chunks(batch["text"]):
-            kinds, at, n = np.unique(h, return_index=True, return_counts=True)
-            data = raw.tobytes()
-            held.append(pd.DataFrame({"h": kinds.view(np.int64), "word": [data[a:b] for a, b in zip(first[at].tolist(), (first + length)[at].tolist())], "c": n.astype(np.int64)}))
-            size += len(kinds)
-            if size > FLUSH:
-                held = [merged()]
-                size = len(held[0])
-                if size > FLUSH // 2:
-                    yield held.pop()
-                    size = 0
-    if docs:
-        held.append(pd.DataFrame({"h": [END], "word": [b""], "c": [docs]}))
-        yield merged()
-
-
-def pairs_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, word) of every token of some texts: each word after the one before it, then the text's end."""
-    w = np.insert(h, bounds[1:], np.uint64(END))
-    return np.concatenate((np.array([END], dtype=np.uint64), w[:-1])), w
-
-
-def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0xC2B2AE3D27D4EB4F) + w)
-
-
-def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    size = 0
-
-    def merged():
-        return pd.concat(held).groupby("b", sort=False, as_index=False).agg(u=("u", "first"), w=("w", "first"), c=("c", "sum"))
-
-    for batch in batches:
-        for _, h, bounds, *_ in word_chunks(batch["text"]):
-            u, w = pairs_of(h, bounds)
-            kinds, at, n = np.unique(pair_key(u, w), return_index=True, return_counts=True)
-            held.append(pd.DataFrame({"b": kinds.view(np.int64), "u": u[at].view(np.int64), "w": w[at].view(np.int64), "c": n.astype(np.int64)}))
-            size += len(kinds)
-            if size > FLUSH:
-                held = [merged()]
-                size = len(held[0])
-                if size > FLUSH // 2:
-                    yield held.pop()
-                    size = 0
-    if held:
-        yield merged()
+    def words(self, words: pd.Series) -> np.ndarray:
+        """The probability of each word's bytes and stop, not less than the least double."""
+        if not len(words):
+            return np.zeros(0)
+        code, offset = gram_codes(*_as_arrays(words))
+        return np.exp(np.maximum(np.add.reduceat(np.log(self.bytes(code)), offset), -700.0))
 
 
-def _words_as_arrays(words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _as_arrays(words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.array([len(w) for w in words], dtype=np.int64)
     return np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(length) - length, length
 
 
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spelling grams with the tables of the words that they occur in."""
-    held, size = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        code, _ = gram_codes(*_as_arrays(batch["word"]))
+        kinds, at = np.unique(code, return_inverse=True)
+        n = np.bincount(at, np.repeat(batch["t"].to_numpy(dtype=float), [len(w) + 1 for w in batch["word"]]))
+        yield pd.DataFrame({"code": kinds.view(np.int64), "n": n.astype(np.int64)})
 
-    def merged():
-        both = pd.concat(held)
-        return both.groupby("code", as_index=False)["n"].sum()
 
-    for batch in batches:
-        code, _ = gram_codes(*_words_as_arrays(batch["word"]))
-        held.append(pd.DataFrame({"code": code.view(np.int64), "n": np.repeat(batch["t"].to_numpy(), [len(w) + 1 for w in batch["word"]])}))
-        size += len(code)
-        if size > FLUSH:
-            held = [merged()]
-            size = len(held[0])
-            if size > FLUSH // 2:
-                yield held.pop()
-                size = 0
-    if held:
-        yield merged()
+def spelling_grams(words: DataFrame) -> DataFrame:
+    return words.select("word", "t").mapInPandas(_spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def sample_restaurants(code: np.ndarray, customers: np.ndarray, root: np.ndarray, seed: int) -> pd.DataFrame:
-    """Gibbs rounds over all context restaurants that end in one byte; averaged predictive rows."""
+    """Gibbs sweeps over all context restaurants whose last context byte is one; averaged predictive rows."""
+    rng = np.random.default_rng([seed, int(code[0]) >> 8 & 0xFF])
     order = np.argsort(code)
     keys, c = {CONTEXT: code[order]}, {CONTEXT: customers[order].astype(np.int64)}
-    parent, at, t = {}, {}, {}
+    parent, at, seats = {}, {}, {}
     for k in range(CONTEXT, 0, -1):
         up, parent[k] = np.unique(_tail(keys[k], k - 1), return_inverse=True)
         _, at[k] = np.unique(keys[k] >> np.uint64(8), return_inverse=True)
-        t[k] = np.ones(len(keys[k]))
+        seats[k] = np.zeros(len(keys[k]), dtype=np.int64), np.zeros(0)
         if k > 1:
             keys[k - 1], c[k - 1] = up, np.bincount(parent[k]).astype(np.int64)
-    d = {k: discount(c[k]) for k in c}
+    d = {k: _discount((c[k] == 1).sum(), (c[k] == 2).sum()) for k in c}
     base = root[_tail(keys[1], 0).astype(np.int64)]
     sums: dict[tuple[int, int], np.ndarray] = {}
     for sample in range(SAMPLES + 1):
         p, below = {}, base
         for k in range(1, CONTEXT + 1):
-            tables, total = np.bincount(at[k], t[k]), np.bincount(at[k], c[k])
+            t = seats[k][0] + 1
+            tables, total = np.bincount(at[k], t), np.bincount(at[k], c[k])
             weight = (STRENGTH + d[k] * tables) / (STRENGTH + total)
             up = below if k == 1 else below[parent[k]]
-            p[k] = (c[k] - d[k] * t[k]) / (STRENGTH + total)[at[k]] + weight[at[k]] * up
+            p[k] = (c[k] - d[k] * t) / (STRENGTH + total)[at[k]] + weight[at[k]] * up
             if sample:
                 sums[k, 0] = sums.get((k, 0), 0.0) + p[k] / SAMPLES
                 sums[k, 1] = sums.get((k, 1), 0.0) + weight / SAMPLES
             below = p[k]
         for k in range(CONTEXT, 0, -1):
             up = base if k == 1 else p[k - 1][parent[k]]
-            tables = np.bincount(at[k], t[k])
-            t[k] = seat(c[k], (STRENGTH + d[k] * tables)[at[k]] * up, d[k], keys[k], seed * 16 + sample)
+            t = seats[k][0] + 1
+            others = np.bincount(at[k], t)[at[k]] - t
+            seats[k] = reseat(c[k], (STRENGTH + d[k] * others) * up, d[k] * up, d[k], *seats[k], rng)
             if k > 1:
-                c[k - 1] = np.bincount(parent[k], t[k]).astype(np.int64)
+                c[k - 1] = np.bincount(parent[k], seats[k][0] + 1).astype(np.int64)
+                seats[k - 1] = carry(c[k - 1], *seats[k - 1])
     parts = []
     for k in range(1, CONTEXT + 1):
         contexts = np.unique(keys[k] >> np.uint64(8))
         for kind, key in ((0, keys[k]), (1, contexts)):
-            size = c[k] if kind == 0 else np.bincount(at[k], c[k]).astype(np.int64)
-            parts.append(pd.DataFrame({"level": k, "kind": kind, "key": key.astype(np.int64), "value": sums[k, kind], "n": size}))
+            parts.append(pd.DataFrame({"level": k, "kind": kind, "key": key.astype(np.int64), "value": sums[k, kind]}))
     return pd.concat(parts)
 
 
-def train_spelling(words: DataFrame, seed: int) -> tuple[Spelling, DataFrame | None]:
-    """Fit the byte restaurants to (word, t): the most frequent grams, and all (key, value) where those are not all.
-
-    Only these words are spelled, so every gram that is asked for is a row of the longest contexts.
-    """
-    grams = words.select("word", "t").mapInPandas(_spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def train_spelling(grams: DataFrame, seed: int) -> Spelling:
+    """Fit the byte restaurants to (code, n)."""
     grams = cut(grams.select("code", "n", F.shiftright("code", 8).bitwiseAND(0xFF).alias("last")), "spelling-grams")
     # The root serves each byte as often as it follows another byte; at most 256 rows.
     kinds = grams.select("last", F.col("code").bitwiseAND(0xFF).alias("sym")).distinct().groupBy("sym").agg(F.count("*").alias("n")).collect()
@@ -264,199 +187,532 @@ def train_spelling(words: DataFrame, seed: int) -> tuple[Spelling, DataFrame | N
         root[r["sym"]] += r["n"]
     root /= root.sum()
 
-    def restaurants(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def restaurants(rows: pd.DataFrame) -> pd.DataFrame:
         return sample_restaurants(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), root, seed)
 
-    rows = cut(grams.groupBy("last").applyInPandas(restaurants, "level int, kind int, key long, value double, n long"), "spelling-model")
-    longest = rows.filter((F.col("level") == CONTEXT) & (F.col("kind") == 0))
-    top = most_frequent(longest, "n", GRAMS).toArrow().to_pandas()
-    return Spelling(root, top), longest.select("key", "value") if longest.count() > len(top) else None
+    rows = grams.groupBy("last").applyInPandas(restaurants, "level int, kind int, key long, value double").toArrow().to_pandas()  # bounded by CONTEXT
+    release(grams)
+    return Spelling(root, rows)
+
+
+# Counts
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(h, word, c, n): a word's tokens in training and in all texts."""
+    held: list[pd.DataFrame] = []
+    size, ends = 0, np.zeros(2, dtype=np.int64)
+
+    def merged():
+        return pd.concat(held).groupby("h", sort=False, as_index=False).agg(word=("word", "first"), c=("c", "sum"), n=("n", "sum"))
+
+    for batch in batches:
+        train = batch["train"].to_numpy(dtype=bool)
+        ends += (train.sum(), len(batch))
+        for picked, h, bounds, raw, first, length in word_chunks(batch["text"]):
+            kinds, at, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            c = np.bincount(inverse, np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds)), minlength=len(kinds))
+            data = raw.tobytes()
+            words = [data[a:b] for a, b in zip(first[at].tolist(), (first + length)[at].tolist())]
+            held.append(pd.DataFrame({"h": kinds.view(np.int64), "word": words, "c": c.astype(np.int64), "n": n.astype(np.int64)}))
+            size += len(kinds)
+            if size > FLUSH:
+                held = [merged()]
+                size = len(held[0])
+                if size > FLUSH // 2:
+                    yield held.pop()
+                    size = 0
+    if ends[1]:
+        held.append(pd.DataFrame({"h": [END], "word": [b""], "c": [ends[0]], "n": [ends[1]]}))
+        yield merged()
+
+
+@dataclass
+class Plan:
+    """Where pairs go: ``shards``, and the words whose pairs are split, in how many parts, with their training tokens."""
+
+    shards: int
+    heavy: np.ndarray
+    parts: np.ndarray
+    tokens: np.ndarray
 
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row in ``heavy``, whether it is the word's)."""
+        at = np.minimum(np.searchsorted(self.heavy, u), max(len(self.heavy) - 1, 0))
+        return at, self.heavy[at] == u if len(self.heavy) else np.zeros(len(u), dtype=bool)
+
+    def shard(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        at, heavy = self.find(u)
+        part = np.zeros(len(u), dtype=np.uint64)
+        if heavy.any():
+            part[heavy] = mix(w[heavy]) % self.parts[at[heavy]].astype(np.uint64)
+        return (mix(u + part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)) % np.uint64(self.shards)
+
+
+def make_plan(words: DataFrame, tokens: int) -> Plan:
+    shards = int(np.clip(-(-tokens // SHARD), 1, MOST_SHARDS))
+    part = max(tokens // shards // 4, 1)
+    rows = []
+    if shards > 1:  # at most four words a shard start so many pairs
+        rows = words.filter(F.col("n") > part).select("h", "n", "c").collect()
+    h = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    n, c = (np.array([r[k] for r in rows], dtype=np.int64)[order] for k in ("n", "c"))
+    return Plan(shards, h[order], -(-n // part), c)
+
+
+def pairs_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The tokens of some texts with each text's end: every token's context is the one before it."""
+    return np.insert(h, bounds[1:], np.uint64(END))
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * np.uint64(0xC2B2AE3D27D4EB4F) + w)
+
+
+def _by_shard(names: np.ndarray, u: np.ndarray, w: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows in order) of pairs of places in ``names``."""
+    shard = plan.shard(names[u], names[w])
+    order = np.argsort(shard.astype(np.uint16) if plan.shards < 1 << 16 else shard, kind="stable")
+    ends = np.flatnonzero(np.diff(shard[order])) + 1
+    for rows in np.split(order, ends):
+        if len(rows):
+            yield int(shard[rows[0]]), rows
+
+
+def _named(names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct names as differences, place of each)."""
+    used = np.zeros(len(names), dtype=bool)
+    used[at] = True
+    place = np.cumsum(used) - 1
+    return steps(names[used]), place[at]
+
+
+def _list_pairs(plan):
+    """Packed counts of the pairs of training texts, shard by shard."""
+
+    def flush(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        names, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        at = at.astype(np.uint64)
+        u = np.concatenate((at[-1:], at[:-1]))  # a text starts after END, which ends the text before it
+        both, n = np.unique(u << np.uint64(32) | at, return_counts=True)
+        u, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64)
+        for shard, rows in _by_shard(names, u, w, plan.value):
+            (un, ui), (wn, wi) = _named(names, u[rows]), _named(names, w[rows])
+            yield shard, squeeze(un, np.diff(ui, prepend=0), wn, wi, n[rows])
 
-def _spell_words(spelling):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            if not len(batch):
-                continue
-            held = spelling.value.grams[CONTEXT]
-            code, offset = gram_codes(*_words_as_arrays(batch["word"]))
-            row = held.find(code)
-            p = np.append(held.values, np.float32(1))[row].astype(float)
-            missing = [c[r < 0].view(np.int64) for c, r in zip(np.split(code, offset[1:]), np.split(row, offset[1:]))]
-            yield batch.assign(log=np.add.reduceat(np.log10(p), offset), missing=missing)
+            for _, h, bounds, *_ in word_chunks(batch["text"]):
+                held.append(pairs_of(h, bounds))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield pd.DataFrame(flush(held), columns=["shard", "blob"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(flush(held), columns=["shard", "blob"])
 
     return run
 
 
-def spell(words: DataFrame, spelling, grams: DataFrame | None) -> DataFrame:
-    """(h, word, served) with the probability of each word's spelling; grams that the tasks do not hold are joined."""
-    out = words.mapInPandas(_spell_words(spelling), "h long, word binary, served long, log double, missing array<long>")
-    if grams is None:
-        return out.select("h", "word", "served", F.pow(F.lit(10.0), "log").alias("spelling"))
-    out = cut(out, "spelling-words")
-    rest = out.select("h", F.explode("missing").alias("key")).join(grams, "key")
-    rest = rest.groupBy("h").agg(F.sum(F.log10(F.col("value").cast("float"))).alias("rest"))
-    return out.join(rest, "h", "left").select("h", "word", "served", F.pow(F.lit(10.0), F.col("log") + F.coalesce("rest", F.lit(0.0))).alias("spelling"))
+def _merge_pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names of contexts, of words, context and word of each distinct pair, its count)."""
+    parts = [unsqueeze(b) for b in blobs]
+    un, wn = ([unstep(p[k]) for p in parts] for k in (0, 2))
+    us, ws = (np.unique(np.concatenate(x)) for x in (un, wn))
+    code = [np.searchsorted(us, a)[np.cumsum(p[1], dtype=np.int64)].astype(np.uint64) << np.uint64(32) | np.searchsorted(ws, b)[p[3].astype(np.int64)].astype(np.uint64) for a, b, p in zip(un, wn, parts)]
+    both, at = np.unique(np.concatenate(code), return_inverse=True)
+    c = np.bincount(at, np.concatenate([p[4] for p in parts])).astype(np.int64)
+    return us, ws, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64), c
+
+
+#: A shard: contexts (their names, tokens and single pairs), pairs seen more than once (context, word names and word, count,
+#: openers and their ranks, tables summed over samples), then per word the single pairs and the tables of other pairs.
+_STATE = "shard int, contexts binary, pairs binary, seats binary, words array<long>, once array<long>, tables array<long>"
+
+
+def _open_shard(busy, whole: bool):
+    """``busy`` holds words; if it is ``whole``, words outside it were seen once and are not reported."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        us, ws, u, w, c = _merge_pairs(list(rows["blob"]))
+        single = c == 1
+        once, more = np.bincount(w[single], minlength=len(ws)), np.bincount(w[~single], minlength=len(ws))
+        told = busy.value.find(ws) >= 0 if whole else np.ones(len(ws), dtype=bool)
+        contexts = squeeze(steps(us), np.bincount(u, c).astype(np.int64), np.bincount(u[single], minlength=len(us)))
+        wn, wi = _named(ws, w[~single])
+        n = int((~single).sum())
+        pairs, seats = squeeze(u[~single], wn, wi, c[~single]), squeeze(np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64))
+        return pd.DataFrame([(key[0], contexts, pairs, seats, ws[told].view(np.int64), once[told], more[told])], columns=[x.split()[0] for x in _STATE.split(", ")])
+
+    return run
+
 
+def _word_values(head: HashArray, names: np.ndarray, tail, column: int = 0) -> np.ndarray:
+    """A value of each word from the array or the joined rows."""
+    row = head.find(names)
+    out = np.append(head.values[:, column], np.float32(0))[row].astype(float)
+    if tail is not None and len(tail):
+        h, p = np.array([x["h"] for x in tail], dtype=np.int64).view(np.uint64), np.array([x["p"] for x in tail])
+        order = np.argsort(h)
+        at = np.minimum(np.searchsorted(h[order], names), len(h) - 1)
+        hit = (h[order][at] == names) & (row < 0)
+        out[hit] = p[order][at[hit]]
+    return out
 
-def _seat_words(d: float, tables: float, sample: int, samples: int):
+
+def _context_tables(plan: Plan, names: np.ndarray, here: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Tables of each context: those of this shard, or of all shards where the context is split."""
+    at, split = plan.find(names)
+    here = here.astype(float)
+    here[split] = heavy[at[split]]
+    return here
+
+
+def _reseat_shard(model, d: float, sweep: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, head, heavy = model.value
         for batch in batches:
+            out = []
+            for shard, contexts, pairs, seats, tail in zip(batch["shard"], batch["contexts"], batch["pairs"], batch["seats"], batch["tail"]):
+                names, _, single = unsqueeze(contexts)
+                u, wn, wi, c = (x.astype(np.int64) if k != 1 else unstep(x) for k, x in enumerate(unsqueeze(pairs)))
+                opened, ranks, summed = (x.astype(np.int64) for x in unsqueeze(seats))
+                tables = _context_tables(plan, unstep(names), single + np.bincount(u, opened + 1, minlength=len(names)), heavy)
+                p = _word_values(head, wn, tail)[wi]
+                others = tables[u] - (opened + 1)
+                opened, ranks = reseat(c, (STRENGTH + d * others) * p, d * p, d, opened, ranks.astype(float), np.random.default_rng([sweep, shard]))
+                summed = summed + (opened + 1 if sweep else 0)
+                t = np.bincount(wi, opened + 1, minlength=len(wn)).astype(np.int64)
+                out.append((shard, contexts, pairs, squeeze(opened, ranks.astype(np.int64), summed), wn.view(np.int64), np.zeros(len(wn), np.int64), t))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _STATE.split(", ")])
+
+    return run
+
+
+def _heavy_tables(plan: Plan, state: DataFrame, column: str) -> np.ndarray:
+    """Tables of the split contexts over all shards; at most four a shard."""
+    if not len(plan.heavy):
+        return np.zeros(0)
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for contexts, pairs, seats in zip(batch["contexts"], batch["pairs"], batch["seats"]):
+                names, _, single = unsqueeze(contexts)
+                u = unsqueeze(pairs)[0].astype(np.int64)
+                opened, _, summed = (x.astype(np.int64) for x in unsqueeze(seats))
+                t = single + np.bincount(u, opened + 1 if column == "last" else summed / SAMPLES, minlength=len(single))
+                at, heavy = plan.find(unstep(names))
+                yield pd.DataFrame({"at": at[heavy], "t": t[heavy]})
+
+    out = np.zeros(len(plan.heavy))
+    for r in state.select("contexts", "pairs", "seats").mapInPandas(tables, "at long, t double").groupBy("at").agg(F.sum("t").alias("t")).collect():
+        out[r["at"]] = r["t"]
+    return out
+
+
+def _seat_words(spelling, d: float, tables: float, sweep: int):
+    """Reseat the words seen more than once; sum their customers and tables over the samples."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, batch in enumerate(batches):
             if not len(batch):
                 continue
-            p = batch["spelling"].to_numpy()
-            c, key = batch["served"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
-            seated = [seat(c, (STRENGTH + d * tables) * p, d, key, sample + s) for s in range(samples)]
-            yield batch[["h", "word", "served"]].assign(t=seated[-1].astype(np.int64), mean_t=np.mean(seated, axis=0), spelling=p)
+            p = spelling.value.words(batch["word"])
+            c = np.maximum(batch["served"].to_numpy(dtype=float), 1)
+            stored = [np.array(x if x is not None else [], dtype=float) for x in batch["ranks"]]
+            opened, ranks = carry(c, np.array([len(x) for x in stored], dtype=np.int64), np.concatenate(stored))
+            rng = np.random.default_rng([sweep, k, int(batch["h"].iloc[0]) & 0xFFFFFFFF])
+            opened, ranks = reseat(c, (STRENGTH + d * (tables - opened - 1)) * p, d * p, d, opened, ranks, rng)
+            kept = np.split(ranks.astype(np.int64), np.cumsum(opened)[:-1])
+            more = 1 if sweep else 0
+            yield batch.assign(p0=p, ranks=kept, t=opened + 1, sum_c=batch["sum_c"] + more * c, sum_t=batch["sum_t"] + more * (opened + 1))
 
     return run
 
 
-def _seat_pairs(d: float, sample: int, samples: int):
-    """Reseat pairs of more than one customer; ``new`` is the weight of a new table."""
+_WORDS = "h long, word binary, c long, served long, ranks array<long>, t long, sum_c double, sum_t double, p0 double"
+
 
+def _spelled(spelling, names: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            c, key, new = batch["c"].to_numpy(), batch["b"].to_numpy().view(np.uint64), batch["new"].to_numpy()
-            seated = [seat(c, new, d, key, sample + s) for s in range(samples)]
-            yield batch[["b", "u", "w", "c"]].assign(t=seated[-1].astype(np.int64), mean_t=np.mean(seated, axis=0))
+            yield batch.assign(p0=spelling.value.words(batch["word"]))[names.split()]
 
     return run
 
 
-_SCORED = "rid long, doc_id long, is_held_out boolean, h long, b long, n long, n_tokens long, n_known long, score double, base double"
+# Scores
 
+_SUMS = "n_tokens long, n_known long, score double, base double"
 
-def _score(model):
-    def counted(rids: np.ndarray, owner: np.ndarray, key: np.ndarray) -> pd.DataFrame:
-        by = np.lexsort((key, owner))
-        owner, key = owner[by], key[by]
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        return pd.DataFrame({"rid": rids[owner[new]], "key": key[new].view(np.int64), "n": np.diff(np.append(np.flatnonzero(new), len(by)))})
+
+def _score_texts(model):
+    """Sums per row over the pairs in the array; the other pairs packed by shard."""
+
+    def flush(parts: list[tuple], plan: Plan) -> Iterator[dict]:
+        rid, u, w = (np.concatenate(x) for x in zip(*parts))
+        docs, doc = np.unique(rid, return_inverse=True)
+        names, at = np.unique(np.concatenate((u, w)), return_inverse=True)
+        bits = np.uint64(max(len(docs) - 1, 1).bit_length())
+        names_bits = np.uint64(max(len(names) - 1, 1).bit_length())
+        code = (at[: len(u)].astype(np.uint64) << names_bits | at[len(u) :].astype(np.uint64)) << bits | doc.astype(np.uint64)
+        code, n = np.unique(code, return_counts=True)
+        doc, both = (code & np.uint64((1 << int(bits)) - 1)).astype(np.int64), code >> bits
+        u, w = (both >> names_bits).astype(np.int64), (both & np.uint64((1 << int(names_bits)) - 1)).astype(np.int64)
+        for shard, rows in _by_shard(names, u, w, plan):
+            (un, ui), (wn, wi), (dn, di) = _named(names, u[rows]), _named(names, w[rows]), _named(docs, doc[rows])
+            yield {"shard": shard, "blob": squeeze(un, np.diff(ui, prepend=0), wn, wi, dn, di, n[rows])}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, end, pairs = model.value
+        plan, pairs = model.value
+        held, size = [], 0
         for batch in batches:
-            rids = batch["rid"].to_numpy()
-            totals = np.zeros((len(batch), 4))
-            totals[:] = (1, end[0], end[1], end[2])
+            rids = batch["rid"].to_numpy().view(np.uint64) << np.uint64(1) | batch["train"].to_numpy(dtype=bool).astype(np.uint64)
+            sums = np.zeros((len(batch), 4))
             for picked, h, bounds, *_ in word_chunks(batch["text"]):
-                picked, n = np.array(picked), np.diff(bounds)
-                owner = np.repeat(np.arange(len(picked)), n)
-                row = head.find(h)
+                picked = np.array(picked, dtype=np.int64)
+                w = pairs_of(h, bounds)
+                u = np.concatenate((w[-1:], w[:-1]))
+                owner = np.repeat(picked, np.diff(bounds) + 1)
+                row = pairs.find(pair_key(u, w))
                 hit = row >= 0
-                values = head.values[row[hit]]
-                for k, w in ((1, None), (2, values[:, 0]), (3, values[:, 1])):
-                    totals[picked, k] += np.bincount(owner[hit], w, minlength=len(picked))
-                totals[picked, 0] += n
-                if len(out := counted(rids[picked], owner[~hit], h[~hit])):
-                    yield out.rename(columns={"key": "h"})
-                b, owner = pair_key(*pairs_of(h, bounds)), np.repeat(np.arange(len(picked)), n + 1)
-                row = pairs.find(b)
-                hit = row >= 0
-                totals[picked, 2] += np.bincount(owner[hit], pairs.values[row[hit]], minlength=len(picked))
-                if len(out := counted(rids[picked], owner[~hit], b[~hit])):
-                    yield out.rename(columns={"key": "b"})
-            yield pd.DataFrame({"rid": rids, "doc_id": batch["doc_id"].array, "is_held_out": batch["is_held_out"].array, "n_tokens": totals[:, 0].astype(np.int64), "n_known": totals[:, 1].astype(np.int64), "score": totals[:, 2], "base": totals[:, 3]})
+                values = pairs.values[row[hit]]
+                for k, x in enumerate((None, None, values[:, 0], values[:, 1])):
+                    sums[:, k] += np.bincount(owner[hit], x, minlength=len(batch))
+                if not hit.all():
+                    held.append((rids[owner[~hit]], u[~hit], w[~hit]))
+                    size += len(held[-1][0])
+                    if size > FLUSH:
+                        yield pd.DataFrame(flush(held, plan))
+                        held, size = [], 0
+            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums[:, 0], "n_known": sums[:, 1], "score": sums[:, 2], "base": sums[:, 3]})
+        if held:
+            yield pd.DataFrame(flush(held, plan))
+
+    columns = ["shard", "blob", "rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base"]
+    whole = {"shard": "Int32", "rid": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"}
+    return lambda batches: (part.reindex(columns=columns).astype(whole) for part in run(batches))
+
+
+def _score_shard(model, d: float):
+    """Sums per row over a shard's pairs, and the pairs that end in a word outside the array."""
+
+    def run(entries: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
+        plan, head, heavy = model.value
+        parts = [unsqueeze(b) for b in entries["blob"]]
+        us, ws = (np.unique(np.concatenate([unstep(p[k]) for p in parts])) for k in (0, 2))
+        u = np.concatenate([np.searchsorted(us, unstep(p[0]))[np.cumsum(p[1], dtype=np.int64)] for p in parts])
+        w = np.concatenate([np.searchsorted(ws, unstep(p[2]))[p[3].astype(np.int64)] for p in parts])
+        rid = np.concatenate([unstep(p[4])[p[5].astype(np.int64)] for p in parts])
+        n = np.concatenate([p[6] for p in parts]).astype(np.int64)
+        train, rid = (rid & np.uint64(1)).astype(bool), (rid >> np.uint64(1)).astype(np.int64)
+        code = u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+        kinds, at = np.unique(code, return_inverse=True)
+        c = np.bincount(at, n * train).astype(float)
+        t = np.minimum(c, 1.0)
+        back = np.ones(len(us))
+        total = np.zeros(len(us))
+        for contexts, pairs, seated in seats[["contexts", "pairs", "seats"]].itertuples(index=False, name=None):
+            names, tokens, single = unsqueeze(contexts)
+            names = unstep(names)
+            pu, wn, wi, _ = unsqueeze(pairs)
+            mean = unsqueeze(seated)[2] / SAMPLES
+            tables = _context_tables(plan, names, single + np.bincount(pu.astype(np.int64), mean, minlength=len(names)), heavy)
+            place, split = plan.find(names)
+            tokens = tokens.astype(float)
+            tokens[split] = plan.tokens[place[split]]
+            k = np.minimum(np.searchsorted(names, us), len(names) - 1)
+            own = names[k] == us
+            back[own] = ((STRENGTH + d * tables) / (STRENGTH + tokens))[k[own]]
+            total[own] = tokens[k[own]]
+            # A pair's tables: its place among this shard's pairs of more than one customer.
+            if len(pu):
+                wn = unstep(wn)
+                iu, iw = np.searchsorted(us, names[pu.astype(np.int64)]), np.searchsorted(ws, wn[wi.astype(np.int64)])
+                iu, iw = np.minimum(iu, len(us) - 1), np.minimum(iw, len(ws) - 1)
+                there = (us[iu] == names[pu.astype(np.int64)]) & (ws[iw] == wn[wi.astype(np.int64)])
+                want = iu.astype(np.uint64) << np.uint64(32) | iw.astype(np.uint64)
+                j = np.minimum(np.searchsorted(kinds, want), len(kinds) - 1)
+                there &= kinds[j] == want
+                t[j[there]] = mean[there]
+        ku, kw = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(2**32 - 1)).astype(np.int64)
+        own = np.maximum(c - d * t, 0.0) / (STRENGTH + total[ku])
+        row = head.find(ws)
+        values = np.append(head.values, np.zeros((1, 2), np.float32), axis=0)[row]
+        p, base = values[:, 0].astype(float), values[:, 1].astype(float)
+        score = np.log10(np.maximum(own + back[ku] * p[kw], 1e-300))
+        known = (row >= 0)[kw][at]
+        rids, doc = np.unique(rid[known], return_inverse=True)
+        sums = {"n_tokens": n[known], "n_known": n[known], "score": n[known] * score[at[known]], "base": n[known] * base[kw[at[known]]]}
+        out = pd.DataFrame({"rid": rids} | {k: np.bincount(doc, v, minlength=len(rids)) for k, v in sums.items()})
+        rest = pd.DataFrame({"rid": rid[~known], "h": ws[kw[at[~known]]].view(np.int64), "n": n[~known], "own": own[at[~known]], "back": back[ku[at[~known]]]})
+        whole = {k: "Int64" for k in ("n_tokens", "n_known", "h", "n")}
+        return pd.concat([x.reindex(columns=_PARTS).astype(whole) for x in (out, rest)])
+
+    return run
+
+
+_PARTS = ["rid", "n_tokens", "n_known", "score", "base", "h", "n", "own", "back"]
+
 
-    def shaped(batches):
-        names = [x.split()[0] for x in _SCORED.split(", ")]
-        for out in run(batches):
-            out = out.reindex(columns=names)
-            yield out.astype({x: "Int64" for x in ("rid", "doc_id", "h", "b", "n", "n_tokens", "n_known")} | {"is_held_out": "boolean"})
+def _array(rows: DataFrame, key: str, values: list[str]) -> HashArray:
+    """Rows of a bounded table as an array."""
+    top = rows.select(key, *values).toArrow().to_pandas()
+    return HashArray(top[key].to_numpy().astype(np.int64).view(np.uint64), top[values].to_numpy(dtype=float).reshape(len(top), len(values)))
 
-    return shaped
 
+def _pair_rows(model, d: float, least: int):
+    """(b, score, base) of a shard's pairs of at least ``least`` customers that end in a word of the array."""
 
-def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Score ``docs`` (doc_id, text, is_held_out) with a model of ``training`` (text)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, head, heavy = model.value
+        for batch in batches:
+            for contexts, pairs, seats in zip(batch["contexts"], batch["pairs"], batch["seats"]):
+                names, tokens, single = unsqueeze(contexts)
+                names = unstep(names)
+                u, wn, wi, c = (x.astype(np.int64) if k != 1 else unstep(x) for k, x in enumerate(unsqueeze(pairs)))
+                mean = unsqueeze(seats)[2] / SAMPLES
+                tables = _context_tables(plan, names, single + np.bincount(u, mean, minlength=len(names)), heavy)
+                at, split = plan.find(names)
+                tokens = tokens.astype(float)
+                tokens[split] = plan.tokens[at[split]]
+                row = head.find(wn)
+                keep = (c >= least) & (row[wi] >= 0)
+                u, wi, c, mean = u[keep], wi[keep], c[keep], mean[keep]
+                values = np.append(head.values, np.zeros((1, 2), np.float32), axis=0)[row][wi]
+                p = (c - d * mean + (STRENGTH + d * tables[u]) * values[:, 0]) / (STRENGTH + tokens[u])
+                yield pd.DataFrame({"b": pair_key(names[u], wn[wi]).view(np.int64), "score": np.log10(p), "base": values[:, 1].astype(float)})
+
+    return run
+
+
+def _levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Histogram of the pairs' counts for the choice of the array: sixteen steps an octave."""
+    for batch in batches:
+        for pairs in batch["pairs"]:
+            kinds, n = np.unique(unsqueeze(pairs)[3], return_counts=True)
+            yield pd.DataFrame({"c": kinds.astype(np.int64), "step": np.floor(np.log2(np.maximum(kinds, 1)) * 16).astype(np.int64), "n": n})
+
+
+def _cutoff(state: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` pairs reach."""
+    levels = state.select("pairs").mapInPandas(_levels, "c long, step long, n long").groupBy("step").agg(F.sum("n").alias("n"), F.min("c").alias("least"))
+    total, cutoff = 0, np.iinfo(np.int64).max
+    for r in levels.orderBy(F.desc("step")).collect():  # a few hundred rows
+        total += r["n"]
+        if total > most:
+            break
+        cutoff = r["least"]
+    return int(cutoff)
+
+
+def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame:
+    """Score ``docs`` (doc_id, text, is_held_out) with a model of those of its rows for which ``training`` holds."""
     spark = docs.sparkSession
-    text_batches(spark)
-    texts = training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = texts.mapInPandas(_count_words, "h long, word binary, c long")
-    words = cut(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("c").alias("c")), "lm-words")
-    of = words.agg(F.sum("c"), F.count("*")).first()
-    total, kinds = of[0] or 0, of[1]
-    pairs = texts.mapInPandas(_count_pairs, "b long, u long, w long, c long").groupBy("b")
-    pairs = cut(pairs.agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("c").alias("c")), "lm-pairs")
-    of = pairs.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    d2 = _discount(of[0], of[1])
-    # A pair of one customer has one table in every sample; only the others are seated.
-    single = F.count(F.when(F.col("c") == 1, 1))
-    outcomes = pairs.groupBy(F.col("w").alias("h")).agg(single.alias("once_w"), F.count("*").alias("served"))
-    contexts = pairs.groupBy(F.col("u").alias("h")).agg(single.alias("once_u"), F.count("*").alias("open"))
-    vocabulary = cut(words.join(outcomes, "h", "left").join(contexts, "h", "left").na.fill(0), "lm-vocabulary")
-    state = vocabulary.select("h", "word", "served", F.col("open").cast("double").alias("open"))
-    seated, tables = words.withColumn("t", F.lit(1).cast("long")), float(kinds)
-    d = open_ = inside = served = 0.0
-    for r in range(ROUNDS):
-        of = state.agg(F.sum("served"), F.count(F.when(F.col("served") == 1, 1)), F.count(F.when(F.col("served") == 2, 1))).first()
-        served, d = float(of[0] or 0), _discount(of[1], of[2])
-        spelling, grams = train_spelling(seated, r)
-        words = spell(state.select("h", "word", "served"), spark.sparkContext.broadcast(spelling), grams)
-        samples = SAMPLES if r == ROUNDS - 1 else 1
-        run = words.mapInPandas(_seat_words(d, tables, 100 * (r + 1), samples), "h long, word binary, served long, t long, mean_t double, spelling double")
-        seated = cut(run, "lm-seats")
-        of = seated.agg(F.sum("mean_t"), F.sum("spelling")).first()
-        tables, inside = float(of[0] or 0.0), float(of[1] or 0.0)
-        open_ = STRENGTH + d * tables
-        p = seated.select(F.col("h").alias("w"), ((F.col("served") - d * F.col("mean_t") + open_ * F.col("spelling")) / (STRENGTH + served)).alias("p"))
-        new = pairs.filter("c > 1").join(p, "w").join(state.select(F.col("h").alias("u"), "open"), "u")
-        new = new.select("b", "u", "w", "c", ((STRENGTH + d2 * F.col("open")) * F.col("p")).alias("new"))
-        tabled = cut(new.mapInPandas(_seat_pairs(d2, 1000 * (r + 1), samples), "b long, u long, w long, c long, t long, mean_t double"), "lm-pair-seats")
-        t_w = tabled.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("t_w"))
-        t_u = tabled.groupBy(F.col("u").alias("h")).agg(F.sum("mean_t").alias("t_u"))
-        both = vocabulary.join(t_w, "h", "left").join(t_u, "h", "left").na.fill(0)
-        state = cut(both.select("h", "word", (F.col("once_w") + F.col("t_w")).alias("served"), (F.col("once_u") + F.col("t_u")).alias("open")), "lm-state")
-
-    # A token's probability is (c - d2 t) / (strength + N) + back * p; back is the context's, p the word's.  The logarithms
-    # of back and p add up over a text's words, and a served pair adds the gain of its own customers over back * p.
-    back = (STRENGTH + d2 * F.col("open")) / (STRENGTH + F.col("c"))
-    known = p.withColumnRenamed("w", "h").join(vocabulary.select("h", "c"), "h").join(state.select("h", "open"), "h")
-    known = cut(known.select("h", "c", "p", "open", (F.log10("p") + F.log10(back)).alias("score")), "lm-model")
-    gains = pairs.filter("c = 1").withColumn("mean_t", F.lit(1.0)).select("b", "u", "w", "c", "mean_t").unionByName(tabled.select("b", "u", "w", "c", "mean_t"))
-    gains = gains.join(known.select(F.col("h").alias("w"), "p"), "w").join(known.select(F.col("h").alias("u"), "open"), "u")
-    gain = F.log10(1 + (F.col("c") - d2 * F.col("mean_t")) / ((STRENGTH + d2 * F.col("open")) * F.col("p")))
-    gains = cut(gains.select("b", "c", gain.alias("gain")), "lm-pair-model")
-    unserved = open_ * max(1.0 - inside, 1e-9) / (STRENGTH + served)
-    base = lambda c: (c + 1) / (total + kinds + 1)
-    top = most_frequent(known.filter(F.col("h") != END), "c", HEAD).select("h", "c", "score").toArrow().to_pandas()  # at most HEAD rows
-    values = np.stack([top["score"], np.log10(base(top["c"]))], axis=1) if len(top) else np.zeros((0, 2))
-    head = HashArray(top["h"].to_numpy().astype(np.int64).view(np.uint64), values)
-    top = most_frequent(gains, "c", PAIRS).select("b", "gain").toArrow().to_pandas()  # at most PAIRS rows
-    often = HashArray(top["b"].to_numpy().astype(np.int64).view(np.uint64), top["gain"].to_numpy(dtype=float))
-    # END stands for the context at a text's start as well, and is served once a text in both places.
-    stop = known.filter(F.col("h") == END).select("c", "score").first()
-    if stop:
-        end = (1, stop["score"], float(np.log10(base(stop["c"]))))
-    else:
-        end = (0, float(np.log10(unserved)), float(np.log10(base(0))))
-    model = spark.sparkContext.broadcast((head, end, often))
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "is_held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = cut(rows.mapInPandas(_score(model), _SCORED), "lm-parts")
-    tail = parts.filter("h is not null").select("rid", "h", "n").join(known.select("h", "c", F.col("score").alias("own")), "h", "left")
-    tail_score = F.coalesce("own", F.log10(F.lit(unserved))) * F.col("n")
-    tail_base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + kinds + 1))) * F.col("n")
-    tail = tail.select("rid", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("n_known"), tail_score.alias("score"), tail_base.alias("base"))
-    paired = parts.filter("b is not null").select("rid", "b", "n").join(gains.select("b", "gain"), "b")
-    paired = paired.select("rid", F.lit(0).alias("n_known"), (F.col("gain") * F.col("n")).alias("score"), F.lit(0.0).alias("base"))
-    tail = tail.unionByName(paired)
-    whole = parts.filter("h is null and b is null").select("rid", "doc_id", "is_held_out", "n_tokens", "n_known", "score", "base").unionByName(tail, allowMissingColumns=True)
-    out = whole.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("is_held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    )
+    share = spark.sparkContext.broadcast
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(training), F.lit(False)).alias("train"), "doc_id", F.col("is_held_out").alias("held_out"))
+
+    counted = texts.select("text", "train").mapInPandas(_count_words, "h long, word binary, c long, n long").groupBy("h")
+    words = cut(counted.agg(F.first("word").alias("word"), F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
+    of = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("n"), F.count_if(F.col("c") > 1), F.count_if(F.col("c") == 1)).first()
+    total, kinds, tokens, several, rare = (x or 0 for x in of)
+    plan = make_plan(words, tokens)
+    top = most_frequent(words.filter("c > 1").select("h", "c"), "c", HEAD)
+    busy = share(_array(top, "h", ["c"]))
+    whole = len(busy.value.values) == several
+
+    # Counts and first seating: every pair has one table.
+    dealt = texts.filter("train").select("text").mapInPandas(_list_pairs(share(plan)), "shard int, blob binary")
+    state = cut(dealt.groupBy("shard").applyInPandas(_open_shard(busy, whole), _STATE), "lm-seats")
+    by_word = F.explode(F.arrays_zip("words", "once", "tables")).alias("w")
+    first = state.select(by_word).select("w.*").groupBy(F.col("words").alias("h")).agg(F.sum("once").alias("once"), F.sum("tables").alias("tables"))
+    seated = words.filter("c > 1").select("h", "word", "c").join(first, "h", "left").na.fill(0, ["once", "tables"])
+    served = F.col("once") + F.col("tables")
+    fresh = [F.lit(None).cast("array<long>").alias("ranks"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum_c"), F.lit(0.0).alias("sum_t")]
+    seated = cut(seated.select("h", "word", "c", "once", served.alias("served"), *fresh), "lm-busy")
+    once_by_word = seated.select("h", "once")
+    of = seated.agg(F.sum("served"), F.count_if(F.col("served") == 1), F.count_if(F.col("served") == 2)).first()
+    d1 = _discount((of[1] or 0) + rare, of[2] or 0)
+    counts = state.select("contexts", "pairs").mapInPandas(_ones_and_twos, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
+    d2 = _discount(counts[0] or 0, counts[1] or 0)
+    rare_grams = cut(spelling_grams(words.filter("c = 1").select("word", F.lit(1).alias("t"))), "lm-rare-grams")
+
+    tables = float(several + rare)
+    spelling = None
+    for sweep in range(SAMPLES + 1):
+        grams = rare_grams.unionByName(spelling_grams(seated)).groupBy("code").agg(F.sum("n").alias("n"))
+        spelling = share(train_spelling(grams, sweep))
+        columns = _WORDS.replace(", p0 double", "").split(", ")
+        old, run = seated, _seat_words(spelling, d1, tables, sweep)
+        seated = cut(seated.select(*[x.split()[0] for x in columns], F.lit(0.0).alias("p0")).mapInPandas(run, _WORDS), "lm-busy")
+        of = seated.agg(F.sum("served"), F.sum("t")).first()
+        customers, tables = float((of[0] or 0) + rare), float((of[1] or 0) + rare)
+        p1 = (F.col("served") - d1 * F.col("t") + (STRENGTH + d1 * tables) * F.col("p0")) / (STRENGTH + customers)
+        ranked = seated.select("h", "c", p1.alias("p"))
+        if whole:
+            head, tails = _array(ranked, "h", ["p"]), state.withColumn("tail", F.lit(None).cast("array<struct<h:long,p:double>>"))
+        else:  # words outside the array come by join, for the shards that ask for them
+            head = _array(most_frequent(ranked, "c", HEAD), "h", ["p"])
+            asked = state.select("shard", F.explode("words").alias("h")).join(ranked.join(most_frequent(ranked, "c", HEAD).select("h"), "h", "left_anti"), "h")
+            tails = state.join(asked.groupBy("shard").agg(F.collect_list(F.struct("h", "p")).alias("tail")), "shard", "left")
+        model = share((plan, head, _heavy_tables(plan, state, "last")))
+        before = state
+        state = cut(tails.select("shard", "contexts", "pairs", "seats", "tail").mapInPandas(_reseat_shard(model, d2, sweep), _STATE), "lm-seats")
+        release(before)
+        now = state.select(by_word).select("w.*").groupBy(F.col("words").alias("h")).agg(F.sum("tables").alias("tables"))
+        if sweep < SAMPLES:
+            now = seated.drop("served", "p0").join(once_by_word, "h").join(now, "h", "left").na.fill(0, ["tables"])
+            seated = cut(now.select("h", "word", "c", served.alias("served"), "ranks", "t", "sum_c", "sum_t"), "lm-busy")
+            if sweep:
+                release(old)
+
+    # Averaged predictive probabilities of words: seen more often, once, and only in texts that did not train.
+    of = seated.agg(F.sum("sum_c"), F.sum("sum_t")).first()
+    customers, tables = (of[0] or 0.0) / SAMPLES + rare, (of[1] or 0.0) / SAMPLES + rare
+    others = words.filter("c <= 1").select("h", "c", "word").mapInPandas(_spelled(spelling, "h c p0"), "h long, c long, p0 double")
+    known = seated.select("h", "c", "p0", (F.col("sum_c") / SAMPLES).alias("served"), (F.col("sum_t") / SAMPLES).alias("t"))
+    once = F.col("c").cast("double")
+    known = known.unionByName(others.select("h", "c", "p0", once.alias("served"), once.alias("t")))
+    p1 = (F.col("served") - d1 * F.col("t") + (STRENGTH + d1 * tables) * F.col("p0")) / (STRENGTH + customers)
+    base = F.log10((F.col("c") + 1) / F.lit(float(total + kinds + 1)))
+    known = cut(known.select("h", "c", F.greatest(p1, F.lit(1e-300)).alias("p"), base.alias("base")), "lm-model")
+    head = _array(most_frequent(known.filter("c > 1"), "c", HEAD), "h", ["p", "base"])
+    model = share((plan, head, _heavy_tables(plan, state, "mean")))
+    often = _array(state.select("contexts", "pairs", "seats").mapInPandas(_pair_rows(model, d2, _cutoff(state, PAIRS)), "b long, score double, base double"), "b", ["score", "base"])
+
+    rows = texts.withColumn("rid", F.monotonically_increasing_id())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}"
+    parts = cut(rows.mapInPandas(_score_texts(share((plan, often))), schema), "lm-parts")
+    entries = parts.filter("shard is not null").select("shard", "blob").groupBy("shard")
+    seats = state.select("shard", "contexts", "pairs", "seats").groupBy("shard")
+    found = entries.cogroup(seats).applyInPandas(_only_with_entries(_score_shard(model, d2)), f"rid long, {_SUMS}, h long, n long, own double, back double")
+    found = cut(found.filter("rid is not null"), "lm-found")
+    tail = found.filter("h is not null").select("rid", "h", "n", "own", "back").join(known, "h", "left")
+    tail = tail.select("rid", F.col("n").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("own") + F.col("back") * F.col("p"))).alias("score"), (F.col("n") * F.col("base")).alias("base"))
+    sums = [x.split()[0] for x in _SUMS.split(", ")]
+    pieces = parts.filter("shard is null").select("rid", "doc_id", "held_out", *sums)
+    pieces = pieces.unionByName(found.filter("h is null").select("rid", *sums), allowMissingColumns=True).unionByName(tail, allowMissingColumns=True)
+    out = pieces.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in sums])
     per = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", per.alias("perplexity"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", per.alias("perplexity"))
+
+
+def _only_with_entries(score):
+    empty = pd.DataFrame({k: pd.Series([], dtype=float) for k in _PARTS})
+    return lambda entries, seats: score(entries, seats) if len(entries) else empty
+
+
+def _ones_and_twos(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for contexts, pairs in zip(batch["contexts"], batch["pairs"]):
+            yield pd.DataFrame({"ones": [int(unsqueeze(contexts)[2].sum(dtype=np.int64))], "twos": [int((unsqueeze(pairs)[3] == 2).sum())]})
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 7).alias("is_held_out"))
-    return score_texts(docs, docs.filter(~F.col("is_held_out")))
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 7).alias("is_held_out")))
 
 
 QUERIES = {"op3_lm_score": op3_lm_score}
