@@ -63,10 +63,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Send texts to Python in smaller batches than Spark's 10,000 rows, so that workers stay small with long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a working column that ``df`` does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of a key from which it is hot, and the most hot keys, whatever the number of rows.
+HOT_ROWS = 1000
+HOT_KEYS = 1 << 16
+
+
+def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and the number of its rows as ``count`` (dropped).
+
+    Keys that many rows hold are broadcast and meet their rows where these are: each has at least total / HOT_KEYS rows, so
+    there are HOT_KEYS of them at most.  All others are joined as usual.  Both tables are read twice, so cut them first.
+    """
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot, cold = (keyed.filter(f).drop(count) for f in (F.col(count) >= least, F.col(count) < least))
+    if how == "left":  # rows without a key in ``keyed`` come with the cold ones
+        rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+        return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, "left"))
+    return rows.join(F.broadcast(hot), keys, how).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how))
 
 
 def let(value: Column, body) -> Column:

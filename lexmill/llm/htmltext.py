@@ -1,17 +1,22 @@
 """Main text of web pages with site template removal.
 
 1. Every page is parsed into a light tree.  Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles and reader comments go by tag, role, class or id.  If the page marks an article or main part, only that stays.
+   styles and reader comments go by tag, role or, on container elements, by class and id words that name just that.  If
+   the page marks an article or main part, only that stays.
 2. Of the subtrees that stay, each is hashed, and Spark counts for every host and hash the different pages it appears on.
    Pages of equal kept text are copies of one page and count once, so they do not make its paragraphs a template.
-3. Subtrees that recur on many pages of a host are its template and are deleted from the pages that hold them.
+3. Subtrees that recur on many pages of a host are its template and are deleted from the pages that hold them.  Class and
+   id words that may also stand in an article (related, print, notice ...) decide nothing alone: they make a container
+   template from two pages on.
 
 Counting is a grouped aggregation with map-side counts on (host, subtree), so a host with a third of all pages is spread
-over its subtrees.  Only pages that hold template subtrees are looked up again; the others never shuffle.
+over its subtrees.  Only pages that hold template subtrees are looked up again; the others never shuffle.  Scanning is
+one pass without recursion, so depth and unclosed tags cost no more than their length.
 
-A block is the text between the borders of block elements; <br> is white space.  Defined results: a null or empty html
-has no blocks and gives an empty text; a null url is a host of its own; repeated rows are extracted row by row; an empty
-table gives an empty result; extra columns pass through, and columns named text or n_chars are replaced.
+A block is the text between the borders of block elements; <br> is white space.  As in browsers, a tag, comment or script
+that never ends takes the rest of the page.  Defined results: a null or empty html has no blocks and gives an empty text; a
+null url is a host of its own; repeated rows are extracted row by row; an empty table gives an empty result; extra columns
+pass through, and columns named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -26,21 +31,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, meet, spare, table
 
 #: A subtree is template when it appears on so many pages of its host that are not copies and on this share of them, or on
 #: MANY_PAGES however large the host is.
 MIN_PAGES = 8
 MIN_SHARE = 0.2
 MANY_PAGES = 100
+#: Pages from which a container with a doubtful name is template.
+DOUBTFUL_PAGES = 2
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"""[\s/]*([^\s/>=]+|=[^\s/>=]*)(?:\s*=\s*("|'|[^\s>"'][^\s>]*)?)?""")
+_GAP = re.compile(r"[\s/]*")
 #: Element names (fixed values).
+_RAW = frozenset("script style noscript template iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -48,69 +53,132 @@ _BLOCK = frozenset(
     "th thead tr ul caption title option select".split()
 )
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
-_GONE = frozenset("head nav footer aside form script style noscript template iframe svg math button select option input textarea label menu dialog object embed canvas audio video title".split())
+_GONE = _RAW | frozenset("head nav footer aside form button select option input textarea menu dialog object embed audio video title".split())
 _GONE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+_CONTAINER = frozenset("div section ul ol dl table details figure".split())
 _GONE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|gdpr|notice|banner|popup|modal|overlay|"
-    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|"
-    r"pagination|pager|toolbar|skip|print|copyright)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|sidebar|cookies?|consent|gdpr|popup|modal|overlay|"
+    r"ads?|advert\w*|adsense|sponsored|newsletter|comments?|replies|disqus|pagination|pager)(?:$|[\s_-])",
+    re.I,
+)
+_DOUBTFUL_NAME = re.compile(
+    r"(?:^|[\s_-])(?:header|aside|widget|notice|banner|promo\w*|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|respond|"
+    r"toolbar|skip|print|copyright|sponsor)(?:$|[\s_-])",
     re.I,
 )
-#: Inside the main part a header belongs to the article.
-_OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
-_ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+_ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_PAIRED = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 class Node:
     """``gone``: goes by tag or role; ``named``: by class or id, unless an article or main part lies inside."""
 
-    __slots__ = ("tag", "children", "gone", "named", "main")
+    __slots__ = ("tag", "children", "gone", "named", "doubtful", "main")
+
+    def __init__(self, tag: str, gone: bool = False, named: bool = False, doubtful: bool = False, main: bool = False):
+        self.tag, self.children, self.gone, self.named, self.doubtful, self.main = tag, [], gone, named, doubtful, main
+
+
+def scan(page: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """Texts ("", text, {}, False) and tags (kind, name, attributes, self-closed) of a page; kind is "<" or "/"."""
+    at, text, end = 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        mark, low = page[at + 1 : at + 2], page[at + 1 : at + 2] == "/"
+        if mark in ("!", "?") and mark:
+            close, size = ("-->", 3) if page.startswith("<!--", at) else (">", 1)
+            upto = page.find(close, at + 2)
+        elif m := _NAME.match(page, at + 1 + low):
+            name, attrs, upto = m[0].lower(), {}, -1
+            i = m.end()
+            while i < end:
+                i = _GAP.match(page, i).end()
+                if page[i : i + 1] == ">":
+                    upto, size = i, 1
+                    break
+                if not (a := _ATTR.match(page, i)):
+                    break
+                key, value, i = a[1].lower(), a[2], a.end()
+                if value in ("\"", "'"):
+                    close = page.find(value, i)
+                    if close < 0:
+                        break
+                    value, i = page[i:close], close + 1
+                attrs.setdefault(key, value or "")
+        else:
+            at += 1
+            continue
+        if at > text:
+            yield "", page[text:at], {}, False
+        if upto < 0:
+            return
+        here, at = at, upto + size
+        text = at
+        if mark in ("!", "?"):
+            continue
+        yield "/" if low else "<", name, attrs, page[upto - 1] == "/" and upto - 1 > here
+        if not low and name in _RAW:
+            m = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            if not m:
+                return
+            text = at = m.start()
+    if text < end:
+        yield "", page[text:], {}, False
+
+
+class _Open:
+    """The open elements and where each tag, block and main part stands among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks, self.mains = [root], {}, [], 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.mains += node.main
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
+            self.mains -= node.main
 
-    def __init__(self, tag: str, gone: bool = False, named: bool = False, main: bool = False):
-        self.tag, self.children, self.gone, self.named, self.main = tag, [], gone, named, main
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
 
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed paragraphs, list items and cells end where HTML ends them."""
     root = Node("#root")
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    stack = _Open(root)
+    for kind, tag, attrs, closed in scan(page):
+        if not kind:
+            stack.nodes[-1].children.append(tag)
             continue
-        tag = m[3].lower()
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            crosses = tag not in _BLOCK and any(n.tag in _BLOCK for n in stack[depth + 1 :])
-            if depth and not crosses:
-                del stack[depth:]
+        if kind == "/":
+            depth = stack.last(tag)
+            if depth and (tag in _BLOCK or not stack.blocks or stack.blocks[-1] <= depth):
+                stack.close(depth)
             continue
         if tag in _CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if depth and not any(n.tag in _BLOCK for n in stack[depth + 1 :]):
-                del stack[depth:]
+            depth = stack.last("p")
+            if depth and stack.blocks[-1] == depth:
+                stack.close(depth)
         if tag in _ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _ENDS[tag]:
-                    break
-                if stack[i].tag == tag or {stack[i].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    del stack[i:]
-                    break
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if "=" in m[4] else {}
-        role = attrs.get("role", "").lower()
-        inside = any(n.main for n in stack)
-        names = " ".join(attrs.get(k, "") for k in ("class", "id"))
-        names = _OWN_HEADER.sub(" ", names) if inside else names
-        named = tag not in ("html", "body", "article", "main") and bool(_GONE_NAME.search(names))
-        gone = tag in _GONE or role in _GONE_ROLE or (tag == "header" and not inside) or "hidden" in m[4].split()
-        node = Node(tag, gone, named, tag in ("article", "main") or role == "main")
-        stack[-1].children.append(node)
-        if tag not in _VOID and not m[4].endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        stack[-1].children.append(page[at:] if page[at:].lstrip()[:1] != "<" else "")
+            depth = stack.last(*_PAIRED.get(tag, (tag,)))
+            if depth > stack.last(*_ENDS[tag]):
+                stack.close(depth)
+        role, inside = attrs.get("role", "").lower(), stack.mains > 0
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}" if tag in _CONTAINER else ""
+        gone = tag in _GONE or role in _GONE_ROLE or (tag == "header" and not inside) or "hidden" in attrs
+        doubtful = bool(_DOUBTFUL_NAME.search(names))
+        node = Node(tag, gone, bool(_GONE_NAME.search(names)), doubtful, tag in ("article", "main") or role == "main")
+        stack.nodes[-1].children.append(node)
+        if tag not in _VOID and not closed:
+            stack.push(node)
     return root
 
 
@@ -118,55 +186,71 @@ def content_roots(root: Node) -> list[Node]:
     """The outermost article or main parts outside what goes, or the whole page without any."""
     found, todo = [], [root]
     while todo:
-        node = todo.pop(0)
+        node = todo.pop()
         if isinstance(node, str) or node.gone:
             continue
         if node.main:
-            articles, below = [], list(node.children)
+            articles, below = [], node.children[::-1]
             while node.tag != "article" and below:  # articles inside the main part stand for it
-                n = below.pop(0)
+                n = below.pop()
                 if isinstance(n, Node) and not (n.gone or n.named):
                     if n.tag == "article":
                         articles.append(n)
                     else:
-                        below = list(n.children) + below
+                        below += n.children[::-1]
             found += articles or [node]
         else:
-            todo = list(node.children) + todo
+            todo += node.children[::-1]
     return found or [root]
 
 
-def _blocks(node: Node, cut_hashes: frozenset, out: list[list[str]], seen: set | None) -> int:
-    """Append the blocks under ``node``; returns its subtree hash.  ``seen`` collects the hashes of block subtrees."""
-    if node.gone or node.named:
-        return 0
-    block = node.tag in _BLOCK
-    mark = len(out), len(out[-1])
-    if block:
-        out.append([])
-    parts = [node.tag]
-    for child in node.children:
+class _Frame:
+    """A node on the way: its place in the output and the parts of its hash."""
+
+    __slots__ = ("node", "children", "mark", "parts")
+
+    def __init__(self, node: Node, out: list[list[str]]):
+        self.node, self.children, self.mark, self.parts = node, iter(node.children), (len(out), len(out[-1])), [node.tag]
+        if node.tag in _BLOCK:
+            out.append([])
+
+
+def _blocks(root: Node, cut_hashes: frozenset, out: list[list[str]], seen: dict[int, bool] | None) -> None:
+    """Append the blocks under ``root``; ``seen`` collects the hashes of block subtrees and whether their name is doubtful."""
+    if root.gone or root.named:
+        return
+    frames = [_Frame(root, out)]
+    while frames:
+        frame = frames[-1]
+        child = next(frame.children, None)
         if isinstance(child, str):
             out[-1].append(child)
-            parts.append(" ".join(child.split()))
-        elif child.tag == "br":
-            out[-1].append(" ")
+            frame.parts.append(" ".join(child.split()))
+        elif child is not None:
+            if child.tag == "br":
+                out[-1].append(" ")
+            elif child.gone or child.named:
+                frame.parts.append("0")
+            else:
+                frames.append(_Frame(child, out))
         else:
-            parts.append(str(_blocks(child, cut_hashes, out, seen)))
-    own = xxhash.xxh3_64_intdigest("\x1f".join(parts))
-    own -= (own >> 63) << 64
-    if block and node.tag not in ("html", "body", "article", "main") and any(p for p in parts[1:]):
-        if seen is not None:
-            seen.add(own)
-        if own in cut_hashes:
-            del out[mark[0] :]
-            del out[-1][mark[1] :]
-    if block:
-        out.append([])
-    return own
-
-
-def main_text(page: str, cut_hashes: frozenset = frozenset(), seen: set | None = None) -> str:
+            frames.pop()
+            node = frame.node
+            own = xxhash.xxh3_64_intdigest("\x1f".join(frame.parts))
+            own -= (own >> 63) << 64
+            if node.tag in _BLOCK:
+                if node.tag not in ("html", "body", "article", "main") and any(frame.parts[1:]):
+                    if seen is not None:
+                        seen[own] = seen.get(own, False) or node.doubtful
+                    if own in cut_hashes:
+                        del out[frame.mark[0] :]
+                        del out[-1][frame.mark[1] :]
+                out.append([])
+            if frames:
+                frames[-1].parts.append(str(own))
+
+
+def main_text(page: str, cut_hashes: frozenset = frozenset(), seen: dict[int, bool] | None = None) -> str:
     out: list[list[str]] = [[]]
     for root in content_roots(parse(page)):
         out.append([])
@@ -180,10 +264,10 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for rid, host, page in zip(batch["rid"], batch["host"], batch["html"]):
-            seen: set[int] = set()
+            seen: dict[int, bool] = {}
             kept = xxhash.xxh3_64_intdigest(main_text(page, seen=seen)) >> 1
-            rows += [(rid, host, h, kept) for h in seen]
-        yield pd.DataFrame(rows, columns=["rid", "host", "h", "kept"])
+            rows += [(rid, host, h, doubtful, kept) for h, doubtful in seen.items()]
+        yield pd.DataFrame(rows, columns=["rid", "host", "h", "doubtful", "kept"])
 
 
 @F.pandas_udf(T.StringType())
@@ -195,20 +279,32 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
+def templates(found: DataFrame, min_pages: int, min_share: float, many_pages: int) -> DataFrame:
+    """(host, h, rows) of the template subtrees of (host, h, doubtful, kept).
+
+    A share decides only below ``many_pages``, so only the sizes of hosts of fewer pages than that share allows are needed.
+    """
+    counts = found.groupBy("host", "h").agg(F.count_distinct("kept").alias("n"), F.max("doubtful").alias("doubtful"), F.count("*").alias("rows"))
+    counts = cut(counts.filter((F.col("n") >= min_pages) | (F.col("doubtful") & (F.col("n") >= DOUBTFUL_PAGES))), "subtree-counts")
+    sizes = found.select("host", "kept").distinct().groupBy("host").agg(F.count("*").alias("size")).filter(F.col("size") <= many_pages / max(min_share, 1e-9))
+    wide = counts.filter((F.col("n") >= many_pages) | F.col("doubtful")).select("host", "h", "rows")
+    shared = counts.filter((F.col("n") >= min_pages) & (F.col("n") < many_pages)).join(sizes, "host").filter(F.col("n") >= min_share * F.col("size"))
+    return wide.unionByName(shared.select("host", "h", "rows")).distinct()
+
+
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``pages`` with the columns text and n_chars."""
-    pages = pages.drop("text", "n_chars", "_rid", "_cuts")
+    pages = pages.drop("text", "n_chars")
+    own, held = spare(pages, "rid"), spare(pages, "cuts")
     page = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rid = F.xxhash64(F.col("page_id").cast("string"), "url", page)
     rows = pages.select(rid.alias("rid"), host_of(F.col("url")).alias("host"), page.alias("html"))
-    found = cut(rows.mapInPandas(_subtrees, "rid long, host string, h long, kept long"), "subtrees")
-    sizes = found.select("host", "kept").distinct().groupBy("host").agg(F.count("*").alias("size"))
-    common = found.select("host", "h", "kept").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    wide = (F.col("n") >= min_share * F.col("size")) | (F.col("n") >= many_pages)
-    template = cut(common.join(sizes, "host").filter(wide).select("host", "h"), "template")
-    cuts = cut(found.join(template, ["host", "h"], "left_semi").groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("h").alias("_cuts")), "template-cuts")
-    out = pages.withColumn("_rid", rid).join(cuts, "_rid", "left").withColumn("text", _extract(page, "_cuts"))
-    return out.drop("_rid", "_cuts").withColumn("n_chars", F.length("text").cast("long"))
+    found = cut(rows.mapInPandas(_subtrees, "rid long, host string, h long, doubtful boolean, kept long"), "subtrees")
+    template = cut(templates(found, min_pages, min_share, many_pages), "template")
+    held_by = meet(found, template, ["host", "h"], "rows", "left_semi")
+    cuts = cut(held_by.groupBy(F.col("rid").alias(own)).agg(F.collect_set("h").alias(held)), "template-cuts")
+    out = pages.withColumn(own, rid).join(cuts, own, "left").withColumn("text", _extract(page, held))
+    return out.drop(own, held).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

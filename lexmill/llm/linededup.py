@@ -1,19 +1,21 @@
 """Line deduplication with two Bloom filters.
 
-1. One pass over the texts lists a 128-bit digest of every long line key, once per document.
-2. The digests' leading 64 bits are dealt out by value.  Every task runs them through two Bloom filters, one for hashes
-   seen once and one for hashes seen twice, and reports the hashes that the second filter holds: the suspected repeats.
-   Batches are reduced to distinct hashes before they are dealt, so a line in a third of all documents costs a task one
-   row a batch.
-3. Only suspected repeats shuffle for exact confirmation: distinct documents per digest and the largest doc_id.
+1. One pass over the texts sets, for every distinct long line of a document, the bits of its key's hashes.  A bit set by
+   one line goes into the once-seen filter, one set by two lines of different documents into the twice-seen filter.
+   Tasks send the set bits of each segment of the filters as gaps, so what moves is a few bytes a line and no line.
+2. Segments are merged by a tree of bounded groups: set in either part is set, set once in two parts is set twice.
+   The twice-seen filter comes to all tasks; its size follows the length of all texts up to a stated bound.
+3. A second pass tests every line.  Only those that the twice-seen filter holds, the suspected repeats, shuffle by their
+   128-bit digest for exact confirmation: distinct documents, and the largest doc_id, which keeps the line.
 4. Documents with lines to drop are rewritten.
 
-The filters have a fixed size per task; a filter that fills up only sends more lines to the exact step.
+A filter at its bound that fills up only sends more lines to the exact step.  Confirmed lines of very many documents, a
+bounded number, are looked up where the suspects are, so that no task meets all of them.
 
 Defined results: a null or empty text is one empty line and is returned as an empty text; lines shorter than the minimum
 never count; a document with a null id is not counted as holding a line; repeated rows with one doc_id are one document
-and all keep or lose the same lines; an empty table gives an empty result; other columns pass through, and columns named
-n_lines or n_dropped are replaced.
+and all keep or lose the same lines; doc_id may have any type that has an order; a text of any length is read whole; an
+empty table gives an empty result; other columns pass through, and columns named n_lines or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -23,15 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table, text_batches
+from lexmill.llm.common import cut, meet, spare, table
+from lexmill.llm.packing import squeeze, steps, unsqueeze, unstep
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-FILTER_BITS = 1 << 24
+#: Bits a possible line, hashes a line, least and most bits of a filter (the most take 128 MB in every task's memory).
+BITS_PER_LINE = 4
+PROBES = 2
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+#: Bits of a segment, set bits gathered before they are sent, and parts merged at a time.
+SEGMENT = 1 << 20
+FLUSH = 1 << 21
+MERGE = 64
 _WS = " \t\n\x0b\x0c\r"
 
 
@@ -44,63 +54,102 @@ def line_keys(text: str, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def _list_keys(min_chars: int):
+def _probes(keys: list[bytes], bits: int) -> np.ndarray:
+    """The bits of each key, one column a hash."""
+    return np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)[:, :PROBES] & np.uint64(bits - 1)
+
+
+def _segments(once: np.ndarray, twice: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Sorted set bits by segment."""
+    edges = [np.unique(x // SEGMENT) for x in (once, twice)]
+    for s in np.unique(np.concatenate(edges)).tolist():
+        parts = [x[np.searchsorted(x, s * SEGMENT) : np.searchsorted(x, (s + 1) * SEGMENT)] - np.uint64(s * SEGMENT) for x in (once, twice)]
+        yield s, squeeze(*map(steps, parts))
+
+
+def _set_bits(min_chars: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def flush():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame(_segments(at, at[n > 1]), columns=["segment", "blob"])
+
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                own = set(line_keys(text, min_chars)) - {None}
-                ids += [doc_id] * len(own)
-                keys += own
-            heads = np.frombuffer(b"".join(k[:8] for k in keys), dtype="<i8")
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "h": heads, "key": keys})
+            for text in batch["text"]:
+                if own := set(line_keys(text, min_chars)) - {None}:
+                    held.append(np.unique(_probes(list(own), bits)))
+                    size += len(held[-1])
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
     return run
 
 
-def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        h, n = np.unique(batch["h"].to_numpy(), return_counts=True)
-        yield pd.DataFrame({"h": h, "again": n > 1})
+def _merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+    once, twice = np.zeros(SEGMENT, dtype=bool), np.zeros(SEGMENT, dtype=bool)
+    for blob in rows["blob"]:
+        one, two = (unstep(x) for x in unsqueeze(blob))
+        twice[one[once[one]]] = True
+        twice[two] = True
+        once[one] = True
+    return pd.DataFrame({"segment": [key[0]], "part": [key[1]], "blob": [squeeze(*(steps(np.flatnonzero(x).astype(np.uint64)) for x in (once, twice)))]})
 
 
-def _suspects(bits: int):
-    mask = np.uint64(bits - 1)
+def twice_seen(texts: DataFrame, min_chars: int, bits: int) -> np.ndarray:
+    """The twice-seen filter of (text), eight bits a byte."""
+    parts = texts.mapInPandas(_set_bits(min_chars, bits), "segment int, blob binary").withColumn("part", F.spark_partition_id())
+    for _ in range(3):
+        parts = parts.groupBy("segment", F.floor(F.col("part") / MERGE).alias("part")).applyInPandas(_merge, "segment int, part long, blob binary")
+    merged = parts.select("segment", "part", "blob").groupBy("segment", F.lit(0)).applyInPandas(_merge, "segment int, part long, blob binary")
+    packed = np.zeros(bits // 8, dtype=np.uint8)
+    for r in merged.toLocalIterator():  # a row a segment, MOST_BITS / SEGMENT at most
+        out = np.zeros(SEGMENT, dtype=bool)
+        out[unstep(unsqueeze(r["blob"])[1]).astype(np.int64)] = True
+        packed[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = np.packbits(out, bitorder="little")
+    return packed
 
-    def probes(h: np.ndarray) -> np.ndarray:
-        u = h.view(np.uint64)
-        mixed = (u ^ (u >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        return np.stack([(mixed >> np.uint64(s)) & mask for s in (3, 21, 37)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
-        seen = []
-        for batch in batches:
-            h, first, n = np.unique(batch["h"].to_numpy(), return_index=True, return_counts=True)
-            again = batch["again"].to_numpy()
-            repeated = np.zeros(len(h), dtype=bool)
-            repeated[np.searchsorted(h, batch["h"].to_numpy()[again])] = True
-            at = probes(h)
-            twice[at[:, once[at].all(axis=0) | (n > 1) | repeated]] = True
-            once[at] = True
-            seen.append(h)
-        if seen:
-            h = np.unique(np.concatenate(seen))
-            yield pd.DataFrame({"h": h[twice[probes(h)].all(axis=0)]})
+def _suspects(twice, min_chars: int, bits: int):
+    @F.pandas_udf(T.ArrayType(T.BinaryType()))
+    def keys(text: pd.Series) -> pd.Series:
+        def of(t: str) -> list[bytes]:
+            own = list(set(line_keys(t, min_chars)) - {None})
+            if not own:
+                return []
+            at = _probes(own, bits)
+            hit = (twice.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+            return [k for k, h in zip(own, hit) if h]
 
-    return run
+        return text.map(of)
+
+    return keys
+
+
+def _text(column: Column | str = "text") -> Column:
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+
+
+def filter_bits(chars: int, min_chars: int) -> int:
+    """Bits for texts of so many characters: a power of two for BITS_PER_LINE of the lines that they can hold."""
+    lines = BITS_PER_LINE * chars // (min_chars + 1)
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(lines - 1, 1).bit_length()))
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int | None = None) -> DataFrame:
     """(doc_id, key) of every line to drop: its key is in ``min_docs`` documents and doc_id is not the largest of them."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = cut(texts.mapInPandas(_list_keys(min_chars), "doc_id long, h long, key binary"), "line-keys")
-    dealt = lines.select("h").mapInPandas(_thin, "h long, again boolean").repartition("h")
-    suspects = cut(dealt.mapInPandas(_suspects(bits), "h long"), "line-suspects")
-    held = cut(lines.join(suspects, "h", "left_semi").select("doc_id", "key").distinct(), "line-repeats")
-    confirmed = held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    confirmed = cut(confirmed.select("key", "keeper"), "line-confirmed")
-    return held.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key")
+    if not bits:
+        bits = filter_bits(docs.agg(F.sum(F.length("text"))).first()[0] or 0, min_chars)
+    texts = docs.select("doc_id", _text().alias("text"))
+    twice = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), min_chars, bits))
+    held = texts.select("doc_id", F.explode(_suspects(twice, min_chars, bits)("text")).alias("key"))
+    held = cut(held, "line-suspects")
+    confirmed = held.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"), F.count("*").alias("rows")).filter(F.col("n") >= min_docs)
+    confirmed = cut(confirmed.select("key", "keeper", "rows"), "line-confirmed")
+    return meet(held, confirmed, ["key"], "rows").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key")
 
 
 _REWRITTEN = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -120,17 +169,17 @@ def _rewrite(text: pd.Series, drops: pd.Series, min_chars: pd.Series) -> pd.Data
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int | None = None) -> DataFrame:
     """``docs`` with repeated lines dropped from ``text``, and the counts n_lines and n_dropped."""
-    text_batches(docs.sparkSession)
-    drops = repeated_lines(docs, min_docs, min_chars, bits).groupBy("doc_id").agg(F.collect_list("key").alias("_ld_keys"))
-    drops = cut(drops.select(F.col("doc_id").alias("_ld_id"), "_ld_keys"), "line-drops")
+    own, keys, new = (spare(docs, x) for x in ("id", "keys", "new"))
+    drops = repeated_lines(docs.select("doc_id", "text"), min_docs, min_chars, bits).groupBy("doc_id").agg(F.collect_set("key").alias(keys))
+    drops = cut(drops.select(F.col("doc_id").alias(own), keys), "line-drops")
     # Always by shuffle, so that disk and time follow the input in one way at every size.
-    out = docs.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
-    out = out.withColumn("_ld", _rewrite(F.coalesce(F.col("text").cast("string"), F.lit("")), "_ld_keys", F.lit(min_chars)))
+    out = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
+    out = out.withColumn(new, _rewrite(_text(), keys, F.lit(min_chars)))
     for name in ("text", "n_lines", "n_dropped"):
-        out = out.withColumn(name, F.col(f"_ld.{name}"))
-    return out.drop("_ld", "_ld_keys")
+        out = out.withColumn(name, F.col(f"{new}.{name}"))
+    return out.drop(new, keys)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

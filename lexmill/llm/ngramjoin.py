@@ -12,14 +12,16 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of five-wo
    candidate sets: short inverted lists are heap-merged, long ones probed by bisection, and candidates that reach the
    required overlap remain.  A dense group of copies thus costs a search per member, not per pair.
 4. A linked pair in different components shares more than (3n // 32) lists that hold several components.  Documents in
-   fewer of these drop out again; what is left falls into clusters of documents joined by such lists.  Within a cluster,
-   the documents outside its largest component are searched against all others, in blocks of bounded size, each query
-   by the same T-occurrence search; a query reports one link to each other component.
+   fewer of these drop out again; what is left falls into clusters of documents joined by such lists.  Linked sets are of
+   like size, so a cluster falls into bands of sizes, and a document meets its own band and the next ones only.  Within
+   these, the documents outside the cluster's largest component are searched against all others, in blocks of bounded
+   size, each query by the same T-occurrence search; a query reports one link to each other component.
 5. Components come from large-star and small-star rounds.
 
 Defined results: null, empty or blank texts have no shingle, and their component is their own doc_id; repeated rows are
 folded like other copies; a null doc_id is never a component's name unless all its members have none; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; doc_id may have any type that has an order; a text of any length is read whole; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table, text_batches
+from lexmill.llm.common import cut, table
 from lexmill.llm.hasharray import most_frequent
 from lexmill.llm.tokens import shingle_sets
 
@@ -46,6 +48,8 @@ TOP = 1 << 20
 #: Leading bits of a shingle hash that are counted, and that stand in a list.  Equal short hashes only add a search.
 COUNT_BITS, LIST_BITS = 36, 44
 FLUSH = 1 << 22
+SHARD = 1 << 21
+CHARS_PER_SHINGLE = 5
 #: Weight of probing against merging in the choice of long lists.
 MU = 0.01
 #: Shingles of one block of queries or candidates, and rounds of dropping documents in too few lists.
@@ -62,9 +66,9 @@ def prefix_size(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1 + n // 8
 
 
-def _shard_bits(spark: SparkSession) -> int:
-    """Enough shards for the shuffle's partitions; fewer make larger and so better packed blobs."""
-    return min(14, max(5, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+def _shard_bits(chars: int) -> int:
+    """Shards of about SHARD shingles in texts of so many characters, whatever the number of the shuffle's partitions."""
+    return min(20, max(5, (chars // CHARS_PER_SHINGLE // SHARD).bit_length()))
 
 
 def _short(h: np.ndarray, bits: int) -> np.ndarray:
@@ -126,15 +130,10 @@ def _count_packed(shard_bits: int):
 
 
 def _frequent(shard_bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for s, blob in zip(batch["shard"], batch["blob"]):
-                held.setdefault(s, []).append(_unpack(blob))
-        for s in list(held):
-            h, n = np.unique(np.concatenate(held.pop(s)), return_counts=True)
-            often = n >= FREQUENT
-            yield pd.DataFrame({"h": (h[often] | np.uint64(s << (COUNT_BITS - shard_bits))).astype(np.int64), "n": n[often].astype(np.int64)})
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate([_unpack(b) for b in rows["blob"]]), return_counts=True)
+        often = n >= FREQUENT
+        return pd.DataFrame({"h": (h[often] | np.uint64(key[0] << (COUNT_BITS - shard_bits))).astype(np.int64), "n": n[often].astype(np.int64)})
 
     return run
 
@@ -191,25 +190,23 @@ def _prefixes(frequent, shard_bits: int):
 
 
 def _lists(shard_bits: int):
-    """(sig, fp, n) of all inverted lists with at least two members."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for s, blob, owner, fps, sizes in batch[["shard", "blob", "owner", "fps", "sizes"]].itertuples(index=False, name=None):
-                low = _unpack(blob)
-                o = np.frombuffer(owner, dtype=np.uint16 if len(owner) == 2 * len(low) else np.uint32)
-                held.setdefault(s, []).append((low, np.frombuffer(fps, dtype=np.int64)[o], np.frombuffer(sizes, dtype=np.int32)[o]))
-        for s in list(held):
-            h, fp, n = (np.concatenate(x) for x in zip(*held.pop(s)))
-            by = np.lexsort((fp, h))
-            h, fp, n = h[by], fp[by], n[by]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
-            h, fp, n = h[new], fp[new], n[new]
-            same = h[1:] == h[:-1]
-            more = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            yield pd.DataFrame({"sig": (h[more] | np.uint64(s << (LIST_BITS - shard_bits))).astype(np.int64), "fp": fp[more], "n": n[more].astype(np.int64)})
+    """(sig, fp, n) of all inverted lists of a shard with at least two members."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        held = []
+        for blob, owner, fps, sizes in rows[["blob", "owner", "fps", "sizes"]].itertuples(index=False, name=None):
+            low = _unpack(blob)
+            o = np.frombuffer(owner, dtype=np.uint16 if len(owner) == 2 * len(low) else np.uint32)
+            held.append((low, np.frombuffer(fps, dtype=np.int64)[o], np.frombuffer(sizes, dtype=np.int32)[o]))
+        h, fp, n = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((fp, h))
+        h, fp, n = h[by], fp[by], n[by]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
+        h, fp, n = h[new], fp[new], n[new]
+        same = h[1:] == h[:-1]
+        more = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        return pd.DataFrame({"sig": (h[more] | np.uint64(key[0] << (LIST_BITS - shard_bits))).astype(np.int64), "fp": fp[more], "n": n[more].astype(np.int64)})
 
     return run
 
@@ -307,15 +304,24 @@ def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     named = cut(named.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "jaccard-clusters")
     members = cut(rows.select("fp", "n", "component").distinct().join(named, "component"), "jaccard-members")
     sizes = members.groupBy("cluster", "component").agg(F.sum("n").alias("size"))
-    plan = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    pieces = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK_SHINGLES).cast("int")
-    plan = cut(plan.select("cluster", "largest", pieces(F.col("all")).alias("n_i"), pieces(F.col("all") - F.col("most")).alias("n_q")), "jaccard-plan")
-    held = members.join(plan, "cluster").join(sets, "fp")
+    largest = cut(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest")), "jaccard-largest")
+    # Sets of n and m shingles, n < m, link only if n >= 3m / 4: bands of this ratio link with themselves and their neighbours.
+    members = members.join(largest, "cluster").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int"))
+    outside = F.col("component") != F.col("largest")
+    per = cut(members.groupBy("cluster", "band").agg(F.sum("n").alias("all"), F.sum(F.when(outside, F.col("n"))).alias("asking")), "jaccard-bands")
+    pieces = lambda c: F.ceil(F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)) / BLOCK_SHINGLES).cast("int")
+    plan = per.select("cluster", "band", pieces(F.col("all")).alias("n_i"), F.when(F.col("asking") > 0, pieces(F.col("asking"))).alias("n_q"))
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+    held = members.join(sets, "fp")
     part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = held.filter("component <> largest").select("cluster", part("n_q").alias("qb"), each("n_i").alias("ib"), "fp", "component", "shingles")
-    others = held.select("cluster", part("n_i").alias("ib"), each("n_q").alias("qb"), "fp", "component", "shingles")
-    keys = ["cluster", "qb", "ib"]
+    # A query names the band it stems from; every candidate of the bands around it meets it in one block.
+    asking = held.filter(outside).join(plan.select("cluster", "band", "n_q"), ["cluster", "band"]).select("cluster", F.col("band").alias("qband"), near.alias("band"), part("n_q").alias("qb"), "fp", "component", "shingles")
+    queries = asking.join(plan.select("cluster", "band", "n_i"), ["cluster", "band"]).select("cluster", "qband", "band", "qb", each("n_i").alias("ib"), "fp", "component", "shingles")
+    asked = held.join(plan.select("cluster", "band", "n_i"), ["cluster", "band"]).select("cluster", "band", near.alias("qband"), part("n_i").alias("ib"), "fp", "component", "shingles")
+    counts = plan.filter("n_q is not null").select("cluster", F.col("band").alias("qband"), "n_q")
+    others = asked.join(counts, ["cluster", "qband"]).select("cluster", "qband", "band", each("n_q").alias("qb"), "ib", "fp", "component", "shingles")
+    keys = ["cluster", "qband", "band", "qb", "ib"]
     queries, others = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (queries, others))  # columns of their own
     return queries.groupBy(keys).cogroup(others.groupBy(keys)).applyInPandas(_search_blocks, "a long, b long")
 
@@ -347,7 +353,7 @@ def _shingle_bytes(text: pd.Series) -> pd.DataFrame:
 
 def row_key() -> Column:
     """A key of a row's doc_id and text; rows that share it are copies of one row."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("doc_id").isNull())
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.col("doc_id").isNull())
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -358,23 +364,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def jaccard_rows(docs: DataFrame) -> DataFrame:
     """jaccard_join with each row's key and cluster: unlike a doc_id, a cluster is never that of unlinked texts."""
     spark = docs.sparkSession
-    text_batches(spark)
-    texts = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(row_key().alias("key"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    bits = _shard_bits(spark)
-    counted = texts.select("text").mapInPandas(_count_packed(bits), "shard int, blob binary").repartition("shard")
-    top = cut(counted.mapInPandas(_frequent(bits), "h long, n long"), "jaccard-frequent")
+    bits = _shard_bits(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    counted = texts.select("text").mapInPandas(_count_packed(bits), "shard int, blob binary")
+    top = cut(counted.groupBy("shard").applyInPandas(_frequent(bits), "h long, n long"), "jaccard-frequent")
     top = most_frequent(top, "n", TOP).toArrow().to_pandas().sort_values("h")  # at most TOP rows
     frequent = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.uint64), top["n"].to_numpy()))
 
-    packed = texts.select("text").mapInPandas(_prefixes(frequent, bits), "shard int, blob binary, owner binary, fps binary, sizes binary").repartition("shard")
-    lists = cut(packed.mapInPandas(_lists(bits), "sig long, fp long, n long"), "jaccard-all-lists")
+    packed = texts.select("text").mapInPandas(_prefixes(frequent, bits), "shard int, blob binary, owner binary, fps binary, sizes binary")
+    lists = cut(packed.groupBy("shard").applyInPandas(_lists(bits), "sig long, fp long, n long"), "jaccard-all-lists")
     # Members of too few lists drop out; lists that are left with one member do too.
     enough = lists.groupBy("fp").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp")
     lists = lists.join(cut(enough, "jaccard-enough"), "fp", "left_semi")
     shared = cut(lists.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("sig"), "jaccard-shared")
     lists = cut(lists.join(shared, "sig", "left_semi"), "jaccard-lists")
-    described = cut(texts.mapInPandas(_describe, "key long, doc_id long, n long, fp long"), "jaccard-docs")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    described = cut(texts.mapInPandas(_describe, f"key long, doc_id {kind}, n long, fp long"), "jaccard-docs")
     first = cut(described.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
 
     # Whole shingle sets of the representatives that stand in some list.

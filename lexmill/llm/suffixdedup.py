@@ -12,7 +12,9 @@ taken in runs, and the passes read digits of decreasing length:
   repeated.  If the covered bytes occur twice, all are.  Only the remaining cells go to the next pass, which splits them.
 * The last pass has cells of one window, where both digits are the window itself.
 
-Each pass groups 64-bit digests with map-side counts, so a passage in a third of all documents costs a row per task.
+A pass is one most-significant-digit step: cells in one bucket agree in the bytes read so far, buckets of one cell are
+done, and only the others are dealt on by more bytes (64, then 352, 394 and 400).  Each pass groups 64-bit digests with
+map-side counts, so a passage in a third of all documents costs a row per task, and its bucket is met where its cells are.
 
 Defined results: a null or empty text has no bytes and loses none; a text shorter than a window loses none; repeated rows
 are separate occurrences, also with equal doc_id; an empty table gives an empty result; other columns pass through.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, meet, spare, table
 
 WINDOW = 400
 GRAM = 64
@@ -143,11 +145,11 @@ def _split(cells: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     An open cell may hold a window of a repeated one, so one cell of each repeated group stays open beside it.
     """
-    common = cut(cells.groupBy("start", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "radix-common")
-    cells = cut(cells.join(common, ["start", "core"], "left_semi"), "radix-cells")
+    common = cut(cells.groupBy("start", "core").agg(F.count("*").alias("n")).filter("n > 1"), "radix-common")
+    cells = cut(meet(cells, common, ["start", "core"], "n", "left_semi"), "radix-cells")
     covered = cells.filter("cover is not null").groupBy("start", "core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at", "lo", "hi")).alias("one"))
-    covered = cut(covered.filter("n > 1").select("start", "core", "cover", F.lit(True).alias("again"), "one"), "radix-covered")
-    told = cut(cells.join(covered.drop("one"), ["start", "core", "cover"], "left"), "radix-told")
+    covered = cut(covered.filter("n > 1").select("start", "core", "cover", F.lit(True).alias("again"), "one", "n"), "radix-covered")
+    told = cut(meet(cells, covered.drop("one"), ["start", "core", "cover"], "n", "left"), "radix-told")
     columns = ["tid", "at", "lo", "hi", "start"]
     if width == 1:
         return told.filter("again"), told.filter("false").select(columns)
@@ -208,13 +210,14 @@ def _remove(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def dedup_windows(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns kept (bytes), n_bytes, n_removed and n_spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_tid")
-    docs = docs.withColumn("_tid", F.xxhash64(F.col("doc_id").cast("string"), text))
-    spans = repeated_spans(docs.select(F.col("_tid").alias("tid"), text.alias("text")))
-    held = spans.groupBy(F.col("tid").alias("_tid")).agg(F.collect_set(F.struct("from", "upto")).alias("_spans"))
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    own, found, new = (spare(docs, x) for x in ("tid", "spans", "new"))
+    docs = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("string"), text))
+    spans = repeated_spans(docs.select(F.col(own).alias("tid"), text.alias("text")))
+    held = spans.groupBy(F.col("tid").alias(own)).agg(F.collect_set(F.struct("from", "upto")).alias(found))
     held = cut(held, "radix-spans")
-    out = docs.join(held, "_tid", "left").withColumn("_k", _remove(text, "_spans"))
-    return out.select(*[c for c in out.columns if c not in ("_tid", "_spans", "_k")], "_k.*")
+    out = docs.join(held, own, "left").withColumn(new, _remove(text, found))
+    return out.select(*[c for c in out.columns if c not in (own, found, new)], f"{new}.*")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
