@@ -15,21 +15,21 @@ def mix(code: np.ndarray) -> np.ndarray:
 class HashArray:
     """A sorted array of hashed keys, an index of the hashes' leading bits, and a row of values per key."""
 
-    BITS = 18
-
     def __init__(self, code: np.ndarray, values: np.ndarray):
+        self.bits = min(22, max(12, len(code).bit_length() + 1))
         h = mix(code)
         order = np.argsort(h)
+        self.keys = code[order]
         self.h = np.append(h[order], np.uint64(2**64 - 1))
         self.values = values[order].astype(np.float32)
-        edges = np.searchsorted(self.h[:-1], np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS))
+        edges = np.searchsorted(self.h[:-1], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         self.start = edges.astype(np.int32)
         self.most = int(np.diff(np.append(edges, len(code))).max(initial=1))
 
     def find(self, code: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where it is absent."""
         h = mix(code)
-        at = self.start[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        at = self.start[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
         row = np.where(self.h[at] == h, at, -1)
         todo = np.flatnonzero(row < 0)
         for step in range(1, self.most):

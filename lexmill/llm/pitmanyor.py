@@ -41,17 +41,19 @@ from lexmill.llm.packing import squeeze, steps, unsqueeze, unstep
 from lexmill.llm.restaurants import carry, reseat
 from lexmill.llm.tokens import word_chunks
 
-#: Bytes of context in spelling: at most 256 ** 3 spelling rows, 65,536 of which share their last context byte.
+#: Bytes of context in spelling: at most 256 ** 3 spelling rows.
 CONTEXT = 2
+SPELLING_PARTS = 8
 SAMPLES = 2
 STRENGTH = 5.0
 #: The most frequent words and pairs that tasks hold in memory; what they do not hold is joined.
-HEAD = 1 << 19
+HEAD = 1 << 20
 PAIRS = 1 << 20
-#: Tokens packed at a time, tokens of a shard, and the most shards.
+#: Tokens packed at a time, tokens of a shard, the most shards, and about how many characters a token has.
 FLUSH = 1 << 20
-SHARD = 1 << 22
+SHARD = 1 << 21
 MOST_SHARDS = 1 << 16
+CHARS_PER_TOKEN = 5
 #: The end of a word in spelling, and the hash that stands for the start and the end of a text.
 STOP = 0x20
 END = 0
@@ -86,32 +88,36 @@ def _tail(code: np.ndarray, level: int) -> np.ndarray:
 
 
 class Spelling:
-    """Averaged predictive probabilities of the byte restaurants."""
+    """Averaged predictive probabilities of the byte restaurants: their rows, and in a task all of them as one array."""
 
     def __init__(self, root: np.ndarray, rows: pd.DataFrame):
-        self.root = root
-        self.grams, self.weights = {}, {}
-        for level in range(1, CONTEXT + 1):
-            for kind, store in ((0, self.grams), (1, self.weights)):
-                part = rows[(rows["level"] == level) & (rows["kind"] == kind)]
-                store[level] = HashArray(part["key"].to_numpy().astype(np.uint64), part["value"].to_numpy(dtype=float))
-
-    def bytes(self, code: np.ndarray, level: int = CONTEXT) -> np.ndarray:
-        if level == 0:
-            return self.root[code.astype(np.int64)]
-        p = self.grams[level].get(_tail(code, level), -1.0)
-        miss = np.flatnonzero(p < 0)
-        if len(miss):
-            weight = self.weights[level].get(_tail(code[miss], level) >> np.uint64(8), 1.0)
-            p[miss] = weight * self.bytes(_tail(code[miss], level - 1), level - 1)
-        return p
+        self.root, self.rows, self._log = root, rows, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_log": None}
+
+    def log(self) -> np.ndarray:
+        """Logarithms of the probability of each byte after each context, 64 MB."""
+        if self._log is None:
+            p = self.root.astype(np.float32)
+            for level in range(1, CONTEXT + 1):
+                key, value = ({kind: g for kind, g in self.rows[self.rows["level"] == level].groupby("kind")}.get(k) for k in (1, 0))
+                weight = np.ones(256**level, dtype=np.float32)
+                if key is not None:
+                    weight[key["key"].to_numpy()] = key["value"].to_numpy()
+                # A context's parent leaves out its earliest byte, which stands highest.
+                p = (weight.reshape(256, -1, 1) * p.reshape(1, -1, 256)).ravel()
+                if value is not None:
+                    p[value["key"].to_numpy()] = value["value"].to_numpy()
+            self._log = np.log(np.maximum(p, np.float32(1e-30)))
+        return self._log
 
     def words(self, words: pd.Series) -> np.ndarray:
-        """The probability of each word's bytes and stop, not less than the least double."""
+        """The probability of each word's bytes and stop, not less than about the least double."""
         if not len(words):
             return np.zeros(0)
         code, offset = gram_codes(*_as_arrays(words))
-        return np.exp(np.maximum(np.add.reduceat(np.log(self.bytes(code)), offset), -700.0))
+        return np.exp(np.maximum(np.add.reduceat(self.log()[code.astype(np.int64)], offset, dtype=np.float64), -700.0))
 
 
 def _as_arrays(words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +141,8 @@ def spelling_grams(words: DataFrame) -> DataFrame:
 
 
 def sample_restaurants(code: np.ndarray, customers: np.ndarray, root: np.ndarray, seed: int) -> pd.DataFrame:
-    """Gibbs sweeps over all context restaurants whose last context byte is one; averaged predictive rows."""
-    rng = np.random.default_rng([seed, int(code[0]) >> 8 & 0xFF])
+    """Gibbs sweeps over the context restaurants of some last context bytes; averaged predictive rows."""
+    rng = np.random.default_rng([seed, int(code.min()) >> 8 & 0xFF])
     order = np.argsort(code)
     keys, c = {CONTEXT: code[order]}, {CONTEXT: customers[order].astype(np.int64)}
     parent, at, seats = {}, {}, {}
@@ -190,7 +196,8 @@ def train_spelling(grams: DataFrame, seed: int) -> Spelling:
     def restaurants(rows: pd.DataFrame) -> pd.DataFrame:
         return sample_restaurants(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), root, seed)
 
-    rows = grams.groupBy("last").applyInPandas(restaurants, "level int, kind int, key long, value double").toArrow().to_pandas()  # bounded by CONTEXT
+    # A group has SPELLING_PARTS-th of the last bytes, so at most 2,097,152 rows.
+    rows = grams.groupBy(F.pmod("last", F.lit(SPELLING_PARTS))).applyInPandas(restaurants, "level int, kind int, key long, value double").toArrow().to_pandas()  # bounded by CONTEXT
     release(grams)
     return Spelling(root, rows)
 
@@ -198,33 +205,64 @@ def train_spelling(grams: DataFrame, seed: int) -> Spelling:
 # Counts
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(h, word, c, n): a word's tokens in training and in all texts."""
-    held: list[pd.DataFrame] = []
-    size, ends = 0, np.zeros(2, dtype=np.int64)
+def _merge_words(parts: list[tuple]) -> tuple:
+    """(names, words, tokens in training, tokens) of distinct words."""
+    h, words, c, n = (np.concatenate(x) for x in zip(*parts))
+    kinds, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    return kinds, words[at], *(np.bincount(inverse, x).astype(np.int64) for x in (c, n))
 
-    def merged():
-        return pd.concat(held).groupby("h", sort=False, as_index=False).agg(word=("word", "first"), c=("c", "sum"), n=("n", "sum"))
 
-    for batch in batches:
-        train = batch["train"].to_numpy(dtype=bool)
-        ends += (train.sum(), len(batch))
-        for picked, h, bounds, raw, first, length in word_chunks(batch["text"]):
-            kinds, at, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            c = np.bincount(inverse, np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds)), minlength=len(kinds))
-            data = raw.tobytes()
-            words = [data[a:b] for a, b in zip(first[at].tolist(), (first + length)[at].tolist())]
-            held.append(pd.DataFrame({"h": kinds.view(np.int64), "word": words, "c": c.astype(np.int64), "n": n.astype(np.int64)}))
-            size += len(kinds)
-            if size > FLUSH:
-                held = [merged()]
-                size = len(held[0])
-                if size > FLUSH // 2:
-                    yield held.pop()
-                    size = 0
-    if ends[1]:
-        held.append(pd.DataFrame({"h": [END], "word": [b""], "c": [ends[0]], "n": [ends[1]]}))
-        yield merged()
+def _word_array(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    words = np.empty(len(first), dtype=object)
+    words[:] = [data[a:b] for a, b in zip(first.tolist(), end.tolist())]
+    return words
+
+
+def _count_words(shards: int):
+    """Packed words with their tokens in training and in all texts, shard by shard."""
+
+    def flush(parts: list[tuple]) -> pd.DataFrame:
+        h, words, c, n = _merge_words(parts)
+        shard = h % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        rows = []
+        for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            size = np.array([len(w) for w in words[at]], dtype=np.int64)
+            rows.append((int(shard[at[0]]), squeeze(steps(h[at]), size, c[at], n[at], np.frombuffer(b"".join(words[at]), dtype=np.uint8))))
+        return pd.DataFrame(rows, columns=["shard", "blob"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size, ends = 0, np.zeros(2, dtype=np.int64)
+        for batch in batches:
+            train = batch["train"].to_numpy(dtype=bool)
+            ends += (train.sum(), len(batch))
+            for picked, h, bounds, raw, first, length in word_chunks(batch["text"]):
+                kinds, at, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                c = np.bincount(inverse, np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds)), minlength=len(kinds))
+                held.append((kinds, _word_array(raw.tobytes(), first[at], (first + length)[at]), c.astype(np.int64), n))
+                size += len(kinds)
+                if size > FLUSH:
+                    held = [_merge_words(held)]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield flush(held)
+                        held, size = [], 0
+        if ends[1]:
+            held.append((np.array([END], dtype=np.uint64), np.array([b""], dtype=object), ends[:1], ends[1:]))
+            yield flush(held)
+
+    return run
+
+
+def _list_words(rows: pd.DataFrame) -> pd.DataFrame:
+    parts = []
+    for blob in rows["blob"]:
+        h, size, c, n, data = unsqueeze(blob)
+        end = np.cumsum(size, dtype=np.int64)
+        parts.append((unstep(h), _word_array(data.tobytes(), end - size, end), c.astype(np.int64), n.astype(np.int64)))
+    h, words, c, n = _merge_words(parts)
+    return pd.DataFrame({"h": h.view(np.int64), "word": words, "c": c, "n": n})
 
 
 @dataclass
@@ -280,26 +318,41 @@ def _by_shard(names: np.ndarray, u: np.ndarray, w: np.ndarray, plan: Plan) -> It
             yield int(shard[rows[0]]), rows
 
 
-def _named(names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct names as differences, place of each)."""
-    used = np.zeros(len(names), dtype=bool)
-    used[at] = True
-    place = np.cumsum(used) - 1
-    return steps(names[used]), place[at]
+class _Names:
+    """Names of a flush in the order of packing: words of the array by row, then the others by hash."""
+
+    def __init__(self, names: np.ndarray, busy: HashArray):
+        row = busy.find(names)
+        self.order = np.lexsort((names, np.where(row < 0, len(busy.keys), row)))
+        self.names, self.rows, self.held = names[self.order], row[self.order], int((row >= 0).sum())
+        self.place = np.empty(len(names), dtype=np.int64)
+        self.place[self.order] = np.arange(len(names))
 
+    def pack(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows and hashes of the distinct names, both as differences; place of each)."""
+        used = np.zeros(len(self.names), dtype=bool)
+        used[at] = True
+        rows = self.rows[: self.held][used[: self.held]].astype(np.int64)
+        return steps(rows), steps(self.names[self.held :][used[self.held :]]), (np.cumsum(used) - 1)[at]
 
-def _list_pairs(plan):
+
+def _unpack_names(rows: np.ndarray, hashes: np.ndarray, busy: HashArray) -> np.ndarray:
+    return np.concatenate((busy.keys[unstep(rows).astype(np.int64)], unstep(hashes)))
+
+
+def _list_pairs(model):
     """Packed counts of the pairs of training texts, shard by shard."""
 
-    def flush(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    def flush(tokens: list[np.ndarray], plan: Plan, busy: HashArray) -> Iterator[tuple[int, bytes]]:
         names, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        at = at.astype(np.uint64)
+        names = _Names(names, busy)
+        at = names.place[at].astype(np.uint64)
         u = np.concatenate((at[-1:], at[:-1]))  # a text starts after END, which ends the text before it
         both, n = np.unique(u << np.uint64(32) | at, return_counts=True)
         u, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64)
-        for shard, rows in _by_shard(names, u, w, plan.value):
-            (un, ui), (wn, wi) = _named(names, u[rows]), _named(names, w[rows])
-            yield shard, squeeze(un, np.diff(ui, prepend=0), wn, wi, n[rows])
+        for shard, rows in _by_shard(names.names, u, w, plan):
+            (*un, ui), (*wn, wi) = names.pack(u[rows]), names.pack(w[rows])
+            yield shard, squeeze(*un, np.diff(ui, prepend=0), *wn, wi, n[rows])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -308,53 +361,66 @@ def _list_pairs(plan):
                 held.append(pairs_of(h, bounds))
                 size += len(held[-1])
                 if size > FLUSH:
-                    yield pd.DataFrame(flush(held), columns=["shard", "blob"])
+                    yield pd.DataFrame(flush(held, *model.value), columns=["shard", "blob"])
                     held, size = [], 0
         if held:
-            yield pd.DataFrame(flush(held), columns=["shard", "blob"])
+            yield pd.DataFrame(flush(held, *model.value), columns=["shard", "blob"])
 
     return run
 
 
-def _merge_pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_pairs(parts: list[list[np.ndarray]], busy: HashArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of contexts, of words, both places of each packed pair in one number)."""
+    un, wn = ([_unpack_names(p[k], p[k + 1], busy) for p in parts] for k in (0, 3))
+    us, ws = (np.unique(np.concatenate(x)) for x in (un, wn))
+    code = [np.searchsorted(us, a)[np.cumsum(p[2], dtype=np.int64)].astype(np.uint64) << np.uint64(32) | np.searchsorted(ws, b)[p[5].astype(np.int64)].astype(np.uint64) for a, b, p in zip(un, wn, parts)]
+    return us, ws, np.concatenate(code)
+
+
+def _merge_pairs(blobs: list[bytes], busy: HashArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names of contexts, of words, context and word of each distinct pair, its count)."""
     parts = [unsqueeze(b) for b in blobs]
-    un, wn = ([unstep(p[k]) for p in parts] for k in (0, 2))
-    us, ws = (np.unique(np.concatenate(x)) for x in (un, wn))
-    code = [np.searchsorted(us, a)[np.cumsum(p[1], dtype=np.int64)].astype(np.uint64) << np.uint64(32) | np.searchsorted(ws, b)[p[3].astype(np.int64)].astype(np.uint64) for a, b, p in zip(un, wn, parts)]
-    both, at = np.unique(np.concatenate(code), return_inverse=True)
-    c = np.bincount(at, np.concatenate([p[4] for p in parts])).astype(np.int64)
+    us, ws, code = _unpack_pairs(parts, busy)
+    both, at = np.unique(code, return_inverse=True)
+    c = np.bincount(at, np.concatenate([p[6] for p in parts])).astype(np.int64)
     return us, ws, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64), c
 
 
+def _used(names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct names as differences, place of each)."""
+    used = np.zeros(len(names), dtype=bool)
+    used[at] = True
+    return steps(names[used]), (np.cumsum(used) - 1)[at]
+
+
 #: A shard: contexts (their names, tokens and single pairs), pairs seen more than once (context, word names and word, count,
-#: openers and their ranks, tables summed over samples), then per word the single pairs and the tables of other pairs.
-_STATE = "shard int, contexts binary, pairs binary, seats binary, words array<long>, once array<long>, tables array<long>"
+#: openers and their ranks, tables summed over samples), and words (names, single pairs, tables of other pairs).
+_STATE = "shard int, contexts binary, pairs binary, seats binary, words binary"
 
 
 def _open_shard(busy, whole: bool):
     """``busy`` holds words; if it is ``whole``, words outside it were seen once and are not reported."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        us, ws, u, w, c = _merge_pairs(list(rows["blob"]))
+        us, ws, u, w, c = _merge_pairs(list(rows["blob"]), busy.value)
         single = c == 1
         once, more = np.bincount(w[single], minlength=len(ws)), np.bincount(w[~single], minlength=len(ws))
         told = busy.value.find(ws) >= 0 if whole else np.ones(len(ws), dtype=bool)
         contexts = squeeze(steps(us), np.bincount(u, c).astype(np.int64), np.bincount(u[single], minlength=len(us)))
-        wn, wi = _named(ws, w[~single])
+        wn, wi = _used(ws, w[~single])
         n = int((~single).sum())
         pairs, seats = squeeze(u[~single], wn, wi, c[~single]), squeeze(np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64))
-        return pd.DataFrame([(key[0], contexts, pairs, seats, ws[told].view(np.int64), once[told], more[told])], columns=[x.split()[0] for x in _STATE.split(", ")])
+        return pd.DataFrame([(key[0], contexts, pairs, seats, squeeze(steps(ws[told]), once[told], more[told]))], columns=[x.split()[0] for x in _STATE.split(", ")])
 
     return run
 
 
-def _word_values(head: HashArray, names: np.ndarray, tail, column: int = 0) -> np.ndarray:
+def _word_values(head: HashArray, names: np.ndarray, tail, values) -> np.ndarray:
     """A value of each word from the array or the joined rows."""
     row = head.find(names)
-    out = np.append(head.values[:, column], np.float32(0))[row].astype(float)
+    out = np.append(head.values[:, 0], np.float32(0))[row].astype(float)
     if tail is not None and len(tail):
-        h, p = np.array([x["h"] for x in tail], dtype=np.int64).view(np.uint64), np.array([x["p"] for x in tail])
+        h, p = np.asarray(tail, dtype=np.int64).view(np.uint64), np.asarray(values)
         order = np.argsort(h)
         at = np.minimum(np.searchsorted(h[order], names), len(h) - 1)
         hit = (h[order][at] == names) & (row < 0)
@@ -374,19 +440,18 @@ def _reseat_shard(model, d: float, sweep: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan, head, heavy = model.value
         for batch in batches:
-            out = []
-            for shard, contexts, pairs, seats, tail in zip(batch["shard"], batch["contexts"], batch["pairs"], batch["seats"], batch["tail"]):
+            for shard, contexts, pairs, seats, tail, values in zip(*(batch[k] for k in ("shard", "contexts", "pairs", "seats", "tail", "values"))):
                 names, _, single = unsqueeze(contexts)
                 u, wn, wi, c = (x.astype(np.int64) if k != 1 else unstep(x) for k, x in enumerate(unsqueeze(pairs)))
                 opened, ranks, summed = (x.astype(np.int64) for x in unsqueeze(seats))
                 tables = _context_tables(plan, unstep(names), single + np.bincount(u, opened + 1, minlength=len(names)), heavy)
-                p = _word_values(head, wn, tail)[wi]
+                p = _word_values(head, wn, tail, values)[wi]
                 others = tables[u] - (opened + 1)
                 opened, ranks = reseat(c, (STRENGTH + d * others) * p, d * p, d, opened, ranks.astype(float), np.random.default_rng([sweep, shard]))
                 summed = summed + (opened + 1 if sweep else 0)
                 t = np.bincount(wi, opened + 1, minlength=len(wn)).astype(np.int64)
-                out.append((shard, contexts, pairs, squeeze(opened, ranks.astype(np.int64), summed), wn.view(np.int64), np.zeros(len(wn), np.int64), t))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _STATE.split(", ")])
+                row = (shard, contexts, pairs, squeeze(opened, ranks.astype(np.int64), summed), squeeze(steps(wn), np.zeros(len(wn), np.int64), t))
+                yield pd.DataFrame([row], columns=[x.split()[0] for x in _STATE.split(", ")])
 
     return run
 
@@ -412,27 +477,41 @@ def _heavy_tables(plan: Plan, state: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches of about so many rows, none empty: a sweep over many rows takes as many steps as over few."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _seat_words(spelling, d: float, tables: float, sweep: int):
     """Reseat the words seen more than once; sum their customers and tables over the samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, batch in enumerate(batches):
-            if not len(batch):
-                continue
+        for k, batch in enumerate(_gathered(batches, FLUSH // 4)):
             p = spelling.value.words(batch["word"])
             c = np.maximum(batch["served"].to_numpy(dtype=float), 1)
-            stored = [np.array(x if x is not None else [], dtype=float) for x in batch["ranks"]]
-            opened, ranks = carry(c, np.array([len(x) for x in stored], dtype=np.int64), np.concatenate(stored))
+            stored = [x or b"" for x in batch["ranks"]]
+            ranks = np.frombuffer(b"".join(stored), dtype=np.int64).astype(float)
+            opened, ranks = carry(c, np.array([len(x) // 8 for x in stored], dtype=np.int64), ranks)
             rng = np.random.default_rng([sweep, k, int(batch["h"].iloc[0]) & 0xFFFFFFFF])
             opened, ranks = reseat(c, (STRENGTH + d * (tables - opened - 1)) * p, d * p, d, opened, ranks, rng)
-            kept = np.split(ranks.astype(np.int64), np.cumsum(opened)[:-1])
+            kept, data, upto = np.full(len(c), None, dtype=object), ranks.astype(np.int64).tobytes(), 8 * np.cumsum(opened)
+            for i in np.flatnonzero(opened).tolist():
+                kept[i] = data[upto[i] - 8 * opened[i] : upto[i]]
             more = 1 if sweep else 0
             yield batch.assign(p0=p, ranks=kept, t=opened + 1, sum_c=batch["sum_c"] + more * c, sum_t=batch["sum_t"] + more * (opened + 1))
 
     return run
 
 
-_WORDS = "h long, word binary, c long, served long, ranks array<long>, t long, sum_c double, sum_t double, p0 double"
+_WORDS = "h long, word binary, c long, served long, ranks binary, t long, sum_c double, sum_t double, p0 double"
 
 
 def _spelled(spelling, names: str):
@@ -451,22 +530,23 @@ _SUMS = "n_tokens long, n_known long, score double, base double"
 def _score_texts(model):
     """Sums per row over the pairs in the array; the other pairs packed by shard."""
 
-    def flush(parts: list[tuple], plan: Plan) -> Iterator[dict]:
+    def flush(parts: list[tuple], plan: Plan, busy: HashArray) -> Iterator[dict]:
         rid, u, w = (np.concatenate(x) for x in zip(*parts))
         docs, doc = np.unique(rid, return_inverse=True)
         names, at = np.unique(np.concatenate((u, w)), return_inverse=True)
-        bits = np.uint64(max(len(docs) - 1, 1).bit_length())
-        names_bits = np.uint64(max(len(names) - 1, 1).bit_length())
-        code = (at[: len(u)].astype(np.uint64) << names_bits | at[len(u) :].astype(np.uint64)) << bits | doc.astype(np.uint64)
+        names = _Names(names, busy)
+        at = names.place[at].astype(np.uint64)
+        bits, more = (np.uint64(max(n - 1, 1).bit_length()) for n in (len(docs), len(names.names)))
+        code = (at[: len(u)] << more | at[len(u) :]) << bits | doc.astype(np.uint64)
         code, n = np.unique(code, return_counts=True)
         doc, both = (code & np.uint64((1 << int(bits)) - 1)).astype(np.int64), code >> bits
-        u, w = (both >> names_bits).astype(np.int64), (both & np.uint64((1 << int(names_bits)) - 1)).astype(np.int64)
-        for shard, rows in _by_shard(names, u, w, plan):
-            (un, ui), (wn, wi), (dn, di) = _named(names, u[rows]), _named(names, w[rows]), _named(docs, doc[rows])
-            yield {"shard": shard, "blob": squeeze(un, np.diff(ui, prepend=0), wn, wi, dn, di, n[rows])}
+        u, w = (both >> more).astype(np.int64), (both & np.uint64((1 << int(more)) - 1)).astype(np.int64)
+        for shard, rows in _by_shard(names.names, u, w, plan):
+            (*un, ui), (*wn, wi), (dn, di) = names.pack(u[rows]), names.pack(w[rows]), _used(docs, doc[rows])
+            yield {"shard": shard, "blob": squeeze(*un, np.diff(ui, prepend=0), *wn, wi, n[rows], dn, di)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, pairs = model.value
+        plan, busy, pairs = model.value
         held, size = [], 0
         for batch in batches:
             rids = batch["rid"].to_numpy().view(np.uint64) << np.uint64(1) | batch["train"].to_numpy(dtype=bool).astype(np.uint64)
@@ -485,11 +565,11 @@ def _score_texts(model):
                     held.append((rids[owner[~hit]], u[~hit], w[~hit]))
                     size += len(held[-1][0])
                     if size > FLUSH:
-                        yield pd.DataFrame(flush(held, plan))
+                        yield pd.DataFrame(flush(held, plan, busy))
                         held, size = [], 0
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums[:, 0], "n_known": sums[:, 1], "score": sums[:, 2], "base": sums[:, 3]})
+            yield pd.DataFrame({"shard": -1 - batch["part"], "rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums[:, 0], "n_known": sums[:, 1], "score": sums[:, 2], "base": sums[:, 3]})
         if held:
-            yield pd.DataFrame(flush(held, plan))
+            yield pd.DataFrame(flush(held, plan, busy))
 
     columns = ["shard", "blob", "rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base"]
     whole = {"shard": "Int32", "rid": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"}
@@ -500,15 +580,14 @@ def _score_shard(model, d: float):
     """Sums per row over a shard's pairs, and the pairs that end in a word outside the array."""
 
     def run(entries: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
-        plan, head, heavy = model.value
+        plan, busy, head, heavy = model.value
+        if not len(entries) or entries["blob"].iloc[0] is None:
+            return entries.reindex(columns=_PARTS)
         parts = [unsqueeze(b) for b in entries["blob"]]
-        us, ws = (np.unique(np.concatenate([unstep(p[k]) for p in parts])) for k in (0, 2))
-        u = np.concatenate([np.searchsorted(us, unstep(p[0]))[np.cumsum(p[1], dtype=np.int64)] for p in parts])
-        w = np.concatenate([np.searchsorted(ws, unstep(p[2]))[p[3].astype(np.int64)] for p in parts])
-        rid = np.concatenate([unstep(p[4])[p[5].astype(np.int64)] for p in parts])
+        us, ws, code = _unpack_pairs(parts, busy)
         n = np.concatenate([p[6] for p in parts]).astype(np.int64)
+        rid = np.concatenate([unstep(p[7])[p[8].astype(np.int64)] for p in parts])
         train, rid = (rid & np.uint64(1)).astype(bool), (rid >> np.uint64(1)).astype(np.int64)
-        code = u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
         kinds, at = np.unique(code, return_inverse=True)
         c = np.bincount(at, n * train).astype(float)
         t = np.minimum(c, 1.0)
@@ -548,13 +627,13 @@ def _score_shard(model, d: float):
         sums = {"n_tokens": n[known], "n_known": n[known], "score": n[known] * score[at[known]], "base": n[known] * base[kw[at[known]]]}
         out = pd.DataFrame({"rid": rids} | {k: np.bincount(doc, v, minlength=len(rids)) for k, v in sums.items()})
         rest = pd.DataFrame({"rid": rid[~known], "h": ws[kw[at[~known]]].view(np.int64), "n": n[~known], "own": own[at[~known]], "back": back[ku[at[~known]]]})
-        whole = {k: "Int64" for k in ("n_tokens", "n_known", "h", "n")}
+        whole = {k: "Int64" for k in ("n_tokens", "n_known", "h", "n")} | {"held_out": "boolean", "doc_id": object}
         return pd.concat([x.reindex(columns=_PARTS).astype(whole) for x in (out, rest)])
 
     return run
 
 
-_PARTS = ["rid", "n_tokens", "n_known", "score", "base", "h", "n", "own", "back"]
+_PARTS = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base", "h", "n", "own", "back"]
 
 
 def _array(rows: DataFrame, key: str, values: list[str]) -> HashArray:
@@ -614,8 +693,10 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     share = spark.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.expr(training), F.lit(False)).alias("train"), "doc_id", F.col("is_held_out").alias("held_out"))
 
-    counted = texts.select("text", "train").mapInPandas(_count_words, "h long, word binary, c long, n long").groupBy("h")
-    words = cut(counted.agg(F.first("word").alias("word"), F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = int(np.clip(chars // CHARS_PER_TOKEN // SHARD, 1, MOST_SHARDS))
+    counted = texts.select("text", "train").mapInPandas(_count_words(shards), "shard int, blob binary").groupBy("shard")
+    words = cut(counted.applyInPandas(_list_words, "h long, word binary, c long, n long"), "lm-words")
     of = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("n"), F.count_if(F.col("c") > 1), F.count_if(F.col("c") == 1)).first()
     total, kinds, tokens, several, rare = (x or 0 for x in of)
     plan = make_plan(words, tokens)
@@ -624,13 +705,13 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     whole = len(busy.value.values) == several
 
     # Counts and first seating: every pair has one table.
-    dealt = texts.filter("train").select("text").mapInPandas(_list_pairs(share(plan)), "shard int, blob binary")
+    dealt = texts.filter("train").select("text").mapInPandas(_list_pairs(share((plan, busy.value))), "shard int, blob binary")
     state = cut(dealt.groupBy("shard").applyInPandas(_open_shard(busy, whole), _STATE), "lm-seats")
-    by_word = F.explode(F.arrays_zip("words", "once", "tables")).alias("w")
-    first = state.select(by_word).select("w.*").groupBy(F.col("words").alias("h")).agg(F.sum("once").alias("once"), F.sum("tables").alias("tables"))
+    by_word = lambda d: d.select("shard", "words").mapInPandas(_by_word, "shard int, h long, once long, tables long")
+    first = by_word(state).groupBy("h").agg(F.sum("once").alias("once"), F.sum("tables").alias("tables"))
     seated = words.filter("c > 1").select("h", "word", "c").join(first, "h", "left").na.fill(0, ["once", "tables"])
     served = F.col("once") + F.col("tables")
-    fresh = [F.lit(None).cast("array<long>").alias("ranks"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum_c"), F.lit(0.0).alias("sum_t")]
+    fresh = [F.lit(None).cast("binary").alias("ranks"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum_c"), F.lit(0.0).alias("sum_t")]
     seated = cut(seated.select("h", "word", "c", "once", served.alias("served"), *fresh), "lm-busy")
     once_by_word = seated.select("h", "once")
     of = seated.agg(F.sum("served"), F.count_if(F.col("served") == 1), F.count_if(F.col("served") == 2)).first()
@@ -652,16 +733,16 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
         p1 = (F.col("served") - d1 * F.col("t") + (STRENGTH + d1 * tables) * F.col("p0")) / (STRENGTH + customers)
         ranked = seated.select("h", "c", p1.alias("p"))
         if whole:
-            head, tails = _array(ranked, "h", ["p"]), state.withColumn("tail", F.lit(None).cast("array<struct<h:long,p:double>>"))
+            head, tails = _array(ranked, "h", ["p"]), state.withColumn("tail", F.lit(None).cast("array<long>")).withColumn("values", F.lit(None).cast("array<double>"))
         else:  # words outside the array come by join, for the shards that ask for them
             head = _array(most_frequent(ranked, "c", HEAD), "h", ["p"])
-            asked = state.select("shard", F.explode("words").alias("h")).join(ranked.join(most_frequent(ranked, "c", HEAD).select("h"), "h", "left_anti"), "h")
-            tails = state.join(asked.groupBy("shard").agg(F.collect_list(F.struct("h", "p")).alias("tail")), "shard", "left")
+            asked = by_word(state).select("shard", "h").join(ranked.join(most_frequent(ranked, "c", HEAD).select("h"), "h", "left_anti"), "h")
+            tails = state.join(asked.groupBy("shard").agg(F.collect_list("h").alias("tail"), F.collect_list("p").alias("values")), "shard", "left")
         model = share((plan, head, _heavy_tables(plan, state, "last")))
         before = state
-        state = cut(tails.select("shard", "contexts", "pairs", "seats", "tail").mapInPandas(_reseat_shard(model, d2, sweep), _STATE), "lm-seats")
+        state = cut(tails.select("shard", "contexts", "pairs", "seats", "tail", "values").mapInPandas(_reseat_shard(model, d2, sweep), _STATE), "lm-seats")
         release(before)
-        now = state.select(by_word).select("w.*").groupBy(F.col("words").alias("h")).agg(F.sum("tables").alias("tables"))
+        now = by_word(state).groupBy("h").agg(F.sum("tables").alias("tables"))
         if sweep < SAMPLES:
             now = seated.drop("served", "p0").join(once_by_word, "h").join(now, "h", "left").na.fill(0, ["tables"])
             seated = cut(now.select("h", "word", "c", served.alias("served"), "ranks", "t", "sum_c", "sum_t"), "lm-busy")
@@ -680,29 +761,30 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     known = cut(known.select("h", "c", F.greatest(p1, F.lit(1e-300)).alias("p"), base.alias("base")), "lm-model")
     head = _array(most_frequent(known.filter("c > 1"), "c", HEAD), "h", ["p", "base"])
     model = share((plan, head, _heavy_tables(plan, state, "mean")))
+    scoring = share((plan, busy.value, *model.value[1:]))
     often = _array(state.select("contexts", "pairs", "seats").mapInPandas(_pair_rows(model, d2, _cutoff(state, PAIRS)), "b long, score double, base double"), "b", ["score", "base"])
 
-    rows = texts.withColumn("rid", F.monotonically_increasing_id())
+    # A row of each text goes through the same shuffle, under a shard of its input partition, and meets no seats.
+    rows = texts.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}"
-    parts = cut(rows.mapInPandas(_score_texts(share((plan, often))), schema), "lm-parts")
-    entries = parts.filter("shard is not null").select("shard", "blob").groupBy("shard")
+    entries = rows.mapInPandas(_score_texts(share((plan, busy.value, often))), f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}").groupBy("shard")
     seats = state.select("shard", "contexts", "pairs", "seats").groupBy("shard")
-    found = entries.cogroup(seats).applyInPandas(_only_with_entries(_score_shard(model, d2)), f"rid long, {_SUMS}, h long, n long, own double, back double")
-    found = cut(found.filter("rid is not null"), "lm-found")
+    schema = f"rid long, doc_id {kind}, held_out boolean, {_SUMS}, h long, n long, own double, back double"
+    found = cut(entries.cogroup(seats).applyInPandas(_score_shard(scoring, d2), schema), "lm-found")
     tail = found.filter("h is not null").select("rid", "h", "n", "own", "back").join(known, "h", "left")
     tail = tail.select("rid", F.col("n").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("own") + F.col("back") * F.col("p"))).alias("score"), (F.col("n") * F.col("base")).alias("base"))
     sums = [x.split()[0] for x in _SUMS.split(", ")]
-    pieces = parts.filter("shard is null").select("rid", "doc_id", "held_out", *sums)
-    pieces = pieces.unionByName(found.filter("h is null").select("rid", *sums), allowMissingColumns=True).unionByName(tail, allowMissingColumns=True)
+    pieces = found.filter("h is null").select("rid", "doc_id", "held_out", *sums).unionByName(tail, allowMissingColumns=True)
     out = pieces.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in sums])
     per = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", per.alias("perplexity"))
 
 
-def _only_with_entries(score):
-    empty = pd.DataFrame({k: pd.Series([], dtype=float) for k in _PARTS})
-    return lambda entries, seats: score(entries, seats) if len(entries) else empty
+def _by_word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for shard, blob in zip(batch["shard"], batch["words"]):
+            h, once, tables = unsqueeze(blob)
+            yield pd.DataFrame({"shard": shard, "h": unstep(h).view(np.int64), "once": once.astype(np.int64), "tables": tables.astype(np.int64)})
 
 
 def _ones_and_twos(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
