@@ -30,6 +30,12 @@ def source_label(title: Column, filename: Column, key: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.nullif(filename, F.lit("")), F.substring(key.cast("string"), 1, 8))
 
 
+def default_title(filename: Column) -> Column:
+    """A file name without its .pdf suffix, underscores as spaces, first letter in capitals."""
+    bare = F.regexp_replace(F.regexp_replace(filename, r"(?i)\.pdf$", ""), "_", " ")
+    return F.concat(F.upper(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))
+
+
 def job_step(status: Column) -> Column:
     """Position of a status in the chain of steps; failures have none."""
     return F.nullif(F.array_position(F.array(*[F.lit(s) for s in JOB_ORDER]), status), F.lit(0))

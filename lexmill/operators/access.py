@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Actions of each role (fixed values).
@@ -22,6 +22,32 @@ def accessible(users: DataFrame, assignments: DataFrame, docs: DataFrame, ready_
     return own.select("user_id", "department_id", "documents").unionByName(supers)
 
 
+def filtered_documents(requests: DataFrame, users: DataFrame, assignments: DataFrame, docs: DataFrame, departments: DataFrame, page_size: int) -> DataFrame:
+    """(request_id, id, position) of (request_id, user_id, status, department_id, page): newest first, a page at a time.
+
+    A Super Admin's department filter selects; anybody else sees own departments, narrowed by the filter if it is one of
+    these and else as if there were none.  A null status or department does not filter.  Only the newest documents of
+    each department and status, as many as the furthest page needs, meet the requests.
+    """
+    asked = requests.join(users.select(F.col("id").alias("user_id"), "role"), "user_id")
+    mine = assignments.groupBy("user_id").agg(F.collect_set("department_id").alias("mine"))
+    every = departments.agg(F.collect_set("id").alias("every"))  # one row
+    asked = asked.join(mine, "user_id", "left").join(F.broadcast(every))
+    own = F.coalesce("mine", F.array().cast("array<int>"))
+    filtered = F.array(F.col("department_id").cast("int"))
+    sees = F.when(F.col("role") == "SUPER_ADMIN", F.when(F.col("department_id").isNull(), F.col("every")).otherwise(filtered))
+    sees = sees.when(F.array_contains(own, F.col("department_id").cast("int")), filtered).otherwise(own)
+    wanted = asked.select("request_id", "page", F.col("status").alias("wanted"), F.explode(sees.cast("array<int>")).alias("department_id"))
+    most = requests.agg((F.max("page") * page_size).alias("most"))  # one row
+    by = lambda keys: Window.partitionBy(*keys).orderBy(F.desc("created_at"), "id")
+    newest = docs.select("department_id", "status", "id", "created_at").withColumn("n", F.row_number().over(by(["department_id", "status"])))
+    newest = newest.join(F.broadcast(most)).filter(F.col("n") <= F.col("most"))
+    found = wanted.join(newest.select("department_id", "status", "id", "created_at"), "department_id").filter(F.col("wanted").isNull() | (F.col("status") == F.col("wanted")))
+    found = found.withColumn("position", F.row_number().over(by(["request_id"])))
+    first = (F.greatest("page", F.lit(1)) - 1) * page_size
+    return found.filter((F.col("position") > first) & (F.col("position") <= first + page_size)).select("request_id", "id", "position")
+
+
 def requested_documents(requests: DataFrame, users: DataFrame, assignments: DataFrame, docs: DataFrame) -> DataFrame:
     """Outcome of (query_id, user_id, document_ids): all requested documents in scope, or DOCUMENT_ACCESS_DENIED.
 
@@ -42,10 +68,18 @@ def permission_column(role: Column, action: str) -> Column:
 
 
 def may_act_on(actors: DataFrame, targets: DataFrame, assignments: DataFrame) -> DataFrame:
-    """For each actor, how many targets share a department: distinct targets by an equi-join on department."""
-    a = actors.join(assignments, F.col("id") == F.col("user_id")).select(F.col("id").alias("actor_id"), "department_id")
-    t = targets.join(assignments, F.col("id") == F.col("user_id")).select(F.col("id").alias("target_id"), "department_id")
-    return a.join(t, "department_id").groupBy("actor_id").agg(F.count_distinct("target_id").alias("targets"))
+    """For each actor, how many targets share a department.
+
+    Users fall into classes of equal departments.  Targets are counted by class, and classes, not users, are matched, so a
+    department with a third of all users costs a row a class.
+    """
+    held = assignments.groupBy("user_id").agg(F.array_sort(F.collect_set("department_id")).alias("of"))
+    of = lambda users, name: users.join(held, F.col("id") == F.col("user_id")).select(F.col("id").alias(name), "of")
+    acting, counts = of(actors, "actor_id"), of(targets, "target_id").groupBy("of").agg(F.count("*").alias("n"))
+    each = lambda d, name: d.select(F.col("of").alias(name), F.explode("of").alias("department_id"))
+    met = each(acting.select("of").distinct(), "a").join(each(counts, "t"), "department_id").select("a", "t").distinct()
+    sums = met.join(counts, F.col("t") == F.col("of")).groupBy("a").agg(F.sum("n").alias("targets"))
+    return acting.join(sums, F.col("a") == F.col("of")).select("actor_id", "targets")
 
 
 def lookup(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHILD_WORDS = 64
 CHILD_STRIDE = 48
@@ -42,11 +45,19 @@ def hash_embed(texts: DataFrame, id_col: str, text_col: str, dim: int = EMBED_DI
     return counts.join(norms, "id").select("id", "dim", (F.col("n") / F.col("norm")).alias("value"))
 
 
-def dense_vectors(embedded: DataFrame, dim: int = EMBED_DIM) -> DataFrame:
-    """(id, embedding) from (id, dim, value)."""
-    filled = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-    places = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return embedded.groupBy("id").agg(filled.alias("m")).select("id", places.alias("embedding"))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _counted(places: pd.Series, dim: pd.Series) -> pd.Series:
+    def of(p, d) -> np.ndarray:
+        n = np.bincount(np.asarray(p, dtype=np.int64), minlength=d).astype(float)
+        return n / max(np.sqrt((n * n).sum()), 1.0)
+
+    return pd.Series([of(p, d) for p, d in zip(places, dim)])
+
+
+def embed_rows(texts: DataFrame, id_col: str, text_col: str, dim: int = EMBED_DIM) -> DataFrame:
+    """(id, embedding): the same vectors as ``hash_embed`` with all places, each made within its row."""
+    places = F.transform(tokens(F.col(text_col)), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
+    return texts.select(F.col(id_col).alias("id"), _counted(places, F.lit(dim)).alias("embedding"))
 
 
 #: Element type of each tag that is read from a page (fixed values).
@@ -54,14 +65,20 @@ PAGE_TAGS = {"title": "title", "h1": "heading", "p": "text", "li": "list_item",
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, element_type, position, content): typed elements by tag, scripts and styles stripped."""
+    """(page_id, element_id, parent_id, element_type, position, content) of every page: elements by tag, scripts and styles stripped.
+
+    Elements are numbered by type.  An image has its alternative text as content.  The page is the parent of title and
+    heading, and the heading, or else the page, of all others.  Text is what stands up to the first closing tag of a name.
+    """
     clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
-    found = [
-        F.struct(F.lit(kind).alias("element_type"), F.regexp_extract_all(clean, F.lit(rf"(?is)<{tag}(?: [^>]*)?>(.*?)</{tag}>"), F.lit(1)).alias("found"))
-        for tag, kind in PAGE_TAGS.items() if tag != "img"
-    ]
-    rows = pages.select("page_id", F.explode(F.array(*found)).alias("e")).select("page_id", "e.element_type", F.posexplode("e.found").alias("position", "raw"))
-    return rows.select("page_id", "element_type", "position", F.trim(F.regexp_replace("raw", r"(?s)<[^>]*>", " ")).alias("content"))
+    whole = {t: rf"(?is)<{t}(?: [^>]*)?>(.*?)</{t}>" for t in PAGE_TAGS} | {"img": r"(?is)<img(?: [^>]*)?>"}
+    found = [F.struct(F.lit(kind).alias("element_type"), F.regexp_extract_all(clean, F.lit(whole[tag]), F.lit(0 if tag == "img" else 1)).alias("found")) for tag, kind in PAGE_TAGS.items()]
+    rows = pages.select("page_id", F.explode(F.array(*found)).alias("e"), clean.rlike(r"(?is)<h1(?: [^>]*)?>.*?</h1>").alias("headed"))
+    rows = rows.select("page_id", "headed", "e.element_type", F.posexplode("e.found").alias("position", "raw"))
+    of = lambda *parts: F.concat_ws("-", F.col("page_id"), *parts)
+    text = F.when(F.col("element_type") == "image", F.regexp_extract("raw", r'(?is)\salt="([^"]*)"', 1)).otherwise(F.regexp_replace("raw", r"(?s)<[^>]*>", " "))
+    parent = F.when(~F.col("element_type").isin("title", "heading") & F.col("headed"), of(F.lit("heading-0"))).otherwise(F.col("page_id").cast("string"))
+    return rows.select("page_id", of("element_type", "position").alias("element_id"), parent.alias("parent_id"), "element_type", "position", F.trim(text).alias("content"))
 
 
 def element_type(modality: Column) -> Column:

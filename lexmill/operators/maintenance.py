@@ -36,6 +36,11 @@ def resolve_upload(uploads: DataFrame, users: DataFrame, assignments: DataFrame)
     return u.select("upload_id", department.alias("department_id"), title.alias("title"), outcome.alias("outcome"), F.when(outcome == "QUEUED", 0).alias("progress"))
 
 
+def upload_job(resolved: DataFrame) -> DataFrame:
+    """(job_id, document_id, status, progress): the queued job that goes with each accepted upload."""
+    return resolved.filter("outcome = 'QUEUED'").select(F.concat(F.lit("job-"), "upload_id").alias("job_id"), F.col("upload_id").alias("document_id"), F.lit("QUEUED").alias("status"), "progress")
+
+
 def user_upsert(users: DataFrame, incoming: DataFrame) -> DataFrame:
     """Action per email of (email, name, role) requests against users: insert, update with reactivation, or conflict."""
     new = incoming.select(F.lower(F.trim("email")).alias("email"), F.col("name").alias("new_name"), F.col("role").alias("new_role"))

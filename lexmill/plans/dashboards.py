@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.operators.quantiles import exact_quantiles
 from lexmill.sources import views
 from lexmill.sources.views import raw, with_views
 
@@ -68,8 +69,10 @@ def index_manifest(spark, sf):
 
 @query(with_views("requests", "SELECT kind, count(*) AS n, round(avg(latency), 6) AS mean, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(avg(CASE WHEN latency > 50 THEN 1.0 ELSE 0.0 END), 6) AS slow FROM requests GROUP BY kind"))
 def request_rollup(spark, sf):
-    p = lambda q: F.round(F.percentile("latency", F.lit(q)), 6)
-    return views.requests(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("latency"), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), _share(F.col("latency") > 50).alias("slow"))
+    r = views.requests(spark, sf)
+    counts = r.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("latency"), 6).alias("mean"), _share(F.col("latency") > 50).alias("slow"))
+    middle = exact_quantiles(r, "kind", "latency", {"p50": 0.5, "p95": 0.95})
+    return counts.join(middle, "kind", "left").select("kind", "n", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "slow")
 
 
 @query(with_views("users requests", "SELECT role, count(DISTINCT user_id) AS active FROM requests JOIN users ON id = user_id WHERE status = 'ACTIVE' GROUP BY role"))
@@ -94,19 +97,25 @@ def extraction_success(spark, sf):
     return views.docs(spark, sf).groupBy("mime_type").agg(F.count("*").alias("n"), _share(~F.col("status").startswith("FAILED")).alias("success_rate"))
 
 
-@query(with_views("requests users", """SELECT CASE grouping(day) WHEN 0 THEN 'day' ELSE CASE grouping(user_id) WHEN 0 THEN 'user' ELSE 'role' END END AS level,
-    coalesce(day::VARCHAR, user_id::VARCHAR, role) AS value, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS day, user_id, role FROM requests JOIN users ON id = user_id WHERE kind = 'query') GROUP BY GROUPING SETS ((day), (user_id), (role))"""))
+@query(with_views("requests users assignments", """SELECT CASE grouping(day) WHEN 0 THEN 'day' ELSE CASE grouping(user_id) WHEN 0 THEN 'user' ELSE 'role' END END AS level,
+    coalesce(day::VARCHAR, user_id::VARCHAR, role) AS value, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS day, user_id, role FROM requests JOIN users ON id = user_id WHERE kind = 'query') GROUP BY GROUPING SETS ((day), (user_id), (role))
+    UNION ALL SELECT 'department', department_id::VARCHAR, count(*) FROM requests JOIN assignments USING (user_id) WHERE kind = 'query' GROUP BY department_id"""))
 def query_activity(spark, sf):
     q = views.requests(spark, sf).filter("kind = 'query'").join(views.users(spark, sf), F.col("id") == F.col("user_id"))
     q = q.select(F.to_date("ts").alias("day"), "user_id", "role")
     sets = q.groupingSets([["day"], ["user_id"], ["role"]], "day", "user_id", "role").agg(F.count("*").alias("n"), F.grouping("day").alias("gd"), F.grouping("user_id").alias("gu"))
     level = F.when(F.col("gd") == 0, "day").when(F.col("gu") == 0, "user").otherwise("role")
-    return sets.select(level.alias("level"), F.coalesce(F.col("day").cast("string"), F.col("user_id").cast("string"), "role").alias("value"), "n")
+    out = sets.select(level.alias("level"), F.coalesce(F.col("day").cast("string"), F.col("user_id").cast("string"), "role").alias("value"), "n")
+    per_user = views.requests(spark, sf).filter("kind = 'query'").groupBy("user_id").agg(F.count("*").alias("n"))
+    departments = per_user.join(views.assignments(spark, sf), "user_id").groupBy("department_id").agg(F.sum("n").alias("n"))
+    return out.unionByName(departments.select(F.lit("department").alias("level"), F.col("department_id").cast("string").alias("value"), "n"))
 
 
 @query(with_views("requests", "SELECT kind, round(quantile_cont(latency, 0.95), 6) AS p95, round(max(latency), 6) AS longest FROM requests WHERE kind IN ('query', 'upload') GROUP BY kind"))
 def latency_p95(spark, sf):
-    return views.requests(spark, sf).filter(F.col("kind").isin("query", "upload")).groupBy("kind").agg(F.round(F.percentile("latency", F.lit(0.95)), 6).alias("p95"), F.round(F.max("latency"), 6).alias("longest"))
+    r = views.requests(spark, sf).filter(F.col("kind").isin("query", "upload"))
+    longest = r.groupBy("kind").agg(F.round(F.max("latency"), 6).alias("longest"))
+    return longest.join(exact_quantiles(r, "kind", "latency", {"p95": 0.95}), "kind", "left").select("kind", F.round("p95", 6).alias("p95"), "longest")
 
 
 @query(with_views("requests users", "SELECT role, count(*) AS attempts, count(*) FILTER (role = 'USER') AS blocked FROM requests JOIN users ON id = user_id WHERE kind = 'upload' GROUP BY role"))
@@ -115,20 +124,11 @@ def blocked_uploads(spark, sf):
     return r.groupBy("role").agg(F.sum("n").alias("attempts"), F.sum(F.when(F.col("role") == "USER", F.col("n")).otherwise(0)).alias("blocked"))
 
 
-@query(with_views("docs", "SELECT department_id, owner_user_id, sum(size_bytes)::BIGINT AS bytes, count(*) AS documents FROM docs GROUP BY ROLLUP (department_id, owner_user_id)"))
+@query(with_views("docs elements", "SELECT department_id, owner_user_id, sum(size_bytes)::BIGINT AS bytes, count(*) AS documents, coalesce(sum(v), 0)::BIGINT AS vectors FROM docs LEFT JOIN (SELECT document_id AS id, count(*) AS v FROM elements GROUP BY 1) USING (id) GROUP BY ROLLUP (department_id, owner_user_id)"))
 def storage_rollup(spark, sf):
-    return views.docs(spark, sf).rollup("department_id", "owner_user_id").agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("documents"))
-
-
-@query("""WITH t AS (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
-    SELECT count(*) AS questions, round(avg(CASE WHEN nxt = 'assistant' THEN 1.0 ELSE 0.0 END), 6) AS answered, round(avg(CASE WHEN nxt = 'assistant' AND length(answer) >= 100 THEN 1.0 ELSE 0.0 END), 6) AS grounded FROM t WHERE role = 'user'""")
-def citation_coverage(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = raw(spark, sf, "conversations").withColumn("nxt", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w)).filter("role = 'user'")
-    answered = F.coalesce(F.col("nxt") == "assistant", F.lit(False))
-    return t.agg(F.count("*").alias("questions"), _share(answered).alias("answered"), _share(answered & (F.length("answer") >= 100)).alias("grounded"))
+    vectors = views.elements(spark, sf).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("v"))
+    d = views.docs(spark, sf).select("id", "department_id", "owner_user_id", "size_bytes").join(vectors, "id", "left")
+    return d.rollup("department_id", "owner_user_id").agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("documents"), F.coalesce(F.sum("v"), F.lit(0)).alias("vectors"))
 
 
 @query(with_views("jobs", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, status, count(*) AS n FROM jobs GROUP BY 1, 2"))

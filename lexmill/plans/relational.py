@@ -48,8 +48,14 @@ def missing_artifacts(spark, sf):
 
 def _elements_sql() -> str:
     clean = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
-    parts = " UNION ALL ".join(rf"SELECT page_id, '{kind}' AS element_type, regexp_extract_all(h, '(?is)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1) AS f FROM c" for tag, kind in corpus.PAGE_TAGS.items() if tag != "img")
-    return rf"WITH c AS (SELECT page_id, {clean} AS h FROM pages), p AS ({parts}) SELECT page_id, element_type, (i - 1)::INT AS position, trim(regexp_replace(f[i], '(?s)<[^>]*>', ' ', 'g')) AS content FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM p)"
+    parts = " UNION ALL ".join(
+        rf"SELECT page_id, headed, '{kind}' AS element_type, regexp_extract_all(h, '(?is)<img(?: [^>]*)?>') AS f FROM c" if tag == "img"
+        else rf"SELECT page_id, headed, '{kind}', regexp_extract_all(h, '(?is)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1) AS f FROM c" for tag, kind in reversed(corpus.PAGE_TAGS.items())
+    )
+    return rf"""WITH b AS (SELECT page_id, {clean} AS h FROM pages), c AS (SELECT *, regexp_matches(h, '(?is)<h1(?: [^>]*)?>.*?</h1>') AS headed FROM b), p AS ({parts})
+      SELECT page_id, page_id || '-' || element_type || '-' || (i - 1) AS element_id, CASE WHEN headed AND element_type NOT IN ('title', 'heading') THEN page_id || '-heading-0' ELSE page_id::VARCHAR END AS parent_id,
+        element_type, (i - 1)::INT AS position, trim(CASE WHEN element_type = 'image' THEN regexp_extract(f[i], '(?is)\salt="([^"]*)"', 1) ELSE regexp_replace(f[i], '(?s)<[^>]*>', ' ', 'g') END) AS content
+      FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM p)"""
 
 
 @query(_elements_sql())
@@ -62,6 +68,33 @@ def parse_sources(spark, sf):
     return raw(spark, sf, "events").select("event_id", F.from_json(F.coalesce("props", F.lit("{}")), "k INT")["k"].alias("k"))
 
 
+#: Query records: views in the event table, with the sources kept as JSON or null.
+RECORDS = "records AS (SELECT user_id, event_id AS query_id, ts AS created_at, event_type || '?' AS query_text, CASE WHEN value > 20 THEN 'Answer ' || event_id END AS answer, CASE WHEN props IS NOT NULL THEN '[' || props || ']' END AS sources_json FROM events WHERE event_type = 'view')"
+
+
+def records(spark, sf):
+    e = raw(spark, sf, "events").filter("event_type = 'view'")
+    answer = F.when(F.col("value") > 20, F.concat(F.lit("Answer "), "event_id"))
+    sources = F.when(F.col("props").isNotNull(), F.concat(F.lit("["), "props", F.lit("]")))
+    return e.select("user_id", F.col("event_id").alias("query_id"), F.col("ts").alias("created_at"), F.concat("event_type", F.lit("?")).alias("query_text"), answer.alias("answer"), sources.alias("sources_json"))
+
+
+@query(f"""WITH {RECORDS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, query_id) AS position FROM records QUALIFY position <= 50)
+    SELECT user_id, query_id, position, query_text, coalesce(answer, '') AS answer, coalesce(json_array_length(sources_json), 0)::INT AS retrieved_chunks, coalesce(array_to_string(json_extract_string(sources_json, '$[*].k'), ','), '') AS sources FROM l""")
+def query_responses(spark, sf):
+    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "query_id")
+    r = records(spark, sf).withColumn("position", F.row_number().over(order)).filter("position <= 50")
+    parsed = F.coalesce(F.from_json("sources_json", "array<struct<k:int>>"), F.array().cast("array<struct<k:int>>"))
+    return r.select("user_id", "query_id", "position", "query_text", F.coalesce("answer", F.lit("")).alias("answer"), F.size(parsed).alias("retrieved_chunks"), F.array_join(parsed["k"].cast("array<string>"), ",").alias("sources"))
+
+
+@query(f"WITH {RECORDS} SELECT count(*) AS queries, round(avg(CASE WHEN answer IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS answered, round(avg(CASE WHEN coalesce(json_array_length(sources_json), 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS cited, round(avg(CASE WHEN answer IS NOT NULL AND coalesce(json_array_length(sources_json), 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS grounded FROM records")
+def citation_coverage(spark, sf):
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    answered, cited = F.col("answer").isNotNull(), F.coalesce(F.json_array_length("sources_json"), F.lit(0)) > 0
+    return records(spark, sf).agg(F.count("*").alias("queries"), share(answered).alias("answered"), share(cited).alias("cited"), share(answered & cited).alias("grounded"))
+
+
 # --- table maintenance
 
 
@@ -114,6 +147,16 @@ def resolve_upload(spark, sf):
     return maintenance.resolve_upload(uploads, views.users(spark, sf), views.assignments(spark, sf))
 
 
+@query(ORACLES["resolve_upload"].replace("SELECT upload_id, department_id, coalesce", "SELECT 'job-' || upload_id AS job_id, upload_id AS document_id, outcome AS status, 0 AS progress FROM o WHERE outcome = 'QUEUED'\x00").split("\x00")[0])
+def upload_jobs(spark, sf):
+    return maintenance.upload_job(resolve_upload(spark, sf))
+
+
+@query(with_views("docs", "SELECT id, upper(substr(f, 1, 1)) || substr(f, 2) AS title FROM (SELECT id, replace(regexp_replace(filename, '(?i)\\.pdf$', ''), '_', ' ') AS f FROM docs)"))
+def default_titles(spark, sf):
+    return views.docs(spark, sf).select("id", scalars.default_title(F.col("filename")).alias("title"))
+
+
 @query(with_views("users", """, n AS (SELECT DISTINCT lower('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') || '@EXAMPLE.com') AS email, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'USER' ELSE 'ADMIN' END AS role FROM supplier)
     SELECT email, CASE WHEN n.role IS NULL THEN 'keep' WHEN u.role IS NULL THEN 'insert' WHEN u.role = n.role THEN 'update' ELSE 'conflict' END AS action,
     CASE WHEN n.role IS NOT NULL AND (u.role IS NULL OR u.role = n.role) THEN n.name ELSE u.name END AS name, coalesce(u.role, n.role) AS role,
@@ -172,6 +215,19 @@ def list_documents(spark, sf):
     return d.orderBy(F.desc("created_at"), "id").offset(20).limit(20)
 
 
+@query(with_views("users assignments docs departments", """, r AS (SELECT id AS request_id, id AS user_id, role, CASE WHEN id % 4 <> 0 THEN (id * 7) % 25 END AS asked, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'READY' ELSE 'QUEUED' END AS wanted, 1 + id % 2 AS page FROM users),
+    s AS (SELECT r.*, d.id AS department_id FROM r, departments d WHERE role = 'SUPER_ADMIN' AND (asked IS NULL OR asked = d.id)
+      UNION ALL SELECT r.*, a.department_id FROM r JOIN assignments a USING (user_id) WHERE role <> 'SUPER_ADMIN' AND (asked IS NULL OR asked = a.department_id OR (user_id, asked) NOT IN (SELECT (user_id, department_id) FROM assignments))),
+    n AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY department_id, status ORDER BY created_at DESC, id) <= 40)
+    SELECT request_id, n.id, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, n.id) AS position, FROM s JOIN n USING (department_id) WHERE wanted IS NULL OR status = wanted
+    QUALIFY position > (page - 1) * 20 AND position <= page * 20"""))
+def list_by_filters(spark, sf):
+    u, id_ = views.users(spark, sf), F.col("id")
+    status = F.when(id_ % 3 == 1, "READY").when(id_ % 3 == 2, "QUEUED")
+    asked = u.select(id_.alias("request_id"), id_.alias("user_id"), status.alias("status"), F.when(id_ % 4 != 0, (id_ * 7) % 25).alias("department_id"), (1 + id_ % 2).alias("page"))
+    return access.filtered_documents(asked, u, views.assignments(spark, sf), views.docs(spark, sf), views.departments(spark, sf), 20)
+
+
 @query("SELECT l_orderkey AS key, l_linenumber AS line, o_orderkey IS NOT NULL AS found, o_orderstatus AS status FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def key_lookup(spark, sf):
     keys = raw(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"))
@@ -179,11 +235,12 @@ def key_lookup(spark, sf):
 
 
 @query(with_views("users assignments", """, t AS (SELECT a.user_id AS actor_id, count(DISTINCT b.user_id) AS targets FROM assignments a JOIN users ua ON ua.id = a.user_id AND ua.role = 'ADMIN' JOIN assignments b USING (department_id) JOIN users ub ON ub.id = b.user_id AND ub.role = 'USER' GROUP BY 1)
-    SELECT id, role IN ('SUPER_ADMIN', 'ADMIN') AS may_upload, role IN ('SUPER_ADMIN', 'ADMIN') AS may_read_audit, coalesce(targets, 0) AS targets FROM users LEFT JOIN t ON actor_id = id"""))
+    SELECT id, role IN ('SUPER_ADMIN', 'ADMIN') AS may_upload, role IN ('SUPER_ADMIN', 'ADMIN') AS may_manage_users, role IN ('SUPER_ADMIN', 'ADMIN') AS may_read_audit, true AS may_query, coalesce(targets, 0) AS targets FROM users LEFT JOIN t ON actor_id = id"""))
 def permission_check(spark, sf):
     u, a = views.users(spark, sf), views.assignments(spark, sf)
     shared = access.may_act_on(u.filter("role = 'ADMIN'"), u.filter("role = 'USER'"), a)
-    return u.join(shared, F.col("id") == F.col("actor_id"), "left").select("id", access.permission_column(F.col("role"), "upload").alias("may_upload"), access.permission_column(F.col("role"), "read_audit").alias("may_read_audit"), F.coalesce("targets", F.lit(0)).alias("targets"))
+    gates = [access.permission_column(F.col("role"), action).alias(f"may_{action}") for action in access.PERMISSIONS]
+    return u.join(shared, F.col("id") == F.col("actor_id"), "left").select("id", *gates, F.coalesce("targets", F.lit(0)).alias("targets"))
 
 
 @query(with_views("docs", "SELECT id AS document_id, title, filename, status, department_id, owner_user_id, mime_type, size_bytes, created_at FROM docs"))
@@ -191,6 +248,33 @@ def proj_documents(spark, sf):
     return views.docs(spark, sf).select(F.col("id").alias("document_id"), "title", "filename", "status", "department_id", "owner_user_id", "mime_type", "size_bytes", "created_at")
 
 
+@query(with_views("jobs docs", """, l AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1)
+    SELECT job_id, status, list_position(['QUEUED', 'EXTRACTING', 'CHUNKING', 'EMBEDDING', 'INDEXING', 'COMPLETED'], status) AS step, status = 'FAILED' AS failed, ts AS updated_at FROM l"""))
+def proj_jobs(spark, sf):
+    last = views.jobs(spark, sf).groupBy("job_id").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("e")).select("job_id", "e.*")
+    return last.select("job_id", "status", scalars.job_step(F.col("status")).alias("step"), (F.col("status") == "FAILED").alias("failed"), F.col("ts").alias("updated_at"))
+
+
+@query(with_views("elements", "SELECT document_id || '-' || page AS element_id, document_id, page, modality AS element_type, coalesce(content, '') AS content, description FROM elements"))
+def proj_elements(spark, sf):
+    e = views.elements(spark, sf)
+    return e.select(F.concat_ws("-", "document_id", "page").alias("element_id"), "document_id", "page", F.col("modality").alias("element_type"), F.coalesce("content", F.lit("")).alias("content"), "description")
+
+
+@query(with_views("users assignments departments", """SELECT u.id AS user_id, u.email, u.name, u.role, u.status, coalesce(string_agg(d.id, ',' ORDER BY d.id), '') AS department_ids FROM users u LEFT JOIN assignments a ON a.user_id = u.id LEFT JOIN departments d ON d.id = a.department_id GROUP BY ALL"""))
+def proj_users(spark, sf):
+    held = views.assignments(spark, sf).join(views.departments(spark, sf), F.col("id") == F.col("department_id"), "left_semi").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("department_id")).cast("array<string>"), ",").alias("department_ids"))
+    u = views.users(spark, sf).select(F.col("id").alias("user_id"), "email", "name", "role", "status")
+    return u.join(held, "user_id", "left").withColumn("department_ids", F.coalesce("department_ids", F.lit("")))
+
+
+@query(with_views("users", "SELECT event_id AS audit_id, event_type, user_id AS actor_user_id, email AS actor_email, coalesce(props, '{}') AS details_json, ts AS created_at FROM events LEFT JOIN users ON id = user_id"))
+def proj_audit(spark, sf):
+    u = views.users(spark, sf).select(F.col("id").alias("user_id"), "email")
+    e = raw(spark, sf, "events").join(u, "user_id", "left")
+    return e.select(F.col("event_id").alias("audit_id"), "event_type", F.col("user_id").alias("actor_user_id"), F.col("email").alias("actor_email"), F.coalesce("props", F.lit("{}")).alias("details_json"), F.col("ts").alias("created_at"))
+
+
 @query("""SELECT user_id, event_id AS query_id, ts AS created_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS position FROM events WHERE event_type = 'view' QUALIFY position <= 50""")
 def query_history(spark, sf):
     order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "query_id")
@@ -211,6 +295,18 @@ def department_users(spark, sf):
     return views.assignments(spark, sf).join(views.users(spark, sf), F.col("id") == F.col("user_id")).select("department_id", "id", "email", "role", "status").distinct()
 
 
+@query(with_views("users assignments", "SELECT DISTINCT department_id, id, email FROM assignments JOIN users ON id = user_id WHERE role = 'USER' AND status = 'ACTIVE'"))
+def active_members(spark, sf):
+    u = views.users(spark, sf).filter("role = 'USER' AND status = 'ACTIVE'")
+    return views.assignments(spark, sf).join(u, F.col("id") == F.col("user_id")).select("department_id", "id", "email").distinct()
+
+
+@query(with_views("users assignments docs", """, c AS (SELECT department_id, count(*) AS documents FROM docs WHERE status = 'READY' GROUP BY 1), v AS (SELECT * FROM users WHERE status = 'ACTIVE')
+    SELECT user_id, department_id, documents FROM v JOIN assignments ON user_id = id JOIN c USING (department_id) WHERE role <> 'SUPER_ADMIN' UNION ALL SELECT id, department_id, documents FROM v, c WHERE role = 'SUPER_ADMIN'"""))
+def active_scope(spark, sf):
+    return access.accessible(views.users(spark, sf).filter("status = 'ACTIVE'"), views.assignments(spark, sf), views.docs(spark, sf))
+
+
 @query(with_views("users assignments departments", """SELECT u.id, u.email, coalesce(string_agg(d.id, ',' ORDER BY d.name), '') AS department_ids, coalesce(string_agg(d.name, ',' ORDER BY d.name), '') AS department_names
     FROM users u LEFT JOIN assignments a ON a.user_id = u.id LEFT JOIN departments d ON d.id = a.department_id WHERE role = 'ADMIN' GROUP BY 1, 2"""))
 def admin_listing(spark, sf):

@@ -22,10 +22,10 @@ def _tok(src: str, key: str, text: str) -> str:
 
 def _bm25(chunks: str) -> str:
     """Common table expressions up to s(query_id, chunk_id, score)."""
-    return f"""tk AS ({_tok(chunks, 'chunk_id', 'content')}), po AS (SELECT chunk_id, token, count(*) AS tf FROM tk GROUP BY ALL),
+    return f"""tk AS MATERIALIZED ({_tok(chunks, 'chunk_id', 'content')}), po AS MATERIALIZED (SELECT chunk_id, token, count(*) AS tf FROM tk GROUP BY ALL),
  le AS (SELECT chunk_id, len(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS len FROM {chunks}), st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM le),
  tr AS (SELECT token, df, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw_idf FROM (SELECT token, count(*) AS df FROM po GROUP BY token), st),
- te AS (SELECT *, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM tr) ELSE raw_idf END AS idf FROM tr),
+ te AS MATERIALIZED (SELECT *, CASE WHEN raw_idf < 0 THEN 0.25 * avg(raw_idf) OVER () ELSE raw_idf END AS idf FROM tr),
  qt AS (SELECT query_id, token, count(*) AS qf FROM ({_tok('q', 'query_id', 'text')}) GROUP BY ALL),
  s AS (SELECT query_id, chunk_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 6) AS score
        FROM po JOIN qt USING (token) JOIN te USING (token) JOIN le USING (chunk_id) GROUP BY ALL HAVING score <> 0)"""
@@ -76,14 +76,14 @@ def scope(spark: SparkSession, sf: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf: str, dense_k: int, sparse_k: int, final_k: int, scoped: bool) -> DataFrame:
     chunks, asked = _chunks(spark, sf), _asked(spark, sf)
-    vectors = corpus.dense_vectors(corpus.hash_embed(chunks, "chunk_id", "content"))
-    asking = corpus.dense_vectors(corpus.hash_embed(asked.withColumn("qid", F.concat(F.lit("q"), "query_id")), "qid", "text"))
+    vectors = corpus.embed_rows(chunks, "chunk_id", "content")
+    asking = corpus.embed_rows(asked.withColumn("qid", F.concat(F.lit("q"), "query_id")), "qid", "text")
     limits = None
     if scoped:
         limits = scope(spark, sf)
         group = raw(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.substring("source", 4, 9).cast("int").alias("group"))
         chunks = chunks.join(group, "document_id")
-        vectors = vectors.join(chunks.select(F.col("chunk_id").alias("id"), "group"), "id")
+        vectors = corpus.embed_rows(chunks.withColumn("id", F.struct("chunk_id", "group")), "id", "content").select("id.chunk_id", "id.group", "embedding").withColumnRenamed("chunk_id", "id")
         asking = asking.join(limits.select(F.concat(F.lit("q"), "query_id").alias("id"), "group"), "id")
     dense = retrieval.dense_search(asking, vectors, dense_k, "string").withColumn("query_id", F.expr("cast(substring(query_id, 2) as bigint)"))
     sparse = retrieval.bm25_search(asked, chunks, sparse_k, limits)
@@ -107,8 +107,7 @@ def scan_corpus(spark, sf):
 
 
 def bm25_stats(spark, sf):
-    _, _, terms = retrieval.bm25_index(_chunks(spark, sf))
-    return terms.select("token", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
+    return retrieval.bm25_terms(_chunks(spark, sf)).select("token", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf):
