@@ -16,12 +16,22 @@ class HashArray:
     """A sorted array of hashed keys, an index of the hashes' leading bits, and a row of values per key."""
 
     def __init__(self, code: np.ndarray, values: np.ndarray):
+        order = np.argsort(mix(code))
+        self.keys, self.values = code[order], values[order].astype(np.float32)
+        self._index()
+
+    def __getstate__(self):
+        return self.keys, self.values
+
+    def __setstate__(self, state):
+        self.keys, self.values = state
+        self._index()
+
+    def _index(self) -> None:
+        """Made anew where the array arrives, so that only keys and values travel."""
+        code, h = self.keys, mix(self.keys)
         self.bits = min(22, max(12, len(code).bit_length() + 1))
-        h = mix(code)
-        order = np.argsort(h)
-        self.keys = code[order]
-        self.h = np.append(h[order], np.uint64(2**64 - 1))
-        self.values = values[order].astype(np.float32)
+        self.h = np.append(h, np.uint64(2**64 - 1))
         edges = np.searchsorted(self.h[:-1], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         self.start = edges.astype(np.int32)
         self.most = int(np.diff(np.append(edges, len(code))).max(initial=1))

@@ -340,7 +340,7 @@ def _unpack_names(rows: np.ndarray, hashes: np.ndarray, busy: HashArray) -> np.n
     return np.concatenate((busy.keys[unstep(rows).astype(np.int64)], unstep(hashes)))
 
 
-def _list_pairs(model):
+def _list_pairs(plan, busy):
     """Packed counts of the pairs of training texts, shard by shard."""
 
     def flush(tokens: list[np.ndarray], plan: Plan, busy: HashArray) -> Iterator[tuple[int, bytes]]:
@@ -361,10 +361,10 @@ def _list_pairs(model):
                 held.append(pairs_of(h, bounds))
                 size += len(held[-1])
                 if size > FLUSH:
-                    yield pd.DataFrame(flush(held, *model.value), columns=["shard", "blob"])
+                    yield pd.DataFrame(flush(held, plan.value, busy.value), columns=["shard", "blob"])
                     held, size = [], 0
         if held:
-            yield pd.DataFrame(flush(held, *model.value), columns=["shard", "blob"])
+            yield pd.DataFrame(flush(held, plan.value, busy.value), columns=["shard", "blob"])
 
     return run
 
@@ -415,10 +415,10 @@ def _open_shard(busy, whole: bool):
     return run
 
 
-def _word_values(head: HashArray, names: np.ndarray, tail, values) -> np.ndarray:
-    """A value of each word from the array or the joined rows."""
-    row = head.find(names)
-    out = np.append(head.values[:, 0], np.float32(0))[row].astype(float)
+def _word_values(busy: HashArray, held: np.ndarray, names: np.ndarray, tail, values) -> np.ndarray:
+    """A value of each word: that beside the array, or that of the joined rows."""
+    row = busy.find(names)
+    out = np.append(held[:, 0], np.float32(0))[row].astype(float)
     if tail is not None and len(tail):
         h, p = np.asarray(tail, dtype=np.int64).view(np.uint64), np.asarray(values)
         order = np.argsort(h)
@@ -436,16 +436,16 @@ def _context_tables(plan: Plan, names: np.ndarray, here: np.ndarray, heavy: np.n
     return here
 
 
-def _reseat_shard(model, d: float, sweep: int):
+def _reseat_shard(busy, model, d: float, sweep: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, head, heavy = model.value
+        plan, held, heavy = model.value
         for batch in batches:
             for shard, contexts, pairs, seats, tail, values in zip(*(batch[k] for k in ("shard", "contexts", "pairs", "seats", "tail", "values"))):
                 names, _, single = unsqueeze(contexts)
                 u, wn, wi, c = (x.astype(np.int64) if k != 1 else unstep(x) for k, x in enumerate(unsqueeze(pairs)))
                 opened, ranks, summed = (x.astype(np.int64) for x in unsqueeze(seats))
                 tables = _context_tables(plan, unstep(names), single + np.bincount(u, opened + 1, minlength=len(names)), heavy)
-                p = _word_values(head, wn, tail, values)[wi]
+                p = _word_values(busy.value, held, wn, tail, values)[wi]
                 others = tables[u] - (opened + 1)
                 opened, ranks = reseat(c, (STRENGTH + d * others) * p, d * p, d, opened, ranks.astype(float), np.random.default_rng([sweep, shard]))
                 summed = summed + (opened + 1 if sweep else 0)
@@ -527,7 +527,7 @@ def _spelled(spelling, names: str):
 _SUMS = "n_tokens long, n_known long, score double, base double"
 
 
-def _score_texts(model):
+def _score_texts(plan, busy, often):
     """Sums per row over the pairs in the array; the other pairs packed by shard."""
 
     def flush(parts: list[tuple], plan: Plan, busy: HashArray) -> Iterator[dict]:
@@ -546,7 +546,7 @@ def _score_texts(model):
             yield {"shard": shard, "blob": squeeze(*un, np.diff(ui, prepend=0), *wn, wi, n[rows], dn, di)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, busy, pairs = model.value
+        pairs = often.value
         held, size = [], 0
         for batch in batches:
             rids = batch["rid"].to_numpy().view(np.uint64) << np.uint64(1) | batch["train"].to_numpy(dtype=bool).astype(np.uint64)
@@ -565,22 +565,22 @@ def _score_texts(model):
                     held.append((rids[owner[~hit]], u[~hit], w[~hit]))
                     size += len(held[-1][0])
                     if size > FLUSH:
-                        yield pd.DataFrame(flush(held, plan, busy))
+                        yield pd.DataFrame(flush(held, plan.value, busy.value))
                         held, size = [], 0
             yield pd.DataFrame({"shard": -1 - batch["part"], "rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums[:, 0], "n_known": sums[:, 1], "score": sums[:, 2], "base": sums[:, 3]})
         if held:
-            yield pd.DataFrame(flush(held, plan, busy))
+            yield pd.DataFrame(flush(held, plan.value, busy.value))
 
     columns = ["shard", "blob", "rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base"]
     whole = {"shard": "Int32", "rid": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"}
     return lambda batches: (part.reindex(columns=columns).astype(whole) for part in run(batches))
 
 
-def _score_shard(model, d: float):
+def _score_shard(words, model, d: float):
     """Sums per row over a shard's pairs, and the pairs that end in a word outside the array."""
 
     def run(entries: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
-        plan, busy, head, heavy = model.value
+        (plan, held, heavy), busy = model.value, words.value
         if not len(entries) or entries["blob"].iloc[0] is None:
             return entries.reindex(columns=_PARTS)
         parts = [unsqueeze(b) for b in entries["blob"]]
@@ -618,8 +618,8 @@ def _score_shard(model, d: float):
                 t[j[there]] = mean[there]
         ku, kw = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(2**32 - 1)).astype(np.int64)
         own = np.maximum(c - d * t, 0.0) / (STRENGTH + total[ku])
-        row = head.find(ws)
-        values = np.append(head.values, np.zeros((1, 2), np.float32), axis=0)[row]
+        row = busy.find(ws)
+        values = np.append(held, np.zeros((1, 2), np.float32), axis=0)[row]
         p, base = values[:, 0].astype(float), values[:, 1].astype(float)
         score = np.log10(np.maximum(own + back[ku] * p[kw], 1e-300))
         known = (row >= 0)[kw][at]
@@ -642,11 +642,20 @@ def _array(rows: DataFrame, key: str, values: list[str]) -> HashArray:
     return HashArray(top[key].to_numpy().astype(np.int64).view(np.uint64), top[values].to_numpy(dtype=float).reshape(len(top), len(values)))
 
 
-def _pair_rows(model, d: float, least: int):
+def _beside(busy: HashArray, rows: DataFrame, key: str, values: list[str]) -> np.ndarray:
+    """Values of the words of the array, row by row."""
+    found = rows.select(key, *values).toArrow().to_pandas()
+    at = busy.find(found[key].to_numpy().astype(np.int64).view(np.uint64))
+    out = np.zeros((len(busy.keys), len(values)), dtype=np.float32)
+    out[at[at >= 0]] = found[values].to_numpy(dtype=float).reshape(len(found), len(values))[at >= 0]
+    return out
+
+
+def _pair_rows(busy, model, d: float, least: int):
     """(b, score, base) of a shard's pairs of at least ``least`` customers that end in a word of the array."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, head, heavy = model.value
+        plan, held, heavy = model.value
         for batch in batches:
             for contexts, pairs, seats in zip(batch["contexts"], batch["pairs"], batch["seats"]):
                 names, tokens, single = unsqueeze(contexts)
@@ -657,10 +666,10 @@ def _pair_rows(model, d: float, least: int):
                 at, split = plan.find(names)
                 tokens = tokens.astype(float)
                 tokens[split] = plan.tokens[at[split]]
-                row = head.find(wn)
+                row = busy.value.find(wn)
                 keep = (c >= least) & (row[wi] >= 0)
                 u, wi, c, mean = u[keep], wi[keep], c[keep], mean[keep]
-                values = np.append(head.values, np.zeros((1, 2), np.float32), axis=0)[row][wi]
+                values = np.append(held, np.zeros((1, 2), np.float32), axis=0)[row][wi]
                 p = (c - d * mean + (STRENGTH + d * tables[u]) * values[:, 0]) / (STRENGTH + tokens[u])
                 yield pd.DataFrame({"b": pair_key(names[u], wn[wi]).view(np.int64), "score": np.log10(p), "base": values[:, 1].astype(float)})
 
@@ -705,7 +714,7 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     whole = len(busy.value.values) == several
 
     # Counts and first seating: every pair has one table.
-    dealt = texts.filter("train").select("text").mapInPandas(_list_pairs(share((plan, busy.value))), "shard int, blob binary")
+    dealt = texts.filter("train").select("text").mapInPandas(_list_pairs(share(plan), busy), "shard int, blob binary")
     state = cut(dealt.groupBy("shard").applyInPandas(_open_shard(busy, whole), _STATE), "lm-seats")
     by_word = lambda d: d.select("shard", "words").mapInPandas(_by_word, "shard int, h long, once long, tables long")
     first = by_word(state).groupBy("h").agg(F.sum("once").alias("once"), F.sum("tables").alias("tables"))
@@ -733,15 +742,16 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
         p1 = (F.col("served") - d1 * F.col("t") + (STRENGTH + d1 * tables) * F.col("p0")) / (STRENGTH + customers)
         ranked = seated.select("h", "c", p1.alias("p"))
         if whole:
-            head, tails = _array(ranked, "h", ["p"]), state.withColumn("tail", F.lit(None).cast("array<long>")).withColumn("values", F.lit(None).cast("array<double>"))
+            held, tails = _beside(busy.value, ranked, "h", ["p"]), state.withColumn("tail", F.lit(None).cast("array<long>")).withColumn("values", F.lit(None).cast("array<double>"))
         else:  # words outside the array come by join, for the shards that ask for them
-            head = _array(most_frequent(ranked, "c", HEAD), "h", ["p"])
+            held = _beside(busy.value, most_frequent(ranked, "c", HEAD), "h", ["p"])
             asked = by_word(state).select("shard", "h").join(ranked.join(most_frequent(ranked, "c", HEAD).select("h"), "h", "left_anti"), "h")
             tails = state.join(asked.groupBy("shard").agg(F.collect_list("h").alias("tail"), F.collect_list("p").alias("values")), "shard", "left")
-        model = share((plan, head, _heavy_tables(plan, state, "last")))
+        model = share((plan, held, _heavy_tables(plan, state, "last")))
         before = state
-        state = cut(tails.select("shard", "contexts", "pairs", "seats", "tail", "values").mapInPandas(_reseat_shard(model, d2, sweep), _STATE), "lm-seats")
+        state = cut(tails.select("shard", "contexts", "pairs", "seats", "tail", "values").mapInPandas(_reseat_shard(busy, model, d2, sweep), _STATE), "lm-seats")
         release(before)
+        model.destroy()
         now = by_word(state).groupBy("h").agg(F.sum("tables").alias("tables"))
         if sweep < SAMPLES:
             now = seated.drop("served", "p0").join(once_by_word, "h").join(now, "h", "left").na.fill(0, ["tables"])
@@ -759,18 +769,17 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     p1 = (F.col("served") - d1 * F.col("t") + (STRENGTH + d1 * tables) * F.col("p0")) / (STRENGTH + customers)
     base = F.log10((F.col("c") + 1) / F.lit(float(total + kinds + 1)))
     known = cut(known.select("h", "c", F.greatest(p1, F.lit(1e-300)).alias("p"), base.alias("base")), "lm-model")
-    head = _array(most_frequent(known.filter("c > 1"), "c", HEAD), "h", ["p", "base"])
-    model = share((plan, head, _heavy_tables(plan, state, "mean")))
-    scoring = share((plan, busy.value, *model.value[1:]))
-    often = _array(state.select("contexts", "pairs", "seats").mapInPandas(_pair_rows(model, d2, _cutoff(state, PAIRS)), "b long, score double, base double"), "b", ["score", "base"])
+    held = _beside(busy.value, most_frequent(known.filter("c > 1"), "c", HEAD), "h", ["p", "base"])
+    model = share((plan, held, _heavy_tables(plan, state, "mean")))
+    often = _array(state.select("contexts", "pairs", "seats").mapInPandas(_pair_rows(busy, model, d2, _cutoff(state, PAIRS)), "b long, score double, base double"), "b", ["score", "base"])
 
     # A row of each text goes through the same shuffle, under a shard of its input partition, and meets no seats.
     rows = texts.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    entries = rows.mapInPandas(_score_texts(share((plan, busy.value, often))), f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}").groupBy("shard")
+    entries = rows.mapInPandas(_score_texts(share(plan), busy, share(often)), f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}").groupBy("shard")
     seats = state.select("shard", "contexts", "pairs", "seats").groupBy("shard")
     schema = f"rid long, doc_id {kind}, held_out boolean, {_SUMS}, h long, n long, own double, back double"
-    found = cut(entries.cogroup(seats).applyInPandas(_score_shard(scoring, d2), schema), "lm-found")
+    found = cut(entries.cogroup(seats).applyInPandas(_score_shard(busy, model, d2), schema), "lm-found")
     tail = found.filter("h is not null").select("rid", "h", "n", "own", "back").join(known, "h", "left")
     tail = tail.select("rid", F.col("n").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("own") + F.col("back") * F.col("p"))).alias("score"), (F.col("n") * F.col("base")).alias("base"))
     sums = [x.split()[0] for x in _SUMS.split(", ")]
