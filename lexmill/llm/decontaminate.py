@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Short test items hide inside long documents, so set similarity is useless and containment of the item in the document is
-what counts.  Items are partitioned by size.  Each partition keeps the item hashes under its own threshold: the longer
-the items, the lower the threshold, with at least ``SKETCH`` hashes an item.  Since thresholds are nested, one pass over
-the documents' shingle hashes serves all partitions: a hash is looked up if it lies under the highest threshold in use.
-Pairs whose share of common sketch hashes leaves the required containment possible are verified on their real shingles.
+what counts.  A document that holds 0.75 of an item's m shingles misses m / 4 of them at most, so of any m / 4 + 1 shingles
+it holds one: an item's sketch is that many of its least hashes, and no pair can be lost.  Items are partitioned by size;
+each partition's sketches end at a hash of its own, and a document's hash is looked up if it lies under the highest of
+these.  Hashes that very many items share come last in the order, so that boilerplate of a benchmark makes no candidates
+unless an item has little else.  Candidates are verified on their real shingles, which a document's row makes once.
 
 Everything is a built-in expression.  The items' sketches are written out first, so Spark knows their size and chooses a
 broadcast only when they are small; a large benchmark is joined by shuffling hashes.
@@ -16,20 +17,15 @@ ignored by the search and kept by the filter.  Rows without a document id cannot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, let, lower_ascii, table, words
 
 SHINGLE = 5
 CONTAINMENT = 0.75
-#: Least number of hashes in an item's sketch; items with fewer shingles keep all of them.
-SKETCH = 16
-#: A pair is a candidate from this share of the sketch on: 0.75 true containment falls below it about once in 10**6.
-CANDIDATE_SHARE = 0.25
-#: Size partitions: the hash threshold halves from one to the next.
-PARTITIONS = 24
-_TOP = 1 << 62
+#: Items from which a hash counts as boilerplate.
+COMMON = 64
 
 
 def _hash(shingle: Column) -> Column:
@@ -43,39 +39,35 @@ def _shingled(ws: Column, make) -> Column:
     return F.when(F.size(ws) >= SHINGLE, runs).when(F.size(ws) > 0, F.array(make(ws)))
 
 
-def _sketches(items: DataFrame) -> DataFrame:
-    """(h, item_id, n_sketch): the sketch hashes of every item under the threshold of its size partition."""
+def _sketches(items: DataFrame, containment: float) -> DataFrame:
+    """(h, item_id, level): so many hashes of every item that a document with ``containment`` of it has one of them."""
     hashed = items.select("item_id", let(words(lower_ascii(F.col("text"))), lambda ws: F.array_distinct(_shingled(ws, _hash))).alias("hs"))
-    per = hashed.filter(F.size("hs") > 0).withColumn("h", F.explode("hs")).withColumn("m", F.size("hs"))
-    # The partition follows from the size: about SKETCH to 2 * SKETCH hashes lie under a threshold of 2 * SKETCH / m.
-    level = F.least(F.lit(PARTITIONS), F.greatest(F.lit(0), F.floor(F.log2(F.col("m") / (2.0 * SKETCH))))).cast("int")
-    sketch = per.filter(F.col("h") < F.call_function("shiftright", F.lit(_TOP), level))
-    counts = sketch.groupBy("item_id").agg(F.count_distinct("h").alias("n_sketch"))
-    # An item whose partition leaves it with too few hashes moves to the partition that keeps all.
-    full = per.groupBy("item_id").agg(F.first("m").alias("m")).join(counts, "item_id", "left")
-    full = full.select("item_id", "m", F.coalesce("n_sketch", F.lit(0)).alias("n_sketch"))
-    poor = full.filter((F.col("n_sketch") < SKETCH) & (F.col("n_sketch") < F.col("m")))
-    keep = sketch.join(poor.select("item_id"), "item_id", "left_anti").join(full.select("item_id", "n_sketch"), "item_id")
-    every = per.join(poor.select("item_id", F.col("m").alias("n_sketch")), "item_id")
-    return keep.select("h", "item_id", "n_sketch").unionByName(every.select("h", "item_id", "n_sketch")).distinct()
+    per = hashed.filter(F.size("hs") > 0).distinct().select("item_id", F.size("hs").alias("m"), F.explode("hs").alias("h"))
+    shared = per.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON).select("h", F.lit(True).alias("common"))
+    per = per.join(shared, "h", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    # Rows of one id with different texts are items of their own, told apart by their number of hashes and these.
+    order = Window.partitionBy("item_id", "m").orderBy("common", "h")
+    need = F.col("m") - F.ceil(F.lit(containment) * F.col("m") - 1e-9) + 1
+    sketch = per.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= need)
+    return sketch.select("h", "item_id", F.floor(F.log2(F.col("m").cast("double"))).cast("int").alias("level")).distinct()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Pairs (doc_id, item_id) whose item has at least ``containment`` of its shingles in the document."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = items.select("item_id", F.col("text").cast("string").alias("text"))
-    sketches = cut(_sketches(items), "item-sketches")
-    highest = sketches.agg(F.max("h")).first()[0]
+    items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    sketches = cut(_sketches(items, containment), "item-sketches")
+    limits = [r["top"] for r in sketches.groupBy("level").agg(F.max("h").alias("top")).collect()]  # a row a size partition, 32 at most
     hashes = let(words(lower_ascii(F.col("text"))), lambda ws: _shingled(ws, _hash))
-    low = F.array_distinct(F.filter(hashes, lambda h: h <= F.lit(-1 if highest is None else highest)))
-    hits = docs.select("doc_id", F.explode(low).alias("h")).join(sketches, "h")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("hits"), F.first("n_sketch").alias("n_sketch"))
-    pairs = cut(pairs.filter(F.col("hits") >= CANDIDATE_SHARE * F.col("n_sketch")).select("doc_id", "item_id"), "leak-candidates")
+    low = F.filter(hashes, lambda h: h <= F.lit(max(limits, default=-1)))
+    pairs = docs.select("doc_id", F.explode(low).alias("h")).join(sketches.select("h", "item_id").distinct(), "h").select("doc_id", "item_id")
+    pairs = cut(pairs.distinct(), "leak-candidates")
 
     text_shingles = let(words(lower_ascii(F.col("text"))), lambda ws: F.array_distinct(_shingled(ws, lambda s: F.array_join(s, " "))))
     wanted = items.join(pairs.select("item_id").distinct(), "item_id", "left_semi").select("item_id", text_shingles.alias("item_shingles")).distinct()
-    found = docs.join(pairs, "doc_id").join(wanted, "item_id")
-    shared = F.size(F.array_intersect("item_shingles", text_shingles))
+    asked = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text_shingles.alias("doc_shingles"))
+    found = asked.join(pairs, "doc_id").join(wanted, "item_id")
+    shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
     found = found.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item_shingles"), shared.cast("long").alias("n_shared"))
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
     return found.filter(F.col("containment") >= containment).distinct()

@@ -104,7 +104,7 @@ def twice_seen(texts: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     parts = texts.mapInPandas(_set_bits(min_chars, bits), "segment int, blob binary").withColumn("part", F.spark_partition_id())
     for _ in range(3):
         parts = parts.groupBy("segment", F.floor(F.col("part") / MERGE).alias("part")).applyInPandas(_merge, "segment int, part long, blob binary")
-    merged = parts.select("segment", "part", "blob").groupBy("segment", F.lit(0)).applyInPandas(_merge, "segment int, part long, blob binary")
+    merged = parts.withColumn("part", F.lit(0).cast("long")).groupBy("segment", "part").applyInPandas(_merge, "segment int, part long, blob binary")
     packed = np.zeros(bits // 8, dtype=np.uint8)
     for r in merged.toLocalIterator():  # a row a segment, MOST_BITS / SEGMENT at most
         out = np.zeros(SEGMENT, dtype=bool)

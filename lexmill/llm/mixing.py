@@ -3,13 +3,15 @@
 Each document gets a stable hash.  Word totals are summed by source and hash bucket; nested budget thresholds over these
 histograms say up to which hash a source is taken.  Only the bucket that holds the threshold is refined, level by level,
 until the threshold hash itself is known; then one filter assigns every document its copies.  Nothing is sorted beyond
-the histogram rows, whose number is bounded by sources times buckets.
+the histogram rows, whose number is bounded by sources times buckets.  The windows that order sources take one row a source
+in one task, so sources are to be thousands, not millions.
 
 The document at the threshold is taken in part, so each source meets its target to within a word.
 
 Defined results: a null text has size 0 and is never taken; the null source is a source of its own, last in order;
 repeated rows count as separate documents and share the same hash, so a threshold that falls on them is shared in
-proportion to size; an empty table gives an empty result; extra columns are ignored.
+proportion to size; an empty table gives an empty result; a text of any length is counted whole.  mix_sources ignores
+extra columns; take_mix passes them through and replaces size, source_size, target and taken.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, cut, table
+from lexmill.llm.common import WORD, cut, spare, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -59,10 +61,13 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns size and _key."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("size", size).withColumn("_key", hash_key(F.col("doc_id")))
+def _measured(docs: DataFrame) -> DataFrame:
+    """(size, _key, source) of every document."""
+    return docs.select(_size().alias("size"), hash_key(F.col("doc_id")).alias("_key"), "source")
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _thresholds(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
@@ -87,29 +92,32 @@ def _thresholds(sized: DataFrame, weights: tuple[int, ...], share: float) -> Dat
     return state
 
 
-def _taken(sized: DataFrame, state: DataFrame) -> DataFrame:
-    """``sized`` with source_size, target and taken."""
+def _taken(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """``docs`` (with size) and source_size, target and taken."""
+    key, plan = spare(docs, "key"), spare(docs, "plan")
+    state = state.select(F.struct(*state.columns).alias(plan))
+    of = lambda c: F.col(f"{plan}.{c}")
     extra = (
-        F.when(F.col("_key") < F.col("prefix"), F.col("size"))
-        .when(F.col("_key") == F.col("prefix"), F.floor(F.col("budget") * F.col("size") / F.greatest(F.col("edge_size"), F.lit(1))))
+        F.when(F.col(key) < of("prefix"), F.col("size"))
+        .when(F.col(key) == of("prefix"), F.floor(of("budget") * F.col("size") / F.greatest(of("edge_size"), F.lit(1))))
         .otherwise(0)
     )
-    taken = F.least((F.col("copies") * F.col("size") + extra).cast("long"), F.lit(MAX_REPEAT) * F.col("size"))
-    out = sized.join(state, _same("source", "src")).withColumn("taken", taken)
-    return out.drop("src", "copies", "prefix", "budget", "edge_size", "_key")
+    taken = F.least((of("copies") * F.col("size") + extra).cast("long"), F.lit(MAX_REPEAT) * F.col("size"))
+    out = docs.withColumn(key, hash_key(F.col("doc_id"))).join(state, F.col("source").eqNullSafe(of("src")))
+    return out.withColumn("taken", taken).select(*docs.columns, of("source_size").alias("source_size"), of("target").alias("target"), "taken")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """Decide how many words of each document the mix takes; one row of sizes and counts per document."""
-    sized = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
-    return _taken(sized, _thresholds(sized, weights, share))
+    sized = cut(docs.select("doc_id", "source", _size().alias("size")), "mix-sizes")
+    return _taken(sized, _thresholds(sized.withColumn("_key", hash_key(F.col("doc_id"))), weights, share))
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """The documents that the mix takes, whole rows with size, source_size, target and taken."""
     docs = docs.drop("size", "source_size", "target", "taken")
-    sized = cut(_sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
-    return _taken(_sized(docs), _thresholds(sized, weights, share)).filter("taken > 0")
+    sized = cut(_measured(docs), "mix-sizes")
+    return _taken(docs.withColumn("size", _size()), _thresholds(sized, weights, share)).filter("taken > 0")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

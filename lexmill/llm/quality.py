@@ -4,11 +4,14 @@ Every measure is a native expression over the text, so the whole operator is one
 Python, no state beyond one row.  A document is kept when the base test passes and every rule holds.
 
 Defined results: a null or empty text has no words, fails the base test and is not kept; repeated rows are judged row by
-row; columns of the input other than the id and the text are ignored; an empty table gives an empty result.
+row; columns of the input other than the id, the text and a named language are ignored; an empty table gives an empty
+result.  A text of any length is one row's work in one task: time follows its length, with a sort of its windows where
+some repeat.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +19,14 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import SPACE, let, table, words
 
-#: Frequent function words of the corpus languages (fixed values).
-STOP_WORDS = (
-    "the of and to in a is that it for on was with as be at by are this have or from but not he she they you we his her "
-    "de la le les et des un une du en que qui est pas dans pour sur au avec ne se ce il elle par plus son ou où mais "
-    "der die und das den dem ist zu ein eine von mit sich auf für im nicht es auch werden wird sie er wie aus bei nach "
-    "el los las y del por con para no su lo al como más pero sus sin sobre este ya entre cuando muy"
-).split()
+#: Frequent function words by language (fixed values).
+STOP_WORDS_BY_LANG = {
+    "en": "the of and to in a is that it for on was with as be at by are this have or from but not he she they you we his her".split(),
+    "fr": "de la le les et des un une du en que qui est pas dans pour sur au avec ne se ce il elle par plus son ou où mais".split(),
+    "de": "der die und das den dem ist zu ein eine von mit sich auf für im nicht es auch werden wird sie er wie aus bei nach".split(),
+    "es": "el los las y del por con para no su lo al como más pero sus sin sobre este ya entre cuando muy".split(),
+}
+STOP_WORDS = [w for words_ in STOP_WORDS_BY_LANG.values() for w in words_]
 
 BASE_MIN_WORDS = 20
 BASE_MAX_REPEAT_PERCENT = 30
@@ -78,7 +82,16 @@ def _repeat_words(tokens: Column, window: int) -> Column:
     return F.when(F.size(tokens) > window, let(hashed, lambda hs: let(keys(hs), covered))).otherwise(F.lit(0).cast("long"))
 
 
-def _measures(text: Column, n_lines: Column) -> Column:
+def _stop_test(stop_words: dict[str, list[str]], lang: Column | None) -> Callable[[Column], Column]:
+    """Whether a word is a stop word: of the row's language, or without ``lang`` of any.  A language without a list, as one
+    that is written without spaces, cannot fail by it, so all its words count."""
+    if lang is None:
+        return lambda w: F.lower(w).isin([x for words_ in stop_words.values() for x in words_])
+    tests = [(lang == name, list_) for name, list_ in stop_words.items()]
+    return lambda w: F.coalesce(*[F.when(own, F.lower(w).isin(list_)) for own, list_ in tests], F.lit(True))
+
+
+def _measures(text: Column, is_stop: Callable[[Column], Column]) -> Column:
     """All counts of one text as a struct."""
 
     def of_lines(lines: Column) -> list[Column]:
@@ -98,7 +111,7 @@ def _measures(text: Column, n_lines: Column) -> Column:
                 F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
                 F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
                 F.length(F.regexp_replace(text, r"[^!]+", "")).cast("long").alias("n_shouts"),
-                F.size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+                F.size(F.filter(ws, is_stop)).cast("long").alias("n_stop_words"),
                 F.size(F.filter(ws, lambda w, i: F.coalesce(w == F.get(ws, i - 1), F.lit(False)))).cast("long").alias("n_same_words"),
                 _repeat_words(ws, REPEAT_WINDOW).alias("n_repeat_words"),
                 *of_lines(ls),
@@ -120,10 +133,15 @@ def compile_rules(rules: tuple[Rule, ...], measures: dict[str, Column]) -> Colum
     return verdict
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
+    stop_words: dict[str, list[str]] = STOP_WORDS_BY_LANG, lang_col: str | None = None,
+) -> DataFrame:
     """Measure and judge every document; returns id, counts, ``base_failed`` and ``kept``."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    m = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).select("doc_id", _measures(text, text).alias("m"))
+    lang = (F.lit(None) if lang_col is None else F.col(lang_col)).cast("string")
+    m = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), lang.alias("_lang"))
+    m = m.select("doc_id", _measures(text, _stop_test(stop_words, None if lang_col is None else F.col("_lang"))).alias("m"))
     per_word = lambda c: F.col(f"m.{c}") / F.greatest(F.col("m.n_words"), F.lit(1))
     per_line = lambda c: F.col(f"m.{c}") / F.greatest(F.col("m.n_word_lines"), F.lit(1))
     base_failed = (F.col("m.n_words") < BASE_MIN_WORDS) | (100 * F.col("m.n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("m.n_words"))
