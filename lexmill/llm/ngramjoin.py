@@ -105,7 +105,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(i, len(s), _name(s)) for i, s in shingle_sets(batch["text"])]
         order = [r[0] for r in rows]
-        yield pd.DataFrame({"key": batch["key"].iloc[order].array, "doc_id": batch["doc_id"].iloc[order].array, "n": [r[1] for r in rows], "fp": [r[2] for r in rows]})
+        yield pd.DataFrame({"key": batch["key"].iloc[order].array, "doc_id": batch["doc_id"].iloc[order].astype(object).array, "n": [r[1] for r in rows], "fp": [r[2] for r in rows]})
 
 
 def _count_packed(shard_bits: int):

@@ -572,7 +572,7 @@ def _score_texts(plan, busy, often):
             yield pd.DataFrame(flush(held, plan.value, busy.value))
 
     columns = ["shard", "blob", "rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base"]
-    whole = {"shard": "Int32", "rid": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"}
+    whole = {"shard": "Int32", "rid": "Int64", "doc_id": object, "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"}
     return lambda batches: (part.reindex(columns=columns).astype(whole) for part in run(batches))
 
 
@@ -582,7 +582,7 @@ def _score_shard(words, model, d: float):
     def run(entries: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
         (plan, held, heavy), busy = model.value, words.value
         if not len(entries) or entries["blob"].iloc[0] is None:
-            return entries.reindex(columns=_PARTS)
+            return entries.reindex(columns=_PARTS).astype({"doc_id": object})
         parts = [unsqueeze(b) for b in entries["blob"]]
         us, ws, code = _unpack_pairs(parts, busy)
         n = np.concatenate([p[6] for p in parts]).astype(np.int64)
