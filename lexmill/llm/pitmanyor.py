@@ -47,7 +47,7 @@ SPELLING_PARTS = 8
 SAMPLES = 2
 STRENGTH = 5.0
 #: The most frequent words and pairs that tasks hold in memory; what they do not hold is joined.
-HEAD = 1 << 20
+HEAD = 1 << 21
 PAIRS = 1 << 20
 #: Tokens packed at a time, tokens of a shard, the most shards, and about how many characters a token has.
 FLUSH = 1 << 20
@@ -527,10 +527,11 @@ def _spelled(spelling, names: str):
 _SUMS = "n_tokens long, n_known long, score double, base double"
 
 
-def _score_texts(plan, busy, often):
-    """Sums per row over the pairs in the array; the other pairs packed by shard."""
+def _score_texts(words, model, often):
+    """Sums per row: all of the pairs in the array, counts and base scores of the others, which are packed by shard."""
 
-    def flush(parts: list[tuple], plan: Plan, busy: HashArray) -> Iterator[dict]:
+    def flush(parts: list[tuple], part: int) -> Iterator[pd.DataFrame]:
+        (plan, held, _), busy = model.value, words.value
         rid, u, w = (np.concatenate(x) for x in zip(*parts))
         docs, doc = np.unique(rid, return_inverse=True)
         names, at = np.unique(np.concatenate((u, w)), return_inverse=True)
@@ -541,14 +542,25 @@ def _score_texts(plan, busy, often):
         code, n = np.unique(code, return_counts=True)
         doc, both = (code & np.uint64((1 << int(bits)) - 1)).astype(np.int64), code >> bits
         u, w = (both >> more).astype(np.int64), (both & np.uint64((1 << int(more)) - 1)).astype(np.int64)
+        blobs = []
         for shard, rows in _by_shard(names.names, u, w, plan):
             (*un, ui), (*wn, wi), (dn, di) = names.pack(u[rows]), names.pack(w[rows]), _used(docs, doc[rows])
-            yield {"shard": shard, "blob": squeeze(*un, np.diff(ui, prepend=0), *wn, wi, n[rows], dn, di)}
+            blobs.append((shard, squeeze(*un, np.diff(ui, prepend=0), *wn, wi, n[rows], dn, di)))
+        yield pd.DataFrame(blobs, columns=["shard", "blob"])
+        # Counts and base scores of words in the array are known here.
+        row = names.rows[w]
+        known = np.flatnonzero(row >= 0)
+        base = np.bincount(doc[known], n[known] * held[row[known], 1].astype(float), minlength=len(docs))
+        tokens, own = np.bincount(doc, n, minlength=len(docs)), np.bincount(doc[known], n[known], minlength=len(docs))
+        yield pd.DataFrame({"shard": -1 - part, "rid": (docs >> np.uint64(1)).view(np.int64), "n_tokens": tokens, "n_known": own, "score": 0.0, "base": base})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = often.value
         held, size = [], 0
         for batch in batches:
+            if not len(batch):
+                continue
+            part = int(batch["part"].iloc[0])
             rids = batch["rid"].to_numpy().view(np.uint64) << np.uint64(1) | batch["train"].to_numpy(dtype=bool).astype(np.uint64)
             sums = np.zeros((len(batch), 4))
             for picked, h, bounds, *_ in word_chunks(batch["text"]):
@@ -565,11 +577,11 @@ def _score_texts(plan, busy, often):
                     held.append((rids[owner[~hit]], u[~hit], w[~hit]))
                     size += len(held[-1][0])
                     if size > FLUSH:
-                        yield pd.DataFrame(flush(held, plan.value, busy.value))
+                        yield from flush(held, part)
                         held, size = [], 0
-            yield pd.DataFrame({"shard": -1 - batch["part"], "rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums[:, 0], "n_known": sums[:, 1], "score": sums[:, 2], "base": sums[:, 3]})
+            yield pd.DataFrame({"shard": -1 - part, "rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums[:, 0], "n_known": sums[:, 1], "score": sums[:, 2], "base": sums[:, 3]})
         if held:
-            yield pd.DataFrame(flush(held, plan.value, busy.value))
+            yield from flush(held, part)
 
     columns = ["shard", "blob", "rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base"]
     whole = {"shard": "Int32", "rid": "Int64", "doc_id": object, "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"}
@@ -619,16 +631,18 @@ def _score_shard(words, model, d: float):
         ku, kw = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(2**32 - 1)).astype(np.int64)
         own = np.maximum(c - d * t, 0.0) / (STRENGTH + total[ku])
         row = busy.find(ws)
-        values = np.append(held, np.zeros((1, 2), np.float32), axis=0)[row]
-        p, base = values[:, 0].astype(float), values[:, 1].astype(float)
+        p = np.append(held[:, 0], np.float32(0))[row].astype(float)
         score = np.log10(np.maximum(own + back[ku] * p[kw], 1e-300))
         known = (row >= 0)[kw][at]
         rids, doc = np.unique(rid[known], return_inverse=True)
-        sums = {"n_tokens": n[known], "n_known": n[known], "score": n[known] * score[at[known]], "base": n[known] * base[kw[at[known]]]}
-        out = pd.DataFrame({"rid": rids} | {k: np.bincount(doc, v, minlength=len(rids)) for k, v in sums.items()})
-        rest = pd.DataFrame({"rid": rid[~known], "h": ws[kw[at[~known]]].view(np.int64), "n": n[~known], "own": own[at[~known]], "back": back[ku[at[~known]]]})
-        whole = {k: "Int64" for k in ("n_tokens", "n_known", "h", "n")} | {"held_out": "boolean", "doc_id": object}
-        return pd.concat([x.reindex(columns=_PARTS).astype(whole) for x in (out, rest)])
+        rest, m = at[~known], len(rids)
+        numbers = lambda values: pd.arrays.IntegerArray(np.concatenate((np.zeros(m, np.int64), values)), np.arange(m + len(rest)) < m)
+        floats = lambda values: np.concatenate((np.full(m, np.nan), values))
+        out = pd.DataFrame({"rid": np.concatenate((rids, rid[~known])), "score": np.concatenate((np.bincount(doc, n[known] * score[at[known]], minlength=m), np.full(len(rest), np.nan)))})
+        out["h"], out["n"], out["own"], out["back"] = numbers(ws[kw[rest]].view(np.int64)), numbers(n[~known]), floats(own[rest]), floats(back[ku[rest]])
+        nothing = pd.arrays.IntegerArray(np.zeros(len(out), np.int64), np.ones(len(out), dtype=bool))
+        out["doc_id"], out["held_out"], out["n_tokens"], out["n_known"], out["base"] = None, pd.array([None], dtype="boolean").repeat(len(out)), nothing, nothing, np.nan
+        return out[_PARTS]
 
     return run
 
@@ -710,7 +724,7 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     total, kinds, tokens, several, rare = (x or 0 for x in of)
     plan = make_plan(words, tokens)
     top = most_frequent(words.filter("c > 1").select("h", "c"), "c", HEAD)
-    busy = share(_array(top, "h", ["c"]))
+    busy = share(_array(top, "h", []))
     whole = len(busy.value.values) == several
 
     # Counts and first seating: every pair has one table.
@@ -776,12 +790,12 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     # A row of each text goes through the same shuffle, under a shard of its input partition, and meets no seats.
     rows = texts.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    entries = rows.mapInPandas(_score_texts(share(plan), busy, share(often)), f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}").groupBy("shard")
+    entries = rows.mapInPandas(_score_texts(busy, model, share(often)), f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}").groupBy("shard")
     seats = state.select("shard", "contexts", "pairs", "seats").groupBy("shard")
     schema = f"rid long, doc_id {kind}, held_out boolean, {_SUMS}, h long, n long, own double, back double"
     found = cut(entries.cogroup(seats).applyInPandas(_score_shard(busy, model, d2), schema), "lm-found")
     tail = found.filter("h is not null").select("rid", "h", "n", "own", "back").join(known, "h", "left")
-    tail = tail.select("rid", F.col("n").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("own") + F.col("back") * F.col("p"))).alias("score"), (F.col("n") * F.col("base")).alias("base"))
+    tail = tail.select("rid", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("own") + F.col("back") * F.col("p"))).alias("score"), (F.col("n") * F.col("base")).alias("base"))
     sums = [x.split()[0] for x in _SUMS.split(", ")]
     pieces = found.filter("h is null").select("rid", "doc_id", "held_out", *sums).unionByName(tail, allowMissingColumns=True)
     out = pieces.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in sums])
