@@ -32,6 +32,16 @@ def children(parents_df: DataFrame, size: int = CHILD_WORDS, stride: int = CHILD
     return split.select("document_id", "parent_id", F.concat_ws("-", "parent_id", "n").alias("chunk_id"), F.array_join(F.slice("ws", F.col("at"), F.lit(size)), " ").alias("content"))
 
 
+def line_page(parent_id: Column) -> Column:
+    """A line's number from 1 on, which stands for its page."""
+    return (F.split_part(parent_id, F.lit("-"), F.lit(2)).cast("int") + 1).cast("int")
+
+
+def line_modality(content: Column) -> Column:
+    """table for lines of cells, image for image marks, else empty."""
+    return F.when(content.like("%|%|%"), "table").when(content.like("%[image]%"), "image").otherwise("")
+
+
 def load_corpus(children_df: DataFrame, parents_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Children and parents of the documents that have both; the others are skipped."""
     return children_df.join(parents_df, "document_id", "left_semi"), parents_df.join(children_df, "document_id", "left_semi")

@@ -151,20 +151,44 @@ def retrieval_search(spark, sf):
 
 
 def _with_text(spark, sf, hits):
-    return hits.join(_chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
+    """Hits with the chunk's content and its parent's page and modality; a page is a document's line here."""
+    chunks = _chunks(spark, sf).select("chunk_id", "content", corpus.line_page(F.col("parent_id")).alias("page"), corpus.line_modality(F.col("content")).alias("modality"))
+    return hits.join(chunks, "chunk_id")
+
+
+def hit_sources(spark, sf):
+    hits = _with_text(spark, sf, _search(spark, sf, 10, 10, 8, False))
+    return hits.select("query_id", "rank", *retrieval.hit_source())
 
 
 def context_assembly(spark, sf):
     hits = _with_text(spark, sf, _search(spark, sf, 10, 10, 8, False))
-    evidence = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("e"))
-    prompt = F.array_join(F.transform("e", lambda x: F.concat(F.lit("["), x["rank"], F.lit("] "), x["content"])), "\n")
-    out = _asked(spark, sf).join(evidence, "query_id", "left")
-    return out.select("query_id", F.coalesce(F.size("e"), F.lit(0)).alias("n_items"), F.coalesce(prompt, F.lit("NO_EVIDENCE")).alias("prompt"))
+    out = _asked(spark, sf).join(retrieval.assemble_context(hits), "query_id", "left")
+    return out.select("query_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_tables", F.lit(0)).alias("n_tables"), F.coalesce("prompt", F.lit("NO_EVIDENCE")).alias("prompt"))
+
+
+def search_by_document(spark, sf):
+    """Every query over each document of its scope alone."""
+    chunks, asked = _chunks(spark, sf), _asked(spark, sf)
+    group = raw(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.substring("source", 4, 9).cast("int").alias("group"))
+    wanted = scope(spark, sf).join(group, "group").select("query_id", "document_id")
+    vectors = corpus.embed_rows(chunks, "chunk_id", "content").withColumnRenamed("id", "chunk_id")
+    asking = corpus.embed_rows(asked, "query_id", "text").withColumnRenamed("id", "query_id")
+    return retrieval.search_by_document(wanted, asked, asking, chunks, vectors, 25, 7).select("query_id", "document_id", "parent_id", "chunk_id", "fusion_score", "rank")
+
+
+def bm25_by_document(spark, sf):
+    """Scores above zero only, as far as the statistics of one document give any."""
+    group = raw(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.substring("source", 4, 9).cast("int").alias("group"))
+    wanted = scope(spark, sf).join(group, "group").select("query_id", "document_id")
+    scored = retrieval.bm25_by_document(wanted, _asked(spark, sf), _chunks(spark, sf), include_zero=False)
+    return scored.groupBy("query_id").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 3).alias("total"))
 
 
 def rag_evidence(spark, sf):
-    hits = _search(spark, sf, 25, 25, 7, True)
-    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "document_id", "chunk_id"))).alias("e"))
+    hits = _with_text(spark, sf, _search(spark, sf, 25, 25, 7, True))
+    element = F.coalesce(F.nullif("modality", F.lit("")), F.lit("text")).alias("element_type")
+    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "document_id", "page", "chunk_id", element))).alias("e"))
     seen = scope(spark, sf).select("query_id").distinct().withColumn("in_scope", F.lit(True))
     out = _asked(spark, sf).join(listed, "query_id", "left").join(seen, "query_id", "left")
     outcome = F.when(F.col("in_scope").isNull(), "DOCUMENT_NOT_FOUND").when(F.col("e").isNull(), "INGESTION_FAILED").otherwise("OK")
@@ -195,12 +219,15 @@ def scope_violations(spark, sf):
 
 
 def _gold(spark, sf):
-    """Documents that hold the first eight tokens of the item in a row."""
-    def windows(df, key, starts):
-        ts = df.select(F.col(key), corpus.tokens(F.col("text")).alias("ts")).filter(F.size("ts") >= 8)
-        return ts.select(key, F.explode(F.transform(starts, lambda i: F.array_join(F.slice("ts", i, 8), " "))).alias("w")).distinct()
-    held = windows(raw(spark, sf, "documents"), "doc_id", F.sequence(F.lit(1), F.size("ts") - 7))
-    want = windows(_asked(spark, sf), "query_id", F.array(F.lit(1)))
+    """Documents that share a run of eight tokens with the item, or hold the whole of a shorter one."""
+    tokenised = lambda d, key: d.select(key, corpus.tokens(F.col("text")).alias("ts")).filter(F.size("ts") > 0)
+    run = lambda n: lambda i: F.array_join(F.slice("ts", i, n), " ")
+    items = tokenised(_asked(spark, sf), "query_id").withColumn("n", F.least(F.size("ts"), F.lit(8)))
+    lengths = [r["n"] for r in items.select("n").distinct().collect()]  # eight at most
+    runs = lambda n: F.when(F.size("ts") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - (n - 1), F.lit(1))), run(n)))
+    want = items.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ts") - F.col("n") + 1), lambda i: F.array_join(F.slice("ts", i, F.col("n")), " "))).alias("w")).distinct()
+    held = tokenised(raw(spark, sf, "documents"), "doc_id")
+    held = held.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*map(runs, lengths)))))).alias("w")) if lengths else held.select("doc_id", F.lit("").alias("w"))
     return held.join(want, "w").select("query_id", F.col("doc_id").alias("document_id")).distinct()
 
 
@@ -211,9 +238,22 @@ def retrieval_eval(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     chunk_documents, hash_embed, scan_corpus, bm25_stats, bm25_topk, dense_topk, ann_topk, rrf_fusion, hybrid_search, parent_dedupe, retrieval_search,
-    context_assembly, rag_evidence, rerank, hit_rate, source_contribution, scope_violations, retrieval_eval,
+    context_assembly, hit_sources, search_by_document, bm25_by_document, rag_evidence, rerank, hit_rate, source_contribution, scope_violations, retrieval_eval,
 )}
 
+_PAGE = "(split_part(children.parent_id, '-', 2)::INT + 1)"
+_MODALITY = "CASE WHEN content LIKE '%|%|%' THEN 'table' WHEN content LIKE '%[image]%' THEN 'image' ELSE '' END"
+_BY_DOCUMENT = f"""w AS (SELECT DISTINCT query_id, document_id FROM sc JOIN dep USING (department_id)),
+ tk AS MATERIALIZED (SELECT document_id, chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS token FROM children WHERE document_id IN (SELECT document_id FROM w)),
+ po AS MATERIALIZED (SELECT document_id, chunk_id, token, count(*) AS tf FROM tk GROUP BY ALL),
+ le AS MATERIALIZED (SELECT document_id, chunk_id, len(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS len FROM children WHERE document_id IN (SELECT document_id FROM w)),
+ st AS (SELECT document_id, count(*) AS n, avg(len) AS avgdl FROM le GROUP BY 1),
+ tr AS (SELECT document_id, token, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw_idf FROM (SELECT document_id, token, count(*) AS df FROM po GROUP BY ALL) JOIN st USING (document_id)),
+ te AS MATERIALIZED (SELECT *, CASE WHEN raw_idf < 0 THEN 0.25 * avg(raw_idf) OVER (PARTITION BY document_id) ELSE raw_idf END AS idf FROM tr),
+ qt AS (SELECT query_id, token, count(*) AS qf FROM ({_tok('q', 'query_id', 'text')}) GROUP BY ALL),
+ sd AS MATERIALIZED (SELECT query_id, document_id, chunk_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 6) AS score
+   FROM w JOIN qt USING (query_id) JOIN te USING (document_id, token) JOIN po USING (document_id, token) JOIN le USING (document_id, chunk_id) GROUP BY ALL)"""
+
 _SEARCH = f"WITH {SCOPE}, {_hybrid(10, 10, 8, True)}"
 _SOURCES = "concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN lexical_rank IS NOT NULL THEN 'sparse' END)"
 ORACLES = {
@@ -235,9 +275,20 @@ ORACLES = {
         p AS (SELECT query_id, parent_id, chunk_id, score AS fusion_score FROM t JOIN children USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY score DESC, chunk_id) = 1)
         {_top('p', 'fusion_score', 'rank', 25)}""",
     "retrieval_search": f"{_SEARCH} SELECT query_id, rank, document_id, chunk_id, fusion_score, {_SOURCES} AS sources FROM h",
-    "context_assembly": f"""WITH {_hybrid(10, 10, 8, False)}, e AS (SELECT query_id, count(*) AS n, string_agg('[' || rank || '] ' || content, chr(10) ORDER BY rank) AS p FROM h JOIN children USING (chunk_id) GROUP BY query_id)
-        SELECT query_id, coalesce(n, 0) AS n_items, coalesce(p, 'NO_EVIDENCE') AS prompt FROM q LEFT JOIN e USING (query_id)""",
-    "rag_evidence": f"""WITH {SCOPE}, {_hybrid(25, 25, 7, True)}, e AS (SELECT query_id, count(*) AS n, '[' || string_agg('{{"rank":' || rank || ',"document_id":' || document_id || ',"chunk_id":"' || chunk_id || '"}}', ',' ORDER BY rank) || ']' AS j FROM h GROUP BY query_id)
+    "context_assembly": f"""WITH {_hybrid(10, 10, 8, False)}, x AS (SELECT query_id, rank, chunk_id, h.parent_id, content, {_PAGE} AS page, {_MODALITY} AS modality FROM h JOIN children USING (chunk_id)),
+        e AS (SELECT query_id, count(*) AS n, count(*) FILTER (modality = 'table') AS t, string_agg('[' || rank || '] ' || CASE modality WHEN 'table' THEN 'table of ' || parent_id || ' ' WHEN 'image' THEN 'image ' || chunk_id || ' ' ELSE '' END || '(p. ' || page || ') ' || content, chr(10) ORDER BY rank) AS p FROM x GROUP BY query_id)
+        SELECT query_id, coalesce(n, 0) AS n_items, coalesce(t, 0) AS n_tables, coalesce(p, 'NO_EVIDENCE') AS prompt FROM q LEFT JOIN e USING (query_id)""",
+    "hit_sources": f"WITH {_hybrid(10, 10, 8, False)} SELECT query_id, rank, h.document_id, {_PAGE} AS page, chunk_id, coalesce(nullif({_MODALITY}, ''), 'text') AS element_type FROM h JOIN children USING (chunk_id)",
+    "search_by_document": f"""WITH {SCOPE}, {CHILDREN}, {QUERY}, {_embed('ce', 'children', 'chunk_id', 'content')}, {_embed('qe', 'q', 'query_id', 'text')}, {_BY_DOCUMENT},
+        d0 AS (SELECT w.query_id, w.document_id, chunk_id, round(sum(qe.value * ce.value), 6) AS sim FROM w JOIN le USING (document_id) JOIN ce ON ce.id = chunk_id JOIN qe ON qe.id = w.query_id AND qe.dim = ce.dim GROUP BY ALL),
+        b AS (SELECT query_id, document_id, chunk_id, coalesce(score, 0) AS score, coalesce(sim, 0) AS sim FROM w JOIN le USING (document_id) LEFT JOIN sd USING (query_id, document_id, chunk_id) LEFT JOIN d0 USING (query_id, document_id, chunk_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS l, row_number() OVER (PARTITION BY query_id, document_id ORDER BY sim DESC, chunk_id) AS d FROM b),
+        f AS (SELECT query_id, document_id, chunk_id, round(CASE WHEN d <= 25 THEN 1.0::DOUBLE / (60 + d) ELSE 0 END + CASE WHEN l <= 25 THEN 1.0::DOUBLE / (60 + l) ELSE 0 END, 9) AS fusion_score FROM r WHERE least(l, d) <= 25),
+        p AS (SELECT f.query_id, f.document_id, parent_id, chunk_id, fusion_score FROM f JOIN children USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY fusion_score DESC, chunk_id) = 1),
+        k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY fusion_score DESC, chunk_id) <= 7) {_top('k', 'fusion_score', 'rank', 7)}""",
+    "bm25_by_document": f"WITH {SCOPE}, {CHILDREN}, {QUERY}, {_BY_DOCUMENT} SELECT query_id, count(*) AS chunks, round(sum(score), 3) AS total FROM sd WHERE score <> 0 GROUP BY query_id",
+    "rag_evidence": f"""WITH {SCOPE}, {_hybrid(25, 25, 7, True)}, x AS (SELECT query_id, rank, h.document_id, chunk_id, {_PAGE} AS page, coalesce(nullif({_MODALITY}, ''), 'text') AS element_type FROM h JOIN children USING (chunk_id)),
+        e AS (SELECT query_id, count(*) AS n, '[' || string_agg('{{"rank":' || rank || ',"document_id":' || document_id || ',"page":' || page || ',"chunk_id":"' || chunk_id || '","element_type":"' || element_type || '"}}', ',' ORDER BY rank) || ']' AS j FROM x GROUP BY query_id)
         SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM sc) THEN 'DOCUMENT_NOT_FOUND' WHEN n IS NULL THEN 'INGESTION_FAILED' ELSE 'OK' END AS outcome, coalesce(n, 0) AS retrieved_chunks, coalesce(j, '[]') AS sources_json
         FROM q LEFT JOIN e USING (query_id)""",
     "rerank": rf"""WITH {_hybrid(25, 25, 25, False)}, r AS (SELECT query_id, chunk_id, fusion_score, round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[\p{{L}}\p{{N}}]+')), list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')))) / greatest(1, len(list_distinct(regexp_extract_all(lower(q.text), '[\p{{L}}\p{{N}}]+')))), 6) AS coverage
@@ -246,8 +297,9 @@ ORACLES = {
     "source_contribution": f"{_SEARCH} SELECT {_SOURCES} AS sources, count(*) AS hits FROM h GROUP BY 1",
     "scope_violations": f"{_SEARCH} SELECT count(*) AS violations FROM h JOIN dep USING (document_id) WHERE (query_id, department_id) NOT IN (SELECT (query_id, department_id) FROM sc)",
     "retrieval_eval": rf"""WITH {_hybrid(25, 25, 10, False)},
-        dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM documents), dw AS (SELECT DISTINCT doc_id, array_to_string(ts[i:i+7], ' ') AS w FROM (SELECT doc_id, ts, unnest(range(1, len(ts) - 6)) AS i FROM dt WHERE len(ts) >= 8)),
-        qw AS (SELECT query_id, array_to_string(ts[1:8], ' ') AS w FROM (SELECT query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM q) WHERE len(ts) >= 8),
+        dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM documents), qq AS (SELECT query_id, ts, least(len(ts), 8) AS n FROM (SELECT query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM q) WHERE len(ts) > 0),
+        dw AS (SELECT DISTINCT doc_id, array_to_string(ts[i:i+n-1], ' ') AS w FROM (SELECT doc_id, ts, n, unnest(range(1, len(ts) - n + 2)) AS i FROM dt, (SELECT DISTINCT n FROM qq) WHERE len(ts) >= n)),
+        qw AS (SELECT DISTINCT query_id, array_to_string(ts[i:i+n-1], ' ') AS w FROM (SELECT query_id, ts, n, unnest(range(1, len(ts) - n + 2)) AS i FROM qq)),
         gold AS (SELECT DISTINCT query_id, doc_id AS document_id FROM dw JOIN qw USING (w)), n AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
         f AS (SELECT query_id, document_id, min(rank) AS rank FROM h GROUP BY ALL), x AS (SELECT query_id, count(*) AS found, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM f JOIN gold USING (query_id, document_id) GROUP BY 1)
         SELECT query_id, n_gold, coalesce(found, 0) AS found, round(coalesce(found, 0) / n_gold, 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank,
