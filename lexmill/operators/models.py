@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from lexmill.operators.retrieval import dense_search
 
 BATCH = 32
-#: Vectors that the cells are fitted on, cells, and cells that a query visits.
-SAMPLE, CELLS, PROBES = 4096, 16, 13
+#: Vectors that the cells are fitted on, most cells, queries that the visits are measured on, and the recall aimed at there.
+SAMPLE, MOST_CELLS, TRIALS, RECALL = 4096, 1024, 64, 0.95
 
 
 def model_step(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch: int = BATCH) -> DataFrame:
@@ -37,7 +37,7 @@ def model_step(df: DataFrame, id_col: str, text_col: str, factory: Callable[[],
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, embedding array<double>")
 
 
-def fit_cells(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
+def fit_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
     """Unit centroids fitted on the ``sample`` vectors of least id hash."""
     rows = vectors.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
@@ -55,12 +55,27 @@ def _nearest(centers: np.ndarray, n: int):
     return nearest
 
 
-def ann_search(queries: DataFrame, vectors: DataFrame, top_k: int, cells: int = CELLS, probes: int = PROBES, id_type: str = "long") -> DataFrame:
+def probes_for(vectors: DataFrame, centers: np.ndarray, top_k: int, recall: float = RECALL, trials: int = TRIALS, id_type: str = "long") -> int:
+    """The fewest cells to visit at which ``trials`` queries of least id hash find ``recall`` of their true neighbours."""
+    asked = vectors.orderBy(F.xxhash64("id", F.lit("trial"))).limit(trials)
+    true = dense_search(asked, vectors, top_k, id_type).select("query_id", "chunk_id")
+    order = asked.select(F.col("id").alias("query_id"), _nearest(centers, len(centers))("embedding").alias("order"))
+    cell = vectors.select(F.col("id").alias("chunk_id"), F.element_at(_nearest(centers, 1)("embedding"), 1).alias("cell"))
+    places = true.join(order, "query_id").join(cell, "chunk_id").select(F.array_position("order", F.col("cell")).alias("place"))
+    found = [r["place"] for r in places.collect()]  # trials * top_k rows at most
+    return int(np.quantile(found, recall, method="higher")) if found else len(centers)
+
+
+def ann_search(queries: DataFrame, vectors: DataFrame, top_k: int, cells: int | None = None, probes: int | None = None, id_type: str = "long") -> DataFrame:
     """As ``dense_search``, visiting only each query's ``probes`` nearest cells; every vector is indexed.
 
-    With probes equal to cells the result is exact.
+    Without arguments there are about as many cells as the square root of the vectors' number, and the visits come from the
+    recall measured on a few queries.  With probes equal to cells the result is exact.
     """
+    if cells is None:
+        cells = int(min(MOST_CELLS, max(4, vectors.count() ** 0.5)))
     centers = fit_cells(vectors, cells)
+    probes = probes or probes_for(vectors, centers, top_k, id_type=id_type)
     placed = vectors.select("id", "embedding", F.element_at(_nearest(centers, 1)("embedding"), 1).alias("group"))
     asked = queries.select("id", "embedding", F.explode(_nearest(centers, probes)("embedding")).alias("group"))
     return dense_search(asked, placed, top_k, id_type)

@@ -124,6 +124,13 @@ def ann_topk(spark, sf):
     return models.ann_search(v.filter("id % 20 = 0"), v, 10)
 
 
+def ann_recall(spark, sf):
+    """Recall of the approximate search against the exact one over all stated queries."""
+    found, true = (d.select("query_id", "chunk_id") for d in (ann_topk(spark, sf), dense_topk(spark, sf)))
+    share = true.join(found, ["query_id", "chunk_id"], "left_semi").agg(F.count("*").alias("hits")).join(F.broadcast(true.agg(F.count("*").alias("neighbours"), F.count_distinct("query_id").alias("queries"))))
+    return share.select("queries", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("reaches_nine_tenths"))
+
+
 def rrf_fusion(spark, sf):
     docs = raw(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     v = raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -237,7 +244,7 @@ def retrieval_eval(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_documents, hash_embed, scan_corpus, bm25_stats, bm25_topk, dense_topk, ann_topk, rrf_fusion, hybrid_search, parent_dedupe, retrieval_search,
+    chunk_documents, hash_embed, scan_corpus, bm25_stats, bm25_topk, dense_topk, ann_topk, ann_recall, rrf_fusion, hybrid_search, parent_dedupe, retrieval_search,
     context_assembly, hit_sources, search_by_document, bm25_by_document, rag_evidence, rerank, hit_rate, source_contribution, scope_violations, retrieval_eval,
 )}
 
@@ -265,6 +272,7 @@ ORACLES = {
     "bm25_topk": f"WITH {CHILDREN}, {QUERY}, {_bm25('children')} {_top('s', 'score', 'lexical_rank', 10)}",
     "dense_topk": f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
         FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) {_top('p', 'sim', 'dense_rank', 10)}""",
+    "ann_recall": """WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT count(*) AS queries, sum(least(10, n - 1))::BIGINT AS neighbours, true AS reaches_nine_tenths FROM embeddings, n WHERE vec_id % 20 = 0""",
     "rrf_fusion": f"""WITH {QUERY}, dc AS (SELECT doc_id AS chunk_id, text AS content FROM documents), {_bm25('dc')}, sp AS ({_top('s', 'score', 'lexical_rank', 10)}),
         p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
         FROM embeddings a JOIN q ON q.query_id = a.vec_id, embeddings b WHERE a.vec_id <> b.vec_id), de AS ({_top('p', 'sim', 'dense_rank', 10)})

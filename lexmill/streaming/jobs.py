@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -12,10 +13,11 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from lexmill.functions.scalars import document_status
 from lexmill.operators import corpus
-from lexmill.operators.maintenance import replace_by_key
 
 #: A job's last status is kept this long (fixed value).
 STATUS_TTL_MS = 86_400_000
+#: Parts that ingested pages are dealt to, each rewritten only when one of its pages comes.
+BUCKETS = 64
 TERMINAL = ("READY", "COMPLETED", "FAILED")
 
 JOB_EVENT = StructType([
@@ -40,10 +42,13 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 class _Latest(StatefulProcessor):
-    """Keeps the last status of a job and forgets it after a day."""
+    """Keeps the last status of a job and forgets it after its time to live."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, ts timestamp", STATUS_TTL_MS)
+        self.last = handle.getValueState("last", "status string, ts timestamp", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = self.last.get() if self.last.exists() else None
@@ -58,9 +63,9 @@ class _Latest(StatefulProcessor):
         pass
 
 
-def latest_status_with_expiry(events: DataFrame) -> DataFrame:
+def latest_status_with_expiry(events: DataFrame, ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
     """As ``latest_status``, with state that expires a day after its last write; needs the RocksDB state store."""
-    return events.groupBy("job_id").transformWithStateInPandas(_Latest(), outputStructType="job_id string, status string, ts timestamp", outputMode="update", timeMode="processingTime")
+    return events.groupBy("job_id").transformWithStateInPandas(_Latest(ttl_ms), outputStructType="job_id string, status string, ts timestamp", outputMode="update", timeMode="processingTime")
 
 
 class _Starts(StatefulProcessor):
@@ -112,7 +117,7 @@ class _Stalled(StatefulProcessor):
         if best[0] not in TERMINAL:
             self.handle.registerTimer(best[1] + self.idle_ms)
         self.last.update(best)
-        yield pd.DataFrame({"job_id": [], "status": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"job_id": [key[0]], "status": [self.last.get()[0]]})
@@ -145,14 +150,36 @@ def publish(events: DataFrame, write_batch, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_pages(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Pages to elements, replacing each page's old elements; ``target`` is a folder with one version per batch."""
+def current_elements(spark: SparkSession, target: str) -> DataFrame:
+    """The elements of every bucket's last version."""
+    rows = spark.read.parquet(target)
+    last = rows.select("bucket", "version").distinct().groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), ["bucket", "version"], "left_semi").filter("page_id is not null")  # a row a bucket
+
+
+def ingest_pages(pages: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Pages to elements, replacing each page's old elements.
+
+    Pages are dealt to ``buckets``, and a batch writes only the buckets that it touches, as one more version in ``target``.
+    Versions follow those in the folder, so a new checkpoint goes on after them; a batch that runs again replaces the same
+    pages by the same elements.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = corpus.page_elements(batch)
-        if batch_id:
-            fresh = replace_by_key(spark.read.parquet(f"{target}/version={batch_id - 1}"), fresh, "page_id")
-        fresh.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int").alias("bucket")
+        fresh = corpus.page_elements(batch).select("*", bucket)
+        touched = batch.select(bucket).distinct()
+        # A row without a page stands for each touched bucket, so that one that loses all elements has a version too.
+        fresh = fresh.unionByName(touched, allowMissingColumns=True)
+        version = 0
+        try:
+            old = current_elements(spark, target)
+        except AnalysisException:  # nothing was written yet
+            old = None
+        if old is not None:
+            version = (spark.read.parquet(target).agg(F.max("version")).first()[0] or 0) + 1
+            rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(batch.select("page_id"), "page_id", "left_anti")
+            fresh = fresh.unionByName(rest.select(*fresh.columns))
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={version}")
 
     return publish(pages, step, checkpoint)

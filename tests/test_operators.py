@@ -118,7 +118,7 @@ def test_approximate_search_recall(spark):
     exact = {(r.query_id, r.chunk_id) for r in retrieval.dense_search(q, v, 10).collect()}
     near = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
-    full = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10, probes=models.CELLS).collect()}
+    full = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10, cells=16, probes=16).collect()}
     assert full == exact
 
 

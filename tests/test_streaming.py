@@ -55,13 +55,57 @@ def test_latest_with_expiry(spark, tmp_path):
     assert {r.job_id: r.status for r in spark.table("expiry").collect()} == {"a": "QUEUED", "b": "COMPLETED"}
 
 
+def test_status_expires(spark, tmp_path):
+    """An event older than the last one counts again once the state is gone."""
+    source = tmp_path / "in"
+    _write(source, "1.json", [("a", "INDEXING", "2024-01-01T05:00:00")])
+    df = jobs.latest_status_with_expiry(jobs.read_events(spark, str(source)), ttl_ms=3000)
+    q = df.writeStream.format("memory").queryName("expires").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def seen(n):
+        deadline = time.time() + 60
+        while time.time() < deadline and spark.table("expires").count() < n:
+            time.sleep(0.5)
+        return [r.status for r in spark.table("expires").collect()]
+
+    try:
+        assert seen(1) == ["INDEXING"]
+        time.sleep(6)
+        _write(source, "2.json", [("a", "QUEUED", "2024-01-01T01:00:00")])
+        assert seen(2) == ["INDEXING", "QUEUED"]
+    finally:
+        q.stop()
+
+
+def test_stalled_jobs(spark, tmp_path):
+    """Jobs without an end are reported once the watermark has passed their idle time."""
+    source, found = tmp_path / "in", []
+    for k, rows in enumerate([[("a", "QUEUED", "2024-01-01T00:00:00"), ("b", "COMPLETED", "2024-01-01T00:00:00"), ("d", "QUEUED", "2024-01-01T00:00:00")], [("d", "COMPLETED", "2024-01-01T00:05:00"), ("c", "QUEUED", "2024-01-01T03:00:00")], [("c", "FAILED", "2024-01-01T03:01:00")]]):
+        _write(source, f"{k}.json", rows)
+        df = jobs.stalled_jobs(jobs.read_events(spark, str(source)))
+        q = df.writeStream.foreachBatch(lambda d, _: found.extend(d.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert [(r.job_id, r.status) for r in found] == [("a", "QUEUED")]
+
+
+def test_sliding_windows(spark, tmp_path):
+    _write(tmp_path / "in", "a.json", ROWS)
+    batch = spark.read.schema(jobs.JOB_EVENT).json(str(tmp_path / "in"))
+    got = {(r.window_start.strftime("%H:%M"), r.status): r.n for r in jobs.status_windows(batch, "1 hour", "30 minutes").collect()}
+    assert got["23:30", "QUEUED"] == got["00:00", "QUEUED"] == 3 and ("00:30", "QUEUED") not in got and got["01:30", "COMPLETED"] == got["02:00", "COMPLETED"] == 1
+
+
 def test_ingest_replaces_pages(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    page = lambda i, t: json.dumps({"page_id": i, "html": f"<h1>{t}</h1><p>x</p>"})
-    (tmp_path / "in" / "1.json").write_text(page(1, "old") + "\n" + page(2, "two"))
+    page = lambda i, t: json.dumps({"page_id": i, "html": t})
+    (tmp_path / "in" / "1.json").write_text("\n".join([page(1, "<h1>old</h1><p>x</p>"), page(2, "<h1>two</h1>"), page(3, "<h1>three</h1>")]))
     stream = lambda: spark.readStream.schema("page_id long, html string").json(str(tmp_path / "in"))
-    assert jobs.ingest_pages(stream(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
-    (tmp_path / "in" / "2.json").write_text(page(1, "new"))
-    assert jobs.ingest_pages(stream(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "out" / "version=1")).filter("element_type = 'heading'").collect()
-    assert {(r.page_id, r.content) for r in rows} == {(1, "new"), (2, "two")}
+    run = lambda c: jobs.ingest_pages(stream(), str(tmp_path / "out"), str(tmp_path / c), buckets=8).awaitTermination(120)
+    headings = lambda: {(r.page_id, r.content) for r in jobs.current_elements(spark, str(tmp_path / "out")).filter("element_type = 'heading'").collect()}
+    assert run("c") and headings() == {(1, "old"), (2, "two"), (3, "three")}
+    (tmp_path / "in" / "2.json").write_text(page(1, "<h1>new</h1>") + "\n" + page(3, "nothing"))
+    assert run("c") and headings() == {(1, "new"), (2, "two")}
+    touched = {int(p.name.split("=")[1]) for p in (tmp_path / "out" / "version=1").glob("bucket=*")}
+    assert len(touched) <= 2
+    (tmp_path / "in" / "1.json").unlink()  # a new checkpoint reads what is left and goes on after the last version
+    assert run("other") and headings() == {(1, "new"), (2, "two")} and (tmp_path / "out" / "version=2").exists()
