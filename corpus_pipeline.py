@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, meet, spare, table
 from lexmill.llm.decontaminate import decontaminate
 from lexmill.llm.langid import filter_languages
 from lexmill.llm.linededup import dedup_lines
@@ -35,15 +35,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = spare(docs, "key")
     rows = cut(jaccard_rows(docs).select("key", "cluster", "doc_id"), "named")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
-    first = rows.groupBy("cluster").agg(least.alias("_first"), F.count("*").alias("n")).filter("n > 1").select("cluster", "_first")
-    gone = cut(rows.join(first, "cluster").filter("key <> _first").select(F.col("key").alias("_key")).distinct(), "gone-rows")
-    kept = docs.withColumn("_key", row_key()).join(gone, "_key", "left_anti")
+    first = rows.groupBy("cluster").agg(least.alias("_first"), F.count("*").alias("n")).filter("n > 1")
+    gone = meet(rows, cut(first, "firsts"), ["cluster"], "n").filter("key <> _first").select(F.col("key").alias(own))
+    gone = cut(gone.distinct(), "gone-rows")
+    kept = docs.withColumn(own, row_key()).join(gone, own, "left_anti")
     # Repeated rows are copies too; they are few and looked up by key, so other texts do not move for them.
-    twice = cut(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_key"), "repeated-rows")
-    once = kept.join(twice, "_key", "left_anti")
-    return once.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
+    twice = cut(rows.groupBy(F.col("key").alias(own)).agg(F.count("*").alias("n")).filter("n > 1").select(own), "repeated-rows")
+    once = kept.join(twice, own, "left_anti")
+    return once.unionByName(kept.join(twice, own, "left_semi").dropDuplicates([own])).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
