@@ -85,10 +85,8 @@ def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: st
     """
     least = max(HOT_ROWS, rows.count() // HOT_KEYS)
     hot, cold = (keyed.filter(f).drop(count) for f in (F.col(count) >= least, F.col(count) < least))
-    if how == "left":  # rows without a key in ``keyed`` come with the cold ones
-        rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
-        return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, "left"))
-    return rows.join(F.broadcast(hot), keys, how).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how))
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how)
+    return rest if how == "left_anti" else rows.join(F.broadcast(hot), keys, how).unionByName(rest)
 
 
 def let(value: Column, body) -> Column:

@@ -148,14 +148,14 @@ def _split(cells: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     common = cut(cells.groupBy("start", "core").agg(F.count("*").alias("n")).filter("n > 1"), "radix-common")
     cells = cut(meet(cells, common, ["start", "core"], "n", "left_semi"), "radix-cells")
     covered = cells.filter("cover is not null").groupBy("start", "core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at", "lo", "hi")).alias("one"))
-    covered = cut(covered.filter("n > 1").select("start", "core", "cover", F.lit(True).alias("again"), "one", "n"), "radix-covered")
-    told = cut(meet(cells, covered.drop("one"), ["start", "core", "cover"], "n", "left"), "radix-told")
-    columns = ["tid", "at", "lo", "hi", "start"]
+    covered = cut(covered.filter("n > 1").select("start", "core", "cover", "one", "n"), "radix-covered")
+    keys, columns = ["start", "core", "cover"], ["tid", "at", "lo", "hi", "start"]
+    again = cut(meet(cells, covered.drop("one"), keys, "n", "left_semi").select(columns), "radix-again")
     if width == 1:
-        return told.filter("again"), told.filter("false").select(columns)
-    open_ = told.filter("again is null")
+        return again, again.filter("false")
+    open_ = cut(meet(cells, covered.drop("one"), keys, "n", "left_anti").select(*columns, "core"), "radix-open-cells")
     beside = covered.join(open_.select("start", "core").distinct(), ["start", "core"], "left_semi").select("start", "one.*")
-    return told.filter("again"), open_.select(columns).unionByName(beside.select(columns))
+    return again, open_.select(columns).unionByName(beside.select(columns))
 
 
 def _spans(repeated: DataFrame, width: int) -> DataFrame:
