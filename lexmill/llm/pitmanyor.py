@@ -605,17 +605,19 @@ def _score_shard(words, model, d: float):
         t = np.minimum(c, 1.0)
         back = np.ones(len(us))
         total = np.zeros(len(us))
+        # A split context may have no training pair in this shard.
+        place, split = plan.find(us)
+        total[split] = plan.tokens[place[split]]
+        back[split] = (STRENGTH + d * heavy[place[split]]) / (STRENGTH + total[split])
         for contexts, pairs, seated in seats[["contexts", "pairs", "seats"]].itertuples(index=False, name=None):
             names, tokens, single = unsqueeze(contexts)
             names = unstep(names)
             pu, wn, wi, _ = unsqueeze(pairs)
             mean = unsqueeze(seated)[2] / SAMPLES
-            tables = _context_tables(plan, names, single + np.bincount(pu.astype(np.int64), mean, minlength=len(names)), heavy)
-            place, split = plan.find(names)
+            tables = single + np.bincount(pu.astype(np.int64), mean, minlength=len(names))
             tokens = tokens.astype(float)
-            tokens[split] = plan.tokens[place[split]]
             k = np.minimum(np.searchsorted(names, us), len(names) - 1)
-            own = names[k] == us
+            own = (names[k] == us) & ~split
             back[own] = ((STRENGTH + d * tables) / (STRENGTH + tokens))[k[own]]
             total[own] = tokens[k[own]]
             # A pair's tables: its place among this shard's pairs of more than one customer.
