@@ -12,7 +12,9 @@ Letters are lower-cased; everything between letters counts as one space.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and is rejected; without any labelled row
 nothing can be learned and every document is ``und``; repeated rows get equal answers; an empty table gives an empty
-result.  Texts are read whole, in pieces of a million characters, each starting with an empty context.
+result.  Texts are read whole, in pieces of a million characters that repeat the context before them.  Letters above U+FFFF
+count as one letter.  The score is the language's share of exp(-n * cross-entropy), with n the events but 50 at most, so
+that long texts do not all get 1.
 """
 
 from __future__ import annotations
@@ -78,27 +80,49 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, starts, letters
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of about PIECE characters with the index of the text that each part belongs to."""
-    owners, parts, size = [], [], 0
+def _context_start(text: str, at: int) -> int:
+    """Where the kept characters begin that give the gram at ``at`` its context."""
+    back = 2 * ORDER
+    while at > back and len(gram_codes([text[at - back : at]])[0]) < ORDER:
+        back *= 2
+    return max(0, at - back)
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str], list[str]]]:
+    """Groups of about PIECE characters: the text that each part belongs to, and the context before it, which the part repeats."""
+    owners, parts, before, size = [], [], [], 0
     for i, t in enumerate(texts):
         for k in range(0, len(t or ""), PIECE):
             part = t[k : k + PIECE]
             if size + len(part) > PIECE and parts:
-                yield owners, parts
-                owners, parts, size = [], [], 0
+                yield owners, parts, before
+                owners, parts, before, size = [], [], [], 0
+            context = t[_context_start(t, k) : k]
             owners.append(i)
-            parts.append(part)
+            parts.append(context + part)
+            before.append(context)
             size += len(part)
     if parts:
-        yield owners, parts
+        yield owners, parts, before
+
+
+def _grams(parts: list[str], before: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, first of each part, letters, whether a code is the part's own) of parts with repeated context."""
+    code, starts, letters = gram_codes(parts)
+    own = np.ones(len(code), dtype=bool)
+    for k in np.flatnonzero([len(x) > 0 for x in before]).tolist():
+        repeated, _, more = gram_codes([before[k]])
+        own[starts[k] : starts[k] + len(repeated)] = False
+        letters[k] -= more[0]
+    return code, starts, letters, own
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, group in batch.groupby("lang"):
-            for _, parts in _pieces(list(group["text"])):
-                code, n = np.unique(gram_codes(parts)[0].view(np.int64), return_counts=True)
+            for _, parts, before in _pieces(list(group["text"])):
+                code, _, _, own = _grams(parts, before)
+                code, n = np.unique(code[own].view(np.int64), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": code, "n": n.astype(np.int64)})
 
 
@@ -179,12 +203,12 @@ class LanguageModel:
         """(cross-entropy per language, events, letters) of each text."""
         total = np.zeros((len(texts), len(self.langs)))
         events, letters = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-        for owners, parts in _pieces(texts):
-            code, starts, own = gram_codes(parts)
-            sums = np.add.reduceat(self._log_probabilities(code).astype(np.float64), starts[:-1], axis=0)
+        for owners, parts, before in _pieces(texts):
+            code, starts, letters_, own = _grams(parts, before)
+            sums = np.add.reduceat(self._log_probabilities(code).astype(np.float64) * own[:, None], starts[:-1], axis=0)
             np.add.at(total, owners, sums)
-            np.add.at(events, owners, np.diff(starts))
-            np.add.at(letters, owners, own)
+            np.add.at(events, owners, np.add.reduceat(own.astype(np.int64), starts[:-1]))
+            np.add.at(letters, owners, letters_)
         return -total / np.maximum(events, 1)[:, None], events, letters
 
     def calibrate(self, best: np.ndarray, events: np.ndarray, least: np.ndarray) -> None:

@@ -419,6 +419,16 @@ def test_html_templates_by_brute_force(spark):
     assert got == want and 0 < len(want) < len(pages)
 
 
+def test_pieces_keep_their_context(monkeypatch):
+    grams = {"xx": np.unique(langid.gram_codes(["abracadabra abba cad"])[0], return_counts=True), "yy": np.unique(langid.gram_codes(["bold cold"])[0], return_counts=True)}
+    model = langid.LanguageModel(["xx", "yy"], grams)
+    texts = ["abra  cold, 12 " * 9, "a" + " " * 50 + "b", "", None, "abracadabra"]
+    want = model.entropies(texts)
+    for size in (1, 2, 3, 7, 16):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert all(np.allclose(a, b) for a, b in zip(want, model.entropies(texts)))
+
+
 def test_entropies_by_brute_force():
     texts = {"aa": "abracadabra abba cad", "bb": "bold cold old gold"}
     grams = {k: np.unique(langid.gram_codes([t])[0], return_counts=True) for k, t in texts.items()}
@@ -432,7 +442,7 @@ def test_entropies_by_brute_force():
             counts = {4: collections.Counter(("   " + train)[i : i + 4] for i in range(len(train)))}
             for n in (3, 2, 1):
                 counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
-            d = {n: (o := max(sum(v == 1 for v in c.values()), 1)) / (o + 2 * max(sum(v == 2 for v in c.values()), 1)) for n, c in counts.items()}
+            d = {n: (o := max(sum(v == 1 for v in c.values()), 1)) / (o + 2 * sum(v == 2 for v in c.values())) for n, c in counts.items()}
 
             def p(g, n):
                 if n == 0:

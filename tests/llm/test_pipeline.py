@@ -60,6 +60,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {r.doc_id for r in got} <= set(want) and all(0 < r.taken <= 2 * r.size == 2 * len(WORD.findall(r.text)) for r in got)
     total = sum(len(WORD.findall(t)) for t in want.values())
     assert abs(sum(r.taken for r in got) - 1.5 * total) <= 20
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        assert own[0].source_size == sum(len(WORD.findall(t)) for i, t in want.items() if f"s{i % 4}" == source)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 and own[0].target <= 2 * own[0].source_size
 
 
 def test_ngram_join_drops_rows_not_ids(spark):
