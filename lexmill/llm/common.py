@@ -77,13 +77,18 @@ HOT_ROWS = 1000
 HOT_KEYS = 1 << 16
 
 
+def hot_rows(rows: DataFrame) -> int:
+    """From how many rows on a key of ``rows`` is hot; at most HOT_KEYS keys are."""
+    return max(HOT_ROWS, rows.count() // HOT_KEYS)
+
+
 def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row a key and the number of its rows as ``count`` (dropped).
 
     Keys that many rows hold are broadcast and meet their rows where these are: each has at least total / HOT_KEYS rows, so
     there are HOT_KEYS of them at most.  All others are joined as usual.  Both tables are read twice, so cut them first.
     """
-    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    least = hot_rows(rows)
     hot, cold = (keyed.filter(f).drop(count) for f in (F.col(count) >= least, F.col(count) < least))
     rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how)
     return rest if how == "left_anti" else rows.join(F.broadcast(hot), keys, how).unionByName(rest)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, scratch_path, table
+from lexmill.llm.common import cut, hot_rows, scratch_path, table
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -134,8 +134,14 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), page.alias("html"))
     rows = rows.withColumn("digest", _digest("html"))
     names = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    names = cut(names.filter("n > 1").select("digest", "keeper"), "warc-repeats")
-    records = rows.join(names, "digest", "left").select("page_id", "url", "html", "digest", "keeper").mapInPandas(_write_records(segment_bytes), "value string")
+    names = cut(names.filter("n > 1"), "warc-repeats")
+    # Payloads of very many pages, a bounded number, are met where the pages are; these then join as if each were alone.
+    least = hot_rows(rows)
+    hot = names.filter(F.col("n") >= least).select("digest", F.col("keeper").alias("hot"))
+    cold = names.filter(F.col("n") < least).select(F.col("digest").alias("match"), F.col("keeper").alias("cold"))
+    alone = F.when(F.col("hot").isNotNull(), F.concat(F.lit("page "), F.xxhash64("page_id", "url"))).otherwise(F.col("digest"))
+    named = rows.join(F.broadcast(hot), "digest", "left").withColumn("own", alone).join(cold, F.col("own") == F.col("match"), "left")
+    records = named.select("page_id", "url", "html", "digest", F.coalesce("hot", "cold").alias("keeper")).mapInPandas(_write_records(segment_bytes), "value string")
     records.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
