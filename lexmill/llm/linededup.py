@@ -89,7 +89,7 @@ def _set_bits(min_chars: int, bits: int):
     return run
 
 
-def _merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     once, twice = np.zeros(SEGMENT, dtype=bool), np.zeros(SEGMENT, dtype=bool)
     for blob in rows["blob"]:
         one, two = (unstep(x) for x in unsqueeze(blob))

@@ -130,7 +130,7 @@ def _count_packed(shard_bits: int):
 
 
 def _frequent(shard_bits: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h, n = np.unique(np.concatenate([_unpack(b) for b in rows["blob"]]), return_counts=True)
         often = n >= FREQUENT
         return pd.DataFrame({"h": (h[often] | np.uint64(key[0] << (COUNT_BITS - shard_bits))).astype(np.int64), "n": n[often].astype(np.int64)})
@@ -192,7 +192,7 @@ def _prefixes(frequent, shard_bits: int):
 def _lists(shard_bits: int):
     """(sig, fp, n) of all inverted lists of a shard with at least two members."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         held = []
         for blob, owner, fps, sizes in rows[["blob", "owner", "fps", "sizes"]].itertuples(index=False, name=None):
             low = _unpack(blob)

@@ -401,7 +401,7 @@ _STATE = "shard int, contexts binary, pairs binary, seats binary, words binary"
 def _open_shard(busy, whole: bool):
     """``busy`` holds words; if it is ``whole``, words outside it were seen once and are not reported."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         us, ws, u, w, c = _merge_pairs(list(rows["blob"]), busy.value)
         single = c == 1
         once, more = np.bincount(w[single], minlength=len(ws)), np.bincount(w[~single], minlength=len(ws))
