@@ -50,8 +50,8 @@ STRENGTH = 5.0
 HEAD = 1 << 21
 PAIRS = 1 << 20
 #: Tokens packed at a time, tokens of a shard, the most shards, and about how many characters a token has.
-FLUSH = 1 << 20
-SHARD = 1 << 21
+FLUSH = 1 << 19
+SHARD = 3 << 19
 MOST_SHARDS = 1 << 16
 CHARS_PER_TOKEN = 5
 #: The end of a word in spelling, and the hash that stands for the start and the end of a text.
@@ -238,10 +238,14 @@ def _count_words(shards: int):
             train = batch["train"].to_numpy(dtype=bool)
             ends += (train.sum(), len(batch))
             for picked, h, bounds, raw, first, length in word_chunks(batch["text"]):
-                kinds, at, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                c = np.bincount(inverse, np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds)), minlength=len(kinds))
-                held.append((kinds, _word_array(raw.tobytes(), first[at], (first + length)[at]), c.astype(np.int64), n))
-                size += len(kinds)
+                if not len(h):
+                    continue
+                order = np.argsort(h)
+                new = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
+                at, n = order[new], np.diff(np.append(new, len(h)))
+                c = np.add.reduceat(np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds))[order].astype(np.int64), new)
+                held.append((h[at], _word_array(raw.tobytes(), first[at], (first + length)[at]), c, n))
+                size += len(at)
                 if size > FLUSH:
                     held = [_merge_words(held)]
                     size = len(held[0][0])
@@ -494,7 +498,7 @@ def _seat_words(spelling, d: float, tables: float, sweep: int):
     """Reseat the words seen more than once; sum their customers and tables over the samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, batch in enumerate(_gathered(batches, FLUSH // 4)):
+        for k, batch in enumerate(_gathered(batches, FLUSH // 2)):
             p = spelling.value.words(batch["word"])
             c = np.maximum(batch["served"].to_numpy(dtype=float), 1)
             stored = [x or b"" for x in batch["ranks"]]
