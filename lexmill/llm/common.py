@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 import weakref
@@ -72,6 +73,26 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Texts sent to Python at a time by the jobs of an operator, so that workers stay small beside Spark's own bound in bytes.
+TEXT_ROWS = 2000
+
+
+def in_small_batches(operator):
+    """Run the jobs that ``operator`` starts with small Arrow batches; the session's setting is as before when it returns."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        spark, before = df.sparkSession, df.sparkSession.conf.get(key)
+        spark.conf.set(key, min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS)
+        try:
+            return operator(df, *args, **kwargs)
+        finally:
+            spark.conf.set(key, before)
+
+    return run
+
+
 #: Rows of a key from which it is hot, and the most hot keys, whatever the number of rows.
 HOT_ROWS = 1000
 HOT_KEYS = 1 << 16

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, meet, spare, table
+from lexmill.llm.common import cut, in_small_batches, meet, spare, table
 from lexmill.llm.packing import squeeze, steps, unsqueeze, unstep
 
 MIN_CHARS = 40
@@ -139,6 +139,7 @@ def filter_bits(chars: int, min_chars: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << max(lines - 1, 1).bit_length()))
 
 
+@in_small_batches
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int | None = None) -> DataFrame:
     """(doc_id, key) of every line to drop: its key is in ``min_docs`` documents and doc_id is not the largest of them."""
     if not bits:

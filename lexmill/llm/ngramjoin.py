@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, in_small_batches, table
 from lexmill.llm.hasharray import most_frequent
 from lexmill.llm.tokens import shingle_sets
 
@@ -361,6 +361,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@in_small_batches
 def jaccard_rows(docs: DataFrame) -> DataFrame:
     """jaccard_join with each row's key and cluster: unlike a doc_id, a cluster is never that of unlinked texts."""
     spark = docs.sparkSession

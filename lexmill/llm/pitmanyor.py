@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, release, table
+from lexmill.llm.common import cut, in_small_batches, release, table
 from lexmill.llm.hasharray import HashArray, mix, most_frequent
 from lexmill.llm.langid import held_out
 from lexmill.llm.packing import squeeze, steps, unsqueeze, unstep
@@ -716,6 +716,7 @@ def _cutoff(state: DataFrame, most: int) -> int:
     return int(cutoff)
 
 
+@in_small_batches
 def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame:
     """Score ``docs`` (doc_id, text, is_held_out) with a model of those of its rows for which ``training`` holds."""
     spark = docs.sparkSession
