@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "htmltext", "langid", "linededup", "mixing", "ngramjoin", "pitmanyor", "quality", "suffixdedup", "warc")
+MODULES = ("decontaminate", "divergence", "fillmiddle", "htmltext", "langid", "linededup", "mixing", "ngramjoin", "pitmanyor", "quality", "suffixdedup", "toxicity", "warc")
 
 
 def _gather(kind: str) -> dict:

@@ -12,8 +12,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Bytes of text handled at a time.
 CHUNK = 1 << 21
 
@@ -29,17 +29,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def hash_runs(solid: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; the runs of the given lengths follow each other in ``solid``."""
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    offset = np.cumsum(length) - length
+    place = np.arange(len(solid)) - np.repeat(offset, length)
+    values = _BYTES[solid] * _powers(int(length.max()))[place]
+    return mix(np.add.reduceat(values, offset) + length.astype(np.uint64))
+
+
 def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, length) of every word of lower-cased bytes: words are runs without white space."""
     solid = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
     first, length = edges[::2], edges[1::2] - edges[::2]
-    if not len(first):
-        return np.zeros(0, np.uint64), first, length
-    offset = np.cumsum(length) - length
-    place = np.arange(offset[-1] + length[-1]) - np.repeat(offset, length)
-    values = _BYTES[raw[solid]] * _powers(int(length.max()))[place]
-    return mix(np.add.reduceat(values, offset) + length.astype(np.uint64)), first, length
+    return hash_runs(raw[solid], length), first, length
 
 
 def word_chunks(texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -47,7 +52,7 @@ def word_chunks(texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.n
     picked, parts, size = [], [], 0
 
     def done():
-        raw = _LOWER[np.frombuffer(b" ".join(parts), dtype=np.uint8)]
+        raw = LOWER[np.frombuffer(b" ".join(parts), dtype=np.uint8)]
         h, first, length = hash_words(raw)
         ends = np.cumsum([len(p) + 1 for p in parts])
         return picked, h, np.concatenate(([0], np.searchsorted(first, ends))), raw, first, length
