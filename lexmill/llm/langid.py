@@ -2,13 +2,15 @@
 
 Training counts character 4-grams per language in Spark, on a hash sample of the labelled documents (about
 ``SAMPLE_DOCS`` a language, a documented bound); a fifth of the sample and about ``CALIBRATION_DOCS`` other documents a
-language calibrate rejection.  The model
+language calibrate rejection.  A language with fewer than ``LEAST_ASIDE`` documents keeps them all for counting and takes the
+widest limit of the others.  The model
 keeps, for each order, the 64-bit hashes of all grams in one sorted array with a log probability per language beside
 each, so one lookup serves every language.  A gram that no language saw falls back to the next order by the weight of
 its context.  A document gets the language of lowest cross-entropy per character; it is rejected if that lies above the
 limit calibrated for the language and the text's length.
 
-Letters are lower-cased; everything between letters counts as one space.
+Letters are lower-cased; everything between letters counts as one space, combining marks included, so scripts that write
+vowels as marks are told by their consonants.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and is rejected; without any labelled row
 nothing can be learned and every document is ``und``; repeated rows get equal answers; an empty table gives an empty
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import table
+from lexmill.llm.common import spare, table
 from lexmill.llm.hasharray import HashArray
 
 ORDER = 4
@@ -38,6 +40,7 @@ PIECE = 1 << 20
 #: nats.  Fewer than ``ENOUGH`` texts do not tell the quantile: a band takes that of its language and more for short texts,
 #: a language its highest and the wide slack.
 CALIBRATION_DOCS = 2400
+LEAST_ASIDE = 20
 QUANTILE = 0.995
 ENOUGH = 200
 BANDS = (64, 256, 1024)
@@ -257,7 +260,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = rows.filter(draw < share).withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0)
+    sample = rows.filter(draw < share).withColumn("aside", (F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0) & F.col("lang").isin([k for k, n in sizes.items() if n >= LEAST_ASIDE]))
     counted = sample.filter(~F.col("aside")).select("lang", "text").mapInPandas(_count, "lang string, code long, n long")
     found = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     grams = {k: (g["code"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in found.groupby("lang")}
@@ -279,26 +282,33 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """``docs`` with the columns lang_pred, score, cross_entropy and accepted."""
-    names = [f.name for f in _ANSWER]
-    docs = docs.drop(*names)
+def _answers(docs: DataFrame, model: LanguageModel | None) -> Column:
+    """The struct of lang_pred, score, cross_entropy and accepted of each text."""
     if model is None:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("accepted"))
+        none = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(0.0), "accepted": F.lit(False)}
+        return F.struct(*[v.alias(k) for k, v in none.items()])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(_ANSWER)
     def answer(text: pd.Series) -> pd.DataFrame:
         return held.value.predict([None if t is None else t for t in text])
 
-    return docs.withColumn("_answer", answer(F.col("text").cast("string"))).select(*docs.columns, "_answer.*")
+    return answer(F.col("text").cast("string"))
+
+
+def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """``docs`` with the columns lang_pred, score, cross_entropy and accepted, which replace columns of these names."""
+    docs = docs.drop(*[f.name for f in _ANSWER])
+    own = spare(docs, "answer")
+    return docs.withColumn(own, _answers(docs, model)).select(*docs.columns, f"{own}.*")
 
 
 def filter_languages(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The accepted documents, with the columns they came with."""
     labelled = docs if labelled is None else labelled
     model = train(labelled.filter(~held_out(F.col("doc_id"))))
-    return identify(docs, model).filter("accepted").select(*docs.columns)
+    own = spare(docs, "answer")
+    return docs.withColumn(own, _answers(docs, model)).filter(F.col(f"{own}.accepted")).select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
