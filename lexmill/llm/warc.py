@@ -11,7 +11,8 @@ record is marked incomplete.  Records that are not segmented never shuffle.  The
 framing is decoded and the payload digested.
 
 Archives are plain text writes of UTF-8 records, gzip-compressed by Spark's writer; reading accepts both forms and any
-bytes.  Defined results: a null html is an empty payload; a null id or url leaves its header out and reads back as null;
+bytes.  Ids of any type that has an order and a text form are archived as text, percent-encoded, and read back in the type
+asked for.  Defined results: a null html is an empty payload; a null id or url leaves its header out and reads back as null;
 repeated rows are records of their own, and all rows with the largest id of equal payloads are responses; an empty
 table gives an empty archive; extra columns are not archived.
 """
@@ -24,6 +25,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -99,13 +101,13 @@ def _write_records(segment_bytes: int):
         for batch in batches:
             out = []
             for page_id, url, page, digest, keeper in zip(batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["keeper"]):
-                payload, number = page.encode(), None if pd.isna(page_id) else int(page_id)
+                payload = page.encode()
                 url = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-                shared = [("WARC-Target-URI", url), ("X-Page-ID", number), ("WARC-Payload-Digest", f"sha1:{digest}")]
+                shared = [("WARC-Target-URI", url), ("X-Page-ID", None if page_id is None else quote(page_id, safe="")), ("WARC-Payload-Digest", f"sha1:{digest}")]
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                if not pd.isna(keeper) and (number is None or int(keeper) != number):
+                if keeper is not None and keeper != page_id:
                     block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
-                    more = [("WARC-Profile", _PROFILE), ("X-Refers-To-Page-ID", int(keeper)), ("Content-Type", "application/http;msgtype=response")]
+                    more = [("WARC-Profile", _PROFILE), ("X-Refers-To-Page-ID", quote(keeper, safe="")), ("Content-Type", "application/http;msgtype=response")]
                     out.append(_record("revisit", name(), shared + more, block))
                     continue
                 block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -131,7 +133,7 @@ def _digest(page: pd.Series) -> pd.Series:
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_bytes: int = 0) -> None:
     """Archive (page_id, url, html); equal payloads of at least ``min_bytes`` are stored once."""
     page = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), page.alias("html"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), page.alias("html"))
     rows = rows.withColumn("digest", _digest("html"))
     names = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     names = cut(names.filter("n > 1"), "warc-repeats")
@@ -141,7 +143,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     cold = names.filter(F.col("n") < least).select(F.col("digest").alias("match"), F.col("keeper").alias("cold"))
     alone = F.when(F.col("hot").isNotNull(), F.concat(F.lit("page "), F.xxhash64("page_id", "url"))).otherwise(F.col("digest"))
     named = rows.join(F.broadcast(hot), "digest", "left").withColumn("own", alone).join(cold, F.col("own") == F.col("match"), "left")
-    records = named.select("page_id", "url", "html", "digest", F.coalesce("hot", "cold").alias("keeper")).mapInPandas(_write_records(segment_bytes), "value string")
+    ids = (F.col("page_id").cast("string").alias("page_id"), F.coalesce("hot", "cold").cast("string").alias("keeper"))
+    records = named.select("url", "html", "digest", *ids).mapInPandas(_write_records(segment_bytes), "value string")
     records.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -164,14 +167,17 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 _HEADERS = "record_id string, kind string, origin string, segment long, total long, page_id long, url string, refers_to long, declared string"
+#: As archives hold them.
+_TEXT_IDS = _HEADERS.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
 
 
 def _read_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     number = lambda v: None if v is None else int(v)
+    text = lambda v: None if v is None else unquote(v)
     names = [x.split()[0] for x in _HEADERS.split(", ")] + ["block"]
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("segment", "total", "page_id", "refers_to")})
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("segment", "total")})
 
     for batch in batches:
         for content in batch["content"]:
@@ -179,7 +185,7 @@ def _read_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for h, block in parse_archive(content):
                 rows.append((
                     h.get("warc-record-id"), h.get("warc-type"), h.get("warc-segment-origin-id") or h.get("warc-record-id"), number(h.get("warc-segment-number")),
-                    number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), h.get("warc-target-uri"), number(h.get("x-refers-to-page-id")),
+                    number(h.get("warc-segment-total-length")), text(h.get("x-page-id")), h.get("warc-target-uri"), text(h.get("x-refers-to-page-id")),
                     (h.get("warc-payload-digest") or "").rpartition(":")[2] or None, block,
                 ))
                 size += len(block)
@@ -227,18 +233,22 @@ def reassemble(records: DataFrame) -> DataFrame:
     return whole.select(*joined.columns).unionByName(joined)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives under ``path``: record_id, record_type, page_id, url, refers_to, payload, its size and digest, complete."""
+def read_archives(spark: SparkSession, path: str, id_type: str | T.DataType = "long") -> DataFrame:
+    """Records of all archives under ``path``: record_id, record_type, page_id, url, refers_to, payload, its size and digest, complete.
+
+    ``id_type`` is the type that the ids had."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = reassemble(files.mapInPandas(_read_records, _HEADERS + ", block binary")).filter(F.col("kind").isin("response", "revisit"))
+    records = reassemble(files.mapInPandas(_read_records, _TEXT_IDS + ", block binary")).filter(F.col("kind").isin("response", "revisit"))
+    records = records.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
     out = records.withColumn("p", _decoded("block", "kind", "declared"))
     return out.select("record_id", F.col("kind").alias("record_type"), "page_id", "url", "refers_to", "p.*", (F.col("complete") & F.col("p.payload_digest").eqNullSafe(F.col("declared"))).alias("complete"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, path)
+    return read_archives(spark, path, pages.schema["page_id"].dataType).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
 QUERIES = {"op6_warc": op6_warc}
