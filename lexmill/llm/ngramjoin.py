@@ -35,7 +35,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmill.llm.common import cut, in_small_batches, table
 from lexmill.llm.hasharray import most_frequent
@@ -342,13 +341,12 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-_SET = T.StructType([T.StructField("fp", T.LongType()), T.StructField("shingles", T.BinaryType())])
-
-
-@F.pandas_udf(_SET)
-def _shingle_bytes(text: pd.Series) -> pd.DataFrame:
-    found = {i: (_name(s), s.tobytes()) for i, s in shingle_sets(text)}
-    return pd.DataFrame([found[i] for i in range(len(text))], columns=["fp", "shingles"])
+def _wanted_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingle sets of the texts whose set has the wanted name."""
+    for batch in batches:
+        want = batch["want"].tolist()
+        rows = [(name, s.tobytes()) for i, s in shingle_sets(batch["text"]) if (name := _name(s)) == want[i]]
+        yield pd.DataFrame(rows, columns=["fp", "shingles"])
 
 
 def row_key() -> Column:
@@ -386,8 +384,8 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
 
     # Whole shingle sets of the representatives that stand in some list.
     needed = cut(first.join(lists.select("fp").distinct(), "fp", "left_semi").select(F.col("doc_id").alias("id"), F.col("fp").alias("want")), "jaccard-needed")
-    sets = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("want", _shingle_bytes("text").alias("s"))
-    sets = cut(sets.filter("want = s.fp").select("s.*").dropDuplicates(["fp"]), "jaccard-sets")
+    sets = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("want", "text")
+    sets = cut(sets.mapInPandas(_wanted_sets, "fp long, shingles binary").dropDuplicates(["fp"]), "jaccard-sets")
 
     least = cut(lists.groupBy("sig").agg(F.min("fp").alias("b")), "jaccard-least")
     star = lists.join(least, "sig").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
