@@ -39,3 +39,14 @@ def default_title(filename: Column) -> Column:
 def job_step(status: Column) -> Column:
     """Position of a status in the chain of steps; failures have none."""
     return F.nullif(F.array_position(F.array(*[F.lit(s) for s in JOB_ORDER]), status), F.lit(0))
+
+
+def content_id(*parts: Column) -> Column:
+    """A repeatable id: the SHA-256 of the parts' texts, a separator between them; missing parts count as empty."""
+    return F.sha2(F.encode(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "UTF-8"), 256)
+
+
+def metadata_field(metadata: Column, path: str, kind: str, default=None) -> Column:
+    """A typed field of JSON text read as a variant; malformed text, a missing field and one of another type give the default."""
+    found = F.try_variant_get(F.try_parse_json(metadata), path, kind)
+    return found if default is None else F.coalesce(found, F.lit(default).cast(kind))

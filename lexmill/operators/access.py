@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 PERMISSIONS = {"upload": ("SUPER_ADMIN", "ADMIN"), "manage_users": ("SUPER_ADMIN", "ADMIN"), "read_audit": ("SUPER_ADMIN", "ADMIN"), "query": ("SUPER_ADMIN", "ADMIN", "USER")}
 
 
+def record_outcome(requests: DataFrame, records: DataFrame, users: DataFrame) -> DataFrame:
+    """(request_id, outcome) of (request_id, user_id, query_id): a query record is for its owner and for admins of either kind."""
+    owned = records.select("query_id", F.col("user_id").alias("owner_id"))
+    roles = users.select(F.col("id").alias("user_id"), "role")
+    r = requests.join(owned, "query_id", "left").join(roles, "user_id", "left")
+    allowed = (F.col("owner_id") == F.col("user_id")) | F.coalesce(F.col("role").isin("SUPER_ADMIN", "ADMIN"), F.lit(False))
+    return r.select("request_id", F.when(F.col("owner_id").isNull(), "DOCUMENT_NOT_FOUND").when(allowed, "OK").otherwise("NOT_AUTHORIZED").alias("outcome"))
+
+
 def accessible(users: DataFrame, assignments: DataFrame, docs: DataFrame, ready_only: bool = True) -> DataFrame:
     """Per user and department, what the user may see: (user_id, department_id) with the number of documents there.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,30 @@ def children(parents_df: DataFrame, size: int = CHILD_WORDS, stride: int = CHILD
     return split.select("document_id", "parent_id", F.concat_ws("-", "parent_id", "n").alias("chunk_id"), F.array_join(F.slice("ws", F.col("at"), F.lit(size)), " ").alias("content"))
 
 
+def windows(content: str, size: int = CHILD_WORDS, stride: int = CHILD_STRIDE) -> Iterator[str]:
+    """The windows of ``children`` as a plain chunker."""
+    ws = [w for w in content.split(" ") if w]
+    for at in range(0, max(1, len(ws) - size + stride) if ws else 0, stride):
+        yield " ".join(ws[at : at + size])
+
+
+def chunk_with(parents_df: DataFrame, chunker: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(document_id, parent_id, chunk_id, content) by any chunker, as a table function over the parents of each document.
+
+    A document's parents come to one call of the function in the order of their ids, row by row, so a chunker is a Python
+    function of one parent's text; ``children`` is the native form of windows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in parents_df.schema}
+
+    class Chunks:
+        def eval(self, row):
+            for n, content in enumerate(chunker(row["content"] or "")):
+                yield row["document_id"], row["parent_id"], f"{row['parent_id']}-{n}", content
+
+    made = F.udtf(Chunks, returnType=f"document_id {kinds['document_id']}, parent_id {kinds['parent_id']}, chunk_id string, content string")
+    return made(parents_df.select("document_id", "parent_id", "content").asTable().partitionBy("document_id").orderBy("parent_id"))
+
+
 def line_page(parent_id: Column) -> Column:
     """A line's number from 1 on, which stands for its page."""
     return (F.split_part(parent_id, F.lit("-"), F.lit(2)).cast("int") + 1).cast("int")

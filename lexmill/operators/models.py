@@ -1,22 +1,16 @@
-"""Batch model steps and approximate dense search."""
+"""Batch model steps: texts to vectors, and texts to texts with skips, equal inputs sent once and errors as rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexmill.operators.retrieval import dense_search
+from lexmill.sources.store import written
 
 BATCH = 32
-#: Vectors that the cells are fitted on, most cells, queries that the visits are measured on, and the recall aimed at there.
-SAMPLE, MOST_CELLS, TRIALS, RECALL = 4096, 1024, 64, 0.95
 
 
 def model_step(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch: int = BATCH) -> DataFrame:
@@ -37,45 +31,37 @@ def model_step(df: DataFrame, id_col: str, text_col: str, factory: Callable[[],
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, embedding array<double>")
 
 
-def fit_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
-    """Unit centroids fitted on the ``sample`` vectors of least id hash."""
-    rows = vectors.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
-    return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+def text_step(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], list[str]]], skip: Column | None = None, batch: int = BATCH) -> DataFrame:
+    """``df`` with answer, error and skipped: texts go through a model in batches, such as enrichment or answering.
 
+    Equal texts are sent once and share the answer.  Rows for which ``skip`` holds, and null texts, are not sent.  If a batch
+    fails its texts are sent one by one; one that fails alone, or gets no text back, has the error instead of an answer.
+    """
 
-def _nearest(centers: np.ndarray, n: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def nearest(embedding: pd.Series) -> pd.Series:
-        if not len(embedding):
-            return pd.Series([], dtype=object)
-        score = np.stack(embedding.to_numpy()) @ centers.T
-        return pd.Series(list(np.argsort(-score, axis=1)[:, :n].astype(np.int64)))
-
-    return nearest
-
-
-def probes_for(vectors: DataFrame, centers: np.ndarray, top_k: int, recall: float = RECALL, trials: int = TRIALS, id_type: str = "long") -> int:
-    """The fewest cells to visit at which ``trials`` queries of least id hash find ``recall`` of their true neighbours."""
-    asked = vectors.orderBy(F.xxhash64("id", F.lit("trial"))).limit(trials)
-    true = dense_search(asked, vectors, top_k, id_type).select("query_id", "chunk_id")
-    order = asked.select(F.col("id").alias("query_id"), _nearest(centers, len(centers))("embedding").alias("order"))
-    cell = vectors.select(F.col("id").alias("chunk_id"), F.element_at(_nearest(centers, 1)("embedding"), 1).alias("cell"))
-    places = true.join(order, "query_id").join(cell, "chunk_id").select(F.array_position("order", F.col("cell")).alias("place"))
-    found = [r["place"] for r in places.collect()]  # trials * top_k rows at most
-    return int(np.quantile(found, recall, method="higher")) if found else len(centers)
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
 
-def ann_search(queries: DataFrame, vectors: DataFrame, top_k: int, cells: int | None = None, probes: int | None = None, id_type: str = "long") -> DataFrame:
-    """As ``dense_search``, visiting only each query's ``probes`` nearest cells; every vector is indexed.
+        def one(text: str) -> tuple[str | None, str | None]:
+            try:
+                (answer,) = model([text])
+                return (answer, None) if isinstance(answer, str) else (None, "the model returned no text")
+            except Exception as e:  # a failed row is a row
+                return None, f"{type(e).__name__}: {e}"[:500]
 
-    Without arguments there are about as many cells as the square root of the vectors' number, and the visits come from the
-    recall measured on a few queries.  With probes equal to cells the result is exact.
-    """
-    if cells is None:
-        cells = int(min(MOST_CELLS, max(4, vectors.count() ** 0.5)))
-    centers = fit_cells(vectors, cells)
-    probes = probes or probes_for(vectors, centers, top_k, id_type=id_type)
-    placed = vectors.select("id", "embedding", F.element_at(_nearest(centers, 1)("embedding"), 1).alias("group"))
-    asked = queries.select("id", "embedding", F.explode(_nearest(centers, probes)("embedding")).alias("group"))
-    return dense_search(asked, placed, top_k, id_type)
+        for part in batches:
+            for at in range(0, len(part), batch):
+                rows = part.iloc[at : at + batch]
+                texts = rows["text"].tolist()
+                try:
+                    answers = list(model(texts))
+                    good = len(answers) == len(texts) and all(isinstance(a, str) for a in answers)
+                except Exception:  # told row by row
+                    good = False
+                pairs = [(a, None) for a in answers] if good else [one(t) for t in texts]
+                yield pd.DataFrame({"key": rows["key"], "answer": [a for a, _ in pairs], "error": [e for _, e in pairs]})
+
+    skipped = F.col(text_col).isNull() | (F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False))
+    marked = df.withColumn("skipped", skipped).withColumn("_key", F.when(~F.col("skipped"), F.sha2(F.encode(text_col, "UTF-8"), 256)))
+    asked = marked.filter("not skipped").groupBy(F.col("_key").alias("key")).agg(F.first(text_col).alias("text"))
+    answers = written(asked.mapInPandas(run, "key string, answer string, error string"), "answers")
+    return marked.join(answers, F.col("_key") == F.col("key"), "left").select(*df.columns, "answer", "error", "skipped")

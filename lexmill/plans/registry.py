@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "relational", "dashboards")
+MODULES = ("retrieval", "relational", "dashboards", "indexes")
 
 
 def _gather(kind: str) -> dict:

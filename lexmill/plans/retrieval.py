@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, models, retrieval
-from lexmill.sources import views
+from lexmill.operators import corpus, retrieval, vectors
+from lexmill.sources import store, views
 from lexmill.sources.views import raw
 
 PARENTS = """parents AS (SELECT doc_id AS document_id, doc_id || '-' || (i - 1) AS parent_id, ls[i] AS content
@@ -121,7 +121,8 @@ def dense_topk(spark, sf):
 
 def ann_topk(spark, sf):
     v = raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return models.ann_search(v.filter("id % 20 = 0"), v, 10)
+    index = vectors.VectorIndex.build(v, store.scratch_path(spark, "vector-index"), 10)
+    return index.search(v.filter("id % 20 = 0"), 10)[0]
 
 
 def ann_recall(spark, sf):

@@ -1,23 +1,19 @@
-"""Streams of ingestion job events: latest status with expiry, duplicate starts, stalled jobs, windows, incremental ingestion."""
+"""Streams of ingestion job events: latest status with expiry, duplicate starts, stalled jobs, windows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from lexmill.functions.scalars import document_status
-from lexmill.operators import corpus
 
 #: A job's last status is kept this long (fixed value).
 STATUS_TTL_MS = 86_400_000
-#: Parts that ingested pages are dealt to, each rewritten only when one of its pages comes.
-BUCKETS = 64
 TERMINAL = ("READY", "COMPLETED", "FAILED")
 
 JOB_EVENT = StructType([
@@ -76,14 +72,14 @@ class _Starts(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         on = bool(self.running.get()[0]) if self.running.exists() else False
-        for batch in rows:
-            batch = batch.sort_values("ts")
-            verdicts = []
-            for status in batch["status"]:
-                start = status == "QUEUED"
-                verdicts.append("duplicate" if start and on else "accepted" if start else "step")
-                on = (on or start) and status not in TERMINAL
-            yield pd.DataFrame({"job_id": key[0], "status": batch["status"], "ts": batch["ts"], "verdict": verdicts})
+        # A job's events of one micro-batch may come in several Arrow batches; they are judged in the order of their times.
+        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        verdicts = []
+        for status in batch["status"]:
+            start = status == "QUEUED"
+            verdicts.append("duplicate" if start and on else "accepted" if start else "step")
+            on = (on or start) and status not in TERMINAL
+        yield pd.DataFrame({"job_id": key[0], "status": batch["status"], "ts": batch["ts"], "verdict": verdicts})
         self.running.update((on,))
 
     def close(self) -> None:
@@ -148,38 +144,3 @@ def upload_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str =
 def publish(events: DataFrame, write_batch, checkpoint: str) -> StreamingQuery:
     """Hand every micro-batch to ``write_batch(df, batch_id)`` and stop when the input is used up."""
     return events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_elements(spark: SparkSession, target: str) -> DataFrame:
-    """The elements of every bucket's last version."""
-    rows = spark.read.parquet(target)
-    last = rows.select("bucket", "version").distinct().groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(last), ["bucket", "version"], "left_semi").filter("page_id is not null")  # a row a bucket
-
-
-def ingest_pages(pages: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Pages to elements, replacing each page's old elements.
-
-    Pages are dealt to ``buckets``, and a batch writes only the buckets that it touches, as one more version in ``target``.
-    Versions follow those in the folder, so a new checkpoint goes on after them; a batch that runs again replaces the same
-    pages by the same elements.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int").alias("bucket")
-        fresh = corpus.page_elements(batch).select("*", bucket)
-        touched = batch.select(bucket).distinct()
-        # A row without a page stands for each touched bucket, so that one that loses all elements has a version too.
-        fresh = fresh.unionByName(touched, allowMissingColumns=True)
-        version = 0
-        try:
-            old = current_elements(spark, target)
-        except AnalysisException:  # nothing was written yet
-            old = None
-        if old is not None:
-            version = (spark.read.parquet(target).agg(F.max("version")).first()[0] or 0) + 1
-            rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(batch.select("page_id"), "page_id", "left_anti")
-            fresh = fresh.unionByName(rest.select(*fresh.columns))
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={version}")
-
-    return publish(pages, step, checkpoint)

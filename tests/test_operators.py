@@ -108,20 +108,6 @@ def test_model_step_and_batches(spark):
     assert got[5] == [5.0, 1.0] and got[99] == [0.0, 1.0] and len(got) == 71
 
 
-def test_approximate_search_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 64)).astype(float)
-    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, embedding array<double>")
-    q = v.filter("id % 20 = 0")
-    exact = {(r.query_id, r.chunk_id) for r in retrieval.dense_search(q, v, 10).collect()}
-    near = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
-    full = {(r.query_id, r.chunk_id) for r in models.ann_search(q, v, 10, cells=16, probes=16).collect()}
-    assert full == exact
-
-
 def test_chunk_write_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(1, "a b c\nd e"), (2, "f")], "doc_id long, text string")
     kids = corpus.children(corpus.parents(d))

@@ -93,19 +93,3 @@ def test_sliding_windows(spark, tmp_path):
     batch = spark.read.schema(jobs.JOB_EVENT).json(str(tmp_path / "in"))
     got = {(r.window_start.strftime("%H:%M"), r.status): r.n for r in jobs.status_windows(batch, "1 hour", "30 minutes").collect()}
     assert got["23:30", "QUEUED"] == got["00:00", "QUEUED"] == 3 and ("00:30", "QUEUED") not in got and got["01:30", "COMPLETED"] == got["02:00", "COMPLETED"] == 1
-
-
-def test_ingest_replaces_pages(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    page = lambda i, t: json.dumps({"page_id": i, "html": t})
-    (tmp_path / "in" / "1.json").write_text("\n".join([page(1, "<h1>old</h1><p>x</p>"), page(2, "<h1>two</h1>"), page(3, "<h1>three</h1>")]))
-    stream = lambda: spark.readStream.schema("page_id long, html string").json(str(tmp_path / "in"))
-    run = lambda c: jobs.ingest_pages(stream(), str(tmp_path / "out"), str(tmp_path / c), buckets=8).awaitTermination(120)
-    headings = lambda: {(r.page_id, r.content) for r in jobs.current_elements(spark, str(tmp_path / "out")).filter("element_type = 'heading'").collect()}
-    assert run("c") and headings() == {(1, "old"), (2, "two"), (3, "three")}
-    (tmp_path / "in" / "2.json").write_text(page(1, "<h1>new</h1>") + "\n" + page(3, "nothing"))
-    assert run("c") and headings() == {(1, "new"), (2, "two")}
-    touched = {int(p.name.split("=")[1]) for p in (tmp_path / "out" / "version=1").glob("bucket=*")}
-    assert len(touched) <= 2
-    (tmp_path / "in" / "1.json").unlink()  # a new checkpoint reads what is left and goes on after the last version
-    assert run("other") and headings() == {(1, "new"), (2, "two")} and (tmp_path / "out" / "version=2").exists()
