@@ -97,6 +97,17 @@ def ingested_dense(spark, sf):
     return found.withColumn("query_id", F.expr("cast(substring(query_id, 2) as bigint)"))
 
 
+def replaced_elements(spark, sf):
+    """Elements of failed documents replaced in a table by key, the batch sent twice, then compacted."""
+    kept = store.KeyedTable(spark, store.scratch_path(spark, "elements"), "document_id")
+    kept.write(views.elements(spark, sf).select("document_id", "page", "modality"), batch=("load", 0))
+    fresh = views.docs(spark, sf).filter("status = 'FAILED_INDEXING'").select(F.col("id").alias("document_id"), F.lit(1).cast(kept.read().schema["page"].dataType).alias("page"), F.lit("text").alias("modality"))
+    for _ in range(2):
+        kept.write(fresh, batch=("replace", 0))
+    kept.compact()
+    return kept.read().groupBy("document_id", "page", "modality").agg(F.count("*").alias("n"))
+
+
 def landing_scan(spark, sf):
     """Pages land as files, a file a page, and are judged by name and size; 3,000 bytes are the limit here."""
     path = store.scratch_path(spark, "landing")
@@ -159,7 +170,7 @@ def sketched_latency(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_indexed, bm25_scoped, bm25_visits, dense_pruned, dense_visits, ann_figures, ingested_elements, ingested_bm25, ingested_dense, landing_scan,
+    bm25_indexed, bm25_scoped, bm25_visits, dense_pruned, dense_visits, ann_figures, ingested_elements, ingested_bm25, ingested_dense, replaced_elements, landing_scan,
     page_structure, chunk_table_function, content_ids, element_metadata, record_access, sketched_users, sketched_latency,
 )}
 
@@ -186,6 +197,7 @@ ORACLES = {
     "sketched_users": """WITH e AS (SELECT ts::DATE AS day, user_id FROM events), d AS (SELECT DISTINCT day FROM e)
         SELECT d.day, count(*) AS rows, count(DISTINCT user_id) AS users, true AS within FROM d JOIN e ON e.day BETWEEN d.day - 6 AND d.day GROUP BY d.day""",
     "sketched_latency": "SELECT event_type, count(*) AS rows, true AS p50_within, true AS p95_within FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    "replaced_elements": relational.ORACLES["replace_elements"],
     "landing_scan": r"""WITH f AS (SELECT 'page-' || page_id || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '.html' END AS name,
         strlen(regexp_replace(html, '[\r\n]', ' ', 'g')) + 1 AS size_bytes FROM pages)
         SELECT name, size_bytes, CASE WHEN name NOT ILIKE '%.pdf' THEN 'INVALID_FILE_TYPE' WHEN size_bytes > 3000 THEN 'FILE_TOO_LARGE' ELSE 'ACCEPTED' END AS reason FROM f""",

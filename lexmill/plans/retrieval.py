@@ -75,7 +75,7 @@ def scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf: str, dense_k: int, sparse_k: int, final_k: int, scoped: bool) -> DataFrame:
-    chunks, asked = _chunks(spark, sf), _asked(spark, sf)
+    chunks, asked = store.written(_chunks(spark, sf), "chunks"), _asked(spark, sf)  # searched, embedded and looked up
     vectors = corpus.embed_rows(chunks, "chunk_id", "content")
     asking = corpus.embed_rows(asked.withColumn("qid", F.concat(F.lit("q"), "query_id")), "qid", "text")
     limits = None

@@ -408,3 +408,17 @@ def test_record_gate(spark):
     asked = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, 3, 10), (4, 4, 10), (5, 9, 10), (6, 1, 99)], "request_id long, user_id long, query_id long")
     got = {r.request_id: r.outcome for r in access.record_outcome(asked, records, users).collect()}
     assert got == {1: "OK", 2: "OK", 3: "OK", 4: "NOT_AUTHORIZED", 5: "NOT_AUTHORIZED", 6: "DOCUMENT_NOT_FOUND"}
+
+
+def test_search_by_document_in_waves(spark):
+    """Few documents first, or all at once: the same hits; with few, most documents are never searched."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(d, f"{d:03d}-{c}", f"{d:03d}-p{c % 3}", " ".join(rng.choice(words, 8))) for d in range(90) for c in range(5)]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_id string, parent_id string, content string")
+    q = spark.createDataFrame([(1, "w1 w2"), (2, "nothing known"), (3, "w5 w5 w7")], "query_id long, text string")
+    asked = q.select("query_id").join(chunks.select("document_id").distinct(), F.lit(True)).filter("query_id <> 3 or document_id % 2 = 0")
+    vector = lambda d, key, text: store.written(corpus.embed_rows(d, key, text).withColumnRenamed("id", key), "test-vectors")
+    args = (asked, q, vector(q, "query_id", "text"), chunks, vector(chunks, "chunk_id", "content"), 25, 7)
+    few, every = (retrieval.search_by_document(*args, first=n) for n in (4, 1000))
+    assert _rows(few.select("query_id", "chunk_id", "fusion_score", "rank")) == _rows(every.select("query_id", "chunk_id", "fusion_score", "rank")) and few.count() == 21
