@@ -34,13 +34,15 @@ from lexmill.llm.packing import squeeze, unsqueeze
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 1_000_000
 MOST_SIGNS = 8192
-#: A sign stands in so many sampled toxic documents at least, and in this share of those that hold it, toxic ones are.
+#: A sign stands in so many sampled toxic documents at least, and its share of them is so many times that of clean ones.
 LEAST_DOCS = 3
 LEAST_LIFT = 2.0
+#: Bytes of a gram, bytes of text read at a time, and scores from which a document is toxic and a sentence offends.
 GRAMS = (5, 8)
 PIECE = 1 << 20
 TOXIC_FROM = 0.7
 OFFENDING_FROM = 0.5
+#: Steps of the fit, their size, and the weights' decay.
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
