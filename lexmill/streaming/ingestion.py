@@ -45,11 +45,13 @@ def apply_batch(root: str, batch: DataFrame, name: str | None = None, number: in
     Of several rows of a page the greatest html counts.  With the ``name`` and ``number`` of a batch it is applied once.
     """
     pages = batch.groupBy("page_id").agg(F.max("html").alias("html")).persist()
+    tables, parts = corpus_tables(batch.sparkSession, root, buckets), page_parts(pages)
+    held = [pages, *(parts[t].persist() for t in ("elements", "chunks"))]  # each is read by the tables after it
     try:
-        tables, parts = corpus_tables(batch.sparkSession, root, buckets), page_parts(pages)
         return [t for t in TABLES if tables[t].write(parts[t], pages.select("page_id"), None if name is None else (name, number))]
     finally:
-        pages.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 def ingest_corpus(pages: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
