@@ -6,8 +6,8 @@ is stored in folders by token bucket and sorted by token, so a search reads the
 only the two small numbers that bound their scores.
 
 A search sums the bounds of its tokens by range, scores the few best ranges of each query, and then only ranges whose bound
-reaches the k-th score.  Blocks that are needed move once to the task of their range, packed as they are; a token that every
-chunk holds is spread over the ranges.  Nothing is tokenised again.
+reaches the k-th score.  The asked tokens' blocks of these ranges move once to the task of their range, packed as they are; a
+token that every chunk holds is spread over the ranges.  Nothing is tokenised again.
 
 Since a block's bound follows from frequency and length, it holds whatever the collection's statistics are: the same rows
 serve an index that grows (see lexmill.streaming.ingestion).
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,11 @@ from lexmill.operators.retrieval import B, EPSILON, K1, ranked
 from lexmill.sources.store import written
 
 RANGE_CHUNKS = 64
-#: Ranges a token bucket, and queries that meet a range in one task.
+#: Ranges a token bucket, queries that meet a range in one task, and query terms that tasks hold at a time.
 BUCKET_RANGES = 16384
 LEAST_BUCKETS = 16
 QUERIES = 2048
+QUERY_TERMS = 1 << 20
 #: Cells of queries times chunks that are scored at a time.
 CELLS = 1 << 22
 
@@ -108,33 +110,49 @@ def saturated(tf, length, avgdl):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
 
 
-def _score(avgdl: float, k: int):
-    """Scores of one range: its blocks, and the (query_id, token, weight) that ask for them."""
+class _Asked:
+    """The terms of a block of queries, a query's terms after each other."""
 
-    def run(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(blocks) or not len(asked):
-            return pd.DataFrame({"query_id": asked["query_id"][:0], "chunk_id": blocks["token"][:0], "score": np.zeros(0)})
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values("query_id", kind="stable")
+        self.queries, self.first, self.n = np.unique(rows["query_id"].to_numpy(), return_index=True, return_counts=True)
+        self.tokens, self.token = np.unique(rows["token"].to_numpy().astype(str), return_inverse=True)
+        self.weight = rows["weight"].to_numpy(dtype=float)
+
+    def of(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query in ``queries``, token, weight) of each term."""
+        at = np.searchsorted(self.queries, queries)
+        n = self.n[at]
+        rows = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(queries)), n), self.token[rows], self.weight[rows]
+
+
+def _score(held, avgdl: float, k: int):
+    """Scores of one range: its blocks, and the queries that look at it."""
+
+    def run(blocks: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(pairs):
+            return pd.DataFrame({"query_id": pairs["query_id"][:0], "chunk_id": blocks["token"][:0], "score": np.zeros(0)})
+        blocks = blocks.sort_values("token", kind="stable")  # several blocks of one token stand one after the other
         n = blocks["chunks"].map(len).to_numpy()
         chunks, chunk = np.unique(np.concatenate(blocks["chunks"].to_numpy()), return_inverse=True)
         part = saturated(*(np.concatenate(blocks[c].to_numpy()).astype(float) for c in ("tfs", "lens")), avgdl)
-        first = np.cumsum(n) - n
-        # Several blocks of one token stand one after the other.
+        edge = np.cumsum(n) - n
         names, start, rows = np.unique(blocks["token"].to_numpy().astype(str), return_index=True, return_counts=True)
-        at = np.searchsorted(names, asked["token"].to_numpy().astype(str))
-        queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
-        begin, upto = first[start[at]], (first + n)[start[at] + rows[at] - 1]
-        weight, step, found = asked["weight"].to_numpy(), max(1, CELLS // len(chunks)), []
-        order = np.argsort(query, kind="stable")
+        place = np.searchsorted(held.value.tokens, names)  # all blocks are of tokens that are asked for
+        begin, upto = np.zeros(len(held.value.tokens), dtype=np.int64), np.zeros(len(held.value.tokens), dtype=np.int64)
+        begin[place], upto[place] = edge[start], (edge + n)[start + rows - 1]
+        queries, step, found = np.unique(pairs["query_id"].to_numpy()), max(1, CELLS // len(chunks)), []
         for low in range(0, len(queries), step):
-            own = order[slice(*np.searchsorted(query[order], (low, low + step)))]
-            times = (upto - begin)[own]
-            places = np.repeat(begin[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            cells = np.repeat(query[own] - low, times) * len(chunks) + chunk[places]
-            width = min(step, len(queries) - low)
-            score = np.round(np.bincount(cells, np.repeat(weight[own], times) * part[places], minlength=width * len(chunks)).reshape(width, -1), 6)
-            least = np.partition(score, -k, axis=1)[:, -k] if len(chunks) > k else np.full(width, -np.inf)
+            own = queries[low : low + step]
+            query, token, weight = held.value.of(own)
+            times = (upto - begin)[token]
+            places = np.repeat(begin[token] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            cells = np.repeat(query, times) * len(chunks) + chunk[places]
+            score = np.round(np.bincount(cells, np.repeat(weight, times) * part[places], minlength=len(own) * len(chunks)).reshape(len(own), -1), 6)
+            least = np.partition(score, -k, axis=1)[:, -k] if len(chunks) > k else np.full(len(own), -np.inf)
             q, c = np.nonzero((score >= least[:, None]) & (score != 0))
-            found.append(pd.DataFrame({"query_id": queries[low + q], "chunk_id": chunks[c], "score": score[q, c]}))
+            found.append(pd.DataFrame({"query_id": own[q], "chunk_id": chunks[c], "score": score[q, c]}))
         return pd.concat(found)
 
     return run
@@ -143,31 +161,36 @@ def _score(avgdl: float, k: int):
 def search_index(index: Index, queries: DataFrame, top_k: int, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((query_id, chunk_id, score, lexical_rank), (query_id, blocks, visited)) of (query_id, text); zero scores are left out.
 
-    With ``scope`` (query_id, group) only ranges of the query's groups are looked at.
+    With ``scope`` (query_id, group) only ranges of the query's groups are looked at.  Queries come in blocks of about
+    QUERY_TERMS terms by their hash; tasks hold a block's terms, so that what meets a range is its queries' ids alone.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
     asked = written(asked.join(index.terms, "token").select("query_id", "token", (F.col("qf") * F.col("idf")).alias("weight"), token_bucket(F.col("token"), index.buckets).alias("bucket")), "asked")
+    parts = -(-asked.count() // QUERY_TERMS) or 1
+    found = [_search_part(index, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), queries.schema["query_id"].dataType.simpleString(), top_k, scope) for k in range(parts)]
+    hits, visits = (reduce(DataFrame.unionByName, d) for d in zip(*found))
+    return ranked(hits, "score", "lexical_rank", top_k), visits
+
+
+def _search_part(index: Index, asked: DataFrame, query_type: str, top_k: int, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    held = asked.sparkSession.sparkContext.broadcast(_Asked(asked.select("query_id", "token", "weight").toArrow().to_pandas()))  # about QUERY_TERMS rows
     total = asked.agg(F.count_distinct("query_id").alias("n"), F.collect_set("bucket").alias("buckets")).first()  # a number a bucket
     avgdl = index.stats.first()["avgdl"] or 1.0
-    there = index.postings.filter(F.col("bucket").isin(total["buckets"]))
+    there = index.postings.filter(F.col("bucket").isin(total["buckets"])).join(asked.select("token").distinct(), "token", "left_semi")
     least = there.groupBy("token", "group", "range").agg(F.max("max_tf").alias("tf"), F.min("min_len").alias("len"))
     most = F.greatest(F.col("weight") * saturated(F.col("tf"), F.col("len"), F.lit(float(avgdl))), F.lit(0.0))
     reached = least.join(asked, "token")
     if scope is not None:
         reached = reached.join(scope.select("query_id", F.col("group").cast("long").alias("group")), ["query_id", "group"], "left_semi")
     bounds = reached.groupBy("query_id", "group", "range").agg(F.sum(most).alias("bound"))
-    kinds = {c: dict(d.dtypes)[c] for d, c in ((queries, "query_id"), (index.postings, "chunks"))}
+    chunk_type = dict(index.postings.dtypes)["chunks"][6:-1]
     salts = -(-total["n"] // QUERIES) or 1
 
     def search(pairs: DataFrame) -> DataFrame:
-        need = pairs.join(asked.select("query_id", "token", "weight"), "query_id").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)))
-        wanted = need.select("group", "range", "salt", "token").distinct()
-        blocks = there.join(wanted, ["group", "range", "token"]).select("group", "range", "salt", "token", "chunks", "tfs", "lens")
-        sorted_blocks = lambda b, a: _score(avgdl, top_k)(b.sort_values("token"), a[a["token"].isin(b["token"])])
+        need = pairs.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)))
         keys, names = ["group", "range", "salt"], ["in_group", "in_range", "in_salt"]
         again = [F.col(k).alias(n) for k, n in zip(keys, names)]  # both sides come from ``need``
-        schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunks'][6:-1]}, score double"
-        return blocks.groupBy(*keys).cogroup(need.select(*again, "query_id", "token", "weight").groupBy(*names)).applyInPandas(sorted_blocks, schema)
+        blocks = there.join(need.select(*keys).distinct(), ["group", "range"]).select(*keys, "token", "chunks", "tfs", "lens")
+        return blocks.groupBy(*keys).cogroup(need.select(*again, "query_id").groupBy(*names)).applyInPandas(_score(held, avgdl, top_k), f"query_id {query_type}, chunk_id {chunk_type}, score double")
 
-    hits, visits = in_waves(bounds, ["group", "range"], search, "score", top_k)
-    return ranked(hits, "score", "lexical_rank", top_k), visits
+    return in_waves(bounds, ["group", "range"], search, "score", top_k)
