@@ -11,11 +11,11 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of five-wo
 3. Every list's members are searched with the list's least member as query.  A search takes a query and a block of
    candidate sets: short inverted lists are heap-merged, long ones probed by bisection, and candidates that reach the
    required overlap remain.  A dense group of copies thus costs a search per member, not per pair.
-4. A linked pair in different components shares more than (3n // 32) lists that hold several components.  Documents in
-   fewer of these drop out again; what is left falls into clusters of documents joined by such lists.  Linked sets are of
-   like size, so a cluster falls into bands of sizes, and a document meets its own band and the next ones only.  Within
-   these, the documents outside the cluster's largest component are searched against all others, in blocks of bounded
-   size, each query by the same T-occurrence search; a query reports one link to each other component.
+4. A linked pair in different components shares more than (3n // 32) lists that hold several components.  Linked sets are
+   of like size, so lists are cut into windows of sizes, and documents in too few lists of a window drop out of it; what is
+   left falls into clusters of documents joined by lists of one window.  In each, the documents outside the cluster's
+   largest component are searched against all others, in blocks of bounded size, each query by the same T-occurrence
+   search; a query reports one link to each other component.
 5. Components come from large-star and small-star rounds.
 
 Defined results: null, empty or blank texts have no shingle, and their component is their own doc_id; repeated rows are
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, in_small_batches, table
+from lexmill.llm.common import cut, in_small_batches, meet, table
 from lexmill.llm.hasharray import most_frequent
 from lexmill.llm.tokens import shingle_sets
 
@@ -283,44 +283,51 @@ def _search_blocks(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _windows(lists: DataFrame) -> DataFrame:
+    """Rows (sig, fp, n, component) in each window of sizes that they fall into.
+
+    Sets of n and m shingles, n < m, link only if n >= 3m / 4.  Sizes fall into bands of this ratio, and a window is a band
+    with the one above it: linked sets stand together in the window of the smaller one's band.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
+    return lists.withColumn("band", band).withColumn("window", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+
+
 def _impure(lists: DataFrame) -> DataFrame:
-    """Rows (sig, fp, n, component) of lists with several components, without documents that stand in too few of them."""
+    """Rows of the windows whose lists hold several components, without documents that stand in too few of such lists.
+
+    A list without a set of the window's lower band counts in the next window only.
+    """
+    rows = cut(_windows(lists), "jaccard-windows")
     for step in range(PRUNE):
-        several = lists.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-        lists = cut(lists.join(cut(several, "jaccard-several"), "sig", "left_semi"), f"jaccard-impure-{step}")
-        enough = lists.groupBy("fp").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp")
-        lists = lists.join(cut(enough, "jaccard-still"), "fp", "left_semi")
-    return cut(lists, "jaccard-impure")
+        several = rows.groupBy("sig", "window").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("band").alias("low"))
+        several = several.filter((F.col("lo") != F.col("hi")) & (F.col("low") == F.col("window"))).select("sig", "window")
+        rows = cut(rows.join(cut(several, "jaccard-several"), ["sig", "window"], "left_semi"), f"jaccard-impure-{step}")
+        enough = rows.groupBy("fp", "window").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp", "window")
+        rows = rows.join(cut(enough, "jaccard-still"), ["fp", "window"], "left_semi")
+    return cut(rows.withColumn("node", F.xxhash64("component", "window")), "jaccard-impure")
 
 
 def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different components of (sig, fp, n, component)."""
     rows = _impure(lists)
-    heads = cut(rows.groupBy("sig").agg(F.min("component").alias("head")), "jaccard-heads")
-    edges = rows.join(heads, "sig").select(F.col("component").alias("a"), F.col("head").alias("b")).distinct()
+    heads = cut(rows.groupBy("sig", "window").agg(F.min("node").alias("head")), "jaccard-heads")
+    edges = rows.join(heads, ["sig", "window"]).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     clusters = components(edges)
     named = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    named = cut(named.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "jaccard-clusters")
-    members = cut(rows.select("fp", "n", "component").distinct().join(named, "component"), "jaccard-members")
-    sizes = members.groupBy("cluster", "component").agg(F.sum("n").alias("size"))
-    largest = cut(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest")), "jaccard-largest")
-    # Sets of n and m shingles, n < m, link only if n >= 3m / 4: bands of this ratio link with themselves and their neighbours.
-    members = members.join(largest, "cluster").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int"))
-    outside = F.col("component") != F.col("largest")
-    per = cut(members.groupBy("cluster", "band").agg(F.sum("n").alias("all"), F.sum(F.when(outside, F.col("n"))).alias("asking")), "jaccard-bands")
-    pieces = lambda c: F.ceil(F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)) / BLOCK_SHINGLES).cast("int")
-    plan = per.select("cluster", "band", pieces(F.col("all")).alias("n_i"), F.when(F.col("asking") > 0, pieces(F.col("asking"))).alias("n_q"))
-    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
-    held = members.join(sets, "fp")
+    named = cut(named.select("node", F.col("component").alias("cluster")), "jaccard-clusters")
+    members = cut(rows.select("fp", "n", "component", "node").distinct().join(named, "node").drop("node"), "jaccard-members")
+    sizes = members.groupBy("cluster", "component").agg(F.sum("n").alias("size"), F.count("*").alias("docs"))
+    per = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most"), F.sum("docs").alias("docs"))
+    pieces = lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
+    plan = per.filter("all > most").select("cluster", "largest", "docs", pieces(F.col("all")).alias("n_i"), pieces(F.col("all") - F.col("most")).alias("n_q"))
+    held = meet(members, cut(plan, "jaccard-plan"), ["cluster"], "docs").join(sets, "fp")
     part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # A query names the band it stems from; every candidate of the bands around it meets it in one block.
-    asking = held.filter(outside).join(plan.select("cluster", "band", "n_q"), ["cluster", "band"]).select("cluster", F.col("band").alias("qband"), near.alias("band"), part("n_q").alias("qb"), "fp", "component", "shingles")
-    queries = asking.join(plan.select("cluster", "band", "n_i"), ["cluster", "band"]).select("cluster", "qband", "band", "qb", each("n_i").alias("ib"), "fp", "component", "shingles")
-    asked = held.join(plan.select("cluster", "band", "n_i"), ["cluster", "band"]).select("cluster", "band", near.alias("qband"), part("n_i").alias("ib"), "fp", "component", "shingles")
-    counts = plan.filter("n_q is not null").select("cluster", F.col("band").alias("qband"), "n_q")
-    others = asked.join(counts, ["cluster", "qband"]).select("cluster", "qband", "band", each("n_q").alias("qb"), "ib", "fp", "component", "shingles")
-    keys = ["cluster", "qband", "band", "qb", "ib"]
+    # A query meets every candidate of its cluster in one block.
+    queries = held.filter("component <> largest").select("cluster", part("n_q").alias("qb"), each("n_i").alias("ib"), "fp", "component", "shingles")
+    others = held.select("cluster", each("n_q").alias("qb"), part("n_i").alias("ib"), "fp", "component", "shingles")
+    keys = ["cluster", "qb", "ib"]
     queries, others = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (queries, others))  # columns of their own
     return queries.groupBy(keys).cogroup(others.groupBy(keys)).applyInPandas(_search_blocks, "a long, b long")
 
@@ -387,8 +394,9 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     sets = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("want", "text")
     sets = cut(sets.mapInPandas(_wanted_sets, "fp long, shingles binary").dropDuplicates(["fp"]), "jaccard-sets")
 
-    least = cut(lists.groupBy("sig").agg(F.min("fp").alias("b")), "jaccard-least")
-    star = lists.join(least, "sig").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    least = cut(lists.groupBy("sig").agg(F.min(F.struct("fp", "n")).alias("least")).select("sig", F.col("least.fp").alias("b"), F.col("least.n").alias("m")), "jaccard-least")
+    like = DENOMINATOR * F.least("n", "m") >= NUMERATOR * F.greatest("n", "m")  # other sizes never link
+    star = lists.join(least, "sig").filter((F.col("fp") != F.col("b")) & like).select(F.col("fp").alias("a"), "b").distinct()
     star = cut(star, "jaccard-star")
     links = cut(_links(star, sets), "jaccard-links")
 
