@@ -33,7 +33,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, in_small_batches, meet, table
@@ -283,6 +283,12 @@ def _search_blocks(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _in_enough(lists: DataFrame, *by: str) -> DataFrame:
+    """Rows of documents that stand in enough lists for a link.  A group is one document's, no longer than its prefix."""
+    held = F.count("*").over(Window.partitionBy(*by))
+    return lists.withColumn("held", held).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).drop("held")
+
+
 def _windows(lists: DataFrame) -> DataFrame:
     """Rows (sig, fp, n, component) in each window of sizes that they fall into.
 
@@ -303,9 +309,8 @@ def _impure(lists: DataFrame) -> DataFrame:
         several = rows.groupBy("sig", "window").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("band").alias("low"))
         several = several.filter((F.col("lo") != F.col("hi")) & (F.col("low") == F.col("window"))).select("sig", "window")
         rows = cut(rows.join(cut(several, "jaccard-several"), ["sig", "window"], "left_semi"), f"jaccard-impure-{step}")
-        enough = rows.groupBy("fp", "window").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp", "window")
-        rows = rows.join(cut(enough, "jaccard-still"), ["fp", "window"], "left_semi")
-    return cut(rows.withColumn("node", F.xxhash64("component", "window")), "jaccard-impure")
+        rows = cut(_in_enough(rows, "fp", "window"), f"jaccard-still-{step}")
+    return rows.withColumn("node", F.xxhash64("component", "window"))
 
 
 def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -381,8 +386,7 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     packed = texts.select("text").mapInPandas(_prefixes(frequent, bits), "shard int, blob binary, owner binary, fps binary, sizes binary")
     lists = cut(packed.groupBy("shard").applyInPandas(_lists(bits), "sig long, fp long, n long"), "jaccard-all-lists")
     # Members of too few lists drop out; lists that are left with one member do too.
-    enough = lists.groupBy("fp").agg(F.count("*").alias("held"), F.max("n").alias("n")).filter(F.col("held") > F.floor(F.col("n") * 3 / 32)).select("fp")
-    lists = lists.join(cut(enough, "jaccard-enough"), "fp", "left_semi")
+    lists = cut(_in_enough(lists, "fp"), "jaccard-enough")
     shared = cut(lists.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("sig"), "jaccard-shared")
     lists = cut(lists.join(shared, "sig", "left_semi"), "jaccard-lists")
     kind = docs.schema["doc_id"].dataType.simpleString()
