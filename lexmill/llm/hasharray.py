@@ -12,6 +12,33 @@ def mix(code: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """An order that sorts unsigned numbers: one plain sort of their leading bits with their places behind them."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    bits = max(len(x) - 1, 1).bit_length()
+    cut = max(int(x.max()).bit_length() + bits - 64, 0)
+    packed = x >> np.uint64(cut) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if cut:
+        found = x[order]
+        if (found[1:] < found[:-1]).any():  # numbers that differ only in the bits left out
+            return np.argsort(x, kind="stable")
+    return order
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct numbers, a place of each, which of them stands at each place) of unsigned numbers."""
+    order = order_of(x)
+    found = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = found[1:] != found[:-1]
+    inverse = np.empty(len(x), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return found[new], order[new], inverse
+
+
 class HashArray:
     """A sorted array of hashed keys, an index of the hashes' leading bits, and a row of values per key."""
 
@@ -40,8 +67,9 @@ class HashArray:
         """The row of each key, -1 where it is absent."""
         h = mix(code)
         at = self.start[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        row = np.where(self.h[at] == h, at, -1)
-        todo = np.flatnonzero(row < 0)
+        first = self.h[at]
+        row = np.where(first == h, at, -1)
+        todo = np.flatnonzero(first < h)
         for step in range(1, self.most):
             i = np.minimum(at[todo] + step, len(self.h) - 1)
             hit = self.h[i] == h[todo]

@@ -31,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut, in_small_batches, release, table
-from lexmill.llm.hasharray import HashArray, mix, most_frequent
+from lexmill.llm.hasharray import HashArray, distinct, mix, most_frequent, order_of
 from lexmill.llm.langid import held_out
 from lexmill.llm.packing import squeeze, steps, unsqueeze, unstep
 from lexmill.llm.restaurants import carry, reseat
@@ -44,6 +45,8 @@ from lexmill.llm.tokens import word_chunks
 #: Bytes of context in spelling: at most 256 ** 3 spelling rows.
 CONTEXT = 2
 SPELLING_PARTS = 8
+#: Words spelled at a time.
+SPELLED = 1 << 14
 SAMPLES = 2
 STRENGTH = 5.0
 #: The most frequent words and pairs that tasks hold in memory; what they do not hold is joined.
@@ -53,6 +56,8 @@ PAIRS = 1 << 20
 FLUSH = 1 << 19
 SHARD = 3 << 19
 MOST_SHARDS = 1 << 16
+#: Rows whose sums are added in one task, as the bits of a row's number that a block of rows leaves out.
+BLOCK_BITS = 13
 CHARS_PER_TOKEN = 5
 #: The end of a word in spelling, and the hash that stands for the start and the end of a text.
 STOP = 0x20
@@ -109,15 +114,22 @@ class Spelling:
                 p = (weight.reshape(256, -1, 1) * p.reshape(1, -1, 256)).ravel()
                 if value is not None:
                     p[value["key"].to_numpy()] = value["value"].to_numpy()
-            self._log = np.log(np.maximum(p, np.float32(1e-30)))
+            np.maximum(p, np.float32(1e-30), out=p)
+            self._log = np.log(p, out=p)
         return self._log
 
     def words(self, words: pd.Series) -> np.ndarray:
         """The probability of each word's bytes and stop, not less than about the least double."""
-        if not len(words):
-            return np.zeros(0)
-        code, offset = gram_codes(*_as_arrays(words))
-        return np.exp(np.maximum(np.add.reduceat(self.log()[code.astype(np.int64)], offset, dtype=np.float64), -700.0))
+        return self.spans(*_as_arrays(words))
+
+    def spans(self, raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The same of words that are spans of ``raw``."""
+        out = np.zeros(len(first))
+        for at in range(0, len(first), SPELLED):
+            some = slice(at, at + SPELLED)
+            code, offset = gram_codes(raw, first[some], length[some])
+            out[some] = np.add.reduceat(self.log()[code.astype(np.int64)], offset, dtype=np.float64)
+        return np.exp(np.maximum(out, -700.0))
 
 
 def _as_arrays(words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,19 +137,47 @@ def _as_arrays(words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(length) - length, length
 
 
-def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spelling grams with the tables of the words that they occur in."""
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, pa.Array]]:
+    """The columns of about so many rows at a time, never of none: a sweep over many rows takes as many steps as over few."""
+    held, size = [], 0
+
+    def done() -> dict[str, pa.Array]:
+        joined = pa.Table.from_batches(held)
+        return {name: pa.concat_arrays(joined[name].chunks) for name in joined.column_names}
+
     for batch in batches:
-        if not len(batch):
-            continue
-        code, _ = gram_codes(*_as_arrays(batch["word"]))
-        kinds, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, np.repeat(batch["t"].to_numpy(dtype=float), [len(w) + 1 for w in batch["word"]]))
-        yield pd.DataFrame({"code": kinds.view(np.int64), "n": n.astype(np.int64)})
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield done()
+            held, size = [], 0
+    if size:
+        yield done()
+
+
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first byte, length) of a column of binary values; null has none."""
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8), edges[:-1], np.diff(edges)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spelling grams with the tables of the words that they occur in."""
+    for rows in _gathered(batches, SPELLED):
+        raw, first, length = _spans(rows["word"])
+        code, _ = gram_codes(raw, first, length)
+        kinds, _, at = distinct(code)
+        n = np.bincount(at, np.repeat(rows["t"].to_numpy().astype(float), length + 1))
+        yield _batch(code=kinds.view(np.int64), n=n.astype(np.int64))
 
 
 def spelling_grams(words: DataFrame) -> DataFrame:
-    return words.select("word", "t").mapInPandas(_spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return words.select("word", "t").mapInArrow(_spell, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def sample_restaurants(code: np.ndarray, customers: np.ndarray, root: np.ndarray, seed: int) -> pd.DataFrame:
@@ -208,7 +248,7 @@ def train_spelling(grams: DataFrame, seed: int) -> Spelling:
 def _merge_words(parts: list[tuple]) -> tuple:
     """(names, words, tokens in training, tokens) of distinct words."""
     h, words, c, n = (np.concatenate(x) for x in zip(*parts))
-    kinds, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    kinds, at, inverse = distinct(h)
     return kinds, words[at], *(np.bincount(inverse, x).astype(np.int64) for x in (c, n))
 
 
@@ -224,37 +264,43 @@ def _count_words(shards: int):
     def flush(parts: list[tuple]) -> pd.DataFrame:
         h, words, c, n = _merge_words(parts)
         shard = h % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        rows = []
-        for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            size = np.array([len(w) for w in words[at]], dtype=np.int64)
-            rows.append((int(shard[at[0]]), squeeze(steps(h[at]), size, c[at], n[at], np.frombuffer(b"".join(words[at]), dtype=np.uint8))))
+        order = order_of(shard)
+        words, sizes, rows = words[order], np.fromiter(map(len, words), np.int64, len(words))[order], []
+        ends = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            at = order[a:b]
+            rows.append((int(shard[at[0]]), squeeze(steps(h[at]), sizes[a:b], c[at], n[at], np.frombuffer(b"".join(words[a:b].tolist()), dtype=np.uint8))))
         return pd.DataFrame(rows, columns=["shard", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        size, ends = 0, np.zeros(2, dtype=np.int64)
+        nothing = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        (names, words, cs, ns), ends = nothing, np.zeros(2, dtype=np.int64)
         for batch in batches:
             train = batch["train"].to_numpy(dtype=bool)
             ends += (train.sum(), len(batch))
             for picked, h, bounds, raw, first, length in word_chunks(batch["text"]):
                 if not len(h):
                     continue
-                order = np.argsort(h)
-                new = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
-                at, n = order[new], np.diff(np.append(new, len(h)))
-                c = np.add.reduceat(np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds))[order].astype(np.int64), new)
-                held.append((h[at], _word_array(raw.tobytes(), first[at], (first + length)[at]), c, n))
-                size += len(at)
-                if size > FLUSH:
-                    held = [_merge_words(held)]
-                    size = len(held[0][0])
-                    if size > FLUSH // 2:
-                        yield flush(held)
-                        held, size = [], 0
+                order = order_of(h)
+                ranked = h[order]
+                new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+                kinds, at, n = ranked[new], order[new], np.diff(np.append(new, len(h)))
+                c = np.add.reduceat(np.repeat(train[np.array(picked, dtype=np.int64)], np.diff(bounds))[order], new, dtype=np.int64)
+                # Words that are held already are only counted.
+                place = np.searchsorted(names, kinds)
+                there = np.append(names, np.uint64(0))[place] == kinds
+                there &= place < len(names)
+                cs[place[there]] += c[there]
+                ns[place[there]] += n[there]
+                if not there.all():
+                    place, at = place[~there], at[~there]
+                    found = _word_array(raw.tobytes(), first[at], (first + length)[at])
+                    names, words, cs, ns = (np.insert(a, place, b) for a, b in ((names, kinds[~there]), (words, found), (cs, c[~there]), (ns, n[~there])))
+                if len(names) > FLUSH // 2:
+                    yield flush([(names, words, cs, ns)])
+                    names, words, cs, ns = nothing
         if ends[1]:
-            held.append((np.array([END], dtype=np.uint64), np.array([b""], dtype=object), ends[:1], ends[1:]))
-            yield flush(held)
+            yield flush([(names, words, cs, ns), (np.array([END], dtype=np.uint64), np.array([b""], dtype=object), ends[:1], ends[1:])])
 
     return run
 
@@ -283,12 +329,16 @@ class Plan:
         at = np.minimum(np.searchsorted(self.heavy, u), max(len(self.heavy) - 1, 0))
         return at, self.heavy[at] == u if len(self.heavy) else np.zeros(len(u), dtype=bool)
 
-    def shard(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        at, heavy = self.find(u)
-        part = np.zeros(len(u), dtype=np.uint64)
+    def shard(self, names: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The shard of each pair of places in ``names``."""
+        to = lambda h: (mix(h) >> np.uint64(7)) % np.uint64(self.shards)
+        at, heavy = self.find(names)
+        out = to(names)[u]
         if heavy.any():
-            part[heavy] = mix(w[heavy]) % self.parts[at[heavy]].astype(np.uint64)
-        return (mix(u + part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)) % np.uint64(self.shards)
+            split = np.flatnonzero(heavy[u])
+            part = mix(names[w[split]]) % self.parts[at[u[split]]].astype(np.uint64)
+            out[split] = to(names[u[split]] + part * np.uint64(0x9E3779B97F4A7C15))
+        return out
 
 
 def make_plan(words: DataFrame, tokens: int) -> Plan:
@@ -314,7 +364,7 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _by_shard(names: np.ndarray, u: np.ndarray, w: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, rows in order) of pairs of places in ``names``."""
-    shard = plan.shard(names[u], names[w])
+    shard = plan.shard(names, u, w)
     order = np.argsort(shard.astype(np.uint16) if plan.shards < 1 << 16 else shard, kind="stable")
     ends = np.flatnonzero(np.diff(shard[order])) + 1
     for rows in np.split(order, ends):
@@ -327,17 +377,18 @@ class _Names:
 
     def __init__(self, names: np.ndarray, busy: HashArray):
         row = busy.find(names)
-        self.order = np.lexsort((names, np.where(row < 0, len(busy.keys), row)))
-        self.names, self.rows, self.held = names[self.order], row[self.order], int((row >= 0).sum())
+        held, other = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        self.order = np.concatenate((held[order_of(row[held].astype(np.uint64))], other))
+        self.names, self.rows, self.held = names[self.order], row[self.order].astype(np.int64), len(held)
         self.place = np.empty(len(names), dtype=np.int64)
         self.place[self.order] = np.arange(len(names))
 
     def pack(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows and hashes of the distinct names, both as differences; place of each)."""
-        used = np.zeros(len(self.names), dtype=bool)
-        used[at] = True
-        rows = self.rows[: self.held][used[: self.held]].astype(np.int64)
-        return steps(rows), steps(self.names[self.held :][used[self.held :]]), (np.cumsum(used) - 1)[at]
+        used, _, place = distinct(at.astype(np.uint64))
+        used = used.astype(np.int64)
+        held = np.searchsorted(used, self.held)
+        return steps(self.rows[used[:held]]), steps(self.names[used[held:]]), place
 
 
 def _unpack_names(rows: np.ndarray, hashes: np.ndarray, busy: HashArray) -> np.ndarray:
@@ -348,7 +399,7 @@ def _list_pairs(plan, busy):
     """Packed counts of the pairs of training texts, shard by shard."""
 
     def flush(tokens: list[np.ndarray], plan: Plan, busy: HashArray) -> Iterator[tuple[int, bytes]]:
-        names, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        names, _, at = distinct(np.concatenate(tokens))
         names = _Names(names, busy)
         at = names.place[at].astype(np.uint64)
         u = np.concatenate((at[-1:], at[:-1]))  # a text starts after END, which ends the text before it
@@ -373,28 +424,35 @@ def _list_pairs(plan, busy):
     return run
 
 
-def _unpack_pairs(parts: list[list[np.ndarray]], busy: HashArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names of contexts, of words, both places of each packed pair in one number)."""
+def _unpack_pairs(parts: list[list[np.ndarray]], busy: HashArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+    """(names of contexts, of words, both places of each packed pair in one number, the bits of a word's place)."""
     un, wn = ([_unpack_names(p[k], p[k + 1], busy) for p in parts] for k in (0, 3))
-    us, ws = (np.unique(np.concatenate(x)) for x in (un, wn))
-    code = [np.searchsorted(us, a)[np.cumsum(p[2], dtype=np.int64)].astype(np.uint64) << np.uint64(32) | np.searchsorted(ws, b)[p[5].astype(np.int64)].astype(np.uint64) for a, b, p in zip(un, wn, parts)]
-    return us, ws, np.concatenate(code)
+    (us, _, iu), (ws, _, iw) = (distinct(np.concatenate(x)) for x in (un, wn))
+    bits = np.uint64(max(len(ws) - 1, 1).bit_length())
+    code, fu, fw = [], 0, 0
+    for a, b, p in zip(un, wn, parts):
+        code.append(iu[fu + np.cumsum(p[2], dtype=np.int64)].astype(np.uint64) << bits | iw[fw + p[5].astype(np.int64)].astype(np.uint64))
+        fu, fw = fu + len(a), fw + len(b)
+    return us, ws, np.concatenate(code), bits
+
+
+def _both(code: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    return (code >> bits).astype(np.int64), (code & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def _merge_pairs(blobs: list[bytes], busy: HashArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names of contexts, of words, context and word of each distinct pair, its count)."""
     parts = [unsqueeze(b) for b in blobs]
-    us, ws, code = _unpack_pairs(parts, busy)
-    both, at = np.unique(code, return_inverse=True)
+    us, ws, code, bits = _unpack_pairs(parts, busy)
+    both, _, at = distinct(code)
     c = np.bincount(at, np.concatenate([p[6] for p in parts])).astype(np.int64)
-    return us, ws, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(2**32 - 1)).astype(np.int64), c
+    return us, ws, *_both(both, bits), c
 
 
 def _used(names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct names as differences, place of each)."""
-    used = np.zeros(len(names), dtype=bool)
-    used[at] = True
-    return steps(names[used]), (np.cumsum(used) - 1)[at]
+    used, _, place = distinct(at.astype(np.uint64))
+    return steps(names[used.astype(np.int64)]), place
 
 
 #: A shard: contexts (their names, tokens and single pairs), pairs seen more than once (context, word names and word, count,
@@ -481,36 +539,23 @@ def _heavy_tables(plan: Plan, state: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Batches of about so many rows, none empty: a sweep over many rows takes as many steps as over few."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size >= rows:
-            yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
-    if size:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _seat_words(spelling, d: float, tables: float, sweep: int):
     """Reseat the words seen more than once; sum their customers and tables over the samples."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, batch in enumerate(_gathered(batches, FLUSH // 2)):
-            p = spelling.value.words(batch["word"])
-            c = np.maximum(batch["served"].to_numpy(dtype=float), 1)
-            stored = [x or b"" for x in batch["ranks"]]
-            ranks = np.frombuffer(b"".join(stored), dtype=np.int64).astype(float)
-            opened, ranks = carry(c, np.array([len(x) // 8 for x in stored], dtype=np.int64), ranks)
-            rng = np.random.default_rng([sweep, k, int(batch["h"].iloc[0]) & 0xFFFFFFFF])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in enumerate(_gathered(batches, FLUSH // 4)):
+            p = spelling.value.spans(*_spans(rows["word"]))
+            c = np.maximum(rows["served"].to_numpy().astype(float), 1)
+            stored, first, length = _spans(rows["ranks"])
+            ranks = stored[first[0] : first[-1] + length[-1]].view(np.int64).astype(float)
+            opened, ranks = carry(c, length // 8, ranks)
+            rng = np.random.default_rng([sweep, k, int(rows["h"][0].as_py()) & 0xFFFFFFFF])
             opened, ranks = reseat(c, (STRENGTH + d * (tables - opened - 1)) * p, d * p, d, opened, ranks, rng)
-            kept, data, upto = np.full(len(c), None, dtype=object), ranks.astype(np.int64).tobytes(), 8 * np.cumsum(opened)
-            for i in np.flatnonzero(opened).tolist():
-                kept[i] = data[upto[i] - 8 * opened[i] : upto[i]]
+            edges = np.concatenate(([0], 8 * np.cumsum(opened))).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(edges), pa.py_buffer(ranks.astype(np.int64))])
             more = 1 if sweep else 0
-            yield batch.assign(p0=p, ranks=kept, t=opened + 1, sum_c=batch["sum_c"] + more * c, sum_t=batch["sum_t"] + more * (opened + 1))
+            summed = {x: rows[x].to_numpy() + more * y for x, y in (("sum_c", c), ("sum_t", opened + 1))}
+            yield _batch(**(rows | {"p0": p, "ranks": kept, "t": opened + 1} | summed))
 
     return run
 
@@ -519,9 +564,10 @@ _WORDS = "h long, word binary, c long, served long, ranks binary, t long, sum_c
 
 
 def _spelled(spelling, names: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(p0=spelling.value.words(batch["word"]))[names.split()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches, SPELLED):
+            rows["p0"] = spelling.value.spans(*_spans(rows["word"]))
+            yield _batch(**{name: rows[name] for name in names.split()})
 
     return run
 
@@ -537,8 +583,8 @@ def _score_texts(words, model, often):
     def flush(parts: list[tuple], part: int) -> Iterator[pd.DataFrame]:
         (plan, held, _), busy = model.value, words.value
         rid, u, w = (np.concatenate(x) for x in zip(*parts))
-        docs, doc = np.unique(rid, return_inverse=True)
-        names, at = np.unique(np.concatenate((u, w)), return_inverse=True)
+        docs, _, doc = distinct(rid)
+        names, _, at = distinct(np.concatenate((u, w)))
         names = _Names(names, busy)
         at = names.place[at].astype(np.uint64)
         bits, more = (np.uint64(max(n - 1, 1).bit_length()) for n in (len(docs), len(names.names)))
@@ -559,8 +605,8 @@ def _score_texts(words, model, often):
         yield pd.DataFrame({"shard": -1 - part, "rid": (docs >> np.uint64(1)).view(np.int64), "n_tokens": tokens, "n_known": own, "score": 0.0, "base": base})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = often.value
-        held, size = [], 0
+        pairs, (held, size) = often.value, ([], 0)
+        known = np.append(pairs.values, np.zeros((1, 2), np.float32), axis=0)  # the last row is that of no pair
         for batch in batches:
             if not len(batch):
                 continue
@@ -571,14 +617,14 @@ def _score_texts(words, model, often):
                 picked = np.array(picked, dtype=np.int64)
                 w = pairs_of(h, bounds)
                 u = np.concatenate((w[-1:], w[:-1]))
-                owner = np.repeat(picked, np.diff(bounds) + 1)
                 row = pairs.find(pair_key(u, w))
-                hit = row >= 0
-                values = pairs.values[row[hit]]
-                for k, x in enumerate((None, None, values[:, 0], values[:, 1])):
-                    sums[:, k] += np.bincount(owner[hit], x, minlength=len(batch))
+                hit, values = row >= 0, known[row]
+                start = bounds[:-1] + np.arange(len(picked))
+                for k, x in enumerate((hit, hit, values[:, 0], values[:, 1])):
+                    sums[picked, k] = np.add.reduceat(x.astype(float), start)
                 if not hit.all():
-                    held.append((rids[owner[~hit]], u[~hit], w[~hit]))
+                    miss = ~hit
+                    held.append((np.repeat(rids[picked], np.diff(bounds) + 1)[miss], u[miss], w[miss]))
                     size += len(held[-1][0])
                     if size > FLUSH:
                         yield from flush(held, part)
@@ -598,13 +644,13 @@ def _score_shard(words, model, d: float):
     def run(entries: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
         (plan, held, heavy), busy = model.value, words.value
         if not len(entries) or entries["blob"].iloc[0] is None:
-            return entries.reindex(columns=_PARTS).astype({"doc_id": object})
+            return entries.assign(blob=None).reindex(columns=_PARTS).astype({"doc_id": object, "blob": object})
         parts = [unsqueeze(b) for b in entries["blob"]]
-        us, ws, code = _unpack_pairs(parts, busy)
+        us, ws, code, bits = _unpack_pairs(parts, busy)
         n = np.concatenate([p[6] for p in parts]).astype(np.int64)
         rid = np.concatenate([unstep(p[7])[p[8].astype(np.int64)] for p in parts])
         train, rid = (rid & np.uint64(1)).astype(bool), (rid >> np.uint64(1)).astype(np.int64)
-        kinds, at = np.unique(code, return_inverse=True)
+        kinds, _, at = distinct(code)
         c = np.bincount(at, n * train).astype(float)
         t = np.minimum(c, 1.0)
         back = np.ones(len(us))
@@ -626,34 +672,47 @@ def _score_shard(words, model, d: float):
             total[own] = tokens[k[own]]
             # A pair's tables: its place among this shard's pairs of more than one customer.
             if len(pu):
-                wn = unstep(wn)
-                iu, iw = np.searchsorted(us, names[pu.astype(np.int64)]), np.searchsorted(ws, wn[wi.astype(np.int64)])
-                iu, iw = np.minimum(iu, len(us) - 1), np.minimum(iw, len(ws) - 1)
-                there = (us[iu] == names[pu.astype(np.int64)]) & (ws[iw] == wn[wi.astype(np.int64)])
-                want = iu.astype(np.uint64) << np.uint64(32) | iw.astype(np.uint64)
+                wn, pu, wi = unstep(wn), pu.astype(np.int64), wi.astype(np.int64)
+                iu, iw = (np.minimum(np.searchsorted(a, b), len(a) - 1) for a, b in ((us, names), (ws, wn)))
+                there = (us[iu] == names)[pu] & (ws[iw] == wn)[wi]
+                want = iu[pu].astype(np.uint64) << bits | iw[wi].astype(np.uint64)
                 j = np.minimum(np.searchsorted(kinds, want), len(kinds) - 1)
                 there &= kinds[j] == want
                 t[j[there]] = mean[there]
-        ku, kw = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(2**32 - 1)).astype(np.int64)
+        ku, kw = _both(kinds, bits)
         own = np.maximum(c - d * t, 0.0) / (STRENGTH + total[ku])
         row = busy.find(ws)
         p = np.append(held[:, 0], np.float32(0))[row].astype(float)
         score = np.log10(np.maximum(own + back[ku] * p[kw], 1e-300))
         known = (row >= 0)[kw][at]
-        rids, doc = np.unique(rid[known], return_inverse=True)
-        rest, m = at[~known], len(rids)
+        # Sums of rows are packed by block, so that a shard sends no row for each of them.
+        rids, _, doc = distinct(rid[known].astype(np.uint64))
+        sums = np.bincount(doc, n[known] * score[at[known]], minlength=len(rids))
+        ends = np.flatnonzero(np.diff(rids >> np.uint64(BLOCK_BITS))) + 1
+        blobs = [(int(a[0] >> np.uint64(BLOCK_BITS)), squeeze(steps(a), b)) for a, b in zip(np.split(rids, ends), np.split(sums, ends)) if len(a)]
+        rest, m = at[~known], len(blobs)
         numbers = lambda values: pd.arrays.IntegerArray(np.concatenate((np.zeros(m, np.int64), values)), np.arange(m + len(rest)) < m)
         floats = lambda values: np.concatenate((np.full(m, np.nan), values))
-        out = pd.DataFrame({"rid": np.concatenate((rids, rid[~known])), "score": np.concatenate((np.bincount(doc, n[known] * score[at[known]], minlength=m), np.full(len(rest), np.nan)))})
-        out["h"], out["n"], out["own"], out["back"] = numbers(ws[kw[rest]].view(np.int64)), numbers(n[~known]), floats(own[rest]), floats(back[ku[rest]])
+        out = pd.DataFrame({"rid": numbers(rid[~known]), "h": numbers(ws[kw[rest]].view(np.int64)), "n": numbers(n[~known]), "own": floats(own[rest]), "back": floats(back[ku[rest]])})
+        out["block"] = pd.arrays.IntegerArray(np.concatenate((np.array([b for b, _ in blobs], np.int64), np.zeros(len(rest), np.int64))), np.arange(len(out)) >= m)
+        out["blob"] = np.array([b for _, b in blobs] + [None] * len(rest), dtype=object)
         nothing = pd.arrays.IntegerArray(np.zeros(len(out), np.int64), np.ones(len(out), dtype=bool))
-        out["doc_id"], out["held_out"], out["n_tokens"], out["n_known"], out["base"] = None, pd.array([None], dtype="boolean").repeat(len(out)), nothing, nothing, np.nan
+        out["doc_id"], out["held_out"], out["n_tokens"], out["n_known"], out["score"], out["base"] = None, pd.array([None], dtype="boolean").repeat(len(out)), nothing, nothing, np.nan, np.nan
         return out[_PARTS]
 
     return run
 
 
-_PARTS = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base", "h", "n", "own", "back"]
+def _add_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """The scores of a block's rows, summed over shards; at most 1 << BLOCK_BITS rows."""
+    parts = [unsqueeze(b) for b in rows["blob"]]
+    rid, score = np.concatenate([unstep(p[0]) for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])
+    least = int(rid.min())
+    found = np.flatnonzero(np.bincount(rid - least))
+    return pd.DataFrame({"rid": found + least, "score": np.bincount(rid - least, score)[found]})
+
+
+_PARTS = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "score", "base", "h", "n", "own", "back", "block", "blob"]
 
 
 def _array(rows: DataFrame, key: str, values: list[str]) -> HashArray:
@@ -757,7 +816,7 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
         spelling = share(train_spelling(grams, sweep))
         columns = _WORDS.replace(", p0 double", "").split(", ")
         old, run = seated, _seat_words(spelling, d1, tables, sweep)
-        seated = cut(seated.select(*[x.split()[0] for x in columns], F.lit(0.0).alias("p0")).mapInPandas(run, _WORDS), "lm-busy")
+        seated = cut(seated.select(*[x.split()[0] for x in columns], F.lit(0.0).alias("p0")).mapInArrow(run, _WORDS), "lm-busy")
         of = seated.agg(F.sum("served"), F.sum("t")).first()
         customers, tables = float((of[0] or 0) + rare), float((of[1] or 0) + rare)
         p1 = (F.col("served") - d1 * F.col("t") + (STRENGTH + d1 * tables) * F.col("p0")) / (STRENGTH + customers)
@@ -783,7 +842,7 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     # Averaged predictive probabilities of words: seen more often, once, and only in texts that did not train.
     of = seated.agg(F.sum("sum_c"), F.sum("sum_t")).first()
     customers, tables = (of[0] or 0.0) / SAMPLES + rare, (of[1] or 0.0) / SAMPLES + rare
-    others = words.filter("c <= 1").select("h", "c", "word").mapInPandas(_spelled(spelling, "h c p0"), "h long, c long, p0 double")
+    others = words.filter("c <= 1").select("h", "c", "word").mapInArrow(_spelled(spelling, "h c p0"), "h long, c long, p0 double")
     known = seated.select("h", "c", "p0", (F.col("sum_c") / SAMPLES).alias("served"), (F.col("sum_t") / SAMPLES).alias("t"))
     once = F.col("c").cast("double")
     known = known.unionByName(others.select("h", "c", "p0", once.alias("served"), once.alias("t")))
@@ -799,12 +858,15 @@ def score_texts(docs: DataFrame, training: str = "not is_held_out") -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
     entries = rows.mapInPandas(_score_texts(busy, model, share(often)), f"shard int, blob binary, rid long, doc_id {kind}, held_out boolean, {_SUMS}").groupBy("shard")
     seats = state.select("shard", "contexts", "pairs", "seats").groupBy("shard")
-    schema = f"rid long, doc_id {kind}, held_out boolean, {_SUMS}, h long, n long, own double, back double"
+    schema = f"rid long, doc_id {kind}, held_out boolean, {_SUMS}, h long, n long, own double, back double, block long, blob binary"
     found = cut(entries.cogroup(seats).applyInPandas(_score_shard(busy, model, d2), schema), "lm-found")
     tail = found.filter("h is not null").select("rid", "h", "n", "own", "back").join(known, "h", "left")
     tail = tail.select("rid", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10(F.col("own") + F.col("back") * F.col("p"))).alias("score"), (F.col("n") * F.col("base")).alias("base"))
     sums = [x.split()[0] for x in _SUMS.split(", ")]
-    pieces = found.filter("h is null").select("rid", "doc_id", "held_out", *sums).unionByName(tail, allowMissingColumns=True)
+    added = found.filter("blob is not null").select("block", "blob").groupBy("block").applyInPandas(_add_sums, "rid long, score double")
+    pieces = found.filter("h is null and blob is null").select("rid", "doc_id", "held_out", *sums)
+    for more in (added, tail):
+        pieces = pieces.unionByName(more, allowMissingColumns=True)
     out = pieces.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in sums])
     per = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", per.alias("perplexity"))

@@ -15,6 +15,8 @@ import numpy as np
 
 #: Least chance of a new table that is told from none.
 TINY = 1e-15
+#: Dishes that are left to be seated from which on they are faster one by one than as an array.
+FEW = 12
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -45,11 +47,25 @@ def log_weight(c: np.ndarray, new: np.ndarray, more: np.ndarray, d: float, opene
     return np.bincount(dish, log_gamma(end - d * t + a) - log_gamma(start - d * t + a), minlength=len(c))
 
 
+def _propose_one(c: float, new: float, more: float, d: float, n: float, t: float, rng: np.random.Generator) -> list[float]:
+    """Ranks of the openers among the customers of one dish who come after the first n, who sit at t tables."""
+    ranks = []
+    while n < c:
+        p = min(max(rng.beta(max(new + more * t, TINY), n - d * t), TINY), 1.0)
+        at = n + rng.geometric(p) - 1.0
+        if at >= c:
+            break
+        ranks.append(at)
+        t += 1.0
+        n = at + 1.0
+    return ranks
+
+
 def propose(c: np.ndarray, new: np.ndarray, more: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """(openers beside the first, their ranks dish by dish) of seatings drawn customer by customer."""
     live, n, t = np.flatnonzero(c > 1), np.ones(len(c)), np.ones(len(c))
     dishes, found = [], []
-    while len(live):
+    while len(live) > FEW:
         a = np.maximum(new[live] + more[live] * t[live], TINY)
         p = np.clip(rng.beta(a, n[live] - d * t[live]), TINY, 1.0)
         at = n[live] + rng.geometric(p) - 1.0
@@ -60,6 +76,9 @@ def propose(c: np.ndarray, new: np.ndarray, more: np.ndarray, d: float, rng: np.
         t[live] += 1
         n[live] = at + 1
         live = live[n[live] < c[live]]
+    for i in live.tolist():
+        found.append(np.array(_propose_one(float(c[i]), float(new[i]), float(more[i]), d, float(n[i]), float(t[i]), rng)))
+        dishes.append(np.full(len(found[-1]), i))
     dish, ranks = (np.concatenate(x) if x else np.zeros(0) for x in (dishes, found))
     order = np.argsort(dish, kind="stable")
     return np.bincount(dish.astype(np.int64), minlength=len(c)), ranks[order]

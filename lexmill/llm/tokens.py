@@ -10,12 +10,12 @@ _rng = np.random.default_rng(7)
 _BYTES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text handled at a time.
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+#: Bytes of text handled at a time, and bytes hashed at a time, which stay in the cache.
 CHUNK = 1 << 21
+BLOCK = 1 << 15
 
 
 def _powers(n: int, cache: list = []) -> np.ndarray:  # noqa: B006
@@ -24,6 +24,12 @@ def _powers(n: int, cache: list = []) -> np.ndarray:  # noqa: B006
     return cache[0]
 
 
+def _powers_back(n: int, cache: list = []) -> np.ndarray:  # noqa: B006
+    if not cache or len(cache[0]) < n:
+        cache[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1024), _BACK))))]
+    return cache[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MORE
     return h ^ (h >> np.uint64(29))
@@ -39,12 +45,27 @@ def hash_runs(solid: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(values, offset) + length.astype(np.uint64))
 
 
+def hash_spans(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``hash_runs`` of spans in order that lie anywhere in ``raw``: differences of running sums, block by block."""
+    out, start = np.empty(len(first), np.uint64), 0
+    while start < len(first):
+        stop = max(int(np.searchsorted(first, first[start] + BLOCK)), start + 1)
+        low, high = int(first[start]), int(first[stop - 1] + length[stop - 1])
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTES[raw[low:high]] * _powers(high - low)[: high - low], out=sums[1:])
+        at = first[start:stop] - low
+        out[start:stop] = (sums[at + length[start:stop]] - sums[at]) * _powers_back(high - low)[at]
+        start = stop
+    return mix(out + length.astype(np.uint64))
+
+
 def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, length) of every word of lower-cased bytes: words are runs without white space."""
-    solid = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
+    solid = np.zeros(len(raw) + 2, dtype=bool)
+    solid[1:-1] = (raw != 0x20) & (raw - np.uint8(0x09) > 4)
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
     first, length = edges[::2], edges[1::2] - edges[::2]
-    return hash_runs(raw[solid], length), first, length
+    return hash_spans(raw, first, length), first, length
 
 
 def word_chunks(texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,7 +73,7 @@ def word_chunks(texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.n
     picked, parts, size = [], [], 0
 
     def done():
-        raw = LOWER[np.frombuffer(b" ".join(parts), dtype=np.uint8)]
+        raw = np.frombuffer(b" ".join(parts).lower(), dtype=np.uint8)
         h, first, length = hash_words(raw)
         ends = np.cumsum([len(p) + 1 for p in parts])
         return picked, h, np.concatenate(([0], np.searchsorted(first, ends))), raw, first, length

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexmill.llm import decontaminate, htmltext, langid, linededup, mixing, ngramjoin, packing, pitmanyor, quality, registry, restaurants, suffixdedup, warc
+from lexmill.llm import decontaminate, hasharray, htmltext, langid, linededup, mixing, ngramjoin, packing, pitmanyor, quality, registry, restaurants, suffixdedup, tokens, warc
 from lexmill.llm.common import cut, meet, release, spare
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -324,6 +324,52 @@ def test_lm_score_contexts_and_spelling(spark, monkeypatch):
         assert (r.n_tokens, r.n_known) == (first[i].n_tokens, first[i].n_known) and abs(r.base_score - first[i].base_score) < 1e-4 and abs(r.score - got[i]) < 0.2 * abs(got[i])
 
 
+def test_lm_score_sends_no_row_a_text_and_shard(spark, monkeypatch):
+    """A shard packs its sums by blocks of rows, so what it sends doesn't grow as texts times shards."""
+    rows = [(i, sentence(40, i), i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, is_held_out boolean").coalesce(1)
+    sent, plain = {}, pitmanyor.cut
+    monkeypatch.setattr(pitmanyor, "cut", lambda d, name: sent.setdefault(name, plain(d, name)) if name == "lm-found" else plain(d, name))
+    for name, value in (("PAIRS", 1), ("SHARD", 100)):
+        monkeypatch.setattr(pitmanyor, name, value)
+    first = {r.doc_id: r.score for r in pitmanyor.score_texts(df).collect()}
+    found = sent.pop("lm-found")
+    packed = found.filter("blob is not null")
+    assert found.filter("score is not null").count() <= 2 * len(rows) and 1 < packed.count() <= 41 and packed.select("block").distinct().count() == 1
+    monkeypatch.setattr(pitmanyor, "BLOCK_BITS", 2)
+    second = {r.doc_id: r.score for r in pitmanyor.score_texts(df).collect()}
+    assert sent["lm-found"].filter("blob is not null").select("block").distinct().count() == 15
+    assert len(first) == 60 and all(abs(first[i] - second[i]) < 1e-6 * abs(first[i]) for i in first)
+
+
+def test_orders_and_hashes_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    close = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 5, 300).astype(np.uint64)  # alike in all leading bits
+    for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), close, rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(0, 2**64, 5000, dtype=np.uint64)):
+        kinds, first, inverse = hasharray.distinct(x)
+        assert (x[hasharray.order_of(x)] == np.sort(x)).all()
+        assert (kinds == np.unique(x)).all() and (x[first] == kinds).all() and (kinds[inverse] == x).all()
+    monkeypatch.setattr(tokens, "BLOCK", 16)
+    texts = ["", " \t", "a", "AbC  dé\x0bf\x1c g", "w" * 50 + " x " + "y" * 17, " lead", "trail\n"]
+    for text in [*texts, " ".join(texts)]:
+        raw = np.frombuffer(text.encode().lower(), np.uint8)
+        h, first, length = tokens.hash_words(raw)
+        want = words(text.translate(LOW))
+        assert [bytes(raw[a : a + n]).decode() for a, n in zip(first, length)] == want
+        assert h.tolist() == [int(tokens.hash_runs(np.frombuffer(w.encode(), np.uint8), np.array([len(w.encode())]))[0]) for w in want]
+
+
+def test_few_dishes_are_seated_alike(monkeypatch):
+    """Seating dish by dish gives the same distribution of tables as seating all at once."""
+    mean = {}
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(restaurants, "FEW", few)
+        opened, ranks = restaurants.propose(np.full(4000, 30.0), np.full(4000, 0.4), np.full(4000, 0.2), 0.6, np.random.default_rng(3))
+        assert len(ranks) == opened.sum() and (ranks < 30).all() and (ranks >= 1).all()
+        mean[few] = opened.mean()
+    assert abs(mean[0] - mean[1 << 30]) < 0.15
+
+
 def test_spelling_sums_to_one():
     rng = np.random.default_rng(1)
     raw = rng.choice(np.frombuffer(b"abc", np.uint8), 400)
