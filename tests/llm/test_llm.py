@@ -172,6 +172,17 @@ def test_rare_languages_are_learned(spark):
     assert model.langs == sorted({r[2] for r in rows}) and np.isfinite(model.limits).all()
 
 
+def test_languages_that_are_all_rare_still_reject(spark):
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "one": "opqrstu"}
+    rng = np.random.default_rng(17)
+    text = lambda lang: " ".join("".join(rng.choice(list(letters[lang]), rng.integers(2, 7))) for _ in range(60))
+    langs = ["aa"] * 15 + ["bb"] * 15 + ["one"]
+    model = langid.train(spark.createDataFrame([(i, text(x), x) for i, x in enumerate(langs)], "doc_id long, text string, lang string"))
+    assert model.langs == sorted(letters) and np.isfinite(model.limits).all()
+    out = model.predict([text("aa"), text("bb"), "щъжф " * 60, "", None])
+    assert list(out["accepted"]) == [True, True, False, False, False] and list(out["lang_pred"])[:2] == ["aa", "bb"]
+
+
 def test_suffix_dedup(spark, docs, empty):
     passage = sentence(120, 70)
     texts = [*edge_texts(), "a " + passage + " end", passage + passage, "b" * 1500, passage[:399], "x" + passage[:400] + "y"]
