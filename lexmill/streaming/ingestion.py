@@ -35,7 +35,9 @@ def page_parts(pages: DataFrame) -> dict[str, DataFrame]:
     elements = corpus.page_elements(pages.filter("html is not null"))
     chunks = page_chunks(elements)
     vectors = corpus.embed_rows(chunks.withColumn("id", F.struct("page_id", "chunk_id")), "id", "content").select("id.page_id", "id.chunk_id", "embedding")
-    blocks = postings.posting_rows(chunks.select("page_id", "chunk_id", corpus.tokens(F.col("content")).alias("ts")), ["page_id"])
+    held = chunks.select("page_id", F.struct("chunk_id", corpus.tokens(F.col("content")).alias("ts")).alias("c")).groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    kind = dict(pages.dtypes)["page_id"]
+    blocks = held.select("page_id", F.col("c.chunk_id").alias("chunks"), F.col("c.ts").alias("ts")).mapInArrow(postings.page_postings, f"page_id {kind}, {postings.PAGE_POSTINGS}")
     return {"elements": elements, "chunks": chunks, "vectors": vectors, "postings": blocks}
 
 
@@ -60,13 +62,5 @@ def ingest_corpus(pages: DataFrame, root: str, checkpoint: str, buckets: int = 6
 
 
 def ingested_index(spark: SparkSession, root: str) -> postings.Index:
-    """The ingested pages as an index to search: blocks are a page's, and pages are dealt to ranges by their number now."""
-    tables = corpus_tables(spark, root)
-    stats = tables["chunks"].read().agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avgdl"))
-    n = stats.first()["n"]
-    buckets, ranges = postings.LEAST_BUCKETS, max(1, -(-n // postings.RANGE_CHUNKS))
-    rows = tables["postings"].read().select(
-        "token", postings.token_bucket(F.col("token"), buckets).alias("bucket"), F.lit(0).cast("long").alias("group"),
-        F.pmod(F.xxhash64("page_id"), F.lit(ranges)).cast("long").alias("range"), "df", "max_tf", "min_len", "chunks", "tfs", "lens",
-    )
-    return postings.Index(rows, postings.term_weights(rows.groupBy("token").agg(F.sum("df").alias("df")), stats), stats, buckets)
+    """The ingested pages as an index to search, packed from their stored postings; no page is tokenised again."""
+    return postings.index_of_pages(corpus_tables(spark, root)["postings"].read())

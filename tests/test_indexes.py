@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import re
 import time
 from datetime import date
@@ -147,6 +148,35 @@ def test_many_queries_of_one_term(spark, library):
     assert len(out) == 2 and {r["count"] for r in out} == {n}
 
 
+def _odd_chunks(spark):
+    """Chunks of groups and without, null and empty ones, long ones and words far more frequent than others."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", "w1 " * 300, "w2 " * 70000, "W1 w2, w3!", *[" ".join(rng.choice([f"w{k}" for k in range(40)], int(rng.integers(1, 60)))) for _ in range(1500)]]
+    rows = [(i // 7, f"c{i}", t, None if i % 11 == 0 else i % 4) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "document_id long, chunk_id string, content string, group long")
+
+
+def test_index_equals_search_of_plain_chunks(spark, monkeypatch):
+    chunks = _odd_chunks(spark)
+    q = spark.createDataFrame([(1, "w1 w1 w7"), (2, "w2"), (3, "unknown"), (4, "w5 w6 w39")], "query_id long, text string")
+    scope = spark.createDataFrame([(1, 0), (1, 3), (2, 2), (4, 1), (9, 1)], "query_id long, group long")
+    columns = ["query_id", "chunk_id", "score", "lexical_rank"]
+    want = _rows(retrieval.bm25_search(q, chunks.fillna("", "content"), 6, scope).select(columns))
+    for terms in (postings.QUERY_TERMS, 3):
+        monkeypatch.setattr(postings, "QUERY_TERMS", terms)
+        assert _rows(postings.search_index(postings.build_index(chunks), q, 6, scope)[0].select(columns)) == want and len(want) == 18
+
+
+def test_index_is_small(spark):
+    """A posting takes less than four bytes, also where a range holds few chunks of a token."""
+    rng = np.random.default_rng(5)
+    words = [f"word{k}" for k in range(4000)]
+    rows = [(d, f"{d}-{c}", " ".join(rng.choice(words, 50))) for d in range(700) for c in range(10)]
+    index = postings.build_index(spark.createDataFrame(rows, "document_id long, chunk_id string, content string"))
+    size = sum(os.path.getsize(f.removeprefix("file:")) for f in index.postings.inputFiles())
+    assert index.postings.agg(F.sum("df")).first()[0] > 340_000 and size < 4 * 340_000
+
+
 # -- vectors
 
 
