@@ -2,7 +2,7 @@
 
 import json
 import math
-import os
+import pathlib
 import re
 import time
 from datetime import date
@@ -167,14 +167,16 @@ def test_index_equals_search_of_plain_chunks(spark, monkeypatch):
         assert _rows(postings.search_index(postings.build_index(chunks), q, 6, scope)[0].select(columns)) == want and len(want) == 18
 
 
-def test_index_is_small(spark):
-    """A posting takes less than four bytes, also where a range holds few chunks of a token."""
-    rng = np.random.default_rng(5)
+def test_index_is_small(spark, monkeypatch):
+    """All that is written for an index takes less than three bytes a posting, also where a range holds few chunks of a token."""
+    rng, paths, path = np.random.default_rng(5), [], store.scratch_path
+    monkeypatch.setattr(store, "scratch_path", lambda *args: paths.append(path(*args)) or paths[-1])
     words = [f"word{k}" for k in range(4000)]
     rows = [(d, f"{d}-{c}", " ".join(rng.choice(words, 50))) for d in range(700) for c in range(10)]
     index = postings.build_index(spark.createDataFrame(rows, "document_id long, chunk_id string, content string"))
-    size = sum(os.path.getsize(f.removeprefix("file:")) for f in index.postings.inputFiles())
-    assert index.postings.agg(F.sum("df")).first()[0] > 340_000 and size < 4 * 340_000
+    size = sum(p.stat().st_size for root in paths for p in pathlib.Path(root).rglob("*.parquet"))
+    n = index.postings.agg(F.sum("df")).first()[0]
+    assert n > 340_000 and size < 3 * n, (n, size)
 
 
 # -- vectors
