@@ -3,6 +3,8 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from lexmill.operators import access, corpus, maintenance, models, retrieval
 
 
@@ -114,3 +116,12 @@ def test_chunk_write_round_trip(spark, tmp_path):
     kids.write.json(str(tmp_path / "children"))
     back = spark.read.schema(kids.schema).json(str(tmp_path / "children"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, kids.collect()))
+
+
+def test_words_are_hashed_once_a_batch(spark):
+    """Vectors from texts or tokens are those of hash_embed, a null text is a zero vector, as is one without tokens."""
+    d = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "é B, a-c")], "id long, text string")
+    got = {r.id: r.embedding for r in corpus.embed_rows(d, "id", "text").collect()}
+    want = {(r.id, r.dim): r.value for r in corpus.hash_embed(d, "id", "text").collect()}
+    assert {(i, j): v for i, e in got.items() for j, v in enumerate(e) if v} == want and {len(e) for e in got.values()} == {corpus.EMBED_DIM} and set(got) == {1, 2, 3, 4}
+    assert got == {r.id: r.embedding for r in corpus.embed_rows(d.select("id", corpus.tokens(F.col("text")).alias("ts")), "id", "ts").collect()}
